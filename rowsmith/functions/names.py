@@ -55,15 +55,3 @@ BOOLEAN_NAME = re.compile(
     r"^is_|^has_|(^|_)(bool|boolean|flag|enabled|disabled|active|inactive)(_|$)"
 )
 DECIMAL_NAME = re.compile(r"(^|_)(decimal|numeric)(_|$)")
-
-
-def hints_temporal(name: str) -> bool:
-    return bool(TEMPORAL_NAME.search(name.strip().lower()))
-
-
-def hints_boolean(name: str) -> bool:
-    return bool(BOOLEAN_NAME.search(name.strip().lower()))
-
-
-def hints_decimal(name: str) -> bool:
-    return bool(DECIMAL_NAME.search(name.strip().lower()))

@@ -8,6 +8,7 @@ size of the table or the skew of its values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -36,23 +37,6 @@ STRICT_UUID = 1 << 14
 SHORT_BOOLEAN_WORD = 1 << 15
 
 
-@dataclass(frozen=True)
-class ColumnEvidence:
-    """What a scan saw in one column."""
-
-    name: str
-    non_null: int
-    nulls: int
-    every: int
-    some: int
-
-    def all_have(self, bit: int) -> bool:
-        return self.non_null > 0 and bool(self.every & bit)
-
-    def any_has(self, bit: int) -> bool:
-        return bool(self.some & bit)
-
-
 @dataclass(frozen=True)
 class InferredColumn:
     name: str
@@ -250,43 +234,71 @@ def evidence_frame(df: DataFrame) -> DataFrame:
     return summary.select(F.inline(F.array(*rows)))
 
 
-def gather_evidence(df: DataFrame) -> list[ColumnEvidence]:
-    """Run the scan; what reaches the driver is one small row per column."""
-    return [ColumnEvidence(**row.asDict()) for row in evidence_frame(df).collect()]
-
-
-def decide_type(seen: ColumnEvidence) -> str:
-    """The target type, by fixed precedence and the hints in the column's name."""
-    if seen.non_null == 0:
-        return "TEXT"
-    if seen.all_have(BOOLEAN_WORD) and (
-        not seen.all_have(ZERO_OR_ONE)
-        or N.hints_boolean(seen.name)
-        or (seen.any_has(MEANS_TRUE) and seen.any_has(MEANS_FALSE))
-    ):
-        return "BOOLEAN"
-    if seen.all_have(UUID):
-        return "UUID"
-    temporal = N.hints_temporal(seen.name)
-    if temporal and seen.all_have(TIMESTAMP_OR_EPOCH):
-        return "TIMESTAMP"
-    if seen.any_has(TEMPORAL_SHAPE) and seen.all_have(TIMESTAMP):
-        return "TIMESTAMP"
-    if seen.all_have(INTEGER):
-        return "TEXT" if seen.any_has(LEADING_ZERO) else "INTEGER"
-    if N.hints_decimal(seen.name) and seen.all_have(FIXED_POINT) and seen.any_has(HAS_POINT):
-        return "DECIMAL(18,6)"
-    if seen.all_have(DOUBLE):
-        return "FLOAT64"
-    if seen.all_have(BYTES):
-        return "BLOB"
-    return "TEXT"
+def _all(bit: int, bits: str = "every") -> Column:
+    return F.col(bits).bitwiseAND(bit) != 0
+
+
+def _any(bit: int) -> Column:
+    return _all(bit, "some")
+
+
+def _hints(pattern: re.Pattern) -> Column:
+    return F.lower(F.trim("name")).rlike(pattern.pattern)
+
+
+def decided_type() -> Column:
+    """The target type of an evidence row, by fixed precedence and hints in its name."""
+    boolean = _all(BOOLEAN_WORD) & (
+        ~_all(ZERO_OR_ONE) | _hints(N.BOOLEAN_NAME) | (_any(MEANS_TRUE) & _any(MEANS_FALSE))
+    )
+    timestamp = (_hints(N.TEMPORAL_NAME) & _all(TIMESTAMP_OR_EPOCH)) | (
+        _any(TEMPORAL_SHAPE) & _all(TIMESTAMP)
+    )
+    decimal = _hints(N.DECIMAL_NAME) & _all(FIXED_POINT) & _any(HAS_POINT)
+    return (
+        F.when(F.col("non_null") == 0, "TEXT")
+        .when(boolean, "BOOLEAN")
+        .when(_all(UUID), "UUID")
+        .when(timestamp, "TIMESTAMP")
+        .when(_all(INTEGER), F.when(_any(LEADING_ZERO), "TEXT").otherwise("INTEGER"))
+        .when(decimal, "DECIMAL(18,6)")
+        .when(_all(DOUBLE), "FLOAT64")
+        .when(_all(BYTES), "BLOB")
+        .otherwise("TEXT")
+    )
+
+
+def refined_type(declared: Column) -> Column:
+    """A declared TEXT or INTEGER type upgraded by the evidence of a sample."""
+    timestamps = F.when(_hints(N.TEMPORAL_NAME), _all(TIMESTAMP_OR_EPOCH)).otherwise(
+        _all(TIMESTAMP)
+    )
+    from_text = (
+        F.when(_all(STRICT_UUID), "UUID")
+        .when(_all(SHORT_BOOLEAN_WORD), "BOOLEAN")
+        .when(timestamps, "TIMESTAMP")
+    )
+    from_integer = F.when(
+        _hints(N.BOOLEAN_NAME) & _all(SHORT_BOOLEAN_WORD), "BOOLEAN"
+    ).when(_hints(N.TEMPORAL_NAME) & timestamps, "TIMESTAMP")
+    upgrade = F.when(declared == "TEXT", from_text).when(declared == "INTEGER", from_integer)
+    return F.coalesce(F.when(F.col("non_null") > 0, upgrade), declared)
+
+
+def type_frame(df: DataFrame) -> DataFrame:
+    """``column_name, target_type, contains_nulls``, one row per column, as a plan."""
+    return evidence_frame(df).select(
+        F.col("name").alias("column_name"),
+        decided_type().alias("target_type"),
+        (F.col("nulls") > 0).alias("contains_nulls"),
+    )
 
 
 def infer_columns(df: DataFrame) -> list[InferredColumn]:
+    """Run the scan; what reaches the driver is one small row per column."""
     return [
-        InferredColumn(seen.name, decide_type(seen), seen.nulls > 0)
-        for seen in gather_evidence(df)
+        InferredColumn(r["column_name"], r["target_type"], r["contains_nulls"])
+        for r in type_frame(df).collect()
     ]
 
 
@@ -294,27 +306,21 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return {column.name: column.type for column in infer_columns(df)}
 
 
+def refined_frame(
+    df: DataFrame, declared: dict[str, str], sample_rows: int = 64
+) -> DataFrame:
+    """``column_name, target_type``: declared types, upgraded by the first rows."""
+    names = [F.col(f"`{name}`") for name in declared]
+    pairs = [x for name, kind in declared.items() for x in (F.lit(name), F.lit(kind))]
+    given = F.create_map(*pairs)[F.col("name")]
+    sample = evidence_frame(df.select(*names).limit(sample_rows))
+    return sample.select(
+        F.col("name").alias("column_name"), refined_type(given).alias("target_type")
+    )
+
+
 def refine_types(df: DataFrame, declared: dict[str, str], sample_rows: int = 64) -> dict[str, str]:
-    """Upgrade declared TEXT and INTEGER columns by what the first rows hold."""
-    candidates = [name for name, kind in declared.items() if kind in ("TEXT", "INTEGER")]
-    if not candidates:
-        return dict(declared)
-    sample = df.select(*[F.col(f"`{name}`") for name in candidates]).limit(sample_rows)
-    refined = dict(declared)
-    for seen in gather_evidence(sample):
-        if seen.non_null == 0:
-            continue
-        temporal = N.hints_temporal(seen.name)
-        timestamps = seen.all_have(TIMESTAMP_OR_EPOCH if temporal else TIMESTAMP)
-        if declared[seen.name] == "TEXT":
-            if seen.all_have(STRICT_UUID):
-                refined[seen.name] = "UUID"
-            elif seen.all_have(SHORT_BOOLEAN_WORD):
-                refined[seen.name] = "BOOLEAN"
-            elif timestamps:
-                refined[seen.name] = "TIMESTAMP"
-        elif N.hints_boolean(seen.name) and seen.all_have(SHORT_BOOLEAN_WORD):
-            refined[seen.name] = "BOOLEAN"
-        elif temporal and timestamps:
-            refined[seen.name] = "TIMESTAMP"
-    return refined
+    return {
+        r["column_name"]: r["target_type"]
+        for r in refined_frame(df, declared, sample_rows).collect()
+    }
