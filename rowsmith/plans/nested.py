@@ -1 +1,251 @@
-"""To come."""
+"""Nested JSON and XML documents as flat, parent and child tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowsmith.functions import json_table
+from rowsmith.operators import reshape
+from rowsmith.plans import render
+from rowsmith.plans.registry import Tables, query
+from rowsmith.sources import documents
+
+
+def parsed(df: DataFrame, doc: Column, *keep: str) -> DataFrame:
+    """Render a JSON document per row and read it back with its inferred schema."""
+    texts = df.select(*keep, F.to_json(doc).alias("doc"))
+    return documents.parse_json_column(texts, "doc")
+
+
+def document_tree(t: Tables) -> DataFrame:
+    """Documents with nested facts and a list of numbered lines."""
+    lines = F.transform(
+        render.text_lines(), lambda line, i: F.struct(i.alias("no"), line.alias("line"))
+    )
+    doc = F.struct(
+        "doc_id",
+        "lang",
+        F.struct("source", F.struct("n_chars").alias("size")).alias("meta"),
+        lines.alias("lines"),
+    )
+    return parsed(t.documents, doc)
+
+
+LINES_SQL = (
+    "SELECT doc_id, unnest(string_split(text, chr(10))) AS line,"
+    " generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents"
+)
+
+
+@query(
+    "json_records",
+    "SELECT 2 * o_orderkey AS id, o_orderstatus AS tag FROM orders"
+    " UNION ALL SELECT 2 * o_orderkey + 1, o_orderpriority FROM orders",
+)
+def json_records(t: Tables) -> DataFrame:
+    """One list document and one single-key document per order; both unwrap to records."""
+    first = F.struct((F.col("o_orderkey") * 2).alias("id"), F.col("o_orderstatus").alias("tag"))
+    second = F.struct((F.col("o_orderkey") * 2 + 1).alias("id"), F.col("o_orderpriority").alias("tag"))
+    frames = []
+    for doc in (F.array(first), F.struct(F.array(second).alias("records"))):
+        df = parsed(t.orders, doc)
+        records, _ = documents.root_records(F.col("doc"), df.schema["doc"].dataType)
+        frames.append(df.select(F.inline(records)))
+    return frames[0].unionByName(frames[1])
+
+
+@query(
+    "json_flatten",
+    "SELECT doc_id, lang, source AS meta__source, n_chars AS meta__size__n_chars,"
+    " CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents",
+)
+def json_flatten(t: Tables) -> DataFrame:
+    flat = reshape.flatten(document_tree(t), "doc")
+    # The list column is JSON text; its length shows that it is whole.
+    return flat.withColumn("lines", F.json_array_length("lines"))
+
+
+@query(
+    "json_drift_union",
+    "SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value END AS clicked,"
+    " CASE WHEN event_type = 'view' THEN user_id END AS viewer, props AS extra FROM events",
+)
+def json_drift_union(t: Tables) -> DataFrame:
+    """Records whose keys depend on the event type; absent keys are NULL in the union."""
+    doc = F.struct(
+        "event_id",
+        "event_type",
+        F.when(F.col("event_type") == "click", F.col("value")).alias("clicked"),
+        F.when(F.col("event_type") == "view", F.col("user_id")).alias("viewer"),
+    )
+    drifting = reshape.flatten(parsed(t.events, doc, "event_id"), "doc").drop("extra")
+    extra = t.events.select("event_id", F.col("props").alias("extra"))
+    return drifting.join(extra, "event_id")
+
+
+@query(
+    "drift_batches",
+    "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL AS balance FROM customer"
+    " UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier",
+)
+def drift_batches(t: Tables) -> DataFrame:
+    customers = t.customer.selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment")
+    suppliers = t.supplier.selectExpr("s_suppkey AS id", "s_acctbal AS balance", "s_name AS name")
+    return reshape.drift_union([customers, suppliers])
+
+
+def normalized_documents(t: Tables) -> reshape.NormalizedTables:
+    tree = document_tree(t).withColumn("key", F.col("doc.doc_id"))
+    return reshape.normalize(tree, "doc", "docs", key="key")
+
+
+@query(
+    "json_normalize_parent",
+    "SELECT CAST(doc_id AS VARCHAR) AS _import_id, doc_id, lang, source AS meta__source,"
+    " n_chars AS meta__size__n_chars FROM documents",
+)
+def json_normalize_parent(t: Tables) -> DataFrame:
+    return normalized_documents(t).tables["docs"]
+
+
+@query(
+    "json_normalize_child",
+    "SELECT doc_id || '/lines/' || no AS _import_id, CAST(doc_id AS VARCHAR) AS parent_id, no, line"
+    f" FROM ({LINES_SQL})",
+)
+def json_normalize_child(t: Tables) -> DataFrame:
+    return normalized_documents(t).tables["docs_lines"]
+
+
+@query(
+    "json_nested_map_children",
+    "SELECT 'parent' AS kind, CAST(doc_id AS VARCHAR) AS id, lang AS body_lang,"
+    " n_chars AS body_size__n_chars, NULL AS value FROM documents UNION ALL"
+    f" SELECT 'child', doc_id || '/body_lines/' || no, NULL, NULL, line FROM ({LINES_SQL})",
+)
+def json_nested_map_children(t: Tables) -> DataFrame:
+    """An object that holds a list joins names by ``_``; the object inside it uses ``__``."""
+    body = F.struct(
+        "lang", F.struct("n_chars").alias("size"), render.text_lines().alias("lines")
+    )
+    tree = parsed(t.documents, F.struct(body.alias("body")), "doc_id")
+    tables = reshape.normalize(tree, "doc", "docs", key="doc_id").tables
+    parents = tables["docs"].select(
+        F.lit("parent").alias("kind"), F.col("_import_id").alias("id"), "body_lang", "body_size__n_chars"
+    )
+    children = tables["docs_body_lines"].select(
+        F.lit("child").alias("kind"), F.col("_import_id").alias("id"), "value"
+    )
+    return parents.unionByName(children, allowMissingColumns=True)
+
+
+@query(
+    "json_scalar_children",
+    "SELECT CAST(vec_id AS VARCHAR) AS parent_id, count(*) AS numbers, min(v) AS low, max(v) AS high"
+    " FROM (SELECT vec_id, CAST(CAST(unnest(embedding) AS VARCHAR) AS DOUBLE) AS v FROM embeddings)"
+    " GROUP BY vec_id",
+)
+def json_scalar_children(t: Tables) -> DataFrame:
+    tree = parsed(t.embeddings, F.struct("embedding", "label"), "vec_id")
+    values = reshape.normalize(tree, "doc", "vectors", key="vec_id").tables["vectors_embedding"]
+    return values.groupBy("parent_id").agg(
+        F.count("*").alias("numbers"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+
+
+@query(
+    "json_nested_arrays",
+    "SELECT CAST(doc_id AS VARCHAR) AS parent_id, unnest(string_split(line, '. ')) AS value"
+    f" FROM ({LINES_SQL})",
+)
+def json_nested_arrays(t: Tables) -> DataFrame:
+    """Lists of sentences inside a list of lines all go to one child table."""
+    sentences = F.transform(render.text_lines(), lambda line: F.split(line, r"\. "))
+    tree = parsed(t.documents, F.struct("lang", sentences.alias("body")), "doc_id")
+    child = reshape.normalize(tree, "doc", "docs", key="doc_id").tables["docs_body"]
+    return child.select("parent_id", "value")
+
+
+def xml_documents(t: Tables) -> tuple[DataFrame, T.StructType]:
+    """A ``<doc>`` per document, with an attribute, a nested element and repeated lines."""
+    kept = F.filter(render.text_lines(), lambda line: F.trim(line) != "")
+    meta = render.xml_element(
+        "meta", render.xml_element("source", render.xml_text(F.col("source"))), size=F.col("n_chars")
+    )
+    doc = render.xml_element("doc", meta, render.xml_list("line", kept), lang=F.col("lang"))
+    schema = T.StructType.fromDDL(
+        "attr_lang string, meta struct<attr_size: string, source: string>, line array<string>"
+    )
+    rows = t.documents.select("doc_id", doc.alias("doc"))
+    return documents.parse_xml_column(rows, "doc", schema), schema
+
+
+@query(
+    "xml_flatten",
+    "SELECT doc_id, lang AS attr_lang, CAST(n_chars AS VARCHAR) AS meta__attr_size,"
+    " source AS meta__source, coalesce(len(list_filter(string_split(text, chr(10)),"
+    " x -> trim(x) <> '')), 0)::INTEGER AS lines FROM documents",
+)
+def xml_flatten(t: Tables) -> DataFrame:
+    rows, _ = xml_documents(t)
+    flat = reshape.flatten(rows, "doc", ("doc_id",))
+    return flat.withColumn("lines", F.coalesce(F.json_array_length("line"), F.lit(0))).drop("line")
+
+
+@query(
+    "xml_normalize",
+    "SELECT CAST(doc_id AS VARCHAR) AS parent_id, trim(line) AS value FROM"
+    f" ({LINES_SQL}) WHERE trim(line) <> ''",
+)
+def xml_normalize(t: Tables) -> DataFrame:
+    rows, _ = xml_documents(t)
+    return reshape.normalize(rows, "doc", "doc", key="doc_id").tables["doc_line"].select(
+        "parent_id", "value"
+    )
+
+
+@query(
+    "parent_child_join",
+    f"SELECT lang, count(*) AS lines, max(no) AS last_no FROM ({LINES_SQL}) l"
+    " JOIN documents d ON l.doc_id = d.doc_id GROUP BY lang",
+)
+def parent_child_join(t: Tables) -> DataFrame:
+    normalized = normalized_documents(t)
+    joined = reshape.join_child(normalized.tables, normalized.relations, "docs_lines")
+    return joined.groupBy(F.col("parent_lang").alias("lang")).agg(
+        F.count("*").alias("lines"), F.max("no").alias("last_no")
+    )
+
+
+@query(
+    "json_each",
+    "SELECT event_id, j.key, CASE WHEN j.type = 'VARCHAR' THEN json_extract_string(j.value, '$')"
+    " ELSE CAST(j.value AS VARCHAR) END AS value, CASE j.type WHEN 'VARCHAR' THEN 'string'"
+    " WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type FROM"
+    " (SELECT event_id, json_object('id', event_id, 'type', event_type, 'props', json(props)) AS doc"
+    " FROM events) e, json_each(e.doc) j",
+)
+def json_each(t: Tables) -> DataFrame:
+    return json_table.json_each(event_documents(t), "doc", ("event_id",))
+
+
+def event_documents(t: Tables) -> DataFrame:
+    doc = F.concat(
+        F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type",
+        F.lit('","props":'), "props", F.lit("}"),
+    )
+    return t.events.select("event_id", doc.alias("doc"))
+
+
+@query(
+    "json_tree",
+    "SELECT event_id, j.key, CASE WHEN j.type = 'VARCHAR' THEN json_extract_string(j.value, '$')"
+    " ELSE CAST(j.value AS VARCHAR) END AS value, CASE j.type WHEN 'VARCHAR' THEN 'string'"
+    " WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type, j.fullkey AS path FROM"
+    " (SELECT event_id, json_object('id', event_id, 'props', json(props), 'type', event_type) AS doc"
+    " FROM events) e, json_tree(e.doc) j",
+)
+def json_tree(t: Tables) -> DataFrame:
+    return json_table.json_tree(event_documents(t), "doc", ("event_id",))
