@@ -2,8 +2,8 @@
 
 Each value is turned into a bit set of the shapes it fits. Two bit aggregates and a
 count per column then say what all values, and what any value, look like. The
-aggregate is partial on the map side, so one row per task is shuffled, whatever the
-size of the table or the skew of its values.
+aggregate is partial on the map side, so a task shuffles one row per column, whatever
+the size of the table or the skew of its values.
 """
 
 from __future__ import annotations
@@ -140,19 +140,6 @@ def _any_of(bits: Sequence[Column]) -> Column:
     return shapes
 
 
-def _integer_shapes(value: Column) -> Column:
-    switch = value.isin(0, 1)
-    return _any_of(
-        [
-            F.lit(INTEGER | FIXED_POINT | DOUBLE),
-            _bit(switch, BOOLEAN_WORD | ZERO_OR_ONE | SHORT_BOOLEAN_WORD),
-            _bit(value == 1, MEANS_TRUE),
-            _bit(value == 0, MEANS_FALSE),
-            _bit(value.between(0, K.MAX_EPOCH_MILLIS), TIMESTAMP_OR_EPOCH),
-        ]
-    )
-
-
 def _double_shapes(value: Column) -> Column:
     whole = value == F.round(value)
     return _any_of(
@@ -168,70 +155,60 @@ def _double_shapes(value: Column) -> Column:
     )
 
 
-def _typed_shapes(value: Column, data_type: T.DataType) -> Column:
-    """The bit set of shapes a non-null value of this Spark type fits."""
-    if isinstance(data_type, T.IntegralType):
-        return _integer_shapes(value)
-    if isinstance(data_type, T.DecimalType):
-        return _double_shapes(value.cast("double"))
-    if isinstance(data_type, T.FractionalType):
-        return _double_shapes(value)
-    if isinstance(data_type, T.BooleanType):
-        return F.when(value, F.lit(BOOLEAN_WORD | MEANS_TRUE)).otherwise(
-            F.lit(BOOLEAN_WORD | MEANS_FALSE)
-        )
+def _kind_of(data_type: T.DataType) -> str:
+    """How the values of a Spark type are judged; integers and booleans read like text."""
+    if isinstance(data_type, (T.StringType, T.IntegralType, T.BooleanType)):
+        return "text"
+    if isinstance(data_type, T.NumericType):
+        return "double"
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.lit(TEMPORAL_SHAPE | TIMESTAMP | TIMESTAMP_OR_EPOCH)
-    if isinstance(data_type, T.BinaryType):
-        return F.lit(BYTES)
-    return F.lit(0)
+        return "time"
+    return "bytes" if isinstance(data_type, T.BinaryType) else "nested"
+
+
+def _long_form(df: DataFrame) -> DataFrame:
+    """``name, kind, value``: one row per cell, its value as text."""
+    cells = []
+    for field in df.schema.fields:
+        value, kind = F.col(f"`{field.name}`"), _kind_of(field.dataType)
+        if kind in ("text", "double"):
+            text = value.cast("string")
+        else:
+            text = F.when(value.isNotNull(), F.lit(""))
+        cells += [F.lit(field.name), F.lit(kind), text]
+    return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("name", "kind", "value"))
 
 
 def evidence_frame(df: DataFrame) -> DataFrame:
-    """One row per column of ``df``: name, non-null and null counts, shape bit sets."""
-    fields = df.schema.fields
-    textual = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
-    # Staged projections, so that no intermediate value is computed twice.
-    values = df.select(*[F.col(f"`{f.name}`").alias(f"v{i}") for i, f in enumerate(fields)])
-    values = values.withColumns({f"v{i}": K.strip(F.col(f"v{i}")) for i in textual})
-    helpers = {}
-    for i in textual:
-        text = F.col(f"v{i}")
-        # A cast that fails is slow, so only digits get that far.
-        helpers[f"n{i}"] = F.when(text.rlike(K.INTEGER_PATTERN), text.try_cast("bigint"))
-        helpers[f"w{i}"] = F.when(F.length(text) <= 9, F.lower(text))
-    values = values.withColumns(helpers) if helpers else values
-    shapes = values.select(
-        *[
-            F.when(
-                F.col(f"v{i}").isNotNull(),
-                _text_shapes(F.col(f"v{i}"), F.col(f"n{i}"), F.col(f"w{i}"))
-                if i in textual
-                else _typed_shapes(F.col(f"v{i}"), f.dataType),
-            ).alias(f"s{i}")
-            for i, f in enumerate(fields)
-        ]
+    """One row per column of ``df``: name, non-null and null counts, shape bit sets.
+
+    Cells are unpivoted inside the scan's task, so one small expression serves any number
+    of columns; each task then hands on one row per column.
+    """
+    text, number, word = F.col("text"), F.col("number"), F.col("word")
+    shapes = (
+        F.when(F.col("kind") == "text", _text_shapes(text, number, word))
+        .when(F.col("kind") == "double", _double_shapes(text.cast("double")))
+        .when(F.col("kind") == "time", F.lit(TEMPORAL_SHAPE | TIMESTAMP | TIMESTAMP_OR_EPOCH))
+        .when(F.col("kind") == "bytes", F.lit(BYTES))
+        .otherwise(F.lit(0))
+    )
+    # Staged projections, so that no intermediate value is computed twice. A cast that
+    # fails is slow, so only digits get that far.
+    cells = _long_form(df).select("name", "kind", K.strip(F.col("value")).alias("text"))
+    cells = cells.withColumns(
+        {
+            "number": F.when(text.rlike(K.INTEGER_PATTERN), text.try_cast("bigint")),
+            "word": F.when(F.length(text) <= 9, F.lower(text)),
+        }
+    )
+    judged = cells.select("name", F.when(text.isNotNull(), shapes).alias("shapes"))
+    return judged.groupBy("name").agg(
+        F.count("shapes").alias("non_null"),
+        F.count_if(F.col("shapes").isNull()).alias("nulls"),
+        F.coalesce(F.bit_and("shapes"), F.lit(0)).alias("every"),
+        F.coalesce(F.bit_or("shapes"), F.lit(0)).alias("some"),
     )
-    aggregates = []
-    for i in range(len(fields)):
-        bits = F.col(f"s{i}")
-        aggregates += [
-            F.count(bits).alias(f"n{i}"),
-            F.bit_and(bits).alias(f"every{i}"),
-            F.bit_or(bits).alias(f"some{i}"),
-        ]
-    summary = shapes.agg(F.count("*").alias("total"), *aggregates)
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("name"),
-            F.col(f"n{i}").alias("non_null"),
-            (F.col("total") - F.col(f"n{i}")).alias("nulls"),
-            F.coalesce(F.col(f"every{i}"), F.lit(0)).alias("every"),
-            F.coalesce(F.col(f"some{i}"), F.lit(0)).alias("some"),
-        )
-        for i, f in enumerate(fields)
-    ]
-    return summary.select(F.inline(F.array(*rows)))
 
 
 def _all(bit: int, bits: str = "every") -> Column:
@@ -296,10 +273,11 @@ def type_frame(df: DataFrame) -> DataFrame:
 
 def infer_columns(df: DataFrame) -> list[InferredColumn]:
     """Run the scan; what reaches the driver is one small row per column."""
-    return [
-        InferredColumn(r["column_name"], r["target_type"], r["contains_nulls"])
+    found = {
+        r["column_name"]: InferredColumn(r["column_name"], r["target_type"], r["contains_nulls"])
         for r in type_frame(df).collect()
-    ]
+    }
+    return [found.get(name, InferredColumn(name, "TEXT", False)) for name in df.columns]
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -320,7 +298,5 @@ def refined_frame(
 
 
 def refine_types(df: DataFrame, declared: dict[str, str], sample_rows: int = 64) -> dict[str, str]:
-    return {
-        r["column_name"]: r["target_type"]
-        for r in refined_frame(df, declared, sample_rows).collect()
-    }
+    found = refined_frame(df, declared, sample_rows).collect()
+    return {**declared, **{r["column_name"]: r["target_type"] for r in found}}

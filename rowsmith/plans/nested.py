@@ -186,7 +186,7 @@ def xml_documents(t: Tables) -> tuple[DataFrame, T.StructType]:
     "xml_flatten",
     "SELECT doc_id, lang AS attr_lang, CAST(n_chars AS VARCHAR) AS meta__attr_size,"
     " source AS meta__source, coalesce(len(list_filter(string_split(text, chr(10)),"
-    " x -> trim(x) <> '')), 0)::INTEGER AS lines FROM documents",
+    " lambda x: trim(x) <> '')), 0)::INTEGER AS lines FROM documents",
 )
 def xml_flatten(t: Tables) -> DataFrame:
     rows, _ = xml_documents(t)

@@ -196,7 +196,7 @@ def infer_decimal(t: Tables) -> DataFrame:
 @query(
     "infer_double",
     "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST('inf' AS DOUBLE) WHEN 1 THEN value"
-    " WHEN 2 THEN value * 1000 ELSE NULL END AS v, 'FLOAT64' AS target_type FROM events",
+    " WHEN 2 THEN CAST(CAST(value AS DECIMAL(18,2)) * 1000 AS DOUBLE) ELSE NULL END AS v, 'FLOAT64' AS target_type FROM events",
 )
 def infer_double(t: Tables) -> DataFrame:
     kind = F.col("event_id") % 4
