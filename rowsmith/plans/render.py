@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import sqlite3
 import zipfile
 
 import pandas as pd
@@ -80,3 +81,88 @@ def _gzip_all(contents: pd.Series) -> pd.Series:
 
 def gzip_bytes(content: Column) -> Column:
     return pandas_udf(_gzip_all, "binary")(content)
+
+
+# A minimal workbook: fixed parts of the file format around the rendered cells.
+WORKBOOK_PARTS = {
+    "xl/workbook.xml": (
+        '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        ' xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
+        '<sheet name="Data" sheetId="1" r:id="rId1"/><sheet name="Summary" sheetId="2" r:id="rId2"/>'
+        "</sheets></workbook>"
+    ),
+    "xl/_rels/workbook.xml.rels": (
+        '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>'
+        '<Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>'
+    ),
+    "xl/styles.xml": (
+        '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+    ),
+}
+SHEET = (
+    '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+    "<sheetData>{}</sheetData></worksheet>"
+)
+
+
+def _pack_workbooks(data: pd.Series, summary: pd.Series) -> pd.Series:
+    packed = []
+    for sheet_1, sheet_2 in zip(data, summary):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, part in WORKBOOK_PARTS.items():
+                archive.writestr(name, part)
+            archive.writestr("xl/worksheets/sheet1.xml", SHEET.format(sheet_1))
+            archive.writestr("xl/worksheets/sheet2.xml", SHEET.format(sheet_2))
+        packed.append(buffer.getvalue())
+    return pd.Series(packed)
+
+
+def workbook_bytes(data_rows: Column, summary_rows: Column) -> Column:
+    return pandas_udf(_pack_workbooks, "binary")(data_rows, summary_rows)
+
+
+def sheet_row(*cells: Column) -> Column:
+    return F.concat(F.lit("<row>"), *cells, F.lit("</row>"))
+
+
+def text_cell(value: Column) -> Column:
+    return F.concat(F.lit('<c t="inlineStr"><is><t>'), xml_text(value), F.lit("</t></is></c>"))
+
+
+def number_cell(value: Column, style: int = 0) -> Column:
+    return F.concat(F.lit(f'<c s="{style}"><v>'), value.cast("string"), F.lit("</v></c>"))
+
+
+def bool_cell(value: Column) -> Column:
+    return F.concat(F.lit('<c t="b"><v>'), value.cast("int").cast("string"), F.lit("</v></c>"))
+
+
+def formula_cell(value: Column) -> Column:
+    return F.concat(F.lit("<c><f>"), xml_text(value), F.lit("</f><v>0</v></c>"))
+
+
+def _pack_sqlite(*columns: pd.Series) -> pd.Series:
+    packed = []
+    for values in zip(*columns):
+        connection = sqlite3.connect(":memory:")
+        names = ", ".join(f'"{c.name}"' for c in columns)
+        connection.execute(f"CREATE TABLE docs ({names})")
+        marks = ", ".join("?" for _ in columns)
+        plain = [v.item() if hasattr(v, "item") else v for v in values]
+        connection.execute(f"INSERT INTO docs VALUES ({marks})", plain)
+        connection.commit()
+        packed.append(connection.serialize())
+        connection.close()
+    return pd.Series(packed)
+
+
+def sqlite_bytes(*columns: str) -> Column:
+    """A SQLite file with one row in a table ``docs``, per input row."""
+
+    def pack(frame: pd.DataFrame) -> pd.Series:
+        return _pack_sqlite(*[frame[c] for c in columns])
+
+    return pandas_udf(pack, "binary")(F.struct(*columns))
