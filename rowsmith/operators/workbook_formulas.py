@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.sources.workbook import cell_text, sheet_bounds
+from rowsmith.sources.workbook import cell_text
 
 # The aggregates a summary sheet may consist of.
 SUMMARY_FUNCTIONS = ("COUNTIF", "COUNTA", "SUM", "SUMIF", "SUMPRODUCT")
@@ -98,24 +98,16 @@ def summary_candidates(cells: DataFrame) -> DataFrame:
     A summary sheet has a header, a formula in every filled data row, and no formula
     other than the five aggregates.
     """
-    bounds = sheet_bounds(cells)
-    data = cells.join(bounds, ["book", "sheet"])
-    below = F.col("row_no") > F.col("first_row")
     is_formula = F.col("kind") == "formula"
     text = cell_text(F.col("kind"), F.col("value"), F.col("formula"))
-    rows = (
-        data.filter(below)
-        .groupBy("book", "sheet", "row_no")
-        .agg(
-            F.count_if(is_formula).alias("formulas"),
-            F.count_if(is_formula & ~F.col("formula").rlike(SUMMARY_FORMULA)).alias("others"),
-            F.max(F.length(F.trim(text)) > 0).alias("filled"),
-        )
-        .filter("filled")
+    rows = cells.groupBy("book", "sheet", "row_no").agg(
+        F.bool_or(F.col("row_no") > F.col("first_row")).alias("below_header"),
+        F.count_if(is_formula).alias("formulas"),
+        F.count_if(is_formula & ~F.col("formula").rlike(SUMMARY_FORMULA)).alias("others"),
+        F.bool_or(F.length(F.trim(text)) > 0).alias("filled"),
     )
-    judged = rows.groupBy("book", "sheet").agg(
-        F.bool_and((F.col("formulas") > 0) & (F.col("others") == 0)).alias("is_summary")
-    )
-    return bounds.join(judged, ["book", "sheet"], "left").select(
-        "book", "sheet", F.coalesce("is_summary", F.lit(False)).alias("is_summary")
+    aggregates_only = (F.col("formulas") > 0) & (F.col("others") == 0)
+    judged = F.bool_and(F.when(F.col("below_header") & F.col("filled"), aggregates_only))
+    return rows.groupBy("book", "sheet").agg(
+        F.coalesce(judged, F.lit(False)).alias("is_summary")
     )

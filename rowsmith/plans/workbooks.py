@@ -13,50 +13,54 @@ from rowsmith.plans.relational import money
 from rowsmith.sources import workbook
 
 
+BOOK_ROWS = 1000
+
+
 def order_books(t: Tables) -> DataFrame:
-    """One workbook per order: a data sheet of two rows and a summary sheet.
+    """Workbooks of a thousand orders each; the order key is unique, so none is larger.
 
-    Data: order, price, day, done, half (a formula). Summary: a label and an aggregate;
-    every fourth book's summary holds a formula that is not an aggregate.
+    Data: order, price, day, done, half (a formula), priority. Summary: a label and an
+    aggregate per order; every fourth book also holds a formula that is not an aggregate.
     """
-    day = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
     header = render.sheet_row(
         *[render.text_cell(F.lit(c)) for c in ("order", "price", "day", "done", "half", "half")]
     )
-
-    def data_row(no: int):
-        return render.sheet_row(
-            render.number_cell(F.col("o_orderkey") * 2 + no),
-            render.number_cell(F.col("o_totalprice")),
-            render.number_cell(day, style=1),
-            render.bool_cell(F.col("o_orderstatus") == "F"),
-            render.formula_cell(F.lit(f"B{no + 2}/2")),
-            render.text_cell(F.col("o_orderpriority")),
-        )
-
-    aggregate = F.when(F.col("o_orderkey") % 4 == 0, F.lit("B2+B3")).otherwise(
+    day = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
+    data_row = render.sheet_row(
+        render.number_cell(F.col("o_orderkey")),
+        render.number_cell(F.col("o_totalprice")),
+        render.number_cell(day, style=1),
+        render.bool_cell(F.col("o_orderstatus") == "F"),
+        render.formula_cell(F.concat(F.lit("B"), F.col("o_orderkey").cast("string"), F.lit("/2"))),
+        render.text_cell(F.col("o_orderpriority")),
+    )
+    aggregate = F.when(F.col("book") % 4 == 0, F.lit("B2+B3")).otherwise(
         F.lit("COUNTIF(Data!D2:D3,TRUE)")
     )
     summary_head = render.sheet_row(render.text_cell(F.lit("label")), render.text_cell(F.lit("n")))
-    summary = F.concat(
-        summary_head,
-        render.sheet_row(render.text_cell(F.col("o_orderpriority")), render.formula_cell(aggregate)),
+    summary_row = render.sheet_row(
+        render.text_cell(F.col("o_orderpriority")), render.formula_cell(aggregate)
     )
-    data = F.concat(header, data_row(0), data_row(1))
-    return t.orders.select(
-        F.concat(F.lit("book_"), F.col("o_orderkey").cast("string")).alias("path"),
-        render.workbook_bytes(data, summary).alias("content"),
+    rows = t.orders.withColumn("book", F.floor(F.col("o_orderkey") / BOOK_ROWS)).select(
+        "book", "o_orderkey", data_row.alias("data"), summary_row.alias("summary")
+    )
+    books = rows.groupBy("book").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "data", "summary"))).alias("rows")
+    )
+    return books.select(
+        F.concat(F.lit("book_"), F.col("book").cast("string")).alias("path"),
+        render.workbook_bytes(
+            F.concat(header, F.array_join("rows.data", "")),
+            F.concat(summary_head, F.array_join("rows.summary", "")),
+        ).alias("content"),
     )
-
-
-BOTH_ROWS = "orders CROSS JOIN (VALUES (0), (1)) r(i)"
 
 
 @query(
     "workbook_sheets",
-    'SELECT 2 * o_orderkey + i AS "order", o_totalprice AS price, o_orderdate AS day,'
-    " o_orderstatus = 'F' AS done, '=B' || (i + 2) || '/2' AS half, o_orderpriority AS half_2"
-    f" FROM {BOTH_ROWS}",
+    'SELECT o_orderkey AS "order", o_totalprice AS price, o_orderdate AS day,'
+    " o_orderstatus = 'F' AS done, '=B' || o_orderkey || '/2' AS half, o_orderpriority AS half_2"
+    " FROM orders",
 )
 def workbook_sheets(t: Tables) -> DataFrame:
     cells = workbook.workbook_cells(order_books(t))
@@ -69,14 +73,13 @@ def workbook_sheets(t: Tables) -> DataFrame:
 
 @query(
     "workbook_formula_text",
-    "SELECT 'book_' || o_orderkey AS book, i + 2 AS row_no, '=B' || (i + 2) || '/2' AS text"
-    f" FROM {BOTH_ROWS}",
+    "SELECT 'book_' || (o_orderkey // 1000) AS book, '=B' || o_orderkey || '/2' AS text FROM orders",
 )
 def workbook_formula_text(t: Tables) -> DataFrame:
     cells = workbook.workbook_cells(order_books(t))
     text = workbook.cell_text(F.col("kind"), F.col("value"), F.col("formula"))
     formulas = cells.filter("sheet = 'Data' AND kind = 'formula'")
-    return formulas.select("book", "row_no", text.alias("text"))
+    return formulas.select("book", text.alias("text"))
 
 
 @query(
@@ -92,8 +95,9 @@ def workbook_types(t: Tables) -> DataFrame:
 
 @query(
     "wb_summary_candidates",
-    "SELECT 'book_' || o_orderkey AS book, 'Data' AS sheet, false AS is_summary FROM orders"
-    " UNION ALL SELECT 'book_' || o_orderkey, 'Summary', o_orderkey % 4 <> 0 FROM orders",
+    "SELECT DISTINCT 'book_' || (o_orderkey // 1000) AS book, 'Data' AS sheet, false AS is_summary"
+    " FROM orders UNION ALL SELECT DISTINCT 'book_' || (o_orderkey // 1000), 'Summary',"
+    " (o_orderkey // 1000) % 4 <> 0 FROM orders",
 )
 def wb_summary_candidates(t: Tables) -> DataFrame:
     return X.summary_candidates(workbook.workbook_cells(order_books(t)))

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL_SCHEMA = (
-    "book string, sheet string, row_no int, col_no int, kind string, value string, formula string"
+    "book string, sheet string, first_row int, row_no int, col_no int, kind string,"
+    " value string, formula string"
 )
-CELL_COLUMNS = ["book", "sheet", "row_no", "col_no", "kind", "value", "formula"]
+CELL_COLUMNS = ["book", "sheet", "first_row", "row_no", "col_no", "kind", "value", "formula"]
 CELLS_PER_BATCH = 50_000
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -122,6 +123,7 @@ def _book_cells(book: str, content: bytes) -> Iterator[tuple]:
         for sheet, path in _sheet_parts(archive):
             with archive.open(path) as part:
                 row_no = 0
+                first_row = None
                 for event, element in ElementTree.iterparse(part, events=("start", "end")):
                     if event == "start" and element.tag == f"{MAIN}row":
                         row_no = int(element.get("r", row_no + 1))
@@ -129,27 +131,39 @@ def _book_cells(book: str, content: bytes) -> Iterator[tuple]:
                     elif event == "end" and element.tag == f"{MAIN}c":
                         col_no = _column_number(element.get("r", "")) or col_no + 1
                         cell = _cell(element, strings, formats)
-                        if cell is not None:
-                            yield (book, sheet, row_no, col_no, *cell)
+                        if cell is None:
+                            continue
+                        if first_row is None and (cell[2] or cell[1]).strip():
+                            first_row = row_no
+                        yield (book, sheet, first_row, row_no, col_no, *cell)
                     elif event == "end" and element.tag == f"{MAIN}row":
                         element.clear()
 
 
 def _scan_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = []
     for batch in batches:
         for book, content in zip(batch["path"], batch["content"]):
-            rows = []
             for row in _book_cells(book, content):
                 rows.append(row)
                 if len(rows) == CELLS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=CELL_COLUMNS)
+                    yield _cell_frame(rows)
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=CELL_COLUMNS)
+    if rows:
+        yield _cell_frame(rows)
+
+
+def _cell_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=CELL_COLUMNS)
+    return frame.astype({"first_row": "Int32"})
 
 
 def workbook_cells(books: DataFrame) -> DataFrame:
-    """``book, sheet, row_no, col_no, kind, value, formula`` from (path, content) rows."""
+    """The cells of (path, content) rows, see ``CELL_SCHEMA``.
+
+    ``first_row`` is the row that opens the sheet: the first with a cell that is not blank.
+    Cells above it have none.
+    """
     return books.select("path", "content").mapInPandas(_scan_books, CELL_SCHEMA)
 
 
@@ -158,16 +172,6 @@ def cell_text(kind: Column, value: Column, formula: Column) -> Column:
     return F.when(kind == "formula", formula).otherwise(value)
 
 
-def sheet_bounds(cells: DataFrame) -> DataFrame:
-    """``book, sheet, first_row, column_count``: blank text cells do not open a sheet."""
-    text = cell_text(F.col("kind"), F.col("value"), F.col("formula"))
-    filled = F.length(F.trim(text)) > 0
-    return cells.groupBy("book", "sheet").agg(
-        F.min(F.when(filled, F.col("row_no"))).alias("first_row"),
-        F.max("col_no").alias("column_count"),
-    )
-
-
 def unique_headers(cells: Sequence[str | None], width: int) -> list[str]:
     """Header names of a sheet: blanks become ``column_N``, the n-th repeat gets ``_n``."""
     names, seen = [], {}
@@ -208,28 +212,21 @@ def type_of_families(families: Column) -> Column:
 
 
 def data_cells(cells: DataFrame, header: bool = True) -> DataFrame:
-    """Cells below the header row. The bounds hold one row per sheet."""
-    bounds = sheet_bounds(cells)
-    first = F.col("first_row") + (1 if header else 0)
-    return cells.join(bounds, ["book", "sheet"]).filter(F.col("row_no") >= first)
+    """Cells below the header row, or from the first row on without a header."""
+    return cells.filter(F.col("row_no") >= F.col("first_row") + (1 if header else 0))
 
 
-def sheet_header(cells: DataFrame, sheet: str) -> list[str]:
-    """Column names of a sheet, from the first book that has it; a bounded read."""
+def sheet_header(cells: DataFrame, sheet: str, header: bool = True) -> list[str]:
+    """Column names of a sheet; those of the first book that has it. One bounded row."""
+    text = cell_text(F.col("kind"), F.col("value"), F.col("formula"))
     own = cells.filter(F.col("sheet") == sheet)
-    bounds = sheet_bounds(own).agg(
-        F.min_by("first_row", "book").alias("row"),
-        F.min("book").alias("book"),
-        F.max("column_count").alias("width"),
-    ).first()
-    head = own.filter((F.col("book") == bounds["book"]) & (F.col("row_no") == bounds["row"]))
-    texts = {
-        r["col_no"]: r["text"]
-        for r in head.select(
-            "col_no", cell_text(F.col("kind"), F.col("value"), F.col("formula")).alias("text")
-        ).collect()
-    }
-    return unique_headers([texts.get(i + 1) for i in range(bounds["width"])], bounds["width"])
+    heads = own.filter("row_no = first_row").groupBy("book").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_no", text))).alias("texts")
+    )
+    width = own.agg(F.max("col_no")).first()[0] or 0
+    first = heads.agg(F.min_by("texts", "book")).first()[0] or {}
+    texts = first if header else {}
+    return unique_headers([texts.get(i + 1) for i in range(width)], width)
 
 
 def sheet_rows(
