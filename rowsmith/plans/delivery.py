@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.operators import sinks, statistics
 from rowsmith.plans.ingest import typed
+from rowsmith.plans.render import sqlite_files
 from rowsmith.plans.registry import Tables, query
 from rowsmith.session import scratch_folder
 from rowsmith.sources import sqlite_snapshot
@@ -125,12 +126,8 @@ def analyze_distinct(t: Tables) -> DataFrame:
     "SELECT doc_id, lang, n_chars, text FROM documents",
 )
 def sqlite_snapshot_rows(t: Tables) -> DataFrame:
-    """Each document becomes a SQLite file of its own in a column, which is then scanned."""
-    from rowsmith.plans.render import sqlite_bytes
-
-    files = t.documents.select(
-        F.col("doc_id").cast("string").alias("path"),
-        sqlite_bytes("doc_id", "lang", "n_chars", "text").alias("content"),
-    )
+    """Documents packed into SQLite files in a column, which are then scanned."""
+    columns = ["doc_id", "lang", "n_chars", "text"]
+    files = sqlite_files(t.documents.select(*columns), "doc_id")
     schema = "doc_id bigint, lang string, n_chars bigint, text string"
     return sqlite_snapshot.rows_from_bytes(files, "docs", schema)

@@ -367,17 +367,17 @@ def dump_literals(t: Tables) -> DataFrame:
         F.lit("now()"),
     ]
     decoded = t.orders.select(
-        "o_orderkey", *[sql_dump.decode_literal(v).alias(f"v{i}") for i, v in enumerate(literals)]
+        "o_orderkey", *[sql_dump.literal_text(v).alias(f"v{i}") for i, v in enumerate(literals)]
     )
     return decoded.select(
         "o_orderkey",
-        F.col("v0.text").alias("escaped"),
-        F.col("v1.text").alias("bytes"),
-        F.col("v2.text").cast("bigint").alias("bits"),
-        F.col("v3.text").cast("double").alias("price"),
-        F.col("v4.text").cast("boolean").alias("done"),
-        F.col("v5.text").alias("nothing"),
-        F.col("v6.text").alias("raw"),
+        F.col("v0").alias("escaped"),
+        F.col("v1").alias("bytes"),
+        F.col("v2").cast("bigint").alias("bits"),
+        F.col("v3").cast("double").alias("price"),
+        F.col("v4").cast("boolean").alias("done"),
+        F.col("v5").alias("nothing"),
+        F.col("v6").alias("raw"),
     )
 
 

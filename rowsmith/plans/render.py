@@ -144,25 +144,20 @@ def formula_cell(value: Column) -> Column:
     return F.concat(F.lit("<c><f>"), xml_text(value), F.lit("</f><v>0</v></c>"))
 
 
-def _pack_sqlite(*columns: pd.Series) -> pd.Series:
-    packed = []
-    for values in zip(*columns):
+def sqlite_files(df: DataFrame, key: str, rows_per_file: int = 1000) -> DataFrame:
+    """``path, content``: SQLite files with a table ``docs``; a unique integer key bounds them."""
+    names = df.columns
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
         connection = sqlite3.connect(":memory:")
-        names = ", ".join(f'"{c.name}"' for c in columns)
-        connection.execute(f"CREATE TABLE docs ({names})")
-        marks = ", ".join("?" for _ in columns)
-        plain = [v.item() if hasattr(v, "item") else v for v in values]
-        connection.execute(f"INSERT INTO docs VALUES ({marks})", plain)
+        connection.execute("CREATE TABLE docs ({})".format(", ".join(names)))
+        marks = ", ".join("?" for _ in names)
+        rows = frame[names].astype(object).itertuples(index=False, name=None)
+        connection.executemany(f"INSERT INTO docs VALUES ({marks})", rows)
         connection.commit()
-        packed.append(connection.serialize())
+        content = connection.serialize()
         connection.close()
-    return pd.Series(packed)
-
-
-def sqlite_bytes(*columns: str) -> Column:
-    """A SQLite file with one row in a table ``docs``, per input row."""
-
-    def pack(frame: pd.DataFrame) -> pd.Series:
-        return _pack_sqlite(*[frame[c] for c in columns])
+        return pd.DataFrame({"path": [str(frame["file_"].iloc[0])], "content": [content]})
 
-    return pandas_udf(pack, "binary")(F.struct(*columns))
+    chunked = df.withColumn("file_", F.floor(F.col(key) / rows_per_file))
+    return chunked.groupBy("file_").applyInPandas(pack, "path string, content binary")

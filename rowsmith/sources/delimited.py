@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions.names import distinct_names, header_names
 from rowsmith.functions.tokens import blank_to_null, strip
-from rowsmith.sources.text import join_quoted_lines, read_lines
+from rowsmith.session import checkpointed
+from rowsmith.sources.text import (
+    decode_lines,
+    join_quoted_lines,
+    lines_below_header,
+    probe_lines,
+    raw_lines,
+)
 
 # The delimiters that sniffing considers, in order of preference.
 SNIFFED_DELIMITERS = (",", "\t", ";", "|")
@@ -174,35 +181,50 @@ def read_delimited(
 ) -> DelimitedTable:
     """Read delimited files of one layout into string columns.
 
-    An empty delimiter is sniffed. The first non-blank record of each file is its header.
+    An empty delimiter is sniffed. The first record of each file is its header. Files
+    split as long as no quoted field holds a line end; where one does, the lines are
+    pinned by a checkpoint and glued by position.
     """
     options = options or DelimitedOptions()
-    lines = read_lines(spark, path, options.encoding)
+    lines = raw_lines(spark, path)
+    probe = probe_lines(lines, options.encoding, options.quote, options.escape)
     if not options.delimiter:
-        found = sniff_delimiter(
-            lines.withColumn("order_", F.struct("block", "pos")), "file", "order_"
-        )
+        ordered = lines.withColumn("order_", F.struct("block", "pos"))
+        found = sniff_delimiter(ordered, "file", "order_")
         best = found.groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").first()
         options = replace(options, delimiter=best["delimiter"] if best else ",")
-    records = join_quoted_lines(lines, options.quote, options.escape)
-    rows = records.withColumn("fields", split_fields(F.col("line"), options)).filter(
-        has_content(F.col("fields"))
-    )
-    width = table_width(rows)
+    fields = split_fields(F.col("line"), options)
+    head: list[str] | None = None
+    if probe.spans_lines:
+        pinned = checkpointed(decode_lines(lines, options.encoding, probe.latin1_files))
+        records = join_quoted_lines(pinned, options.quote, options.escape)
+        rows = records.withColumn("fields", fields).filter(has_content(F.col("fields")))
+        if options.header:
+            rows, head = _without_headers(rows)
+    else:
+        if options.header:
+            header, lines = lines_below_header(spark, path)
+            head_row = spark.range(1).select(F.lit(header).alias("line")).select(fields)
+            head = head_row.first()[0]
+        decoded = decode_lines(lines, options.encoding, probe.latin1_files)
+        rows = decoded.withColumn("fields", fields).filter(has_content(F.col("fields")))
+    width = max(table_width(rows), len(head or ()))
     if width == 0:
         raise ValueError(f"no non-empty rows in {path}")
-    names = [f"column_{i}" for i in range(1, width + 1)]
-    if options.header:
-        first = rows.groupBy("file").agg(
-            F.min_by("fields", F.struct("block", "pos")).alias("header"),
-            F.min(F.struct("block", "pos")).alias("at"),
-        )
-        names = header_names(first.orderBy("file").first()["header"], width)
-        heads = first.select("file", F.col("at.block").alias("block"), F.col("at.pos").alias("pos"))
-        rows = rows.join(heads, ["file", "block", "pos"], "left_anti")
-    names = distinct_names(names)
+    names = distinct_names(header_names(head or (), width))
     skipped = 0
     if options.malformed == "skip":
         skipped = rows.filter(F.size("fields") != width).count()
     table = fields_to_columns(rows, names, options.malformed)
     return DelimitedTable(table, names, options.delimiter, skipped)
+
+
+def _without_headers(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows without the first record of each file, and the first file's header."""
+    at = F.struct("block", "pos")
+    first = checkpointed(
+        rows.groupBy("file").agg(F.min_by("fields", at).alias("header"), F.min(at).alias("at"))
+    )
+    heads = first.select("file", "at.block", "at.pos")
+    header = first.orderBy("file").select("header").first()[0]
+    return rows.join(heads, ["file", "block", "pos"], "left_anti"), header

@@ -38,7 +38,7 @@ ITEM = rf",((?:[^,()'\"`]++|{QUOTED}|{PARENTHESISED})*+)"
 CREATE_HEAD = rf"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{QUALIFIED}\s*"
 INSERT_HEAD = (
     rf"(?is)^INSERT\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\s+)*INTO\s+{QUALIFIED}\s*"
-    rf"({PARENTHESISED})?\s*VALUES\s*(.*)$"
+    rf"({PARENTHESISED})?\s*VALUES"
 )
 # The words that end a declared type.
 CONSTRAINT_WORDS = (
@@ -87,43 +87,46 @@ def _inside(parenthesised: Column) -> Column:
     return F.substring(parenthesised, F.lit(2), F.length(parenthesised) - 2)
 
 
+KIND_LENGTH = 64
+
+
 def statement_kind(statement: Column) -> Column:
-    upper = F.upper(statement)
-    kind = F.when(upper.rlike(CREATE_HEAD), "CREATE TABLE").when(
-        upper.startswith("INSERT"), "INSERT"
+    start = F.upper(F.substring(statement, 1, KIND_LENGTH))
+    kind = F.when(start.startswith("INSERT"), "INSERT").when(
+        start.rlike(r"^CREATE\s+(TEMPORARY\s+)?TABLE\s"), "CREATE TABLE"
     )
     for words in TWO_WORD_KINDS:
-        kind = kind.when(upper.startswith(words), words)
-    return kind.otherwise(F.substring_index(upper, " ", 1))
+        kind = kind.when(start.startswith(words), words)
+    return kind.otherwise(F.upper(F.substring_index(statement, " ", 1)))
 
 
 def classify_statements(statements: DataFrame, statement: str = "statement") -> DataFrame:
-    """Add ``kind``, ``table_name`` and, where the statement is skipped, ``skip_reason``.
+    """Add ``kind``, ``head``, ``table_name`` and, where a statement is skipped, ``skip_reason``.
 
-    Expects an ``ordinal`` column. An INSERT needs VALUES, and a column list as wide as
-    its rows; whether its table was created is decided by :func:`dump_rows`.
+    The head of an INSERT reaches up to VALUES. Without VALUES it is skipped; whether its
+    table was created, and its columns match its rows, is decided with the rows.
     """
-    text = F.col(statement)
-    classified = statements.withColumn("kind", statement_kind(text))
-    insert_name = _unquote(F.regexp_extract(text, INSERT_HEAD, 1))
-    create_name = _unquote(F.regexp_extract(text, CREATE_HEAD, 1))
+    text, kind = F.col(statement), F.col("kind")
+    # Staged, so that each pattern runs once per statement and only on its own kind.
+    classified = statements.withColumn("kind", statement_kind(text)).withColumn(
+        "head",
+        F.when(kind == "INSERT", F.regexp_extract(text, INSERT_HEAD, 0)).when(
+            kind == "CREATE TABLE", F.regexp_extract(text, CREATE_HEAD, 0)
+        ),
+    )
     named = classified.withColumn(
         "table_name",
-        F.when(F.col("kind") == "INSERT", F.nullif(insert_name, F.lit(""))).when(
-            F.col("kind") == "CREATE TABLE", create_name
+        _unquote(
+            F.when(kind == "INSERT", F.regexp_extract("head", INSERT_HEAD, 1)).when(
+                kind == "CREATE TABLE", F.regexp_extract("head", CREATE_HEAD, 1)
+            )
         ),
     )
-    reason = (
-        F.when(F.col("kind") == "CREATE TABLE", None)
-        .when(
-            (F.col("kind") == "INSERT") & F.col("table_name").isNull(),
-            F.lit("Only INSERT ... VALUES statements are supported."),
-        )
-        .when(F.col("kind") == "INSERT", None)
-        .otherwise(
-            F.concat(F.lit("Skipping unsupported "), "kind", F.lit(" statement."))
-        )
-    )
+    supported = kind.isin("INSERT", "CREATE TABLE")
+    reason = F.when(
+        kind.isin("INSERT") & (F.col("head") == ""),
+        F.lit("Only INSERT ... VALUES statements are supported."),
+    ).when(~supported, F.concat(F.lit("Skipping unsupported "), kind, F.lit(" statement.")))
     return named.withColumn("skip_reason", reason)
 
 
@@ -186,31 +189,39 @@ def dump_columns(statements: DataFrame, statement: str = "statement") -> DataFra
     )
 
 
-def decode_literal(token: Column) -> Column:
-    """``struct<kind, text>`` of one SQL literal; bytes are hex text, NULL has no text."""
-    text = _trim(token)
-    upper = F.upper(text)
-    bits = F.conv(F.regexp_extract(text, "^[bB]'([01]*)'$", 1), 2, 10)
-    hexed = F.coalesce(
-        F.nullif(F.regexp_extract(text, "^0[xX]([0-9a-fA-F]*)$", 1), F.lit("")),
-        F.regexp_extract(text, "^[xX]'([0-9a-fA-F]*)'$", 1),
-    )
-    hexed = F.when(F.length(hexed) % 2 == 1, F.concat(F.lit("0"), hexed)).otherwise(hexed)
-    quoted = text.rlike(r"(?s)^('.*'|\".*\")$") & (F.length(text) >= 2)
+def literal_kind(text: Column) -> Column:
+    """null, bool, bytes, int, string, double or raw, for one stripped SQL literal."""
+    upper, first = F.upper(text), F.substring(text, 1, 1)
     return (
-        F.when((text == "") | (upper == "NULL"), _literal("null", F.lit(None).cast("string")))
-        .when(upper.isin("TRUE", "FALSE"), _literal("bool", F.lower(text)))
-        .when(text.rlike("^(0[xX][0-9a-fA-F]*|[xX]'[0-9a-fA-F]*')$"), _literal("bytes", hexed))
-        .when(text.rlike("^[bB]'[01]*'$"), _literal("int", bits))
-        .when(quoted, _literal("string", _decode_quoted(text)))
-        .when(text.rlike(r"^[+-]?\d{1,19}$"), _literal("int", text))
-        .when(text.rlike(r"^[+-]?(\.\d+|\d+(\.\d*)?)([eE][+-]?\d+)?$"), _literal("double", text))
-        .otherwise(_literal("raw", text))
+        F.when(first.isin("'", '"') & text.endswith(first) & (F.length(text) >= 2), "string")
+        .when((text == "") | (upper == "NULL"), "null")
+        .when(upper.isin("TRUE", "FALSE"), "bool")
+        .when(text.rlike(HEX_LITERAL), "bytes")
+        .when(text.rlike(r"^([bB]'[01]*'|[+-]?\d{1,19})$"), "int")
+        .when(text.rlike(r"^[+-]?(\.\d+|\d+(\.\d*)?)([eE][+-]?\d+)?$"), "double")
+        .otherwise("raw")
     )
 
 
-def _literal(kind: str, text: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+HEX_LITERAL = "^(0[xX][0-9a-fA-F]*|[xX]'[0-9a-fA-F]*')$"
+
+
+def literal_text(text: Column) -> Column:
+    """The value of one stripped SQL literal as text: NULL for NULL, hex digits for bytes."""
+    first = F.substring(text, 1, 1)
+    quoted = first.isin("'", '"') & text.endswith(first) & (F.length(text) >= 2)
+    hexed = F.regexp_replace(text, "^0[xX]|^[xX]'|'$", "")
+    hexed = F.when(F.length(hexed) % 2 == 1, F.concat(F.lit("0"), hexed)).otherwise(hexed)
+    marked = F.when(text.rlike(HEX_LITERAL), hexed).when(
+        text.rlike("^[bB]'[01]*'$"), F.conv(F.regexp_replace(text, "[bB']", ""), 2, 10)
+    )
+    word = F.upper(text)
+    return (
+        F.when(quoted, _decode_quoted(text))
+        .when(first.isin("0", "x", "X", "b", "B"), F.coalesce(marked, text))
+        .when(word.isin("TRUE", "FALSE"), F.lower(text))
+        .when(~word.isin("", "NULL"), text)
+    )
 
 
 # What a letter after a backslash stands for; other characters are themselves.
@@ -218,71 +229,76 @@ ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 
 
 def _decode_quoted(token: Column) -> Column:
-    quote = F.substring(token, 1, 1)
-    body = _inside(token)
+    quote, body = F.substring(token, 1, 1), _inside(token)
     # A private-use mark stands for an escaped character until doubled quotes are resolved.
     mark = ""
-    escaped = F.regexp_replace(body, r"(?s)\\(.)", f"{mark}$1")
-    single = F.replace(escaped, F.concat(quote, quote), quote)
-    decoded = single
+    decoded = F.regexp_replace(body, r"(?s)\\(.)", f"{mark}$1")
+    decoded = F.replace(decoded, F.concat(quote, quote), quote)
     for letter, char in ESCAPES.items():
         decoded = F.replace(decoded, F.lit(mark + letter), F.lit(char))
     decoded = F.replace(decoded, F.lit(mark), F.lit(""))
-    return F.when(F.contains(body, F.lit("\\")), decoded).otherwise(
-        F.replace(body, F.concat(quote, quote), quote)
-    )
+    special = F.contains(body, F.lit("\\")) | F.contains(body, quote)
+    return F.when(special, decoded).otherwise(body)
 
 
 def insert_rows(statements: DataFrame, statement: str = "statement") -> DataFrame:
-    """``table_name, ordinal, row_no, columns, literals`` for every INSERT row tuple.
+    """``table_name, ordinal, row_no, columns, tokens`` for every INSERT row tuple.
 
-    ``columns`` is NULL without an explicit list. Tuples of one statement are exploded,
-    so a long statement does not stay one row.
+    ``columns`` is NULL without an explicit list; ``tokens`` are undecoded literals. A
+    statement without VALUES, or whose list does not match its row width, gives no rows.
+    Tuples are exploded, so a long statement does not stay one row.
     """
-    inserts = classify_statements(statements, statement).filter(
-        (F.col("kind") == "INSERT") & F.col("skip_reason").isNull()
-    )
     text = F.col(statement)
-    listed = F.regexp_extract(text, INSERT_HEAD, 2)
-    tuples = F.regexp_extract_all(
-        F.regexp_extract(text, INSERT_HEAD, 3), F.lit(rf"(?s){PARENTHESISED}"), 0
+    inserts = statements.filter(F.upper(F.substring(text, 1, 6)) == "INSERT")
+    heads = inserts.select(
+        "ordinal", text.alias("text_"), F.regexp_extract(text, INSERT_HEAD, 0).alias("head_")
     )
-    rows = inserts.select(
-        "table_name",
+    listed = F.regexp_extract("head_", INSERT_HEAD, 2)
+    named = heads.select(
         "ordinal",
+        "text_",
+        "head_",
+        _unquote(F.regexp_extract("head_", INSERT_HEAD, 1)).alias("table_name"),
         F.when(listed != "", F.transform(_items(_inside(listed)), _unquote)).alias("columns"),
-        F.posexplode(tuples).alias("row_no", "tuple"),
     )
-    return rows.select(
+    values = F.substring(F.col("text_"), F.length("head_") + 1, F.length("text_"))
+    split = named.select(
+        "ordinal",
+        "table_name",
+        "columns",
+        F.when(
+            F.col("head_") != "", F.regexp_extract_all(values, F.lit(rf"(?s){PARENTHESISED}"), 0)
+        ).alias("tuples"),
+    )
+    # The test sits inside the explode: as a filter it would run the patterns again.
+    fits = F.col("columns").isNull() | (
+        F.size("columns") == F.size(_items(_inside(F.get("tuples", F.lit(0)))))
+    )
+    rows = split.select(
         "table_name",
         "ordinal",
-        "row_no",
         "columns",
-        F.transform(_items(_inside(F.col("tuple"))), decode_literal).alias("literals"),
+        F.posexplode(F.when(fits, F.col("tuples"))).alias("row_no", "tuple"),
+    )
+    return rows.select(
+        "table_name", "ordinal", "row_no", "columns", _items(_inside(F.col("tuple"))).alias("tokens")
     )
 
 
 def dump_rows(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """The rows of one table as text columns, in declared column order.
 
-    An explicit column list is followed by name; columns it leaves out are NULL, and a
-    statement whose list does not match its row width is skipped.
+    An explicit column list is followed by name; columns it leaves out are NULL.
     """
-    own = rows.filter(F.col("table_name") == table).filter(
-        F.col("columns").isNull() | (F.size("columns") == F.size("literals"))
-    )
-    declared = F.array(*[F.lit(c) for c in columns])
-    names = F.coalesce(F.col("columns"), declared)
-    cells = [
-        F.get(
-            F.col("literals.text"), (F.array_position(names, F.lit(c)) - 1).cast("int")
-        ).alias(c)
-        for c in columns
-    ]
-    cells = [
-        F.when(F.array_contains(names, F.lit(c)), cell).alias(c) for c, cell in zip(columns, cells)
-    ]
-    return own.select(*cells)
+    own = rows.filter(F.col("table_name") == table)
+
+    def place(i: int, column: str) -> Column:
+        named = F.array_position("columns", F.lit(column)).cast("int") - 1
+        at = F.when(F.col("columns").isNull(), F.lit(i)).when(named >= 0, named)
+        return _trim(F.get("tokens", at)).alias(column)
+
+    tokens = own.select(*[place(i, c) for i, c in enumerate(columns)])
+    return tokens.select(*[literal_text(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def read_statements(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:

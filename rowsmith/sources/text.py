@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rowsmith.session import checkpointed
+
 
 def decode_bytes(content: Column, encoding: str = "auto") -> Column:
     """Bytes to text: ``utf8``, ``latin1``, or UTF-8 with Latin-1 where it is not valid."""
@@ -17,30 +21,72 @@ def decode_bytes(content: Column, encoding: str = "auto") -> Column:
     return F.when(F.is_valid_utf8(utf8), utf8).otherwise(latin1)
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+@dataclass(frozen=True)
+class LineProbe:
+    """What one scan of the raw lines found."""
+
+    latin1_files: DataFrame | None
+    spans_lines: bool
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, block, pos, line``: the lines of text files, in order of (block, pos).
 
-    The scan splits large files. A file with any line that is not valid UTF-8 is
-    Latin-1 as a whole, as an editor would read it.
+    The scan splits large files. Positions depend on the splits, so anything that joins
+    on them first pins the lines with a checkpoint.
     """
-    lines = spark.read.text(path).select(
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     )
-    if encoding == "utf8":
-        return lines
+
+
+def probe_lines(lines: DataFrame, encoding: str, quote: str, escape: str) -> LineProbe:
+    """Which files are not UTF-8, and whether any quoted section spans lines: one scan."""
+    odd = quote_marks(F.col("line"), quote, escape) % 2 == 1
+    per_file = lines.groupBy("file").agg(
+        F.bool_or(odd).alias("odd"), F.bool_and(F.is_valid_utf8("line")).alias("utf8")
+    )
+    found = per_file.agg(F.bool_or("odd").alias("odd"), F.bool_and("utf8").alias("utf8")).first()
+    not_utf8 = encoding == "auto" and found["utf8"] is False
+    files = checkpointed(per_file.filter(~F.col("utf8")).select("file")) if not_utf8 else None
+    return LineProbe(files, bool(found["odd"]))
+
+
+def decode_lines(lines: DataFrame, encoding: str, latin1_files: DataFrame | None) -> DataFrame:
+    """Fix the text of Latin-1 files; a file is Latin-1 as a whole, as an editor reads it."""
     latin1 = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
     if encoding == "latin1":
         return lines.withColumn("line", latin1)
-    not_utf8 = lines.filter(~F.is_valid_utf8("line")).select("file").distinct()
-    if not_utf8.isEmpty():
+    if latin1_files is None:
         return lines
-    flagged = lines.join(not_utf8.withColumn("latin1", F.lit(True)), "file", "left")
-    return flagged.withColumn("line", F.when(F.col("latin1"), latin1).otherwise(F.col("line"))).drop(
-        "latin1"
-    )
+    flagged = lines.join(latin1_files.withColumn("latin1_", F.lit(True)), "file", "left")
+    return flagged.withColumn(
+        "line", F.when(F.col("latin1_"), latin1).otherwise(F.col("line"))
+    ).drop("latin1_")
+
+
+# A character that text does not hold, so that Spark's CSV reader hands over whole lines.
+NO_DELIMITER = "\x01"
+WHOLE_LINES = {
+    "sep": NO_DELIMITER, "quote": "", "header": "true", "encoding": "ISO-8859-1",
+    "maxCharsPerColumn": "-1",
+}
+
+
+def lines_below_header(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """The header line, and ``file, line`` of all other lines that are not blank.
+
+    Spark's CSV reader drops the first line of each file where the file begins, so files
+    still split and no row has to be matched. Bytes pass through unchanged.
+    """
+    body = spark.read.options(**WHOLE_LINES).schema("line string").csv(path)
+    header = spark.read.options(**WHOLE_LINES).csv(min(body.inputFiles())).columns[0]
+    as_bytes = F.encode(F.col("line"), "ISO-8859-1").cast("string")
+    lines = body.select(F.col("_metadata.file_path").alias("file"), as_bytes.alias("line"))
+    return header.encode("latin-1").decode("utf-8", "replace"), lines
 
 
 def quote_marks(line: Column, quote: str, escape: str) -> Column:
@@ -62,8 +108,6 @@ def join_quoted_lines(
     odd = (quote_marks(F.col("line"), quote, escape) % 2).cast("int")
     marked = lines.withColumn("odd", odd)
     blocks = marked.groupBy("file", "block").agg(F.sum("odd").alias("odd_in_block"))
-    if blocks.filter("odd_in_block > 0").isEmpty():
-        return lines
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1
     )
