@@ -103,7 +103,7 @@ def csv_quotes(t: Tables) -> DataFrame:
     "SELECT doc_id, text FROM documents",
 )
 def csv_escape_char(t: Tables) -> DataFrame:
-    body = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    body = F.replace("text", F.lit('"'), F.lit('\\"'))
     line = F.concat(F.col("doc_id").cast("string"), F.lit(',"'), body, F.lit('"'))
     options = DelimitedOptions(escape="\\", header=False)
     rows = parse_lines(t.documents.select(line.alias("line")), ["doc_id", "text"], options)
