@@ -54,35 +54,56 @@ def depth_of(kind: T.DataType) -> int:
     return 0
 
 
+def _is_mixed(kind: T.DataType) -> bool:
+    """Whether values of different types share a place, which hides the depth below it."""
+    if isinstance(kind, T.StructType):
+        return any(_is_mixed(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _is_mixed(kind.elementType)
+    return isinstance(kind, T.VariantType)
+
+
+def _next_level(level: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    above = level.select(*keep, F.col("path").alias("above_"), "node_")
+    position = F.col("pos").cast("string")
+    member = F.concat("above_", F.lit("."), "key")
+    item = F.concat("above_", F.lit("["), position, F.lit("]"))
+    return _explode(above, "node_").select(
+        *keep,
+        F.coalesce(F.col("key"), position).alias("key"),
+        F.when(F.col("key").isNotNull(), member).otherwise(item).alias("path"),
+        F.col("value").alias("node_"),
+    )
+
+
 def json_tree(
     df: DataFrame, column: str, keep: tuple[str, ...] = (), depth: int | None = None
 ) -> DataFrame:
     """``keep..., key, value, type, path``: every value of each document, at any level.
 
     The number of levels comes from the merged schema of all documents, one aggregate;
-    pass ``depth`` to save it. Each level is one more explode of the level above.
+    pass ``depth`` to save it. Where values of different types share a place, levels are
+    added until one is empty. Each level is one more explode of the level above.
     """
+    mixed = False
     if depth is None:
-        depth = depth_of(json_schema(df, column))
-    level = df.select(
-        *keep,
-        F.lit(None).cast("string").alias("key"),
-        F.lit("$").alias("path"),
-        F.parse_json(F.col(column)).alias("node_"),
-    )
-    levels = [level]
-    for _ in range(depth):
-        above = level.select(*keep, F.col("path").alias("above_"), "node_")
-        members = _explode(above, "node_")
-        level = members.select(
+        schema = json_schema(df, column)
+        depth, mixed = depth_of(schema), _is_mixed(schema)
+    levels = [
+        df.select(
             *keep,
-            F.coalesce(F.col("key"), F.col("pos").cast("string")).alias("key"),
-            F.when(F.col("key").isNotNull(), F.concat("above_", F.lit("."), "key"))
-            .otherwise(F.concat("above_", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-            .alias("path"),
-            F.col("value").alias("node_"),
+            F.lit(None).cast("string").alias("key"),
+            F.lit("$").alias("path"),
+            F.parse_json(F.col(column)).alias("node_"),
         )
-        levels.append(level)
+    ]
+    for _ in range(depth):
+        levels.append(_next_level(levels[-1], keep))
+    while mixed:
+        deeper = _next_level(levels[-1], keep)
+        if deeper.isEmpty():
+            break
+        levels.append(deeper)
     tree = levels[0]
     for level in levels[1:]:
         tree = tree.unionAll(level)

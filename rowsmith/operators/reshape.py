@@ -149,13 +149,13 @@ def _add_table(
 def join_child(
     tables: Mapping[str, DataFrame], relations: Mapping[str, ParentRelation], child: str
 ) -> DataFrame:
-    """A child table next to its parent's columns, which are prefixed by ``parent_``."""
+    """A child table next to its parent's columns, which are prefixed by ``parent__``."""
     relation = relations[child]
     parent = tables[relation.parent]
     renamed = parent.select(
-        *[F.col(f"`{c}`").alias(f"parent_{c.lstrip('_')}") for c in parent.columns]
+        *[F.col(f"`{c}`").alias(f"parent__{c.lstrip('_')}") for c in parent.columns]
     )
     on = tables[child][relation.child_column] == renamed[
-        f"parent_{relation.parent_column.lstrip('_')}"
+        f"parent__{relation.parent_column.lstrip('_')}"
     ]
     return tables[child].join(renamed, on, "inner")

@@ -214,7 +214,7 @@ def xml_normalize(t: Tables) -> DataFrame:
 def parent_child_join(t: Tables) -> DataFrame:
     normalized = normalized_documents(t)
     joined = reshape.join_child(normalized.tables, normalized.relations, "docs_lines")
-    return joined.groupBy(F.col("parent_lang").alias("lang")).agg(
+    return joined.groupBy(F.col("parent__lang").alias("lang")).agg(
         F.count("*").alias("lines"), F.max("no").alias("last_no")
     )
 
