@@ -92,22 +92,19 @@ def formula_columns(df: DataFrame, formulas: Mapping[str, Column]) -> DataFrame:
     return df
 
 
-def summary_candidates(cells: DataFrame) -> DataFrame:
-    """``book, sheet, is_summary``.
+def summary_candidates(rows: DataFrame) -> DataFrame:
+    """``book, sheet, is_summary`` from workbook rows.
 
     A summary sheet has a header, a formula in every filled data row, and no formula
     other than the five aggregates.
     """
-    is_formula = F.col("kind") == "formula"
-    text = cell_text(F.col("kind"), F.col("value"), F.col("formula"))
-    rows = cells.groupBy("book", "sheet", "row_no").agg(
-        F.bool_or(F.col("row_no") > F.col("first_row")).alias("below_header"),
-        F.count_if(is_formula).alias("formulas"),
-        F.count_if(is_formula & ~F.col("formula").rlike(SUMMARY_FORMULA)).alias("others"),
-        F.bool_or(F.length(F.trim(text)) > 0).alias("filled"),
+    formulas = F.filter("formulas", lambda f: f.isNotNull())
+    filled = (F.size(formulas) > 0) | F.exists("values", lambda v: F.trim(v) != "")
+    aggregates_only = (F.size(formulas) > 0) & F.forall(
+        formulas, lambda f: f.rlike(SUMMARY_FORMULA)
     )
-    aggregates_only = (F.col("formulas") > 0) & (F.col("others") == 0)
-    judged = F.bool_and(F.when(F.col("below_header") & F.col("filled"), aggregates_only))
+    below_header = F.col("row_no") > F.col("first_row")
+    judged = F.bool_and(F.when(below_header & filled, aggregates_only))
     return rows.groupBy("book", "sheet").agg(
         F.coalesce(judged, F.lit(False)).alias("is_summary")
     )

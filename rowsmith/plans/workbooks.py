@@ -63,9 +63,9 @@ def order_books(t: Tables) -> DataFrame:
     " FROM orders",
 )
 def workbook_sheets(t: Tables) -> DataFrame:
-    cells = workbook.workbook_cells(order_books(t))
+    scanned = workbook.workbook_rows(order_books(t))
     names = workbook.unique_headers(["order", "price", "day", "done", "half", "half"], 6)
-    rows = workbook.sheet_rows(cells, "Data", names).drop("book", "row_no")
+    rows = workbook.sheet_rows(scanned, "Data", names).drop("book", "row_no")
     targets = {"order": "INTEGER", "price": "FLOAT64", "day": "TIMESTAMP", "done": "BOOLEAN"}
     typed = coerce_columns(rows, targets, "workbook")
     return typed.withColumn("day", F.col("day").cast("timestamp_ntz"))
@@ -76,7 +76,7 @@ def workbook_sheets(t: Tables) -> DataFrame:
     "SELECT 'book_' || (o_orderkey // 1000) AS book, '=B' || o_orderkey || '/2' AS text FROM orders",
 )
 def workbook_formula_text(t: Tables) -> DataFrame:
-    cells = workbook.workbook_cells(order_books(t))
+    cells = workbook.workbook_cells(workbook.workbook_rows(order_books(t)))
     text = workbook.cell_text(F.col("kind"), F.col("value"), F.col("formula"))
     formulas = cells.filter("sheet = 'Data' AND kind = 'formula'")
     return formulas.select("book", text.alias("text"))
@@ -90,7 +90,7 @@ def workbook_formula_text(t: Tables) -> DataFrame:
     " WHERE EXISTS (SELECT 1 FROM orders)",
 )
 def workbook_types(t: Tables) -> DataFrame:
-    return workbook.sheet_types(workbook.workbook_cells(order_books(t)))
+    return workbook.sheet_types(workbook.workbook_rows(order_books(t)))
 
 
 @query(
@@ -100,7 +100,7 @@ def workbook_types(t: Tables) -> DataFrame:
     " (o_orderkey // 1000) % 4 <> 0 FROM orders",
 )
 def wb_summary_candidates(t: Tables) -> DataFrame:
-    return X.summary_candidates(workbook.workbook_cells(order_books(t)))
+    return X.summary_candidates(workbook.workbook_rows(order_books(t)))
 
 
 # --- formulas over tables ---------------------------------------------------------------

@@ -16,9 +16,9 @@ from pyspark.sql.functions import pandas_udf
 from rowsmith.functions.names import distinct_names, header_names
 from rowsmith.functions.tokens import blank_to_null
 
-ROW_SCHEMA = (
+TABLES_SCHEMA = (
     "array<struct<table_no:int,caption:string,table_id:string,has_nested:boolean,"
-    "row_no:int,is_header:boolean,cells:array<string>>>"
+    "rows:array<struct<row_no:int,is_header:boolean,cells:array<string>>>>>"
 )
 
 
@@ -93,32 +93,37 @@ class _TableReader(HTMLParser):
             self.row = None
 
 
-def _page_rows(page: str | None) -> list[dict]:
+def _page_tables(page: str | None) -> list[dict]:
     reader = _TableReader()
     reader.feed(page or "")
     reader.close()
     if reader.depth:
         reader._end_row()
-    rows = []
+    tables = []
     for table_no, table in enumerate(reader.tables, start=1):
-        for row_no, row in enumerate(table["rows"]):
-            if row:
-                rows.append(
-                    {
-                        "table_no": table_no,
-                        "caption": table["caption"],
-                        "table_id": table["id"] or None,
-                        "has_nested": table["nested"],
-                        "row_no": row_no,
-                        "is_header": any(tag == "th" for tag, _ in row),
-                        "cells": [text for _, text in row],
-                    }
-                )
-    return rows
-
-
-def _pages_rows(pages: pd.Series) -> pd.Series:
-    return pages.map(_page_rows)
+        rows = [
+            {
+                "row_no": row_no,
+                "is_header": any(tag == "th" for tag, _ in row),
+                "cells": [text for _, text in row],
+            }
+            for row_no, row in enumerate(table["rows"])
+            if row
+        ]
+        tables.append(
+            {
+                "table_no": table_no,
+                "caption": table["caption"],
+                "table_id": table["id"] or None,
+                "has_nested": table["nested"],
+                "rows": rows,
+            }
+        )
+    return tables
+
+
+def _pages_tables(pages: pd.Series) -> pd.Series:
+    return pages.map(_page_tables)
 
 
 def extract_tables(
@@ -128,57 +133,21 @@ def extract_tables(
 
     ``key, table_no, caption, table_id, has_nested, row_no, header, cells``. The header
     is the first row with ``<th>``, or the very first row where ``header_row`` is set.
-    Tables without data rows do not appear. A page's tables stay on the page's task.
+    Tables without data rows do not appear. Nothing is shuffled.
     """
-    listed = pages.select(key, pandas_udf(_pages_rows, ROW_SCHEMA)(F.col(html)).alias("rows"))
-    is_header = lambda r: r["is_header"] | (F.lit(header_row) & (r["row_no"] == 0))
-    # Within a page: the header row of a table is its first header-like row.
-    with_heads = listed.withColumn(
-        "heads",
-        F.map_from_entries(
-            F.transform(
-                F.array_distinct(F.col("rows.table_no")),
-                lambda t: F.struct(
-                    t,
-                    F.array_min(
-                        F.transform(
-                            F.filter("rows", lambda r: (r["table_no"] == t) & is_header(r)),
-                            lambda r: r["row_no"],
-                        )
-                    ),
-                ),
-            )
-        ),
+    read = pandas_udf(_pages_tables, TABLES_SCHEMA)
+    tables = pages.select(key, F.inline(read(F.col(html))))
+    first_head = F.get(
+        F.filter("rows", lambda r: r["is_header"] | (F.lit(header_row) & (r["row_no"] == 0))),
+        F.lit(0),
     )
-    exploded = with_heads.select(
-        key,
-        F.inline(
-            F.transform(
-                "rows",
-                lambda r: F.struct(
-                    r["table_no"].alias("table_no"),
-                    r["caption"].alias("caption"),
-                    r["table_id"].alias("table_id"),
-                    r["has_nested"].alias("has_nested"),
-                    r["row_no"].alias("row_no"),
-                    F.get(
-                        F.transform(
-                            F.filter(
-                                "rows",
-                                lambda h: (h["table_no"] == r["table_no"])
-                                & (h["row_no"] == F.col("heads")[r["table_no"]]),
-                            ),
-                            lambda h: h["cells"],
-                        ),
-                        F.lit(0),
-                    ).alias("header"),
-                    (r["row_no"] == F.col("heads")[r["table_no"]]).alias("is_head"),
-                    r["cells"].alias("cells"),
-                ),
-            )
-        ),
+    facts = [key, "table_no", "caption", "table_id", "has_nested"]
+    headed = tables.select(*facts, "rows", first_head.alias("head"))
+    rows = headed.select(
+        *facts, F.col("head.row_no").alias("head_no"), F.col("head.cells").alias("header"), F.inline("rows")
     )
-    return exploded.filter(~F.coalesce(F.col("is_head"), F.lit(False))).drop("is_head")
+    data = rows.filter(~F.col("row_no").eqNullSafe(F.col("head_no")))
+    return data.select(*facts, "row_no", "header", "cells")
 
 
 def table_name(caption: Column, table_id: Column, source: Column, table_no: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.functions.declared import mysql_target_type
-from rowsmith.sources.text import decode_bytes, quote_marks
+from rowsmith.session import checkpointed
+from rowsmith.sources.text import decode_bytes, join_open_lines
 
 SINGLE = r"'(?:[^'\\]++|\\.|'')*+(?:'|$)"
 DOUBLE = r'"(?:[^"\\]++|\\.)*+(?:"|$)'
@@ -301,35 +302,44 @@ def dump_rows(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     return tokens.select(*[literal_text(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
+# Text in which every quoted part and comment is closed.
+CLOSED = (
+    r"(?s)^(?:--(?=\s|$)[^\n]*+|\#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+    r"|'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.)*+\"|`[^`]*+`|[^'\"`#/-]++|[-/](?!\*))*+$"
+)
+
+
 def read_statements(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
     """``file, ordinal, statement`` of dump files.
 
     A dump is cut at ``;`` + line end, which lets Spark split large files. Where a string
-    literal holds such a line end, the cut would be wrong; then the files are read whole.
+    literal holds such a line end, its pieces are pinned and glued by position; only files
+    that are still open after that (a comment over a cut) or not UTF-8 are read whole.
     """
     pieces = spark.read.option("lineSep", ";\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("piece"),
-    )
-    text = F.regexp_replace("piece", rf"(?s)({QUOTED})|{COMMENT}", "$1")
-    broken = (quote_marks(F.replace(text, F.lit("\\\\"), F.lit("")), "'", "\\") % 2 == 1) | (
-        ~F.is_valid_utf8("piece")
+        F.col("value").alias("line"),
     )
-    if pieces.filter(broken).isEmpty():
-        source = pieces
-    else:
-        source = spark.read.format("binaryFile").load(path).select(
+    is_open = ~F.col("line").rlike(CLOSED)
+    found = pieces.agg(
+        F.bool_or(is_open).alias("open"), F.bool_and(F.is_valid_utf8("line")).alias("utf8")
+    ).first()
+    whole = encoding == "latin1" or found["utf8"] is False
+    if found["open"] and not whole:
+        # Opens a string when read from outside one, and closes one when read from inside.
+        closes = F.concat(F.lit("'x"), "line").rlike(CLOSED)
+        pieces = join_open_lines(checkpointed(pieces), is_open & closes, ";\n")
+        whole = not pieces.filter(is_open).isEmpty()
+    if whole:
+        pieces = spark.read.format("binaryFile").load(path).select(
             F.col("path").alias("file"),
             F.lit(0).cast("bigint").alias("block"),
             F.lit(0).cast("bigint").alias("pos"),
-            decode_bytes(F.col("content"), encoding).alias("piece"),
+            decode_bytes(F.col("content"), encoding).alias("line"),
         )
-    return source.select(
-        "file",
-        F.struct("block", "pos").alias("at"),
-        F.posexplode(split_statements(F.col("piece"))).alias("part", "statement"),
-    ).withColumn("ordinal", F.struct("at.block", "at.pos", "part")).select(
-        "file", "ordinal", "statement"
+    statements = pieces.select(
+        "file", "block", "pos", F.posexplode(split_statements(F.col("line"))).alias("part", "statement")
     )
+    return statements.select("file", F.struct("block", "pos", "part").alias("ordinal"), "statement")

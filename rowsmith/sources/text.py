@@ -98,15 +98,19 @@ def quote_marks(line: Column, quote: str, escape: str) -> Column:
 def join_quoted_lines(
     lines: DataFrame, quote: str = '"', escape: str = '"', joiner: str = "\n"
 ) -> DataFrame:
-    """Glue together the lines of a record whose quoted field holds line ends.
+    """Glue together the lines of a record whose quoted field holds line ends."""
+    return join_open_lines(lines, quote_marks(F.col("line"), quote, escape) % 2 == 1, joiner)
 
-    A line with an odd number of quotes opens or closes a quoted section that reaches
-    over the line end. Counting the odd lines before each line numbers those sections.
+
+def join_open_lines(lines: DataFrame, toggles: Column, joiner: str = "\n") -> DataFrame:
+    """Glue lines together from one that opens a section up to the one that closes it.
+
+    A toggling line, for example one with an odd number of quotes, opens or closes a
+    section. Counting the toggling lines before each line numbers the sections.
     The count is kept per file block and then added up over blocks, so one huge file is
     still spread over its blocks; lines outside such sections are never grouped.
     """
-    odd = (quote_marks(F.col("line"), quote, escape) % 2).cast("int")
-    marked = lines.withColumn("odd", odd)
+    marked = lines.withColumn("odd", toggles.cast("int"))
     blocks = marked.groupBy("file", "block").agg(F.sum("odd").alias("odd_in_block"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1

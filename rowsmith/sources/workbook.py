@@ -1,8 +1,8 @@
-"""Workbooks (.xlsx) as a long ``cells`` table, and sheets as typed tables.
+"""Workbooks (.xlsx) as sheet rows and cells, and sheets as typed tables.
 
 A workbook is a ZIP of XML parts, bounded by the format at about a million rows per
-sheet; each one is opened on an executor and streamed into cells. Everything after that
-(bounds, headers, types, rows) is grouping and pivoting on the cells.
+sheet; each one is opened on an executor and streamed row by row. A row arrives with all
+its cells, so sheets become columns by projection, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_SCHEMA = (
-    "book string, sheet string, first_row int, row_no int, col_no int, kind string,"
-    " value string, formula string"
+ROW_SCHEMA = (
+    "book string, sheet string, first_row int, row_no int, col_nos array<int>,"
+    " kinds array<string>, values array<string>, formulas array<string>"
 )
-CELL_COLUMNS = ["book", "sheet", "first_row", "row_no", "col_no", "kind", "value", "formula"]
-CELLS_PER_BATCH = 50_000
+ROW_COLUMNS = ["book", "sheet", "first_row", "row_no", "col_nos", "kinds", "values", "formulas"]
+ROWS_PER_BATCH = 10_000
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -117,54 +117,75 @@ def _cell(element, strings: list[str], formats: list[str]):
     return kind, text, None
 
 
-def _book_cells(book: str, content: bytes) -> Iterator[tuple]:
+def _book_rows(book: str, content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         strings, formats = _shared_strings(archive), _format_kinds(archive)
         for sheet, path in _sheet_parts(archive):
             with archive.open(path) as part:
-                row_no = 0
-                first_row = None
-                for event, element in ElementTree.iterparse(part, events=("start", "end")):
-                    if event == "start" and element.tag == f"{MAIN}row":
-                        row_no = int(element.get("r", row_no + 1))
-                        col_no = 0
-                    elif event == "end" and element.tag == f"{MAIN}c":
-                        col_no = _column_number(element.get("r", "")) or col_no + 1
-                        cell = _cell(element, strings, formats)
-                        if cell is None:
-                            continue
-                        if first_row is None and (cell[2] or cell[1]).strip():
-                            first_row = row_no
-                        yield (book, sheet, first_row, row_no, col_no, *cell)
-                    elif event == "end" and element.tag == f"{MAIN}row":
-                        element.clear()
+                row_no, first_row = 0, None
+                for _, element in ElementTree.iterparse(part):
+                    if element.tag != f"{MAIN}row":
+                        continue
+                    row_no = int(element.get("r", row_no + 1))
+                    cells = _row_cells(element, strings, formats)
+                    element.clear()
+                    if not cells:
+                        continue
+                    if first_row is None and any((c[3] or c[2]).strip() for c in cells):
+                        first_row = row_no
+                    yield (book, sheet, first_row, row_no, *map(list, zip(*cells)))
+
+
+def _row_cells(row, strings: list[str], formats: list[str]) -> list[tuple]:
+    """``col_no, kind, value, formula`` of the cells that are not empty."""
+    cells, col_no = [], 0
+    for element in row.iter(f"{MAIN}c"):
+        col_no = _column_number(element.get("r", "")) or col_no + 1
+        cell = _cell(element, strings, formats)
+        if cell is not None:
+            cells.append((col_no, *cell))
+    return cells
 
 
 def _scan_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
     for batch in batches:
         for book, content in zip(batch["path"], batch["content"]):
-            for row in _book_cells(book, content):
+            for row in _book_rows(book, content):
                 rows.append(row)
-                if len(rows) == CELLS_PER_BATCH:
-                    yield _cell_frame(rows)
+                if len(rows) == ROWS_PER_BATCH:
+                    yield _row_frame(rows)
                     rows = []
     if rows:
-        yield _cell_frame(rows)
+        yield _row_frame(rows)
 
 
-def _cell_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=CELL_COLUMNS)
-    return frame.astype({"first_row": "Int32"})
+def _row_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=ROW_COLUMNS).astype({"first_row": "Int32"})
 
 
-def workbook_cells(books: DataFrame) -> DataFrame:
-    """The cells of (path, content) rows, see ``CELL_SCHEMA``.
+def workbook_rows(books: DataFrame) -> DataFrame:
+    """The filled rows of (path, content) workbooks, see ``ROW_SCHEMA``.
 
     ``first_row`` is the row that opens the sheet: the first with a cell that is not blank.
-    Cells above it have none.
+    Rows above it have none.
     """
-    return books.select("path", "content").mapInPandas(_scan_books, CELL_SCHEMA)
+    return books.select("path", "content").mapInPandas(_scan_books, ROW_SCHEMA)
+
+
+def workbook_cells(rows: DataFrame) -> DataFrame:
+    """``book, sheet, first_row, row_no, col_no, kind, value, formula``: one row per cell."""
+    cells = F.arrays_zip("col_nos", "kinds", "values", "formulas")
+    return rows.select("book", "sheet", "first_row", "row_no", F.inline(cells)).toDF(
+        "book", "sheet", "first_row", "row_no", "col_no", "kind", "value", "formula"
+    )
+
+
+def row_text(col_no: int) -> Column:
+    """What an import stores for one cell of a row; a formula is kept as its text."""
+    at = (F.array_position("col_nos", F.lit(col_no)) - 1).cast("int")
+    at = F.when(at >= 0, at)
+    return F.coalesce(F.get("formulas", at), F.get("values", at))
 
 
 def cell_text(kind: Column, value: Column, formula: Column) -> Column:
@@ -183,9 +204,9 @@ def unique_headers(cells: Sequence[str | None], width: int) -> list[str]:
     return names
 
 
-def sheet_types(cells: DataFrame, header: bool = True) -> DataFrame:
+def sheet_types(rows: DataFrame, header: bool = True) -> DataFrame:
     """``sheet, col_no, target_type`` by the kinds of the data cells of each column."""
-    data = data_cells(cells, header)
+    data = workbook_cells(data_rows(rows, header))
     family = (
         F.when(F.col("kind").isin("date", "datetime"), "timestamp")
         .when(F.col("kind").isin("time", "text", "formula"), "text")
@@ -211,36 +232,31 @@ def type_of_families(families: Column) -> Column:
     )
 
 
-def data_cells(cells: DataFrame, header: bool = True) -> DataFrame:
-    """Cells below the header row, or from the first row on without a header."""
-    return cells.filter(F.col("row_no") >= F.col("first_row") + (1 if header else 0))
+def data_rows(rows: DataFrame, header: bool = True) -> DataFrame:
+    """Rows below the header row, or from the first row on without a header."""
+    return rows.filter(F.col("row_no") >= F.col("first_row") + (1 if header else 0))
 
 
-def sheet_header(cells: DataFrame, sheet: str, header: bool = True) -> list[str]:
-    """Column names of a sheet; those of the first book that has it. One bounded row."""
-    text = cell_text(F.col("kind"), F.col("value"), F.col("formula"))
-    own = cells.filter(F.col("sheet") == sheet)
-    heads = own.filter("row_no = first_row").groupBy("book").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", text))).alias("texts")
-    )
-    width = own.agg(F.max("col_no")).first()[0] or 0
-    first = heads.agg(F.min_by("texts", "book")).first()[0] or {}
-    texts = first if header else {}
+def sheet_header(rows: DataFrame, sheet: str, header: bool = True) -> list[str]:
+    """Column names of a sheet; those of the first book that has it. Two bounded rows."""
+    own = rows.filter(F.col("sheet") == sheet)
+    width = own.agg(F.max(F.array_max("col_nos"))).first()[0] or 0
+    head = own.filter("row_no = first_row").orderBy("book").first() if header else None
+    texts = {}
+    if head:
+        for col_no, value, formula in zip(head["col_nos"], head["values"], head["formulas"]):
+            texts[col_no] = value if formula is None else formula
     return unique_headers([texts.get(i + 1) for i in range(width)], width)
 
 
 def sheet_rows(
-    cells: DataFrame, sheet: str, names: Sequence[str], header: bool = True
+    rows: DataFrame, sheet: str, names: Sequence[str], header: bool = True
 ) -> DataFrame:
-    """The rows of a sheet as text columns; blank rows are gone.
-
-    One grouped aggregate per (book, row): a row is at most as wide as the sheet.
-    """
-    own = data_cells(cells.filter(F.col("sheet") == sheet), header)
-    text = cell_text(F.col("kind"), F.col("value"), F.col("formula"))
-    columns = [
-        F.max(F.when(F.col("col_no") == i, text)).alias(name) for i, name in enumerate(names, 1)
-    ]
-    filled = F.max(F.length(F.trim(text)) > 0)
-    rows = own.groupBy("book", "row_no").agg(*columns, filled.alias("filled_"))
-    return rows.filter("filled_").drop("filled_")
+    """The rows of a sheet as text columns; blank rows are gone. One projection."""
+    own = data_rows(rows.filter(F.col("sheet") == sheet), header)
+    filled = F.exists("values", lambda v: F.trim(v) != "") | F.exists(
+        "formulas", lambda f: f.isNotNull()
+    )
+    return own.filter(F.coalesce(filled, F.lit(False))).select(
+        "book", "row_no", *[row_text(i).alias(name) for i, name in enumerate(names, 1)]
+    )

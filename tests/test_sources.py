@@ -229,7 +229,7 @@ def test_workbook(spark):
         '<row r="6"><c r="A6" t="str"><v> </v></c></row>'
     )
     books = spark.createDataFrame([("b", bytearray(make_book(data)))], "path string, content binary")
-    cells = workbook.workbook_cells(books)
+    cells = workbook.workbook_rows(books)
     assert workbook.sheet_header(cells, "Data") == ["n", "column_2", "n_2"]
     out = workbook.sheet_rows(cells, "Data", ["n", "column_2", "n_2"]).drop("book").orderBy("row_no")
     assert rows(out) == [(4, "1", "2.5", "2023-03-15 12:00:00"), (5, "1.5", "=A4*2", "true")]
