@@ -32,21 +32,21 @@ WHITESPACE = " \t\n\r\f\x0b\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" +
     chr(c) for c in range(0x2000, 0x200B)
 )
 
-UUID_PATTERN = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+UUID_PATTERN = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 STRICT_UUID_PATTERN = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
 )
 INTEGER_PATTERN = r"^[+-]?\d+$"
 HEX_PATTERN = r"^[+-]?0[xX][0-9a-fA-F]{1,16}$"
-FIXED_POINT_PATTERN = r"^-?\d+(\.\d+)?$"
-DOUBLE_PATTERN = r"^[+-]?(\.\d+|\d+(\.\d*)?)([eE][+-]?\d+)?$"
+FIXED_POINT_PATTERN = r"^-?\d+(?:\.\d+)?$"
+DOUBLE_PATTERN = r"^[+-]?(?:\.\d+|\d+(?:\.\d*)?)(?:[eE][+-]?\d+)?$"
 
-CLOCK = r"\d{1,2}:\d{2}(:\d{2})?"
-TIME_PATTERN = r"^\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
-SLASH_PATTERN = rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}([ T]{CLOCK})?$"
-DOT_PATTERN = rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}([ T]{CLOCK})?$"
+CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
+TIME_PATTERN = r"^\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?$"
+SLASH_PATTERN = rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}(?:[ T]{CLOCK})?$"
+DOT_PATTERN = rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?:[ T]{CLOCK})?$"
 PLAIN_ISO_PATTERN = (
-    r"^\d{4}-\d\d-\d\d([ T]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?$"
+    r"^\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?$"
 )
 # Everything ISO-like: signed years, compact digits, comma fractions, short offsets.
 LOOSE_ISO_PATTERN = (
@@ -55,16 +55,20 @@ LOOSE_ISO_PATTERN = (
     r"(?: ?([zZ]|[+-]\d\d(?::?\d\d)?))?)?$"
 )
 TEMPORAL_SHAPE_PATTERN = (
-    r"^(\d{4}-\d{1,2}-\d{1,2}([ T]|$)"
-    r"|\d{1,2}/\d{1,2}/\d{4}([ T]|$)"
-    r"|\d{1,2}\.\d{1,2}\.\d{4}([ T]|$)"
-    r"|\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$)"
+    r"^(?:\d{4}-\d{1,2}-\d{1,2}(?:[ T]|$)"
+    r"|\d{1,2}/\d{1,2}/\d{4}(?:[ T]|$)"
+    r"|\d{1,2}\.\d{1,2}\.\d{4}(?:[ T]|$)"
+    r"|\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?$)"
 )
 
 
 def strip(value: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.trim(value, F.lit(WHITESPACE))
+    """Trim every kind of white space, not only blanks.
+
+    Text that begins and ends with visible ASCII, which is most text, is passed on as is.
+    """
+    visible = (value >= "!") & (value < "\x7f") & F.right(value, F.lit(1)).between("!", "~")
+    return F.when(visible, value).otherwise(F.trim(value, F.lit(WHITESPACE)))
 
 
 def blank_to_null(value: Column) -> Column:

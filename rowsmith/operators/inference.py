@@ -88,12 +88,11 @@ def _integer_text_shapes(text: Column, number: Column) -> Column:
 
 
 def _decimal_text_shapes(text: Column) -> Column:
+    # A fixed-point number is one without exponent, plus sign or bare point.
+    loose = text.startswith("+") | text.startswith(".") | text.startswith("-.") | text.endswith(".")
+    fixed = ~(text.contains("e") | text.contains("E") | loose)
     return _any_of(
-        [
-            F.lit(DOUBLE),
-            _bit(text.rlike(K.FIXED_POINT_PATTERN), FIXED_POINT),
-            _bit(text.contains("."), HAS_POINT),
-        ]
+        [F.lit(DOUBLE), _bit(fixed, FIXED_POINT), _bit(text.contains("."), HAS_POINT)]
     )
 
 
@@ -108,27 +107,34 @@ def _date_text_shapes(text: Column) -> Column:
     )
 
 
+def _uuid_shapes(text: Column) -> Column:
+    return F.when(text.rlike(K.STRICT_UUID_PATTERN), F.lit(UUID | STRICT_UUID)).when(
+        text.rlike(K.UUID_PATTERN), F.lit(UUID)
+    )
+
+
 def _starts_like_number(text: Column) -> Column:
     return text.between("0", ":") | text.between("+", "/")
 
 
 def _text_shapes(text: Column, number: Column, word: Column) -> Column:
     """Shapes of stripped text; each test runs only on text that can still pass it."""
-    return (
+    numeric = (
         F.when(number.isNotNull(), _integer_text_shapes(text, number))
+        .when(text.rlike(K.DOUBLE_PATTERN), _decimal_text_shapes(text))
         .when(
-            (F.length(text) == 36) & text.rlike(K.UUID_PATTERN),
-            F.when(text.rlike(K.STRICT_UUID_PATTERN), F.lit(UUID | STRICT_UUID)).otherwise(
-                F.lit(UUID)
-            ),
+            text.rlike(K.PLAIN_ISO_PATTERN),
+            F.lit(TEMPORAL_SHAPE | TIMESTAMP | TIMESTAMP_OR_EPOCH),
         )
+        .when(F.length(text) == 36, F.coalesce(_uuid_shapes(text), F.lit(0)))
+        .when(text.rlike(K.HEX_PATTERN), F.lit(INTEGER))
+        .when(word.isin(*KNOWN_WORDS), _word_shapes(word))
+        .otherwise(_date_text_shapes(text))
+    )
+    return (
+        F.when(_starts_like_number(text), numeric)
+        .when(F.length(text) == 36, F.coalesce(_uuid_shapes(text), F.lit(0)))
         .when(word.isin(*KNOWN_WORDS), _word_shapes(word))
-        .when(
-            _starts_like_number(text),
-            F.when(text.rlike(K.DOUBLE_PATTERN), _decimal_text_shapes(text))
-            .when(text.rlike(K.HEX_PATTERN), F.lit(INTEGER))
-            .otherwise(_date_text_shapes(text)),
-        )
         .otherwise(F.lit(0))
     )
 
@@ -166,17 +172,35 @@ def _kind_of(data_type: T.DataType) -> str:
     return "bytes" if isinstance(data_type, T.BinaryType) else "nested"
 
 
-def _long_form(df: DataFrame) -> DataFrame:
-    """``name, kind, value``: one row per cell, its value as text."""
+def _long_form(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """``position, value``: one row per cell, its value as text."""
     cells = []
-    for field in df.schema.fields:
-        value, kind = F.col(f"`{field.name}`"), _kind_of(field.dataType)
+    for i, (field, kind) in enumerate(zip(df.schema.fields, kinds)):
+        value = F.col(f"`{field.name}`")
         if kind in ("text", "double"):
             text = value.cast("string")
         else:
             text = F.when(value.isNotNull(), F.lit(""))
-        cells += [F.lit(field.name), F.lit(kind), text]
-    return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("name", "kind", "value"))
+        cells += [F.lit(i), text]
+    return df.select(F.stack(F.lit(len(kinds)), *cells).alias("position", "value"))
+
+
+def _shapes(kinds: list[str]) -> Column:
+    """The shapes of a cell by the kind of its column; mostly there is only text."""
+    text = F.col("text")
+    per_kind = {
+        "text": _text_shapes(text, F.col("number"), F.col("word")),
+        "double": _double_shapes(text.cast("double")),
+        "time": F.lit(TEMPORAL_SHAPE | TIMESTAMP | TIMESTAMP_OR_EPOCH),
+        "bytes": F.lit(BYTES),
+        "nested": F.lit(0),
+    }
+    present = sorted(set(kinds))
+    shapes = per_kind[present[-1]]
+    for kind in present[:-1]:
+        positions = [i for i, k in enumerate(kinds) if k == kind]
+        shapes = F.when(F.col("position").isin(positions), per_kind[kind]).otherwise(shapes)
+    return shapes
 
 
 def evidence_frame(df: DataFrame) -> DataFrame:
@@ -185,30 +209,26 @@ def evidence_frame(df: DataFrame) -> DataFrame:
     Cells are unpivoted inside the scan's task, so one small expression serves any number
     of columns; each task then hands on one row per column.
     """
-    text, number, word = F.col("text"), F.col("number"), F.col("word")
-    shapes = (
-        F.when(F.col("kind") == "text", _text_shapes(text, number, word))
-        .when(F.col("kind") == "double", _double_shapes(text.cast("double")))
-        .when(F.col("kind") == "time", F.lit(TEMPORAL_SHAPE | TIMESTAMP | TIMESTAMP_OR_EPOCH))
-        .when(F.col("kind") == "bytes", F.lit(BYTES))
-        .otherwise(F.lit(0))
-    )
+    kinds = [_kind_of(field.dataType) for field in df.schema.fields]
+    text = F.col("text")
     # Staged projections, so that no intermediate value is computed twice. A cast that
     # fails is slow, so only digits get that far.
-    cells = _long_form(df).select("name", "kind", K.strip(F.col("value")).alias("text"))
+    cells = _long_form(df, kinds).select("position", K.strip(F.col("value")).alias("text"))
     cells = cells.withColumns(
         {
             "number": F.when(text.rlike(K.INTEGER_PATTERN), text.try_cast("bigint")),
-            "word": F.when(F.length(text) <= 9, F.lower(text)),
+            "word": F.when((F.length(text) <= 9) & ~text.between("0", ":"), F.lower(text)),
         }
     )
-    judged = cells.select("name", F.when(text.isNotNull(), shapes).alias("shapes"))
-    return judged.groupBy("name").agg(
+    judged = cells.select("position", F.when(text.isNotNull(), _shapes(kinds)).alias("shapes"))
+    names = F.array(*[F.lit(field.name) for field in df.schema.fields])
+    found = judged.groupBy("position").agg(
         F.count("shapes").alias("non_null"),
         F.count_if(F.col("shapes").isNull()).alias("nulls"),
         F.coalesce(F.bit_and("shapes"), F.lit(0)).alias("every"),
         F.coalesce(F.bit_or("shapes"), F.lit(0)).alias("some"),
     )
+    return found.select(F.get(names, F.col("position")).alias("name"), "non_null", "nulls", "every", "some")
 
 
 def _all(bit: int, bits: str = "every") -> Column:

@@ -13,6 +13,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages, archives and workbooks are large values; batches to Python stay small.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.ui.enabled": "false",
 }
 
