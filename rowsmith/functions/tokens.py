@@ -38,7 +38,6 @@ STRICT_UUID_PATTERN = (
 )
 INTEGER_PATTERN = r"^[+-]?\d+$"
 HEX_PATTERN = r"^[+-]?0[xX][0-9a-fA-F]{1,16}$"
-FIXED_POINT_PATTERN = r"^-?\d+(?:\.\d+)?$"
 DOUBLE_PATTERN = r"^[+-]?(?:\.\d+|\d+(?:\.\d*)?)(?:[eE][+-]?\d+)?$"
 
 CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"

@@ -136,9 +136,11 @@ def _add_table(
         # A list inside a list adds its items to the same child table.
         while isinstance(list_kind.elementType, T.ArrayType):
             items, list_kind = F.flatten(F.filter(items, lambda x: x.isNotNull())), list_kind.elementType
-        exploded = source.select(
-            F.col(ID).alias(PARENT_ID), F.posexplode(items).alias("pos_", "record_")
-        ).select(
+        # The outer form, as the inner one makes Spark parse the record again in a filter.
+        listed = source.select(
+            F.col(ID).alias(PARENT_ID), F.posexplode_outer(items).alias("pos_", "record_")
+        )
+        exploded = listed.filter("pos_ IS NOT NULL").select(
             F.concat_ws("/", PARENT_ID, F.lit(child), F.col("pos_").cast("string")).alias(ID),
             PARENT_ID,
             "record_",

@@ -6,7 +6,8 @@ function works inside (key, bucket) and adds what the earlier buckets contribute
 is one small row per (key, bucket). The results equal the plain window functions.
 
 ``order`` columns are not NULL; equal leading order values share a bucket. With
-``descending`` the whole ordering is reversed.
+``descending`` the whole ordering is reversed. NULL is a key like any other: joins compare
+whole structs of keys, in which NULL equals NULL.
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BUCKET = "bucket_"
+GROUP = "group_"
+
+
+def join_back(df: DataFrame, keys: Sequence[str], facts: DataFrame) -> DataFrame:
+    """Add the columns of ``facts``, one row per key, to every row with that key."""
+    values = facts.withColumn(GROUP, F.struct(*keys)).drop(*keys)
+    return df.withColumn(GROUP, F.struct(*keys)).join(values, GROUP).drop(GROUP)
 
 
 @dataclass(frozen=True)
@@ -29,13 +37,15 @@ class BucketedWindow:
     descending: bool = False
 
     def rows(self) -> DataFrame:
-        return self.df.withColumn(BUCKET, self.bucket)
+        """The rows with their bucket, and the struct of keys and bucket."""
+        bucketed = self.df.withColumn(BUCKET, self.bucket)
+        return bucketed.withColumn(GROUP, F.struct(*self.keys, BUCKET))
 
     def _sorted(self, names: Sequence[str]) -> list[Column]:
         return [F.col(n).desc() if self.descending else F.col(n).asc() for n in names]
 
     def inside(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, BUCKET).orderBy(*self._sorted(self.order))
+        return Window.partitionBy(GROUP).orderBy(*self._sorted(self.order))
 
     def over_buckets(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self._sorted([BUCKET]))
@@ -48,10 +58,13 @@ class BucketedWindow:
 
     def per_bucket(self, *aggregates: Column) -> DataFrame:
         """One row per (key, bucket), pre-aggregated on the map side."""
-        return self.rows().groupBy(*self.keys, BUCKET).agg(*aggregates)
+        bucketed = self.df.withColumn(BUCKET, self.bucket)
+        return bucketed.groupBy(*self.keys, BUCKET).agg(*aggregates)
 
     def attach(self, rows: DataFrame, offsets: DataFrame) -> DataFrame:
-        return rows.join(offsets, [*self.keys, BUCKET])
+        """Join per-bucket facts to the rows, which keep the partitioning of the window."""
+        facts = offsets.withColumn(GROUP, F.struct(*self.keys, BUCKET)).drop(*self.keys, BUCKET)
+        return rows.join(facts, GROUP).drop(GROUP, BUCKET)
 
     def first_in(self, value: Column) -> Column:
         pick = F.max_by if self.descending else F.min_by
@@ -73,7 +86,7 @@ def row_number(w: BucketedWindow, name: str) -> DataFrame:
     )
     local = w.rows().withColumn(name, F.row_number().over(w.inside()))
     joined = w.attach(local, offsets)
-    return joined.withColumn(name, F.col(name) + F.col("before_")).drop("before_", BUCKET)
+    return joined.withColumn(name, F.col(name) + F.col("before_")).drop("before_")
 
 
 def _value_counts(w: BucketedWindow, by: str) -> BucketedWindow:
@@ -85,13 +98,13 @@ def rank(w: BucketedWindow, by: str, name: str) -> DataFrame:
     """``RANK`` by one column. Only its distinct values are ordered, then joined back."""
     counted = running_sum(_value_counts(w, by), "size_", "upto_")
     ranks = counted.select(*w.keys, by, (F.col("upto_") - F.col("size_") + 1).alias(name))
-    return w.df.join(ranks, [*w.keys, by])
+    return join_back(w.df, [*w.keys, by], ranks)
 
 
 def dense_rank(w: BucketedWindow, by: str, name: str) -> DataFrame:
     """``DENSE_RANK`` by one column: the row number of its distinct values."""
     ranks = row_number(_value_counts(w, by), name).drop("size_")
-    return w.df.join(ranks, [*w.keys, by])
+    return join_back(w.df, [*w.keys, by], ranks)
 
 
 def ntile(w: BucketedWindow, tiles: int, name: str) -> DataFrame:
@@ -112,7 +125,7 @@ def ntile(w: BucketedWindow, tiles: int, name: str) -> DataFrame:
         larger + F.floor((rn - in_larger) / F.greatest(small, F.lit(1)))
     )
     joined = w.attach(local, offsets).withColumn(name, tile + 1)
-    return joined.drop("rn_", "before_", "total_", BUCKET)
+    return joined.drop("rn_", "before_", "total_")
 
 
 def lag_lead(w: BucketedWindow, value: str, lag_name: str, lead_name: str) -> DataFrame:
@@ -139,7 +152,7 @@ def lag_lead(w: BucketedWindow, value: str, lag_name: str, lead_name: str) -> Da
             lag_name: F.coalesce("lag_", "last_before_")["v"],
             lead_name: F.coalesce("lead_", "first_after_")["v"],
         }
-    ).drop("lag_", "lead_", "last_before_", "first_after_", BUCKET)
+    ).drop("lag_", "lead_", "last_before_", "first_after_")
 
 
 def first_last(w: BucketedWindow, value: str, first_name: str, last_name: str) -> DataFrame:
@@ -147,14 +160,14 @@ def first_last(w: BucketedWindow, value: str, first_name: str, last_name: str) -
     edges = w.df.groupBy(*w.keys).agg(
         w.first_in(F.col(value)).alias(first_name), w.last_in(F.col(value)).alias(last_name)
     )
-    return w.df.join(edges, list(w.keys))
+    return join_back(w.df, w.keys, edges)
 
 
 def partition_aggregate(
     df: DataFrame, keys: Sequence[str], *aggregates: Column
 ) -> DataFrame:
     """Aggregates ``OVER (PARTITION BY keys)``: partial aggregates, then a join back."""
-    return df.join(df.groupBy(*keys).agg(*aggregates), list(keys))
+    return join_back(df, keys, df.groupBy(*keys).agg(*aggregates))
 
 
 def running_sum(w: BucketedWindow, value: str, name: str) -> DataFrame:
@@ -168,7 +181,7 @@ def running_sum(w: BucketedWindow, value: str, name: str) -> DataFrame:
     total = F.when(F.col("before_").isNull(), F.col(name)).otherwise(
         F.col("before_") + F.coalesce(F.col(name), F.lit(0))
     )
-    return joined.withColumn(name, total).drop("before_", BUCKET)
+    return joined.withColumn(name, total).drop("before_")
 
 
 def rows_frame(

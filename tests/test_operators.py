@@ -31,7 +31,7 @@ def skewed(spark):
     data = [
         (rng.choice("aaaab"), rng.randrange(40), i, None if i % 9 == 0 else rng.randrange(100))
         for i in range(600)
-    ] + [("single", 5, 1000, None)]
+    ] + [("single", 5, 1000, None), (None, 3, 1001, 4), (None, 9, 1002, 5), (None, 3, 1003, None)]
     return spark.createDataFrame(data, "k string, at int, id int, v int")
 
 
