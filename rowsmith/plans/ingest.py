@@ -39,8 +39,9 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def parse_lines(df: DataFrame, names: list[str], options: DelimitedOptions) -> DataFrame:
-    fields = df.select(delimited.split_fields(F.col("line"), options).alias("fields"))
-    return delimited.fields_to_columns(fields, names, options.malformed)
+    return delimited.fields_to_columns(
+        delimited.record_rows(df, options), names, options.malformed
+    )
 
 
 # --- delimited text ---------------------------------------------------------------------
@@ -117,7 +118,7 @@ def csv_escape_char(t: Tables) -> DataFrame:
 )
 def csv_headerless(t: Tables) -> DataFrame:
     lines = render.lines_of(t.customer.select("c_custkey", "c_name", "c_mktsegment"))
-    fields = lines.select(delimited.split_fields(F.col("line")).alias("fields"))
+    fields = delimited.record_rows(lines)
     names = distinct_names(header_names([], delimited.table_width(fields)))
     return delimited.fields_to_columns(fields, names)
 

@@ -50,9 +50,8 @@ def json_records(t: Tables) -> DataFrame:
     second = F.struct((F.col("o_orderkey") * 2 + 1).alias("id"), F.col("o_orderpriority").alias("tag"))
     frames = []
     for doc in (F.array(first), F.struct(F.array(second).alias("records"))):
-        df = parsed(t.orders, doc)
-        records, _ = documents.root_records(F.col("doc"), df.schema["doc"].dataType)
-        frames.append(df.select(F.inline(records)))
+        records = documents.record_rows(parsed(t.orders, doc), "doc")
+        frames.append(records.select("record.id", "record.tag"))
     return frames[0].unionByName(frames[1])
 
 

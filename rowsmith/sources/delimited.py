@@ -96,6 +96,21 @@ def has_content(fields: Column) -> Column:
     return F.exists(fields, lambda cell: strip(cell) != "")
 
 
+def record_rows(
+    lines: DataFrame, options: DelimitedOptions = DelimitedOptions(), line: str = "line"
+) -> DataFrame:
+    """Add ``fields`` to the lines that have content; blank rows go.
+
+    A visible character outside delimiters and quotes settles it without cutting the
+    line; only lines of nothing but delimiters and quotes are cut to be sure.
+    """
+    marks = re.escape(options.delimiter + options.quote)
+    text, fields = F.col(line), split_fields(F.col(line), options)
+    doubtful = F.contains(text, F.lit(options.quote)) | text.rlike(r"[^\x00-\x7f]")
+    filled = text.rlike(rf"[\x21-\x7e&&[^{marks}]]") | (doubtful & has_content(fields))
+    return lines.filter(filled).withColumn("fields", fields)
+
+
 def fields_to_columns(
     df: DataFrame,
     names: Sequence[str],
@@ -103,11 +118,11 @@ def fields_to_columns(
     fields: str = "fields",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Blank rows go, cells are stripped and empty cells are NULL.
+    """Cells are stripped and empty cells are NULL.
 
     Rows of another width are padded, or dropped where ``malformed`` is ``skip``.
     """
-    rows = df.filter(has_content(F.col(fields)))
+    rows = df
     if malformed == "skip":
         rows = rows.filter(F.size(fields) == len(names))
     cells = [
@@ -193,21 +208,18 @@ def read_delimited(
         found = sniff_delimiter(ordered, "file", "order_")
         best = found.groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").first()
         options = replace(options, delimiter=best["delimiter"] if best else ",")
-    fields = split_fields(F.col("line"), options)
     head: list[str] | None = None
     if probe.spans_lines:
         pinned = checkpointed(decode_lines(lines, options.encoding, probe.latin1_files))
         records = join_quoted_lines(pinned, options.quote, options.escape)
-        rows = records.withColumn("fields", fields).filter(has_content(F.col("fields")))
+        rows = record_rows(records, options)
         if options.header:
             rows, head = _without_headers(rows)
     else:
         if options.header:
             header, lines = lines_below_header(spark, path)
-            head_row = spark.range(1).select(F.lit(header).alias("line")).select(fields)
-            head = head_row.first()[0]
-        decoded = decode_lines(lines, options.encoding, probe.latin1_files)
-        rows = decoded.withColumn("fields", fields).filter(has_content(F.col("fields")))
+            head = spark.range(1).select(split_fields(F.lit(header), options)).first()[0]
+        rows = record_rows(decode_lines(lines, options.encoding, probe.latin1_files), options)
     width = max(table_width(rows), len(head or ()))
     if width == 0:
         raise ValueError(f"no non-empty rows in {path}")

@@ -72,6 +72,14 @@ def root_records(document: Column, schema: T.DataType) -> tuple[Column, T.DataTy
     return F.array(document), schema
 
 
+def record_rows(df: DataFrame, document: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep..., record``: the records of each document."""
+    records, _ = root_records(F.col(document), df.schema[document].dataType)
+    # The outer form, as the inner one makes Spark parse the document again in a filter.
+    listed = df.select(*keep, F.posexplode_outer(records).alias("pos_", "record"))
+    return listed.filter("pos_ IS NOT NULL").drop("pos_")
+
+
 def read_json(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
     """``file, document``: one typed document per JSON file."""
     content = spark.read.format("binaryFile").load(path)

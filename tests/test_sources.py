@@ -259,9 +259,9 @@ def test_sqlite_file(spark, tmp_path):
 def test_json_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"items": [{"id": 1, "v": 1.5}, {"id": 2, "w": "x"}]}')
     df = documents.read_json(spark, str(tmp_path))
-    records, kind = documents.root_records(F.col("document"), df.schema["document"].dataType)
-    assert sorted(f.name for f in kind.fields) == ["id", "v", "w"]
-    out = df.select(F.inline(records)).select("id", "v", "w")
+    records = documents.record_rows(df, "document")
+    assert sorted(f.name for f in records.schema["record"].dataType) == ["id", "v", "w"]
+    out = records.select("record.id", "record.v", "record.w")
     assert sorted(rows(out), key=str) == [(1, 1.5, None), (2, None, "x")]
 
 
@@ -299,3 +299,9 @@ def test_typed_round_trip(spark, tmp_path):
     typed = coerce_columns(table.rows, infer_types(table.rows))
     assert [f.dataType.simpleString() for f in typed.schema] == ["bigint", "timestamp", "boolean", "double"]
     assert typed.filter("amount IS NULL OR at IS NULL OR ok IS NULL").count() == 0
+
+
+def test_blank_rows(texts):
+    lines = texts("", " , ", '"",""', ',"  "', '",",', "\u00a0,", "é,", "0,", "x", name="line")
+    kept = delimited.record_rows(lines).select("line")
+    assert sorted(rows(kept)) == [('",",',), ("0,",), ("x",), ("é,",)]
