@@ -86,3 +86,14 @@ def worker_store(name: str) -> dict:
     """
     holder = sys.modules.setdefault("rowsmith_worker_store", types.ModuleType("rowsmith_worker_store"))
     return holder.__dict__.setdefault(name, {})
+
+
+def small_batches(df: DataFrame, size: str = "16m") -> DataFrame:
+    """Send at most ``size`` of rows to Python at once, so long texts don't pile up in a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
+def text_of(scalar) -> str:
+    """The text of an Arrow value; NULL is empty."""
+    return scalar.as_py() or ""

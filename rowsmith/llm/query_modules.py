@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith.llm import mixing
+from rowsmith.llm import mixing, simhash
 from rowsmith.llm.common import table
 from rowsmith.llm.queries import query
 
@@ -43,3 +43,8 @@ FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN
 @query("op10_mixing", MIX_SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
