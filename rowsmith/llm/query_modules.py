@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith.llm import mixing, simhash
+from rowsmith.llm import mixing, simhash, token_files
 from rowsmith.llm.common import table
 from rowsmith.llm.queries import query
 
@@ -48,3 +49,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.encode_and_read(table(spark, sf_dir, "documents"), path, end_id=0)
