@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowsmith.llm import mixing, simhash, token_files
+from rowsmith.llm import mixing, neighbours, simhash, token_files
 from rowsmith.llm.common import table
 from rowsmith.llm.queries import query
 
@@ -55,3 +56,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), path, end_id=0)
+
+
+@query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
