@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import mixing, neighbours, simhash, token_files
+from rowsmith.llm import mixing, neighbours, personal_data, simhash, token_files
 from rowsmith.llm.common import table
 from rowsmith.llm.queries import query
 
@@ -61,3 +61,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_neighbours")
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(personal_data.personal_data(table(spark, sf_dir, "documents")))

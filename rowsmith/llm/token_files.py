@@ -16,9 +16,10 @@ by text and stay documents of their own. An empty table gives no files but their
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,8 @@ from rowsmith.session import scratch_folder
 
 BLOCK = 1 << 16
 LEVEL = 3
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
-#: Documents whose unknown pieces are encoded together.
-GROUP = 256
-
+#: Words whose ids a worker keeps, and those that wait to be seen again.
+KEPT_WORDS, YOUNG_WORDS = 400_000, 200_000
 
 #: Fixed value: how byte-level tokenizers cut text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,8 +50,50 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class WordIds(dict):
+    """Ids of words (with the space or line end before them), encoded when first asked for.
+
+    A new word waits among the young ones; only if it is seen again before those are dropped is it kept, so memory
+    holds the words that come back.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.tokenize, self.young = tokenizer.model.tokenize, {}
+        self.letters, self.cut = _byte_letters(), regex.compile(PIECES).findall
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.young.pop(word, None)
+        if ids is not None:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+            return ids
+        bare = word[1:] if word[:1] == " " else word
+        stem = bare.rstrip(string.punctuation)
+        if not stem.isalpha():
+            parts = self.cut(word)
+        elif stem is bare:
+            parts = [word]
+        else:
+            parts = [word[: len(stem) - len(bare)], bare[len(stem) :]]
+        ids = self._encoded(word) if len(parts) == 1 else b"".join([self[p] for p in parts])
+        if len(self.young) >= YOUNG_WORDS:
+            self.young.clear()
+        self.young[word] = ids
+        return ids
+
+    def _encoded(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha():
+            shown = piece.replace(" ", self.letters[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteTokenizer:
-    """Ids of whole texts by a byte-level tokenizer, each different word encoded once per worker.
+    """Ids of whole texts by a byte-level tokenizer, with a memory for words.
 
     Such a tokenizer merges inside pieces only, and no piece goes on over white space that follows something
     else. So a text is cut before each space and line end, ids of words known already are looked up, and the
@@ -67,57 +107,20 @@ class ByteTokenizer:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             tokenizer = Tokenizer.from_file(path)
             special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            store.update(tokenizer=tokenizer, special=special, words={}, pieces={})
-        self.tokenizer, self.special = store["tokenizer"], store["special"]
-        self.words, self.pieces = store["words"], store["pieces"]
-        self.letters, self.cut = _byte_letters(), regex.compile(PIECES)
-
-    def _whole(self, text: str) -> bytes:
+            store.update(tokenizer=tokenizer, special=special, words=WordIds(tokenizer))
+        self.tokenizer, self.special, self.words = store["tokenizer"], store["special"], store["words"]
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        plain = len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps
+        if plain and not any(s in text for s in self.special):
+            # Plain text holds no other white space, so this mark is free to use.
+            cut = text.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c")
+            return b"".join(map(self.words.__getitem__, cut))
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: Iterable[str]) -> None:
-        """``new``: words with the space or line end before them, if any."""
-        pieces, letters, model = self.pieces, self.letters, self.tokenizer.model
-        space = letters[ord(" ")]
-        for word in new:
-            parts = [word] if word[word[0] == " " :].isalpha() else self.cut.findall(word)
-            ids = b""
-            for part in parts:
-                found = pieces.get(part)
-                if found is None:
-                    bare = part[part[0] == " " :]
-                    if bare.isascii() and bare.isalnum():
-                        shown = part.replace(" ", space)
-                    else:
-                        shown = part.encode().decode("latin-1").translate(letters)
-                    tokens = model.tokenize(shown)
-                    found = pieces[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-                ids += found
-            self.words[word] = ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.words
-        if len(known) > KEPT_WORDS:
-            known.clear()
-            self.pieces.clear()
-        cut: list[list[str] | None] = []
-        for text in texts:
-            words, gaps = text.split(), text.count(" ") + text.count("\n")
-            plain = len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps
-            if plain and not any(s in text for s in self.special):
-                # Plain text holds no other white space, so this mark is free to use.
-                cut.append(text.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c"))
-            else:
-                cut.append(None)
-        self._learn({w for words in cut if words for w in words if w not in known})
-        look = known.__getitem__
-        return [
-            self._whole(text) if words is None else b"".join(map(look, words))
-            for text, words in zip(texts, cut, strict=True)
-        ]
-
 
 def to_planes(ids: np.ndarray, bits: bool = False, level: int = LEVEL) -> list[bytes]:
     """Byte planes (4) or bit planes (32) of unsigned 32-bit ids, each compressed; zero planes stay tiny."""
@@ -140,15 +143,6 @@ def from_planes(planes: list[bytes], n_ids: int) -> np.ndarray:
     return np.packbits(rows, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def _encoded(tokenizer: ByteTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
-    """Ids of one document after the other, learned some at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, GROUP):
-            part = batch.slice(at, GROUP)
-            texts = [text or "" for text in part.column("text").to_pylist()]
-            yield from zip(part.column("id").to_pylist(), tokenizer.encode(texts), strict=True)
-
-
 CHUNK_SCHEMA = (
     "part int, chunk int, n_ids int, planes array<binary>, "
     "pieces array<struct<seq:long, doc_id:long, at:int, n:int, piece:int>>"
@@ -171,8 +165,9 @@ def _write_chunks(path: str, end_id: int, block: int, bits: bool, level: int):
             names = ["part", "chunk", "n_ids", "planes", "pieces"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for doc_id, encoded in _encoded(tokenizer, batches):
-            raw, piece = encoded + end, 0
+        rows = (row for batch in batches for row in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True))
+        for doc_id, text in rows:
+            raw, piece = tokenizer.encode(text.as_py() or "") + end, 0
             while raw:
                 now = raw[: 4 * (block - size)]
                 pieces.append({"seq": seq, "doc_id": doc_id, "at": size, "n": len(now) // 4, "piece": piece})
