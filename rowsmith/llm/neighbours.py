@@ -154,14 +154,23 @@ def _index_rows(forest: Forest):
     return run
 
 
-def _query_rows(forest: Forest, leaves: int):
+def _query_rows(forest: Forest, leaves: int, sample: np.ndarray, k: int):
+    """A row for each leaf a query reads, and the least score that can still be among its best.
+
+    That is the score of the ``k`` + 1st best vector of the sample: the sample is part of the index, so nothing
+    below it is among the best of all.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, vector in enumerate(_matrix(batch.column("vec"))):
+                floor = -np.inf
+                if len(sample) > k:
+                    floor = float(np.partition(sample @ vector, len(sample) - k - 1)[len(sample) - k - 1])
                 keys = [tree << 40 | leaf for tree, leaf in forest.nearest_leaves(vector, leaves)]
                 same = pa.array([at] * len(keys), pa.int32())
-                columns = [pa.array(keys, pa.int64()), batch.column("point").take(same), batch.column("vec").take(same)]
-                yield pa.RecordBatch.from_arrays(columns, ["leaf", "point", "vec"])
+                columns = [batch.column("point").take(same), batch.column("vec").take(same), pa.array([floor] * len(keys), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], ["leaf", "point", "vec", "floor"])
 
     return run
 
@@ -173,6 +182,8 @@ def _block_scores(k: int):
         keep = min(k + 1, scores.shape[1])
         # Rounding differs between block shapes, so a little below the last one is kept too.
         edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+        edge = np.maximum(edge, queries["floor"].to_numpy())
+        edge[~np.isfinite(edge)] = scores.min()
         a, b = np.nonzero(scores >= (edge - 1e-9 * np.abs(edge) - 1e-12)[:, None])
         exact = np.zeros(len(a))
         for column in range(q.shape[1]):
@@ -200,8 +211,8 @@ def _candidates(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     rows = rows.withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
     queries = visits.join(sizes, visits["leaf"] == sizes["s_leaf"]).withColumn("qc", own_query)
     queries = queries.withColumn("rc", F.explode(F.sequence(F.lit(0), F.col("row_chunks") - 1)))
-    kept = ["leaf", "rc", "qc", "point", "vec"]
-    left, right = (side.select(*kept).groupBy("leaf", "rc", "qc") for side in (queries, rows))
+    key = ["leaf", "rc", "qc"]
+    left, right = queries.select(*key, "point", "vec", "floor").groupBy(*key), rows.select(*key, "point", "vec").groupBy(*key)
     return left.cogroup(right).applyInPandas(_block_scores(k), "q long, point long, score double")
 
 
@@ -224,12 +235,13 @@ def nearest(
     asked = rows.filter(is_query).select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec"))
     asked = saved(asked.join(points, asked["q_vec"] == points["vec"]).select("query_id", "point"), "asked")
     queries = points.join(asked.select("point").distinct(), "point", "left_semi").select("point", "vec")
-    sample = points.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toArrow()
-    forest = Forest(_matrix(sample.column("vec").combine_chunks()), points.count(), trees, leaf)
+    drawn = points.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toArrow()
+    sample = _matrix(drawn.column("vec").combine_chunks())
+    forest = Forest(sample, points.count(), trees, leaf)
     leaves = leaves_needed(points, queries, forest, k, PROBES, recall)
     schema = "leaf long, point long, vec array<double>"
     index = points.select("point", "vec").mapInArrow(_index_rows(forest), schema)
-    visits = queries.mapInArrow(_query_rows(forest, leaves), schema)
+    visits = queries.mapInArrow(_query_rows(forest, leaves, sample, k), f"{schema}, floor double")
     found = saved(_candidates(index, visits, k).dropDuplicates(["q", "point"]), "candidates")
 
     named = found.join(points.select("point", "ids"), "point")
