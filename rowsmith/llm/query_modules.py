@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import mixing, neighbours, personal_data, simhash, token_files
+from rowsmith.llm import language, mixing, neighbours, personal_data, simhash, token_files
 from rowsmith.llm.common import table
 from rowsmith.llm.queries import query
 
@@ -66,3 +66,8 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_personal_data")
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digests(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
