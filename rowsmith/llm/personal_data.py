@@ -180,11 +180,15 @@ def _joined(column: str):
     return F.array_join(shown, ",")
 
 
+def _of_kind(column: str, kind: str):
+    return F.size(F.filter(column, lambda s: s["kind"] == kind))
+
+
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the hash of their spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     rows = found.withColumn("base", base)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [_of_kind("base", kind).cast("long").alias(f"n_{kind}") for kind in BASE]
     hashed = F.sha2(_joined("base"), 256).alias("base_sha256")
     mean = F.aggregate("spans", F.lit(0.0), lambda total, s: total + s["score"]) / F.greatest(F.size("spans"), F.lit(1))
     return rows.select(id_col, *counts, hashed, _joined("spans").alias("spans"), mean.alias("mean_score"))
