@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import language, mixing, neighbours, personal_data, simhash, token_files
+from rowsmith.llm import language, mixing, neighbours, personal_data, simhash, token_files, toxicity
 from rowsmith.llm.common import table
 from rowsmith.llm.queries import query
 
@@ -71,3 +71,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language")
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
