@@ -6,9 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import language, mixing, neighbours, personal_data, simhash, token_files, toxicity
-from rowsmith.llm.common import table
+from rowsmith.llm import language, mixing, neighbours, personal_data, simhash, token_counts, token_files, toxicity
+from rowsmith.llm.common import saved, table, word_count
 from rowsmith.llm.queries import query
+from rowsmith.session import scratch_folder
+
+#: Second version of the word tokenizer: runs of ASCII letters, single digits, any other single character.
+WORDS_2 = r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]"
+
+COUNTS_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang, COALESCE(length(text), 0) AS chars,
+    COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words_1,
+    COALESCE(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]')), 0) AS words_2,
+    min(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS first_id FROM documents)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens
+FROM (
+  SELECT source, lang, 'chars-1' AS tokenizer, chars AS tokens FROM counted WHERE doc_id = first_id
+  UNION ALL SELECT source, lang, 'words-1', words_1 FROM counted WHERE doc_id = first_id
+  UNION ALL SELECT source, lang, 'words-2', words_2 FROM counted WHERE doc_id = first_id)
+GROUP BY source, lang, tokenizer
+"""
 
 MIX_SQL = r"""
 WITH sized AS (
@@ -76,3 +94,39 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_token_counts", COUNTS_SQL)
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus arrives with declared lengths, those are recounted, a second word tokenizer comes, copies are withdrawn.
+
+    Every batch is delivered twice, as a retried job would.
+    """
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    words_2 = F.coalesce(F.regexp_count("text", F.lit(WORDS_2)), F.lit(0)).cast("long")
+    counted = docs.select(
+        "doc_id", "source", "lang", "n_chars", F.char_length(text).cast("long").alias("chars"),
+        word_count(F.col("text")).alias("words_1"), words_2.alias("words_2"), F.md5(text).alias("content"),
+    )
+    counted = saved(counted, "counted")
+    first = counted.groupBy(F.col("content").alias("f_content")).agg(F.min("doc_id").alias("first_id"))
+    copies = counted.join(first, F.col("content") == F.col("f_content")).filter("doc_id != first_id")
+
+    def under(rows: DataFrame, tokenizer: str, tokens: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_chars", F.col(tokens).alias("tokens"))
+
+    declared, words = under(counted, "chars-1", "n_chars"), under(counted, "words-1", "words_1")
+    gone = [under(copies, t, c) for t, c in (("chars-1", "chars"), ("words-1", "words_1"), ("words-2", "words_2"))]
+    batches = {
+        "1-arrival": token_counts.all_of(token_counts.inserted(declared), token_counts.inserted(words)),
+        "2-recount": token_counts.revised(under(counted, "chars-1", "chars"), "n_chars", "tokens"),
+        "3-second-tokenizer": token_counts.inserted(under(counted, "words-2", "words_2")),
+        "4-copies-withdrawn": token_counts.all_of(*map(token_counts.deleted, gone)),
+    }
+    totals = token_counts.TokenCounts(spark, scratch_folder(spark, "token-counts"))
+    for _ in range(2):
+        for batch_id, changes in batches.items():
+            totals.apply(batch_id, changes)
+    totals.compact()
+    return totals.totals()
