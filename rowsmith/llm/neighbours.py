@@ -155,19 +155,27 @@ def _index_rows(forest: Forest):
 
 
 def _query_rows(forest: Forest, leaves: int, sample: np.ndarray, k: int):
-    """A row for each leaf a query reads, and the least score that can still be among its best.
+    """A row for each leaf a query reads, and the least score that can still be among its best found.
 
-    That is the score of the ``k`` + 1st best vector of the sample: the sample is part of the index, so nothing
-    below it is among the best of all.
+    That is the score of the ``k`` + 1st best vector of the sample in those leaves: the sample is part of the index,
+    so the query finds these, and nothing below them is among the best of what it finds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: dict[int, np.ndarray] = {}
+        for tree in range(forest.trees if len(sample) else 0):
+            home = forest.leaf_of(sample, tree)
+            order = np.argsort(home, kind="stable")
+            names, starts = np.unique(home[order], return_index=True)
+            members |= {tree << 40 | int(n): some for n, some in zip(names, np.split(order, starts[1:]), strict=True)}
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for at, vector in enumerate(_matrix(batch.column("vec"))):
-                floor = -np.inf
-                if len(sample) > k:
-                    floor = float(np.partition(sample @ vector, len(sample) - k - 1)[len(sample) - k - 1])
                 keys = [tree << 40 | leaf for tree, leaf in forest.nearest_leaves(vector, leaves)]
+                met = np.unique(np.concatenate([members.get(key, none) for key in keys]))
+                floor = -np.inf
+                if len(met) > k:
+                    floor = float(np.partition(sample[met] @ vector, len(met) - k - 1)[len(met) - k - 1])
                 same = pa.array([at] * len(keys), pa.int32())
                 columns = [batch.column("point").take(same), batch.column("vec").take(same), pa.array([floor] * len(keys), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], ["leaf", "point", "vec", "floor"])
