@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
+from rowsmith.llm import decontamination, language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
 from rowsmith.llm.common import saved, table, word_count
 from rowsmith.llm.queries import query
 from rowsmith.session import scratch_folder
@@ -135,3 +135,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pseudo_likelihood")
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
