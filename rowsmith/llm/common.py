@@ -64,13 +64,14 @@ def row_copies(docs: DataFrame, id_col: str, copies: DataFrame) -> DataFrame:
     ``hash`` is ``row_hash`` of the row. Rows that are equal in every hashed column share one entry, where
     ``rows`` says how many they are and ``copies`` how many rows remain of all of them together.
     """
-    key, total, many = (free_name(docs, n) for n in ("rs_hash", "rs_copies", "rs_rows"))
+    key, total, many, same_id, same_key = (free_name(docs, f"rs_{n}") for n in ("hash", "copies", "rows", "same_id", "same_key"))
     own = docs.withColumn(key, row_hash(docs))
     facts = copies.select(
-        F.col("id").alias("rs_id"), F.col("hash").alias("rs_key"), F.col("copies").alias(total), F.col("rows").alias(many)
+        F.col("id").alias(same_id), F.col("hash").alias(same_key), F.col("copies").alias(total), F.col("rows").alias(many)
     )
     facts = facts.filter(F.col(total) > 0)
-    joined = own.join(facts, own[id_col].eqNullSafe(facts["rs_id"]) & (own[key] == facts["rs_key"])).drop("rs_id", "rs_key")
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(same_id)) & (F.col(key) == F.col(same_key))
+    joined = own.join(facts, match).drop(same_id, same_key)
     one = joined.filter(F.col(many) == 1)
     equal = joined.filter(F.col(many) > 1).dropDuplicates([id_col, key])
     rows = one.unionByName(equal)

@@ -202,7 +202,7 @@ def train(docs: DataFrame, is_training: Column, id_col: str, text_col: str, lang
             model.learn(*rows[i], int(labels[i]))
     weights = model.weights(np.arange(BUCKETS + 1))
     unseen = [i for i in range(0, len(rows), 5)]
-    logits = np.array([rows[i][1] @ weights[rows[i][0]] for i in unseen]).reshape(len(unseen), -1)
+    logits = np.array([rows[i][1] @ weights[rows[i][0]] for i in unseen]).reshape(len(unseen), weights.shape[1])
     return LanguageModel(names, idf, weights, best_temperature(logits, labels[unseen]))
 
 

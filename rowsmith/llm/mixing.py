@@ -36,7 +36,7 @@ HASH_SPAN = 16**13
 def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, source, size and content hash of every row, written once; ``row`` numbers the rows."""
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
         row_hash(docs).alias("hash"),

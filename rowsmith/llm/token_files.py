@@ -4,9 +4,8 @@ Documents are sorted by id over all partitions; the ids of each, followed by the
 the other. Blocks of a fixed number of ids are turned into planes: plane ``k`` holds byte (or bit) ``k`` of every
 id of the block, so each plane is far more even than the ids. Every plane is its own zstandard frame.
 
-Layout of a folder: ``chunks`` has one row per block (part, chunk, first, n_ids, planes), ``documents`` one row per
-document and block it touches (its id, where its ids start in the block, how many) and ``index`` one row per part and
-chunk (first id of all, n_ids, bytes). They are Parquet so that Spark's commit protocol makes them whole or absent when an executor
+Layout of a folder: ``chunks`` has one row per block (part, chunk, n_ids, planes, and for each document in it its id,
+where its ids start and how many) and ``index`` one row per block (part, chunk, first id of all, n_ids, bytes). They are Parquet so that Spark's commit protocol makes them whole or absent when an executor
 is lost, on any file system Spark can write to; the planes themselves are not compressed again.
 
 Nulls: a NULL text is empty, so it has the end id only; a NULL id sorts first. Rows of equal id follow each other
@@ -147,6 +146,7 @@ CHUNK_SCHEMA = (
     "part int, chunk int, n_ids int, planes array<binary>, "
     "pieces array<struct<seq:long, doc_id:long, at:int, n:int, piece:int>>"
 )
+INDEX_SCHEMA = "part int, chunk int, first long, n_ids int, bytes long"
 _PIECE = pa.list_(pa.struct([("seq", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("piece", pa.int32())]))
 
 
@@ -202,7 +202,7 @@ def write_token_files(
     chunks = small_batches(ordered).mapInArrow(_write_chunks(tokenizer_path, end_id, block, bits, level), CHUNK_SCHEMA)
     chunks.write.option("compression", "uncompressed").parquet(f"{folder}/chunks")
     spark = docs.sparkSession
-    facts = spark.read.parquet(f"{folder}/chunks")
+    facts = spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks")
     sizes = F.aggregate("planes", F.lit(0).cast("long"), lambda total, p: total + F.octet_length(p))
     parts = facts.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -235,13 +235,13 @@ PIECE_SCHEMA = "part int, chunk int, seq long, doc_id long, piece int, at int, n
 
 def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids as they lie in the blocks: one row per document and block, ids as bytes."""
-    chunks = small_batches(spark.read.parquet(f"{folder}/chunks"))
+    chunks = small_batches(spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks"))
     return chunks.mapInArrow(_read_pieces, PIECE_SCHEMA)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start and ids (little-endian unsigned 32-bit) of every document."""
-    first = spark.read.parquet(f"{folder}/index").select("part", "chunk", "first")
+    first = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index").select("part", "chunk", "first")
     pieces = read_pieces(spark, folder).join(first, ["part", "chunk"])
     ordered = F.array_sort(F.collect_list(F.struct("piece", "ids")))
     docs = pieces.groupBy("part", "seq", "doc_id").agg(F.min(F.col("first") + F.col("at")).alias("start"), ordered.alias("p"))
@@ -299,7 +299,7 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     Blocks are opened where they are read; only a checksum and a length of each piece are shuffled, and the
     checksums of documents that lie in several blocks are put together from those.
     """
-    first = spark.read.parquet(f"{folder}/index").select("part", "chunk", "first")
+    first = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index").select("part", "chunk", "first")
     schema = PIECE_SCHEMA.replace("ids binary", "crc long")
     pieces = read_pieces(spark, folder).mapInArrow(_digests, schema).join(first, ["part", "chunk"])
     docs = pieces.groupBy("part", "seq", "doc_id").agg(
