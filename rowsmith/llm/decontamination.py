@@ -128,17 +128,19 @@ def latent_basis(encoded: DataFrame, idf: np.ndarray) -> np.ndarray:
     sketch[found.column("feature").to_numpy(), found.column("at").to_numpy()] = found.column("value").to_numpy()
     vectors, spread = nystroem(sketch, _random_matrix())
     # Equal spread in every direction, so the few directions of common words don't decide the cosine.
-    return vectors[:, :RANK] / np.sqrt(np.maximum(spread[:RANK], 1e-6 * max(spread[0], 1e-30)))
+    return vectors[:, :RANK] / np.sqrt(np.maximum(spread[:RANK], 1e-6 * max(float(spread[0]), 1e-30)))
 
 
 def nystroem(sketch: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvectors and eigenvalues of G, largest first, from ``sketch`` = G R of a positive semidefinite G."""
-    shift = 1e-9 * max(float(np.linalg.norm(sketch)), 1e-30)
-    shifted = sketch + shift * random
-    core = random.T @ shifted
-    root = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(core.shape[0]))
-    vectors, values, _ = np.linalg.svd(np.linalg.solve(root, shifted.T).T, full_matrices=False)
-    return vectors, np.maximum(values**2 - shift, 0)
+    core = random.T @ sketch
+    spread, turn = np.linalg.eigh((core + core.T) / 2)
+    # Directions that a small or uniform corpus doesn't fill are left out; they would only hold rounding.
+    kept = spread > 1e-6 * max(float(spread[-1]), 1e-30)
+    vectors, values, _ = np.linalg.svd(sketch @ (turn[:, kept] / np.sqrt(spread[kept])), full_matrices=False)
+    found = np.zeros_like(sketch)
+    found[:, : vectors.shape[1]] = vectors
+    return found, np.append(values**2, np.zeros(sketch.shape[1] - len(values)))
 
 
 @dataclass
