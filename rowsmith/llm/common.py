@@ -81,12 +81,18 @@ def row_copies(docs: DataFrame, id_col: str, copies: DataFrame) -> DataFrame:
 
 
 def worker_store(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker.
+    """A dictionary that lives as long as the Python worker, or until the worker asks for another one.
 
-    Functions travel by value, so their module globals are new in every task; this is not.
+    Functions travel by value, so their module globals are new in every task; this is not. Only one is kept: a worker
+    that goes on to another operator's task gives back what the one before remembered.
     """
     holder = sys.modules.setdefault("rowsmith_worker_store", types.ModuleType("rowsmith_worker_store"))
-    return holder.__dict__.setdefault(name, {})
+    stores = holder.__dict__.setdefault("stores", {})
+    if name not in stores:
+        for other in stores.values():
+            other.clear()
+        stores.clear()
+    return stores.setdefault(name, {})
 
 
 def small_batches(df: DataFrame, size: str = "16m") -> DataFrame:

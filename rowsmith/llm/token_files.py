@@ -214,29 +214,36 @@ def write_token_files(
     index.write.parquet(f"{folder}/index")
 
 
-def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["part", "chunk", "seq", "doc_id", "piece", "at", "n", "ids"]
-    for batch in batches:
-        for row in range(batch.num_rows):
-            part, chunk, n_ids, planes, pieces = (batch.column(k)[row].as_py() for k in ("part", "chunk", "n_ids", "planes", "pieces"))
-            ids = from_planes(planes, n_ids).astype("<u4")
-            for start in range(0, len(pieces), 4096):
-                some = pieces[start : start + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int32())]
-                    + [pa.array([p[k] for p in some], t) for k, t in (("seq", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("at", pa.int32()), ("n", pa.int32()))]
-                    + [pa.array([ids[p["at"] : p["at"] + p["n"]].tobytes() for p in some], pa.binary())],
-                    names,
-                )
+def _read_pieces(of_ids, kind: pa.DataType):
+    """Rows of document pieces; what ``of_ids`` makes of a piece's bytes is the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"seq": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "at": pa.int32(), "n": pa.int32()}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, chunk, n_ids, planes, pieces = (batch.column(k)[row].as_py() for k in ("part", "chunk", "n_ids", "planes", "pieces"))
+                raw = memoryview(from_planes(planes, n_ids).astype("<u4")).cast("B")
+                for start in range(0, len(pieces), 4096):
+                    some = pieces[start : start + 4096]
+                    where = [pa.array([value] * len(some), pa.int32()) for value in (part, chunk)]
+                    facts = [pa.array([p[name] for p in some], t) for name, t in kinds.items()]
+                    made = pa.array([of_ids(raw[4 * p["at"] : 4 * (p["at"] + p["n"])]) for p in some], kind)
+                    yield pa.RecordBatch.from_arrays([*where, *facts, made], ["part", "chunk", *kinds, "made"])
+
+    return run
+
 
+PIECE_SCHEMA = "part int, chunk int, seq long, doc_id long, piece int, at int, n int"
 
-PIECE_SCHEMA = "part int, chunk int, seq long, doc_id long, piece int, at int, n int, ids binary"
+
+def _pieces(spark: SparkSession, folder: str, of_ids, kind: pa.DataType, made: str) -> DataFrame:
+    chunks = small_batches(spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks"))
+    return chunks.mapInArrow(_read_pieces(of_ids, kind), f"{PIECE_SCHEMA}, made {made}")
 
 
 def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids as they lie in the blocks: one row per document and block, ids as bytes."""
-    chunks = small_batches(spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks"))
-    return chunks.mapInArrow(_read_pieces, PIECE_SCHEMA)
+    return _pieces(spark, folder, bytes, pa.binary(), "binary").withColumnRenamed("made", "ids")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,13 +284,6 @@ def crc_of_parts(parts: list[tuple[int, int]]) -> int:
     return total
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crcs = pa.array([zlib.crc32(v.as_buffer()) for v in batch.column("ids")], pa.int64())
-        kept = ["part", "chunk", "seq", "doc_id", "piece", "at", "n"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], crcs], [*kept, "crc"])
-
-
 def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = [crc_of_parts([(p["crc"], 4 * p["n"]) for p in parts]) for parts in batch.column("p").to_pylist()]
@@ -300,8 +300,8 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     checksums of documents that lie in several blocks are put together from those.
     """
     first = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index").select("part", "chunk", "first")
-    schema = PIECE_SCHEMA.replace("ids binary", "crc long")
-    pieces = read_pieces(spark, folder).mapInArrow(_digests, schema).join(first, ["part", "chunk"])
+    pieces = _pieces(spark, folder, zlib.crc32, pa.int64(), "long").withColumnRenamed("made", "crc")
+    pieces = pieces.join(first, ["part", "chunk"])
     docs = pieces.groupBy("part", "seq", "doc_id").agg(
         F.min(F.col("first") + F.col("at")).alias("start"),
         F.sum(F.col("n").cast("long")).alias("n_tokens"),
