@@ -30,7 +30,7 @@ from rowsmith.llm.common import saved, small_batches
 
 FEATURES, RANK, OVERSAMPLE = 1024, 96, 8
 PASSAGE, STEP = 64, 8
-COSINE = 0.38
+COSINE = 0.35
 VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.75, 0.5, 6, 0.8
 #: A word that fewer than one passage in 20 has says something; of those half must be there too.
 RARE, RARE_SHARE = 3.0, 0.5
