@@ -311,7 +311,9 @@ def refined_frame(
     names = [F.col(f"`{name}`") for name in declared]
     pairs = [x for name, kind in declared.items() for x in (F.lit(name), F.lit(kind))]
     given = F.create_map(*pairs)[F.col("name")]
-    sample = evidence_frame(df.select(*names).limit(sample_rows))
+    # The first rows as they are read; a limit alone would take whichever task is done first.
+    first = df.select(*names, F.monotonically_increasing_id().alias("read_")).orderBy("read_").limit(sample_rows)
+    sample = evidence_frame(first.drop("read_"))
     return sample.select(
         F.col("name").alias("column_name"), refined_type(given).alias("target_type")
     )

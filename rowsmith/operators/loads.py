@@ -111,29 +111,50 @@ def load_tables(
 ) -> list[str]:
     """Write all tables, or none: stage every table first, publish when all are written.
 
-    ``if_exists`` is ``error``, ``replace`` or ``append``.
+    ``if_exists`` is ``error``, ``replace`` or ``append``. Old tables are kept under another name until
+    every new one is published; a failure on the way brings all of them back.
     """
+    if if_exists not in ("error", "replace", "append"):
+        raise ValueError(f"if_exists is error, replace or append, not {if_exists!r}")
     order = load_order({t: (references or {}).get(t, ()) for t in tables})
     if if_exists == "error":
         taken = [t for t in order if spark.catalog.tableExists(t)]
         if taken:
             raise ValueError(f"tables already exist: {taken}")
-    staged = [f"{table}__staging" for table in order]
+    staged = {table: f"{table}__staging" for table in order}
+    old = {table: f"{table}__old" for table in order if spark.catalog.tableExists(table)}
+    published: list[str] = []
     try:
-        for table, stage in zip(order, staged):
-            tables[table].write.mode("overwrite").saveAsTable(stage)
-        for table, stage in zip(order, staged):
-            if if_exists == "append":
-                spark.table(stage).write.mode("append").saveAsTable(table)
-            else:
+        for table, stage in staged.items():
+            rows = tables[table]
+            if if_exists == "append" and table in old:
+                rows = spark.table(table).unionByName(rows)
+            rows.write.mode("overwrite").saveAsTable(stage)
+        for table, stage in staged.items():
+            published.append(table)
+            if table in old:
+                spark.sql(f"ALTER TABLE {table} RENAME TO {old[table]}")
+            _publish(spark, stage, table)
+    except BaseException:
+        for table in published:
+            if table not in old or spark.catalog.tableExists(old[table]):
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
-                spark.sql(f"ALTER TABLE {stage} RENAME TO {table}")
+            if table in old and spark.catalog.tableExists(old[table]):
+                spark.sql(f"ALTER TABLE {old[table]} RENAME TO {table}")
+        raise
+    else:
+        for kept in old.values():
+            spark.sql(f"DROP TABLE {kept}")
     finally:
-        for stage in staged:
+        for stage in staged.values():
             spark.sql(f"DROP TABLE IF EXISTS {stage}")
     return order
 
 
+def _publish(spark: SparkSession, stage: str, table: str) -> None:
+    spark.sql(f"ALTER TABLE {stage} RENAME TO {table}")
+
+
 def import_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``table_name, row_count, column_count, columns`` of every table, one count each."""
     counts = [

@@ -7,7 +7,8 @@ and repeatable without a global counter, a sort or a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,14 +36,20 @@ class NormalizedTables:
     relations: dict[str, ParentRelation] = field(default_factory=dict)
 
 
+def _joined_lists(lists: Column, kind: T.ArrayType) -> Column:
+    """The items of all lists; a NULL among the lists stays one NULL item."""
+    none = F.array(F.lit(None).cast(kind.elementType))
+    return F.flatten(F.transform(lists, lambda one: F.coalesce(one, none)))
+
+
 def _get(value: Column, name: str) -> Column:
     return value.getField(name)
 
 
-def flat_columns(value: Column, kind: T.DataType, prefix: str = "") -> Iterator[Column]:
+def flat_columns(value: Column, kind: T.DataType, prefix: str = "") -> Iterator[tuple[str, Column]]:
     """``a__b`` columns for objects inside objects; lists as JSON text; a scalar is ``value``."""
     if not isinstance(kind, T.StructType):
-        yield value.alias(prefix or "value")
+        yield prefix or "value", value
         return
     for f in kind.fields:
         name = f"{prefix}__{f.name}" if prefix else f.name
@@ -50,15 +57,20 @@ def flat_columns(value: Column, kind: T.DataType, prefix: str = "") -> Iterator[
         if isinstance(f.dataType, T.StructType):
             yield from flat_columns(inner, f.dataType, name)
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.VariantType)):
-            yield F.to_json(inner).alias(name)
+            yield name, F.to_json(inner)
         else:
-            yield inner.alias(name)
+            yield name, inner
+
+
+def named_columns(pairs: Iterable[tuple[str, Column]]) -> list[Column]:
+    """One column per name; where a key equals a flattened name, the later one stays."""
+    return [value.alias(name) for name, value in dict(pairs).items()]
 
 
 def flatten(df: DataFrame, record: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per record, nested objects as ``__`` joined columns."""
     kind = df.schema[record].dataType
-    return df.select(*keep, *flat_columns(F.col(record), kind))
+    return df.select(*keep, *named_columns(flat_columns(F.col(record), kind)))
 
 
 def drift_union(frames: list[DataFrame]) -> DataFrame:
@@ -77,12 +89,12 @@ def has_nested_list(kind: T.DataType) -> bool:
 
 def _split(
     value: Column, kind: T.StructType, prefix: str = ""
-) -> tuple[list[Column], list[tuple[str, Column, T.ArrayType]]]:
+) -> tuple[list[tuple[str, Column]], list[tuple[str, Column, T.ArrayType]]]:
     """Own columns and child lists of an object.
 
     Objects that hold a list somewhere join names by ``_``; objects without use ``__``.
     """
-    own: list[Column] = []
+    own: list[tuple[str, Column]] = []
     children: list[tuple[str, Column, T.ArrayType]] = []
     for f in kind.fields:
         name = f"{prefix}_{f.name}" if prefix else f.name
@@ -96,10 +108,19 @@ def _split(
         elif isinstance(f.dataType, T.StructType):
             own += list(flat_columns(inner, f.dataType, name))
         else:
-            own.append(inner.alias(name))
+            own.append((name, inner))
     return own, children
 
 
+def union_tables(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of both; a column they type differently becomes text, one they lack is NULL."""
+    kinds = dict(second.dtypes)
+    odd = [n for n, kind in first.dtypes if kinds.get(n, kind) != kind]
+    for name in odd:
+        first, second = (t.withColumn(name, F.col(f"`{name}`").cast("string")) for t in (first, second))
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def normalize(
     df: DataFrame, record: str, name: str, key: str | None = None
 ) -> NormalizedTables:
@@ -127,21 +148,29 @@ def _add_table(
     keys = [ID] if parent is None else [ID, PARENT_ID]
     if parent is not None:
         result.relations[name] = ParentRelation(parent)
+    def add(table: DataFrame) -> None:
+        known = result.tables.get(name)
+        result.tables[name] = table if known is None else union_tables(known, table)
+
     if not isinstance(kind, T.StructType):
-        result.tables[name] = source.select(*keys, F.col("record_").alias("value"))
+        add(source.select(*keys, F.col("record_").alias("value")))
         return
     own, children = _split(F.col("record_"), kind)
-    result.tables[name] = source.select(*keys, *own)
+    add(source.select(*keys, *named_columns(own)))
+    met: Counter[str] = Counter()
     for child, items, list_kind in children:
+        met[child] += 1
+        # Two lists of one name share a table; their ids stay apart.
+        step = child if met[child] == 1 else f"{child}~{met[child]}"
         # A list inside a list adds its items to the same child table.
         while isinstance(list_kind.elementType, T.ArrayType):
-            items, list_kind = F.flatten(F.filter(items, lambda x: x.isNotNull())), list_kind.elementType
+            items, list_kind = _joined_lists(items, list_kind.elementType), list_kind.elementType
         # The outer form, as the inner one makes Spark parse the record again in a filter.
         listed = source.select(
             F.col(ID).alias(PARENT_ID), F.posexplode_outer(items).alias("pos_", "record_")
         )
         exploded = listed.filter("pos_ IS NOT NULL").select(
-            F.concat_ws("/", PARENT_ID, F.lit(child), F.col("pos_").cast("string")).alias(ID),
+            F.concat_ws("/", PARENT_ID, F.lit(step), F.col("pos_").cast("string")).alias(ID),
             PARENT_ID,
             "record_",
         )

@@ -191,18 +191,13 @@ def rows_frame(
     """Aggregates over ``ROWS BETWEEN preceding AND following``.
 
     Rows are numbered, cut into chunks of a fixed number of rows, and each chunk is given
-    the few rows around it, so no task sees more than a chunk at a time.
+    the rows of other chunks that its frames reach, so no task sees more than a chunk and a frame.
     """
     numbered = row_number(w, "rn_").withColumn("chunk_", F.floor((F.col("rn_") - 1) / chunk_rows))
-    place = (F.col("rn_") - 1) % chunk_rows
-    copies = F.filter(
-        F.array(
-            F.col("chunk_"),
-            F.when(place >= chunk_rows - preceding, F.col("chunk_") + 1),
-            F.when((place < following) & (F.col("chunk_") > 0), F.col("chunk_") - 1),
-        ),
-        lambda c: c.isNotNull(),
-    )
+    # A row stands in the frames of the rows from `following` before it to `preceding` after it.
+    first = F.greatest(F.col("rn_") - 1 - following, F.lit(0))
+    last = F.col("rn_") - 1 + preceding
+    copies = F.sequence(F.floor(first / chunk_rows), F.floor(last / chunk_rows))
     spread = numbered.withColumn("home_", F.col("chunk_")).withColumn("chunk_", F.explode(copies))
     spec = (
         Window.partitionBy(*w.keys, "chunk_").orderBy("rn_").rowsBetween(-preceding, following)

@@ -15,7 +15,19 @@ from rowsmith.sources.workbook import cell_text
 
 # The aggregates a summary sheet may consist of.
 SUMMARY_FUNCTIONS = ("COUNTIF", "COUNTA", "SUM", "SUMIF", "SUMPRODUCT")
-SUMMARY_FORMULA = rf"(?is)^=\s*({'|'.join(SUMMARY_FUNCTIONS)})\s*\(.*\)\s*$"
+
+
+def _call(levels: int) -> str:
+    """The arguments of one call in their parentheses, with calls inside to a fixed depth."""
+    plain = r"""[^()"']++|"[^"]*+"|'[^']*+'"""
+    pattern = rf"\((?:{plain})*+\)"
+    for _ in range(levels):
+        pattern = rf"\((?:{plain}|{pattern})*+\)"
+    return pattern
+
+
+# One function at the root: its first parenthesis closes at the end. Formulas nest 64 levels at most.
+SUMMARY_FORMULA = rf"(?is)^=\s*({'|'.join(SUMMARY_FUNCTIONS)})\s*{_call(64)}\s*$"
 
 
 def countif(cells: Column, criterion: Column) -> Column:

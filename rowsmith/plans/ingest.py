@@ -351,6 +351,58 @@ def dump_skipped(t: Tables) -> DataFrame:
     return skipped.groupBy("kind", "reason", "snippet").agg(F.count("*").alias("statements"))
 
 
+ORDER_TYPES = (
+    ("o_orderkey", "bigint(20) NOT NULL"), ("o_custkey", "bigint(20)"), ("o_orderstatus", "varchar(1) DEFAULT 'O'"),
+    ("o_totalprice", "double"), ("o_orderdate", "datetime"), ("o_orderpriority", "varchar(15) NOT NULL"),
+)
+
+
+def written_dump(t: Tables) -> sql_dump.DumpTables:
+    """Orders as dump files in a folder, some hundred to an INSERT, next to statements that are left out."""
+    declared = ", ".join(f"`{name}` {kind}" for name, kind in ORDER_TYPES) + ", PRIMARY KEY (`o_orderkey`)"
+    values = render.sql_tuple(
+        F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), render.sql_text(F.col("o_orderstatus")),
+        F.col("o_totalprice").cast("string"), render.sql_text(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")),
+        render.sql_text(F.col("o_orderpriority")),
+    )
+    some = t.orders.groupBy(F.floor(F.col("o_orderkey") / 400).alias("part")).agg(F.array_join(F.collect_list(values), ",\n").alias("rows"))
+    chunk = F.concat(
+        F.lit(f"CREATE TABLE IF NOT EXISTS `orders` ({declared});\nINSERT INTO `orders` VALUES "), "rows",
+        F.lit(";\nINSERT INTO `lost` VALUES (1);\nINSERT INTO `orders` (`o_orderkey`) VALUES (1, 2);\nUNLOCK  TABLES;"),
+    )
+    folder = scratch_folder(t.spark, "dump")
+    some.select(chunk.alias("value")).write.text(folder)
+    return sql_dump.dump_tables(sql_dump.read_statements(t.spark, folder))
+
+
+@query("dump_tables", ORDERS_SQL)
+def dump_tables(t: Tables) -> DataFrame:
+    orders = written_dump(t).tables["orders"]
+    return orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query(
+    "dump_constraints",
+    "SELECT * FROM (VALUES ('o_orderkey', 'INTEGER', true, true), ('o_custkey', 'INTEGER', false, false),"
+    " ('o_orderstatus', 'TEXT', false, false), ('o_totalprice', 'FLOAT64', false, false),"
+    " ('o_orderdate', 'TIMESTAMP', false, false), ('o_orderpriority', 'TEXT', true, false))"
+    " v(column_name, target_type, not_null, primary_key) WHERE EXISTS (SELECT 1 FROM orders)",
+)
+def dump_constraints(t: Tables) -> DataFrame:
+    return written_dump(t).columns.select("column_name", "target_type", "not_null", "primary_key")
+
+
+@query(
+    "dump_skip_reasons",
+    "SELECT r.kind, r.reason, count(DISTINCT o_orderkey // 400) AS statements FROM orders CROSS JOIN (VALUES"
+    " ('INSERT', 'Skipping INSERT for lost because no supported CREATE TABLE was parsed first.'),"
+    " ('INSERT', 'Skipping INSERT for orders because the explicit column list does not match row width.'),"
+    " ('UNLOCK TABLES', 'Skipping unsupported UNLOCK TABLES statement.')) r(kind, reason) GROUP BY ALL",
+)
+def dump_skip_reasons(t: Tables) -> DataFrame:
+    return written_dump(t).skipped.groupBy("kind", "reason").agg(F.count("*").alias("statements"))
+
+
 @query(
     "dump_literals",
     "SELECT o_orderkey, 'it''s' || chr(10) || o_orderstatus AS escaped, hex(o_orderpriority) AS bytes,"

@@ -184,10 +184,14 @@ def scalar_subquery(t: Tables) -> DataFrame:
     )
 
 
-@query("current_ts")
+@query(
+    "current_ts",
+    "SELECT event_type, count(*) AS events, max(ts) < CAST(now() AS TIMESTAMP) AS is_past"
+    " FROM events GROUP BY event_type",
+)
 def current_ts(t: Tables) -> DataFrame:
     return t.sql(
-        "SELECT event_type, count(*) AS events, CURRENT_TIMESTAMP AS counted_at,"
+        "SELECT event_type, count(*) AS events,"
         " max(ts) < CURRENT_TIMESTAMP AS is_past FROM events GROUP BY event_type"
     )
 
@@ -483,14 +487,12 @@ def order_by(t: Tables) -> DataFrame:
 @query(
     "order_nulls",
     "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)"
-    " ORDER BY quality DESC NULLS LAST, doc_id ASC NULLS FIRST LIMIT 500",
+    " ORDER BY quality DESC NULLS LAST, doc_id ASC NULLS FIRST",
 )
 def order_nulls(t: Tables) -> DataFrame:
     joined = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    return (
-        joined.select("doc_id", "quality")
-        .orderBy(F.desc_nulls_last("quality"), F.asc_nulls_first("doc_id"))
-        .limit(500)
+    return joined.select("doc_id", "quality").orderBy(
+        F.desc_nulls_last("quality"), F.asc_nulls_first("doc_id")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,17 +107,48 @@ def generated_column(t: Tables) -> DataFrame:
     return quality.generated_columns(lines, {"total": total})
 
 
-@query(
-    "load_table",
-    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment"
-    " FROM customer",
+CUSTOMERS_SQL = (
+    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 )
-def load_table(t: Tables) -> DataFrame:
-    """Draft, type and store a table of text; what is read back is the stored copy."""
+
+
+def _drafted(t: Tables) -> DataFrame:
     texts = render.text_columns(t.customer)
     draft = loads.draft_table(texts, "customer")
     loads.check_names([draft])
-    return checkpointed(loads.apply_draft(texts, draft))
+    return loads.apply_draft(texts, draft)
+
+
+def _stored(t: Tables, *steps: tuple[str, DataFrame]) -> DataFrame:
+    """What is in a new table after loading each (mode, rows); the table goes again."""
+    table = f"customer_{uuid.uuid4().hex}"
+    try:
+        for mode, rows in steps:
+            loads.load_tables(t.spark, {table: rows}, mode)
+        return checkpointed(t.spark.table(table))
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+@query("load_table", CUSTOMERS_SQL)
+def load_table(t: Tables) -> DataFrame:
+    """Draft, type and store a table of text; what is read back is the stored copy."""
+    return _stored(t, ("error", _drafted(t)))
+
+
+@query("load_append", CUSTOMERS_SQL)
+def load_append(t: Tables) -> DataFrame:
+    """Customers in debt first, then the others into the same table."""
+    rows = _drafted(t)
+    in_debt = F.coalesce(F.col("c_acctbal") < 0, F.lit(False))
+    return _stored(t, ("error", rows.filter(in_debt)), ("append", rows.filter(~in_debt)))
+
+
+@query("load_replace", CUSTOMERS_SQL)
+def load_replace(t: Tables) -> DataFrame:
+    """A table whose names were wrong is replaced by the right one."""
+    rows = _drafted(t)
+    return _stored(t, ("error", rows.withColumn("c_name", F.lower("c_name"))), ("replace", rows))
 
 
 @query(

@@ -84,10 +84,10 @@ def workbook_formula_text(t: Tables) -> DataFrame:
 
 @query(
     "workbook_types",
-    "SELECT sheet, col_no, kind AS target_type FROM (VALUES ('Data', 1, 'INTEGER'),"
+    "SELECT book, sheet, col_no, kind AS target_type FROM (SELECT DISTINCT 'book_' || (o_orderkey // 1000)"
+    " AS book FROM orders) b CROSS JOIN (VALUES ('Data', 1, 'INTEGER'),"
     " ('Data', 2, 'FLOAT64'), ('Data', 3, 'TIMESTAMP'), ('Data', 4, 'BOOLEAN'), ('Data', 5, 'TEXT'),"
-    " ('Data', 6, 'TEXT'), ('Summary', 1, 'TEXT'), ('Summary', 2, 'TEXT')) v(sheet, col_no, kind)"
-    " WHERE EXISTS (SELECT 1 FROM orders)",
+    " ('Data', 6, 'TEXT'), ('Summary', 1, 'TEXT'), ('Summary', 2, 'TEXT')) v(sheet, col_no, kind)",
 )
 def workbook_types(t: Tables) -> DataFrame:
     return workbook.sheet_types(workbook.workbook_rows(order_books(t)))

@@ -208,6 +208,8 @@ def read_delimited(
         found = sniff_delimiter(ordered, "file", "order_")
         best = found.groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").first()
         options = replace(options, delimiter=best["delimiter"] if best else ",")
+    if options.header and not probe.spans_lines and probe.headers > 1:
+        raise ValueError(f"{path}: {probe.headers} different headers; read files of one layout together")
     head: list[str] | None = None
     if probe.spans_lines:
         pinned = checkpointed(decode_lines(lines, options.encoding, probe.latin1_files))
@@ -217,8 +219,8 @@ def read_delimited(
             rows, head = _without_headers(rows)
     else:
         if options.header:
-            header, lines = lines_below_header(spark, path)
-            head = spark.range(1).select(split_fields(F.lit(header), options)).first()[0]
+            lines = lines_below_header(spark, path, probe.unused_mark)
+            head = spark.range(1).select(split_fields(F.lit(probe.header or ""), options)).first()[0]
         rows = record_rows(decode_lines(lines, options.encoding, probe.latin1_files), options)
     width = max(table_width(rows), len(head or ()))
     if width == 0:
@@ -238,5 +240,8 @@ def _without_headers(rows: DataFrame) -> tuple[DataFrame, list[str]]:
         rows.groupBy("file").agg(F.min_by("fields", at).alias("header"), F.min(at).alias("at"))
     )
     heads = first.select("file", "at.block", "at.pos")
-    header = first.orderBy("file").select("header").first()[0]
+    headers = first.select("header").distinct().take(2)
+    if len(headers) > 1:
+        raise ValueError("files with different headers; read files of one layout together")
+    header = headers[0][0] if headers else []
     return rows.join(heads, ["file", "block", "pos"], "left_anti"), header

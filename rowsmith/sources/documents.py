@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def root_records(document: Column, schema: T.DataType) -> tuple[Column, T.DataTy
         inner = document.getField(only.name)
         if isinstance(only.dataType, T.ArrayType):
             return inner, only.dataType.elementType
-        return F.when(inner.isNotNull(), F.array(inner)), only.dataType
+        return F.when(document.isNotNull(), F.array(inner)), only.dataType
     return F.array(document), schema
 
 
@@ -106,25 +105,29 @@ def parse_xml_column(df: DataFrame, column: str, schema: T.StructType) -> DataFr
     return df.withColumn(column, F.from_xml(F.col(column), schema.simpleString(), XML_OPTIONS))
 
 
-def singular(name: str) -> str:
-    if name.endswith("ies") and len(name) > 3:
-        return name[:-3] + "y"
-    if re.search("(ches|shes|sses|xes|zes)$", name):
-        return name[:-2]
-    return name[:-1] if name.endswith("s") and not name.endswith("ss") else name
+# Endings of English names, what stands for them in the other number, and the least length of a name
+# they apply to. The first that fits is used.
+TO_SINGULAR = (
+    ("ies", "y", 4), ("ches", "ch", 0), ("shes", "sh", 0), ("sses", "ss", 0), ("xes", "x", 0), ("zes", "z", 0),
+    ("ss", "ss", 0), ("s", "", 0),
+)
+TO_PLURAL = (
+    ("ay", "ays", 0), ("ey", "eys", 0), ("iy", "iys", 0), ("oy", "oys", 0), ("uy", "uys", 0), ("y", "ies", 2),
+    ("s", "ses", 0), ("x", "xes", 0), ("z", "zes", 0), ("ch", "ches", 0), ("sh", "shes", 0), ("", "s", 0),
+)
 
 
-def plural(name: str) -> str:
-    lower = name.lower()
-    if len(name) > 1 and re.search("[^aeiou]y$", lower):
-        return name[:-1] + "ies"
-    return name + ("es" if re.search("(s|x|z|ch|sh)$", lower) else "s")
+def in_other_number(name: str, endings: tuple[tuple[str, str, int], ...]) -> str:
+    for ending, other, length in endings:
+        if len(name) >= length and name.lower().endswith(ending):
+            return name[: len(name) - len(ending)] + other
+    return name
 
 
 def xml_table_name(root: str, record: str) -> str:
     """The root's name where it is the plural of the record's, else the record's plural."""
-    same = singular(root.lower()) == singular(record.lower())
-    return root if same else plural(record)
+    one, other = (in_other_number(n.lower(), TO_SINGULAR) for n in (root, record))
+    return root if one == other else in_other_number(record, TO_PLURAL)
 
 
 def xml_records(root: str, value: Column, schema: T.DataType) -> tuple[str, Column, T.DataType]:

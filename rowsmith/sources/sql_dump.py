@@ -8,11 +8,13 @@ others are listed with the reason for skipping them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.functions.declared import mysql_target_type
+from rowsmith.operators.coercion import coerce_columns
 from rowsmith.session import checkpointed
 from rowsmith.sources.text import decode_bytes, join_open_lines
 
@@ -34,7 +36,9 @@ def _nested(levels: int) -> str:
     return pattern
 
 
-PARENTHESISED = _nested(3)
+#: Deeper nesting than this is reported as unsupported, never cut short.
+PARENTHESISED = _nested(12)
+ONLY_TUPLES = rf"(?s)^[\s,]*+(?:{PARENTHESISED}[\s,]*+)*+$"
 ITEM = rf",((?:[^,()'\"`]++|{QUOTED}|{PARENTHESISED})*+)"
 CREATE_HEAD = rf"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{QUALIFIED}\s*"
 INSERT_HEAD = (
@@ -88,17 +92,14 @@ def _inside(parenthesised: Column) -> Column:
     return F.substring(parenthesised, F.lit(2), F.length(parenthesised) - 2)
 
 
-KIND_LENGTH = 64
-
-
 def statement_kind(statement: Column) -> Column:
-    start = F.upper(F.substring(statement, 1, KIND_LENGTH))
-    kind = F.when(start.startswith("INSERT"), "INSERT").when(
-        start.rlike(r"^CREATE\s+(TEMPORARY\s+)?TABLE\s"), "CREATE TABLE"
+    """The words that a statement begins with, however much white space is between them."""
+    kind = F.when(statement.rlike(r"(?i)^INSERT"), "INSERT").when(
+        statement.rlike(r"(?i)^CREATE\s++(TEMPORARY\s++)?TABLE\s"), "CREATE TABLE"
     )
     for words in TWO_WORD_KINDS:
-        kind = kind.when(start.startswith(words), words)
-    return kind.otherwise(F.upper(F.substring_index(statement, " ", 1)))
+        kind = kind.when(statement.rlike("(?i)^" + words.replace(" ", r"\s++")), words)
+    return kind.otherwise(F.upper(F.regexp_extract(statement, r"^\S*", 0)))
 
 
 def classify_statements(statements: DataFrame, statement: str = "statement") -> DataFrame:
@@ -131,9 +132,50 @@ def classify_statements(statements: DataFrame, statement: str = "statement") ->
     return named.withColumn("skip_reason", reason)
 
 
-def skipped_statements(statements: DataFrame, statement: str = "statement") -> DataFrame:
-    """``ordinal, kind, reason, snippet`` of the statements an import leaves out."""
-    classified = classify_statements(statements, statement)
+def _insert_faults(classified: DataFrame, statement: str, created: DataFrame | None) -> DataFrame:
+    """Add the reasons that need the rows of an INSERT, or the tables created before it.
+
+    ``created`` has ``created_name, created_at``; each table has one row.
+    """
+    open_ = (F.col("kind") == "INSERT") & F.col("skip_reason").isNull()
+    values = F.substring(F.col(statement), F.length("head") + 1, F.length(F.col(statement)))
+    listed = F.regexp_extract("head", INSERT_HEAD, 2)
+    first = F.regexp_extract(values, rf"(?s){PARENTHESISED}", 0)
+    widths_differ = (listed != "") & (F.size(_items(_inside(listed))) != F.size(_items(_inside(first))))
+    skipping = F.concat(F.lit("Skipping INSERT for "), "table_name")
+    found = classified.withColumn("values_", F.when(open_, values))
+    reason = F.when(
+        open_ & ~F.col("values_").rlike(ONLY_TUPLES), F.lit("Unsupported INSERT row syntax.")
+    )
+    if created is not None:
+        found = found.join(created, F.col("table_name") == F.col("created_name"), "left")
+        known = F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
+        reason = reason.when(
+            open_ & ~known,
+            F.concat(skipping, F.lit(" because no supported CREATE TABLE was parsed first.")),
+        )
+    reason = reason.when(
+        open_ & widths_differ,
+        F.concat(skipping, F.lit(" because the explicit column list does not match row width.")),
+    )
+    return found.withColumn("skip_reason", F.coalesce("skip_reason", reason)).drop("values_")
+
+
+def created_tables(statements: DataFrame, statement: str = "statement") -> DataFrame:
+    """``created_name, created_at``: the first CREATE TABLE of each table."""
+    name = _unquote(F.regexp_extract(F.col(statement), CREATE_HEAD, 1))
+    created = statements.filter(F.col(statement).rlike(CREATE_HEAD))
+    return created.groupBy(name.alias("created_name")).agg(F.min("ordinal").alias("created_at"))
+
+
+def skipped_statements(
+    statements: DataFrame, statement: str = "statement", created: DataFrame | None = None
+) -> DataFrame:
+    """``ordinal, kind, reason, snippet`` of the statements an import leaves out.
+
+    With ``created`` (see ``created_tables``), an INSERT must follow the CREATE TABLE of its table.
+    """
+    classified = _insert_faults(classify_statements(statements, statement), statement, created)
     return classified.filter(F.col("skip_reason").isNotNull()).select(
         *[c for c in statements.columns if c not in (statement, "ordinal")],
         "ordinal",
@@ -246,7 +288,8 @@ def insert_rows(statements: DataFrame, statement: str = "statement") -> DataFram
     """``table_name, ordinal, row_no, columns, tokens`` for every INSERT row tuple.
 
     ``columns`` is NULL without an explicit list; ``tokens`` are undecoded literals. A
-    statement without VALUES, or whose list does not match its row width, gives no rows.
+    statement without VALUES, with anything but tuples after it, or whose list does not match its
+    row width gives no rows; ``skipped_statements`` reports it.
     Tuples are exploded, so a long statement does not stay one row.
     """
     text = F.col(statement)
@@ -268,7 +311,8 @@ def insert_rows(statements: DataFrame, statement: str = "statement") -> DataFram
         "table_name",
         "columns",
         F.when(
-            F.col("head_") != "", F.regexp_extract_all(values, F.lit(rf"(?s){PARENTHESISED}"), 0)
+            (F.col("head_") != "") & values.rlike(ONLY_TUPLES),
+            F.regexp_extract_all(values, F.lit(rf"(?s){PARENTHESISED}"), 0),
         ).alias("tuples"),
     )
     # The test sits inside the explode: as a filter it would run the patterns again.
@@ -302,6 +346,37 @@ def dump_rows(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     return tokens.select(*[literal_text(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
+@dataclass(frozen=True)
+class DumpTables:
+    """Typed tables of a dump, their declared columns, and the statements left out."""
+
+    tables: dict[str, DataFrame]
+    columns: DataFrame
+    skipped: DataFrame
+
+
+def dump_tables(statements: DataFrame, statement: str = "statement") -> DumpTables:
+    """Every created table with its inserted rows, typed as declared.
+
+    ``statements`` has ``ordinal`` and the text; with a ``file``, files in name order are one dump. Only
+    declared columns come to the driver.
+    """
+    if "file" in statements.columns:
+        statements = statements.select(F.struct("file", "ordinal").alias("ordinal"), statement)
+    created = created_tables(statements, statement)
+    columns = dump_columns(statements, statement).distinct()
+    declared: dict[str, dict[str, str]] = {}
+    for row in columns.orderBy("table_name", "source_index").collect():
+        declared.setdefault(row["table_name"], {})[row["column_name"]] = row["target_type"]
+    rows = insert_rows(statements, statement)
+    early = F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
+    rows = rows.join(created, F.col("table_name") == F.col("created_name")).filter(early)
+    tables = {
+        name: coerce_columns(dump_rows(rows, name, list(kinds)), kinds, "dump") for name, kinds in declared.items()
+    }
+    return DumpTables(tables, columns, skipped_statements(statements, statement, created))
+
+
 # Text in which every quoted part and comment is closed.
 CLOSED = (
     r"(?s)^(?:--(?=\s|$)[^\n]*+|\#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"

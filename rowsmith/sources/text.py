@@ -27,6 +27,9 @@ class LineProbe:
 
     latin1_files: DataFrame | None
     spans_lines: bool
+    header: str | None
+    headers: int
+    unused_mark: str
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,15 +47,34 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probe_lines(lines: DataFrame, encoding: str, quote: str, escape: str) -> LineProbe:
-    """Which files are not UTF-8, and whether any quoted section spans lines: one scan."""
+    """Which files are not UTF-8, whether a quoted section spans lines, and the header: one scan.
+
+    The header is the first line of each file that is not blank; files without one don't count.
+    """
     odd = quote_marks(F.col("line"), quote, escape) % 2 == 1
+    at = F.when(F.trim("line") != "", F.struct("block", "pos"))
+    held = F.array(*[F.contains("line", F.lit(mark)).cast("int") for mark in LINE_MARKS])
+    marks = F.aggregate(
+        held, F.lit(0).cast("long"), lambda bits, one: F.shiftleft(bits, 1).bitwiseOR(one.cast("long"))
+    )
     per_file = lines.groupBy("file").agg(
-        F.bool_or(odd).alias("odd"), F.bool_and(F.is_valid_utf8("line")).alias("utf8")
+        F.bool_or(odd).alias("odd"),
+        F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
+        F.min_by("line", at).alias("header"),
+        F.bit_or(marks).alias("marks"),
     )
-    found = per_file.agg(F.bool_or("odd").alias("odd"), F.bool_and("utf8").alias("utf8")).first()
+    found = per_file.agg(
+        F.bool_or("odd").alias("odd"),
+        F.bool_and("utf8").alias("utf8"),
+        F.min("header").alias("header"),
+        F.count_distinct("header").alias("headers"),
+        F.bit_or("marks").alias("marks"),
+    ).first()
     not_utf8 = encoding == "auto" and found["utf8"] is False
     files = checkpointed(per_file.filter(~F.col("utf8")).select("file")) if not_utf8 else None
-    return LineProbe(files, bool(found["odd"]))
+    bits = f"{found['marks'] or 0:0{len(LINE_MARKS)}b}"
+    unused = next((mark for mark, bit in zip(LINE_MARKS, bits) if bit == "0"), "")
+    return LineProbe(files, bool(found["odd"]), found["header"], found["headers"], unused)
 
 
 def decode_lines(lines: DataFrame, encoding: str, latin1_files: DataFrame | None) -> DataFrame:
@@ -68,25 +90,23 @@ def decode_lines(lines: DataFrame, encoding: str, latin1_files: DataFrame | None
     ).drop("latin1_")
 
 
-# A character that text does not hold, so that Spark's CSV reader hands over whole lines.
-NO_DELIMITER = "\x01"
-WHOLE_LINES = {
-    "sep": NO_DELIMITER, "quote": "", "header": "true", "encoding": "ISO-8859-1",
-    "maxCharsPerColumn": "-1",
-}
+# Characters one of which the text does not hold, so that Spark's CSV reader hands over whole lines.
+LINE_MARKS = tuple(map(chr, (*range(1, 9), *range(14, 32))))
+WHOLE_LINES = {"quote": "", "header": "true", "encoding": "ISO-8859-1", "maxCharsPerColumn": "-1"}
 
 
-def lines_below_header(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """The header line, and ``file, line`` of all other lines that are not blank.
+def lines_below_header(spark: SparkSession, path: str, unused_mark: str) -> DataFrame:
+    """``file, line`` of all lines below the header that are not blank.
 
     Spark's CSV reader drops the first line of each file where the file begins, so files
-    still split and no row has to be matched. Bytes pass through unchanged.
+    still split and no row has to be matched. Bytes pass through unchanged, as no line holds
+    ``unused_mark``.
     """
-    body = spark.read.options(**WHOLE_LINES).schema("line string").csv(path)
-    header = spark.read.options(**WHOLE_LINES).csv(min(body.inputFiles())).columns[0]
+    if not unused_mark:
+        raise ValueError(f"{path} holds every control character; none is left to read whole lines by")
+    body = spark.read.options(**WHOLE_LINES, sep=unused_mark).schema("line string").csv(path)
     as_bytes = F.encode(F.col("line"), "ISO-8859-1").cast("string")
-    lines = body.select(F.col("_metadata.file_path").alias("file"), as_bytes.alias("line"))
-    return header.encode("latin-1").decode("utf-8", "replace"), lines
+    return body.select(F.col("_metadata.file_path").alias("file"), as_bytes.alias("line"))
 
 
 def quote_marks(line: Column, quote: str, escape: str) -> Column:

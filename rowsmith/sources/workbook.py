@@ -85,14 +85,23 @@ def _sheet_parts(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
     return parts
 
 
+def _fraction(ms: int) -> str:
+    return f".{ms:03d}" if ms else ""
+
+
 def _number_cell(text: str, kind: str) -> tuple[str, str]:
     if kind == "date":
         at = EPOCH + dt.timedelta(days=float(text))
-        at = (at + dt.timedelta(microseconds=500)).replace(microsecond=0)
-        return "datetime", at.strftime("%Y-%m-%d %H:%M:%S")
+        # Day fractions hold a moment to about a millisecond.
+        ms = (at.microsecond + 500) // 1000
+        at = at.replace(microsecond=0) + dt.timedelta(milliseconds=ms)
+        return "datetime", at.strftime("%Y-%m-%d %H:%M:%S") + _fraction(at.microsecond // 1000)
     if kind == "time":
-        seconds = round(float(text) * 86400)
-        return "time", f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+        ms = round(float(text) * 86_400_000)
+        if float(text) < 1:
+            ms = min(ms, 86_399_999)
+        seconds = ms // 1000
+        return "time", f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}" + _fraction(ms % 1000)
     return ("int" if re.fullmatch(r"[+-]?\d+", text) else "double"), text
 
 
@@ -205,7 +214,7 @@ def unique_headers(cells: Sequence[str | None], width: int) -> list[str]:
 
 
 def sheet_types(rows: DataFrame, header: bool = True) -> DataFrame:
-    """``sheet, col_no, target_type`` by the kinds of the data cells of each column."""
+    """``book, sheet, col_no, target_type`` by the kinds of the data cells of each column."""
     data = workbook_cells(data_rows(rows, header))
     family = (
         F.when(F.col("kind").isin("date", "datetime"), "timestamp")
@@ -213,9 +222,9 @@ def sheet_types(rows: DataFrame, header: bool = True) -> DataFrame:
         .otherwise(F.col("kind"))
     )
     return (
-        data.groupBy("sheet", "col_no")
+        data.groupBy("book", "sheet", "col_no")
         .agg(F.array_sort(F.collect_set(family)).alias("families"))
-        .select("sheet", "col_no", type_of_families(F.col("families")).alias("target_type"))
+        .select("book", "sheet", "col_no", type_of_families(F.col("families")).alias("target_type"))
     )
 
 

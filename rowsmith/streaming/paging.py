@@ -19,13 +19,15 @@ class Page:
 
 
 def _after(keys: Sequence[str], values: Sequence[object]) -> Column:
-    """Lexicographic ``keys > values``; the leading comparison reaches the scan."""
+    """Lexicographic ``keys > values``, NULL before all; the leading comparison reaches the scan."""
     condition = F.lit(False)
     equal = F.lit(True)
     for key, value in zip(keys, values):
-        condition = condition | (equal & (F.col(key) > F.lit(value)))
-        equal = equal & (F.col(key) == F.lit(value))
-    return (F.col(keys[0]) >= F.lit(values[0])) & condition
+        column = F.col(key)
+        beyond = column.isNotNull() if value is None else F.coalesce(column > F.lit(value), F.lit(False))
+        condition = condition | (equal & beyond)
+        equal = equal & column.eqNullSafe(F.lit(value))
+    return condition if values[0] is None else (F.col(keys[0]) >= F.lit(values[0])) & condition
 
 
 def page_frame(
