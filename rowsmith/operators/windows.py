@@ -1,11 +1,12 @@
 """Window functions that survive a hot partition key.
 
 A plain window sorts all rows of one key in one task. Here rows are also cut by a
-``bucket`` that never decreases in the ordering, for example the day of a timestamp. Each
-function works inside (key, bucket) and adds what the earlier buckets contribute, which
-is one small row per (key, bucket). The results equal the plain window functions.
+``bucket`` that never decreases in the ordering. Without one given, rows are partitioned by range of key
+and ordering and the partition is the bucket: their number follows the data, and no task's
+work depends on the size of a key. Each function works inside (key, bucket) and adds what the earlier
+buckets contribute, which is one small row per (key, bucket). The results equal the plain window functions.
 
-``order`` columns are not NULL; equal leading order values share a bucket. With
+``order`` columns are not NULL and leave no ties that matter. With
 ``descending`` the whole ordering is reversed. NULL is a key like any other: joins compare
 whole structs of keys, in which NULL equals NULL.
 """
@@ -14,10 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rowsmith.session import checkpointed
+
 BUCKET = "bucket_"
 GROUP = "group_"
 
@@ -33,13 +37,20 @@ class BucketedWindow:
     df: DataFrame
     keys: Sequence[str]
     order: Sequence[str]
-    bucket: Column
+    bucket: Column | None = None
     descending: bool = False
 
+    @cached_property
+    def bucketed(self) -> DataFrame:
+        if self.bucket is not None:
+            return self.df.withColumn(BUCKET, self.bucket)
+        ranged = self.df.repartitionByRange(*self.keys, *self.order)
+        # Pinned, as offsets and rows must see the same ranges, also after a lost executor.
+        return checkpointed(ranged.withColumn(BUCKET, F.spark_partition_id()))
+
     def rows(self) -> DataFrame:
         """The rows with their bucket, and the struct of keys and bucket."""
-        bucketed = self.df.withColumn(BUCKET, self.bucket)
-        return bucketed.withColumn(GROUP, F.struct(*self.keys, BUCKET))
+        return self.bucketed.withColumn(GROUP, F.struct(*self.keys, BUCKET))
 
     def _sorted(self, names: Sequence[str]) -> list[Column]:
         return [F.col(n).desc() if self.descending else F.col(n).asc() for n in names]
@@ -58,8 +69,7 @@ class BucketedWindow:
 
     def per_bucket(self, *aggregates: Column) -> DataFrame:
         """One row per (key, bucket), pre-aggregated on the map side."""
-        bucketed = self.df.withColumn(BUCKET, self.bucket)
-        return bucketed.groupBy(*self.keys, BUCKET).agg(*aggregates)
+        return self.bucketed.groupBy(*self.keys, BUCKET).agg(*aggregates)
 
     def attach(self, rows: DataFrame, offsets: DataFrame) -> DataFrame:
         """Join per-bucket facts to the rows, which keep the partitioning of the window."""

@@ -328,7 +328,7 @@ def sanitize_names(t: Tables) -> DataFrame:
 )
 def distinct_names(t: Tables) -> DataFrame:
     parts = t.part.select("p_partkey", names.sanitize_column(F.col("p_name")).alias("base"))
-    window = windows.BucketedWindow(parts, ["base"], ["p_partkey"], F.floor(F.col("p_partkey") / 10000))
+    window = windows.BucketedWindow(parts, ["base"], ["p_partkey"])
     numbered = windows.row_number(window, "n")
     numbered_name = F.concat_ws("_", "base", F.col("n").cast("string"))
     return numbered.select(

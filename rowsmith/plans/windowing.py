@@ -12,15 +12,14 @@ from rowsmith.plans.relational import money
 
 def orders_by_price(t: Tables, descending: bool = False) -> W.BucketedWindow:
     orders = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
-    price_band = F.floor(F.col("o_totalprice") / 1000)
     return W.BucketedWindow(
-        orders, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], price_band, descending
+        orders, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], descending=descending
     )
 
 
 def events_by_time(t: Tables) -> W.BucketedWindow:
     events = t.events.select("event_id", "event_type", "ts", money("value").alias("amount"))
-    return W.BucketedWindow(events, ["event_type"], ["ts", "event_id"], F.to_date("ts"))
+    return W.BucketedWindow(events, ["event_type"], ["ts", "event_id"])
 
 
 @query(
@@ -34,7 +33,7 @@ def win_row_number(t: Tables) -> DataFrame:
 
 def lines_by_quantity(t: Tables) -> W.BucketedWindow:
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return W.BucketedWindow(lines, ["l_returnflag"], ["l_quantity"], F.floor("l_quantity"))
+    return W.BucketedWindow(lines, ["l_returnflag"], ["l_quantity"])
 
 
 @query(

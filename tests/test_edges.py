@@ -190,3 +190,19 @@ def test_loads_are_all_or_nothing(spark, monkeypatch):
     assert [sorted(r.v for r in spark.table(n).collect()) for n in names] == [[1, 2], [1, 2]]
     loads.load_tables(spark, second, "replace")
     assert [[r.v for r in spark.table(n).collect()] for n in names] == [[2], [2]]
+
+
+def test_one_hot_key_is_spread_over_tasks(spark):
+    rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 100 == 0, F.col("id") % 7).otherwise(99).alias("k"), "id")
+    aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        w = windows.BucketedWindow(rows.withColumn("at", F.xxhash64("id")), ["k"], ["at", "id"])
+        sizes = [r["n"] for r in w.per_bucket(F.count("*").alias("n")).filter("k = 99").collect()]
+        assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+        plain = windows.Window.partitionBy("k").orderBy("at", "id")
+        expected = w.df.withColumn("rn", F.row_number().over(plain)).collect()
+        found = windows.row_number(w, "rn").select("k", "id", "at", "rn").collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
