@@ -160,24 +160,28 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+        for mark, lang, text in zip(*map(batch.column, ("mark", "lang", "text")), strict=True):
             found = counts(text.as_py())
             if found is not None:
                 at = np.flatnonzero(found).astype(np.int32)
                 n = found[at].astype(np.int32)
                 columns = [pa.array([lang.as_py()]), pa.array([at], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([mark.as_py()]), *columns], ["mark", "lang", "at", "n"])
 
 
 def fit_sample(training: DataFrame, languages: int, rows: int = FIT_ROWS) -> DataFrame:
-    """``lang, text`` of at most ``rows`` rows in all, as evenly over languages as there are rows."""
+    """``mark, lang, at, n``: features of at most ``rows`` rows in all, as evenly over languages as there are rows.
+
+    ``languages`` is at most half of ``rows``, which bounds the broadcast of one edge for each.
+    """
     share = max(2, rows // max(languages, 1))
     marked = training.select("lang", F.xxhash64("id", "lang").alias("mark"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("mark"))
     edges = marked.withColumn("n", place).filter(F.col("n") <= share).groupBy("lang").agg(F.max("mark").alias("edge"))
-    edges = edges.withColumnRenamed("lang", "e_lang")
+    edges = F.broadcast(edges.withColumnRenamed("lang", "e_lang").orderBy("e_lang").limit(max(languages, 1)))
     inside = training.withColumn("mark", F.xxhash64("id", "lang")).join(edges, F.col("lang") == F.col("e_lang"))
-    return inside.filter(F.col("mark") <= F.col("edge")).orderBy("mark").limit(rows).select("lang", "text")
+    inside = small_batches(inside.filter(F.col("mark") <= F.col("edge")).select("mark", "lang", "text"))
+    return inside.mapInArrow(_sample_rows, "mark long, lang string, at array<int>, n array<int>").orderBy("mark", "lang").limit(rows)
 
 
 def train(docs: DataFrame, is_training: Column, id_col: str, text_col: str, lang_col: str) -> LanguageModel:
@@ -186,7 +190,7 @@ def train(docs: DataFrame, is_training: Column, id_col: str, text_col: str, lang
     )
     idf = inverse_frequencies(training)
     known = training.groupBy("lang").count().orderBy("lang").limit(FIT_ROWS // 2).collect()
-    sample = small_batches(fit_sample(training, len(known))).mapInArrow(_sample_rows, "lang string, at array<int>, n array<int>").toArrow()
+    sample = fit_sample(training, len(known)).toArrow()
     names = sorted({str(v) for v in sample.column("lang").to_pylist()})
     labels = np.array([names.index(v) for v in sample.column("lang").to_pylist()], dtype=np.int64)
     rows = []
