@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -384,37 +386,63 @@ CLOSED = (
 )
 
 
-def read_statements(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    """``file, ordinal, statement`` of dump files.
-
-    A dump is cut at ``;`` + line end, which lets Spark split large files. Where a string
-    literal holds such a line end, its pieces are pinned and glued by position; only files
-    that are still open after that (a comment over a cut) or not UTF-8 are read whole.
-    """
-    pieces = spark.read.option("lineSep", ";\n").text(path).select(
+def _pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
+    """``file, block, pos, line``: text cut behind each ``end``, which lets Spark split large files."""
+    return spark.read.option("lineSep", end).text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     )
+
+
+def _of_files(files: Sequence[str]) -> Column:
+    return F.col("file").isin(list(files)) if files else F.lit(False)
+
+
+def read_statements(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+    """``file, ordinal, statement`` of dump files.
+
+    A dump is cut at ``;`` + its line end. Files that are not UTF-8 are decoded piece by piece. Where a string
+    literal holds such an end, its pieces are pinned and glued by position; only files that are
+    still open after that (a comment over a cut) are read whole. One row of facts per file is collected.
+    """
     is_open = ~F.col("line").rlike(CLOSED)
-    found = pieces.agg(
-        F.bool_or(is_open).alias("open"), F.bool_and(F.is_valid_utf8("line")).alias("utf8")
-    ).first()
-    whole = encoding == "latin1" or found["utf8"] is False
-    if found["open"] and not whole:
-        # Opens a string when read from outside one, and closes one when read from inside.
-        closes = F.concat(F.lit("'x"), "line").rlike(CLOSED)
-        pieces = join_open_lines(checkpointed(pieces), is_open & closes, ";\n")
-        whole = not pieces.filter(is_open).isEmpty()
-    if whole:
-        pieces = spark.read.format("binaryFile").load(path).select(
-            F.col("path").alias("file"),
-            F.lit(0).cast("bigint").alias("block"),
-            F.lit(0).cast("bigint").alias("pos"),
-            decode_bytes(F.col("content"), encoding).alias("line"),
-        )
-    statements = pieces.select(
+    facts = _pieces(spark, path, ";\n").groupBy("file").agg(
+        F.bool_or(is_open).alias("open"),
+        F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
+        F.bool_or(F.contains("line", F.lit(";\r\n"))).alias("crlf"),
+    ).collect()
+    latin1 = F.lit(True) if encoding == "latin1" else _of_files([r["file"] for r in facts if not r["utf8"] and encoding == "auto"])
+    frames = []
+    for end, rows in ((";\n", [r for r in facts if not r["crlf"]]), (";\r\n", [r for r in facts if r["crlf"]])):
+        if not rows:
+            continue
+        mixed = len(rows) < len(facts)
+        pieces = _pieces(spark, [unquote(r["file"]) for r in rows] if mixed else path, end)
+        decoded = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+        pieces = pieces.withColumn("line", F.when(latin1, decoded).otherwise(F.col("line")))
+        if any(r["open"] or r["crlf"] for r in rows):
+            # Opens a string when read from outside one, and closes one when read from inside.
+            closes = F.concat(F.lit("'x"), "line").rlike(CLOSED)
+            pieces = join_open_lines(checkpointed(pieces), is_open & closes, end)
+            whole = [r["file"] for r in pieces.filter(is_open).select("file").distinct().collect()]
+            if whole:
+                pieces = pieces.filter(~_of_files(whole)).unionByName(_whole_files(spark, whole, encoding))
+        frames.append(pieces)
+    if not frames:
+        frames.append(_pieces(spark, path, ";\n"))
+    statements = reduce(DataFrame.unionByName, frames).select(
         "file", "block", "pos", F.posexplode(split_statements(F.col("line"))).alias("part", "statement")
     )
     return statements.select("file", F.struct("block", "pos", "part").alias("ordinal"), "statement")
+
+
+def _whole_files(spark: SparkSession, files: Sequence[str], encoding: str) -> DataFrame:
+    content = spark.read.format("binaryFile").load([unquote(f) for f in files])
+    return content.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.lit(0).cast("bigint").alias("pos"),
+        decode_bytes(F.col("content"), encoding).alias("line"),
+    )

@@ -206,3 +206,22 @@ def test_one_hot_key_is_spread_over_tasks(spark):
         assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+
+
+def test_dump_files_of_every_kind_are_cut(spark, tmp_path):
+    names = {
+        "crlf.sql": ("CREATE TABLE a (v TEXT);\r\n" + "INSERT INTO a VALUES ('x;\r\ny');\r\n" * 50).encode(),
+        "latin one.sql": ("INSERT INTO b VALUES ('é');\n" * 20).encode("latin-1"),
+        "open.sql": b"/* a comment;\nover a cut */ INSERT INTO c VALUES (1);\nINSERT INTO c VALUES ('it''s;\nhere');\n",
+        "plain.sql": ("INSERT INTO d VALUES ('é');\n" * 30).encode(),
+        "empty.sql": b"",
+    }
+    for name, content in names.items():
+        (tmp_path / name).write_bytes(content)
+    found = sql_dump.read_statements(spark, str(tmp_path))
+    parts = {r["f"].replace("%20", " "): (r["n"], r["cuts"]) for r in found.groupBy(F.element_at(F.split("file", "/"), -1).alias("f")).agg(
+        F.count("*").alias("n"), F.count_distinct("ordinal.pos").alias("cuts")).collect()}
+    assert parts == {"crlf.sql": (51, 51), "latin one.sql": (20, 20), "open.sql": (2, 1), "plain.sql": (30, 30)}
+    values = {r["statement"] for r in found.collect()}
+    assert {"INSERT INTO b VALUES ('é')", "INSERT INTO d VALUES ('é')", "INSERT INTO a VALUES ('x;\r\ny')"} <= values
+    assert {"INSERT INTO c VALUES (1)", "INSERT INTO c VALUES ('it''s;\nhere')"} <= values

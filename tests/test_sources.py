@@ -195,7 +195,7 @@ CREATE VIEW v AS SELECT 1;
         ("3", "only (two)", None, None),
     ]
     skipped = sql_dump.skipped_statements(statements)
-    assert sorted(r["kind"] for r in skipped.collect()) == ["CREATE VIEW", "INSERT", "SET"]
+    assert sorted(r["kind"] for r in skipped.collect()) == ["CREATE VIEW", "INSERT", "INSERT", "SET"]
 
 
 def test_dump_with_statement_ends_inside_text(spark, tmp_path):
