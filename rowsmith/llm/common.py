@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,12 +97,22 @@ def worker_store(name: str) -> dict:
     return stores.setdefault(name, {})
 
 
-def small_batches(df: DataFrame, size: str = "16m") -> DataFrame:
+def small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
     """Send at most ``size`` of rows to Python at once, so long texts don't pile up in a batch."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
 
 
-def text_of(scalar) -> str:
-    """The text of an Arrow value; NULL is empty."""
-    return scalar.as_py() or ""
+def releasing(run: Callable) -> Callable:
+    """``run`` over batches; what it remembered and Arrow's free buffers go back when its task ends.
+
+    Python workers outlive their tasks, and an idle one should not hold memory that the next stage needs.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped

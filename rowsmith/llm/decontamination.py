@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import saved, small_batches
+from rowsmith.llm.common import releasing, saved, small_batches
 
 FEATURES, RANK, OVERSAMPLE = 1024, 96, 8
 PASSAGE, STEP = 64, 8
@@ -56,7 +56,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encoded_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and word hashes of every row, written once for the passes to come."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return saved(small_batches(texts).mapInArrow(_encoded, "id long, words binary"), "words")
+    return saved(small_batches(texts).mapInArrow(releasing(_encoded), "id long, words binary"), "words")
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -329,7 +329,7 @@ def without_leaks(
     """The rows of ``docs`` that leak no item; decided where the rows are read, without a shuffle."""
     encoded = encoded_documents(docs, id_col, text_col)
     for retriever in retrievers(encoded, benchmark, item_col):
-        docs = small_batches(docs).mapInArrow(_clean_rows(retriever, text_col), docs.schema)
+        docs = small_batches(docs).mapInArrow(releasing(_clean_rows(retriever, text_col)), docs.schema)
     return docs
 
 

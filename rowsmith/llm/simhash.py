@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm import golay
-from rowsmith.llm.common import row_copies, row_hash, saved, small_batches
+from rowsmith.llm.common import releasing, row_copies, row_hash, saved, small_batches
 from rowsmith.llm.components import components
 
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("hash"), F.col(text_col).cast("string").alias("text")
     )
-    return saved(small_batches(rows).mapInArrow(_fingerprints, "id long, hash long, fp long"), "fingerprints")
+    return saved(small_batches(rows).mapInArrow(releasing(_fingerprints), "id long, hash long, fp long"), "fingerprints")
 
 
 def _segment_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def fingerprint_links(marks: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     The links have the components of all such pairs; in crowded places they are a star instead of all pairs.
     """
-    keyed = saved(marks.select("fp").distinct().mapInArrow(_segment_keys, "key long, fp long"), "golay-keys")
+    keyed = saved(marks.select("fp").distinct().mapInArrow(releasing(_segment_keys), "key long, fp long"), "golay-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     hits = keyed.join(shared, "key")
     listed = hits.filter(F.col("many") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
