@@ -36,7 +36,7 @@ from rowsmith.session import scratch_folder
 BLOCK = 1 << 16
 LEVEL = 3
 #: Words whose ids a worker keeps, and those that wait to be seen again.
-KEPT_WORDS, YOUNG_WORDS = 400_000, 200_000
+KEPT_WORDS, YOUNG_WORDS = 350_000, 200_000
 
 #: Fixed value: how byte-level tokenizers cut text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,15 +50,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of words (with the space or line end before them), encoded when first asked for.
+    """Ids of words behind a ``lead`` (a space or nothing), encoded when first asked for.
 
     A new word waits among the young ones; only if it is seen again before those are dropped is it kept, so memory
     holds the words that come back.
     """
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, tokenizer: Tokenizer, lead: str, bare: WordIds | None = None) -> None:
         super().__init__()
-        self.tokenize, self.young = tokenizer.model.tokenize, {}
+        self.tokenize, self.lead, self.young = tokenizer.model.tokenize, lead, {}
+        self.bare = self if bare is None else bare
         self.letters, self.cut = _byte_letters(), regex.compile(PIECES).findall
 
     def __missing__(self, word: str) -> bytes:
@@ -68,15 +69,17 @@ class WordIds(dict):
                 self.clear()
             self[word] = ids
             return ids
-        bare = word[1:] if word[:1] == " " else word
-        stem = bare.rstrip(string.punctuation)
+        stem = word.rstrip(string.punctuation)
         if not stem.isalpha():
-            parts = self.cut(word)
-        elif stem is bare:
-            parts = [word]
+            parts = self.cut(self.lead + word)
+        elif stem is word:
+            parts = [self.lead + word]
         else:
-            parts = [word[: len(stem) - len(bare)], bare[len(stem) :]]
-        ids = self._encoded(word) if len(parts) == 1 else b"".join([self[p] for p in parts])
+            parts = [self.lead + stem, word[len(stem) :]]
+        if len(parts) == 1:
+            ids = self._encoded(parts[0])
+        else:
+            ids = self[parts[0][len(self.lead) :]] + b"".join([self.bare[p] for p in parts[1:]])
         if len(self.young) >= YOUNG_WORDS:
             self.young.clear()
         self.young[word] = ids
@@ -91,13 +94,19 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: White space that plain text doesn't have: all but the space and the line end.
+OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACES = [c for c in OTHER_SPACES if c.isascii()]
+RUNS = ("  ", " \n", "\n ", "\n\n")
+
+
 class ByteTokenizer:
     """Ids of whole texts by a byte-level tokenizer, with a memory for words.
 
     Such a tokenizer merges inside pieces only, and no piece goes on over white space that follows something
-    else. So a text is cut before each space and line end, ids of words known already are looked up, and the
-    pieces of new words go to the tokenizer's model. Texts with other white space, with runs of it, or with special
-    tokens are encoded in one go.
+    else. So a text is cut at each space and line end, ids of words known already are looked up, and the
+    pieces of new words go to the tokenizer's model. Texts with other white space, with runs of it or with it at an end, or
+    with special tokens are encoded in one go.
     """
 
     def __init__(self, path: str) -> None:
@@ -105,21 +114,33 @@ class ByteTokenizer:
         if not store:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             tokenizer = Tokenizer.from_file(path)
+            bare = WordIds(tokenizer, "")
             special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            store.update(tokenizer=tokenizer, special=special, words=WordIds(tokenizer))
-        self.tokenizer, self.special, self.words = store["tokenizer"], store["special"], store["words"]
+            store.update(tokenizer=tokenizer, special=special, bare=bare, spaced=WordIds(tokenizer, " ", bare))
+        self.tokenizer, self.special = store["tokenizer"], store["special"]
+        self.bare, self.spaced = store["bare"], store["spaced"]
+        self.line = self._whole("\n")
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        plain = len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps
-        if plain and not any(s in text for s in self.special):
-            # Plain text holds no other white space, so this mark is free to use.
-            cut = text.replace(" ", "\x1c ").replace("\n", "\x1c\n").split("\x1c")
-            return b"".join(map(self.words.__getitem__, cut))
+    def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _is_plain(self, text: str) -> bool:
+        if not text or text[0].isspace() or text[-1].isspace():
+            return False
+        others = ASCII_SPACES if text.isascii() else OTHER_SPACES
+        return not any(c in text for group in (RUNS, others, self.special) for c in group)
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if not self._is_plain(text):
+            return self._whole(text)
+        look, done = self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            done.append(self.bare[first] + b"".join(map(look, rest)))
+        return self.line.join(done)
+
 
 def to_planes(ids: np.ndarray, bits: bool = False, level: int = LEVEL) -> list[bytes]:
     """Byte planes (4) or bit planes (32) of unsigned 32-bit ids, each compressed; zero planes stay tiny."""
