@@ -60,7 +60,7 @@ def probe_lines(lines: DataFrame, encoding: str, quote: str, escape: str) -> Lin
     per_file = lines.groupBy("file").agg(
         F.bool_or(odd).alias("odd"),
         F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
-        F.min_by("line", at).alias("header"),
+        F.min_by(decode_bytes(F.col("line").cast("binary"), encoding), at).alias("header"),
         F.bit_or(marks).alias("marks"),
     )
     found = per_file.agg(
