@@ -194,24 +194,25 @@ class Retriever:
 
     def search(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, bool]]:
         """(document, item, share of the item found, cosine, answer found) of every leak in some documents."""
-        starts, parts, at = [], [], 0
+        starts, sizes, parts, at = [], [], [], 0
         for words in documents:
             # Behind each document is room for the widest window, so no window sees two of them.
             blocks = -(-len(words) // STEP) + self.widest
             padded = np.full(blocks * STEP, FEATURES, dtype=np.int64)
             padded[: len(words)] = words % FEATURES
             starts.append(at)
+            sizes.append(-(-len(words) // STEP))
             parts.append(padded)
             at += blocks
         if not parts or not self.by_span:
             return
         blocks = self.table[np.concatenate(parts)].reshape(-1, STEP, self.table.shape[1]).sum(axis=1)
-        firsts = np.array(starts)
+        firsts, lengths = np.array(starts), np.array(sizes)
         windows, width = blocks, 1
         best: dict[tuple[int, int], tuple[float, float, bool]] = {}
         while True:
             if width in self.by_span:
-                for doc, item, share, cosine, answer in self._of_width(documents, firsts, windows, width):
+                for doc, item, share, cosine, answer in self._of_width(documents, firsts, lengths, windows, width):
                     if (doc, item) not in best or share > best[doc, item][0]:
                         best[doc, item] = share, cosine, answer
             if width >= self.widest:
@@ -221,13 +222,17 @@ class Retriever:
         for (doc, item), found in sorted(best.items()):
             yield doc, item, *found
 
-    def _of_width(self, documents, firsts, windows, width):
+    def _of_width(self, documents, firsts, lengths, windows, width):
         numbers, vectors = self.by_span[width]
         for at in range(0, len(windows), 8192):
             part = windows[at : at + 8192]
             edge = COSINE * np.sqrt(np.einsum("ij,ij->i", part, part))
             alike = part @ vectors
             rows, columns = np.nonzero((alike >= edge[:, None]) & (edge[:, None] > 0))
+            # A window that starts in the room behind a document would see the next one.
+            owner = np.searchsorted(firsts, at + rows, side="right") - 1
+            inside = at + rows - firsts[owner] < lengths[owner]
+            rows, columns = rows[inside], columns[inside]
             order = np.lexsort((rows, columns))
             checked: tuple[int, int] | None = None  # item and block up to which its window was checked
             for row, column in zip(rows[order].tolist(), columns[order].tolist(), strict=True):

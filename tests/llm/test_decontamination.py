@@ -94,3 +94,11 @@ def test_hard_rows(hard_docs, no_docs, spark):
     assert dc.leaks(hard_docs, benchmark.limit(0)).count() == 0
     assert dc.without_leaks(hard_docs, benchmark.limit(0)).count() == 10
     assert dc.leaks(no_docs, benchmark).count() == 0
+
+
+def test_documents_searched_together_find_what_each_finds_alone(corpus):
+    docs, benchmark, _ = corpus
+    retriever = next(dc.retrievers(dc.encoded_documents(docs, "doc_id", "text"), benchmark))
+    words = [dc.word_hashes(r.text) for r in docs.orderBy("doc_id").collect()]
+    alone = {(n, f[1]) for n, w in enumerate(words) for f in retriever.search([w])}
+    assert {f[:2] for f in retriever.search(words)} == alone
