@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontamination, language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
+from rowsmith.llm import decontamination, exact_dedup, language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
 from rowsmith.llm.common import saved, table, word_count
 from rowsmith.llm.queries import query
 from rowsmith.session import scratch_folder
@@ -140,3 +140,15 @@ def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+COPIES_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(COALESCE(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY COALESCE(text, ''))
+"""
+
+
+@query("op13_exact_dedup", COPIES_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
