@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontamination, exact_dedup, language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
+from rowsmith.llm import alignment, decontamination, exact_dedup, language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
 from rowsmith.llm.common import saved, table, word_count
 from rowsmith.llm.queries import query
 from rowsmith.session import scratch_folder
@@ -152,3 +152,9 @@ FROM documents WINDOW same AS (PARTITION BY COALESCE(text, ''))
 @query("op13_exact_dedup", COPIES_SQL)
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment_digests(alignment.alignments(table(spark, sf_dir, "documents"), *paths), *paths)
