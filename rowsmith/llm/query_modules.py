@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import alignment, decontamination, exact_dedup, language, mixing, neighbours, personal_data, pseudo_likelihood, simhash, token_counts, token_files, toxicity
+from rowsmith.llm import alignment, decontamination, exact_dedup, language, mixing, neighbours, personal_data, prefix_trie, pseudo_likelihood, simhash, token_counts, token_files, toxicity
 from rowsmith.llm.common import saved, table, word_count
 from rowsmith.llm.queries import query
 from rowsmith.session import scratch_folder
@@ -158,3 +158,47 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.alignment_digests(alignment.alignments(table(spark, sf_dir, "documents"), *paths), *paths)
+
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS num, digest, bytes
+  FROM (SELECT conv_id, turn, strlen(COALESCE(text, '')) AS bytes,
+          md5(concat(length(COALESCE(role, '')), ':', COALESCE(role, ''), COALESCE(text, ''))) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv, conv - conv % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM turns GROUP BY conv),
+kept AS (
+  SELECT c.conv, 0 AS part, t.num, t.digest, t.bytes FROM convs c JOIN turns t ON t.conv = c.base AND t.num <= c.h
+  UNION ALL SELECT c.conv, 1, t.num, t.digest, t.bytes FROM convs c JOIN turns t ON t.conv = c.conv AND t.num > c.h),
+placed AS (
+  SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY part, num) AS depth, digest, bytes FROM kept),
+paths AS (
+  SELECT conv, depth, bytes, string_agg(digest, '') OVER (PARTITION BY conv ORDER BY depth) AS path FROM placed
+  UNION ALL SELECT conv, 0, 0, '' FROM convs),
+occurrences AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv) AS ends FROM paths),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own,
+    sha256(COALESCE(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM occurrences GROUP BY path),
+family AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n
+  LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth::BIGINT - 1))),
+children AS (
+  SELECT left(path, 32 * (depth::BIGINT - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT f.*, COALESCE(n_children, 0) AS n_children FROM family f LEFT JOIN children c ON c.path = f.path),
+totals AS (
+  SELECT o.path, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves, sum(c.own) AS saved_tokens
+  FROM counted c JOIN occurrences o ON o.conv = c.conv_id AND o.depth <= c.depth GROUP BY o.path)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM counted JOIN totals USING (path)
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
