@@ -90,11 +90,21 @@ def test_lanes_and_batches_change_nothing(plain, monkeypatch):
     for lane, reach in ((3, 1), (7, 3), (1 << 20, 1)):
         monkeypatch.setattr(alignment, "LANE", lane)
         monkeypatch.setattr(alignment, "REACH", reach)
-        for (a, b, cuts_a, cuts_b), (ids_a, ids_b, links, groups) in zip(alignment.align_texts(texts, both), expected, strict=True):
+        rows = alignment.align_texts(texts, both)
+        assert alignment.group_texts(rows, alignment._written(60_000)) == [";".join(e[3]).encode() for e in expected]
+        for (a, b, cuts_a, cuts_b), (ids_a, ids_b, links, _) in zip(rows, expected, strict=True):
             assert (a.tolist(), b.tolist()) == (ids_a, ids_b)
             assert [(a[i - 1], b[j - 1]) for i, j in zip(cuts_a, cuts_b, strict=True)] == links
-            if groups:
-                assert alignment.groups_text(a, b, cuts_a, cuts_b) == ";".join(groups)
+
+
+def test_both_encoders_equal_the_libraries(plain):
+    rng = random.Random(6)
+    parts = [" ", "\n", "the", "Ab", "é", "1", "½", "_", "'s", "'", "!", "$$", "\u2581", "\x00", "👍", "\r\n", "日", "<|endoftext|>", "<s>", "\u0301", "\t", "  ", "don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(4000)]
+    both = alignment.Vocabularies(*PATHS)
+    texts += [" " * 1_000_000, "a" + "\n" * 3000 + "b", "\t " * 999]
+    for text, (a, b) in zip(texts, both.encoded(texts), strict=True):
+        assert (a.tolist(), b.tolist()) == plain(text)[:2], repr(text[:99])
 
 
 def test_possible_pairs_end_alike():
