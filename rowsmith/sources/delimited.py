@@ -11,19 +11,13 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsmith.functions.names import distinct_names, header_names
 from rowsmith.functions.tokens import blank_to_null, strip
-from rowsmith.session import checkpointed
-from rowsmith.sources.text import (
-    decode_lines,
-    join_quoted_lines,
-    lines_below_header,
-    probe_lines,
-    raw_lines,
-)
+from rowsmith.sources.sections import LINE_MARKS, QuotedFields, block_facts, cut_records, open_files, raw_blocks
+from rowsmith.sources.text import decode_bytes, decode_lines, lines_below_header, raw_lines
 
 # The delimiters that sniffing considers, in order of preference.
 SNIFFED_DELIMITERS = (",", "\t", ";", "|")
@@ -56,6 +50,7 @@ class DelimitedTable:
     columns: list[str]
     delimiter: str
     skipped_rows: int
+    warnings: tuple[str, ...] = ()
 
 
 def split_fields(line: Column, options: DelimitedOptions = DelimitedOptions()) -> Column:
@@ -196,33 +191,44 @@ def read_delimited(
 ) -> DelimitedTable:
     """Read delimited files of one layout into string columns.
 
-    An empty delimiter is sniffed. The first record of each file is its header. Files
-    split as long as no quoted field holds a line end; where one does, the lines are
-    pinned by a checkpoint and glued by position.
+    An empty delimiter is sniffed. The first record of each file is its header. Files split, also where quoted fields
+    hold line ends (``sections``). ``warnings`` tells of files that end inside quotes or are Latin-1.
     """
     options = options or DelimitedOptions()
-    lines = raw_lines(spark, path)
-    probe = probe_lines(lines, options.encoding, options.quote, options.escape)
     if not options.delimiter:
-        ordered = lines.withColumn("order_", F.struct("block", "pos"))
+        ordered = raw_lines(spark, path).withColumn("order_", F.struct("block", "pos"))
         found = sniff_delimiter(ordered, "file", "order_")
         best = found.groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").first()
         options = replace(options, delimiter=best["delimiter"] if best else ",")
-    if options.header and not probe.spans_lines and probe.headers > 1:
-        raise ValueError(f"{path}: {probe.headers} different headers; read files of one layout together")
+    automaton = QuotedFields(options.delimiter, options.quote, options.escape)
+    facts = block_facts(raw_blocks(spark, path), automaton, options.encoding)
+    header = F.when(F.col("opening"), decode_bytes(F.col("first"), options.encoding))
+    found = facts.agg(
+        F.bool_or("odd").alias("spans"), F.max("width").alias("width"), F.bit_or("marks").alias("marks"),
+        F.min(header).alias("header"), F.count_distinct(header).alias("headers"), open_files(facts).alias("open"),
+        F.sum((F.col("latin1") & F.col("last")).cast("int")).alias("latin1"),
+    ).first()
     head: list[str] | None = None
-    if probe.spans_lines:
-        pinned = checkpointed(decode_lines(lines, options.encoding, probe.latin1_files))
-        records = join_quoted_lines(pinned, options.quote, options.escape)
-        rows = record_rows(records, options)
+    if found["spans"]:
+        sections = cut_records(raw_blocks(spark, path), automaton, facts)
+        records, leading = sections.records, record_rows(sections.leading, options)
         if options.header:
-            rows, head = _without_headers(rows)
+            head = _one_header(leading.select("fields").distinct().take(2), path)
+        else:
+            records = records.unionByName(sections.leading)
+        width = max(sections.width, table_width(record_rows(sections.glued, options)))
+        rows = record_rows(records, options)
     else:
+        width = found["width"] or 0
         if options.header:
-            lines = lines_below_header(spark, path, probe.unused_mark)
-            head = spark.range(1).select(split_fields(F.lit(probe.header or ""), options)).first()[0]
-        rows = record_rows(decode_lines(lines, options.encoding, probe.latin1_files), options)
-    width = max(table_width(rows), len(head or ()))
+            _one_header([None] * min(found["headers"], 2), path)
+            lines = lines_below_header(spark, path, _unused_mark(found["marks"] or 0))
+            head = spark.range(1).select(split_fields(F.lit(found["header"] or ""), options)).first()[0]
+        else:
+            lines = raw_lines(spark, path)
+        latin1 = facts.filter(F.col("latin1") & F.col("last")).select("file") if found["latin1"] else None
+        rows = record_rows(decode_lines(lines, options.encoding, latin1), options)
+    width = max(width, len(head or ()))
     if width == 0:
         raise ValueError(f"no non-empty rows in {path}")
     names = distinct_names(header_names(head or (), width))
@@ -230,18 +236,23 @@ def read_delimited(
     if options.malformed == "skip":
         skipped = rows.filter(F.size("fields") != width).count()
     table = fields_to_columns(rows, names, options.malformed)
-    return DelimitedTable(table, names, options.delimiter, skipped)
+    return DelimitedTable(table, names, options.delimiter, skipped, _warnings(found, options))
 
 
-def _without_headers(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows without the first record of each file, and the first file's header."""
-    at = F.struct("block", "pos")
-    first = checkpointed(
-        rows.groupBy("file").agg(F.min_by("fields", at).alias("header"), F.min(at).alias("at"))
-    )
-    heads = first.select("file", "at.block", "at.pos")
-    headers = first.select("header").distinct().take(2)
+def _one_header(headers: Sequence, path: str) -> list[str]:
     if len(headers) > 1:
-        raise ValueError("files with different headers; read files of one layout together")
-    header = headers[0][0] if headers else []
-    return rows.join(heads, ["file", "block", "pos"], "left_anti"), header
+        raise ValueError(f"{path}: files with different headers; read files of one layout together")
+    return headers[0][0] if headers and headers[0] else []
+
+
+def _unused_mark(marks: int) -> str:
+    return next((mark for i, mark in enumerate(LINE_MARKS) if not marks >> i & 1), "")
+
+
+def _warnings(found: Row, options: DelimitedOptions) -> tuple[str, ...]:
+    warnings = []
+    if found["open"]:
+        warnings.append(f"{found['open']} file(s) end inside a quoted field")
+    if found["latin1"] and options.encoding == "auto":
+        warnings.append(f"{found['latin1']} file(s) are not UTF-8 and were read as Latin-1")
+    return tuple(warnings)

@@ -1,24 +1,25 @@
 """SQL dumps as tables: CREATE TABLE and INSERT ... VALUES statements.
 
-Statements, row tuples and values are cut by regular expressions with possessive
-repeats inside the JVM. Nothing here understands SQL beyond those two statements; all
-others are listed with the reason for skipping them.
+Statements are cut by regular expressions with possessive repeats inside the JVM; one pass over each then marks
+quotes, brackets and commas and keeps the bracket depth as a running sum, so tuples nest to any depth. Nothing here
+understands SQL beyond those two statements; all others are listed with the reason for skipping them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowsmith.functions.declared import mysql_target_type
 from rowsmith.operators.coercion import coerce_columns
-from rowsmith.session import checkpointed
-from rowsmith.sources.text import decode_bytes, join_open_lines
+from rowsmith.session import scratch_folder
+from rowsmith.sources.sections import DumpLines, block_facts, cut_records, raw_blocks
 
 SINGLE = r"'(?:[^'\\]++|\\.|'')*+(?:'|$)"
 DOUBLE = r'"(?:[^"\\]++|\\.)*+(?:"|$)'
@@ -29,31 +30,19 @@ NAME = r"(?:`[^`]*`|[A-Za-z_][A-Za-z0-9_$]*)"
 QUALIFIED = rf"(?:{NAME}\s*\.\s*)*({NAME})"
 
 
-def _nested(levels: int) -> str:
-    """Parenthesised text, to a fixed depth."""
-    body = rf"[^()'\"`]++|{QUOTED}"
-    pattern = rf"\((?:{body})*+\)"
-    for _ in range(levels):
-        pattern = rf"\((?:{body}|{pattern})*+\)"
-    return pattern
-
-
-#: Deeper nesting than this is reported as unsupported, never cut short.
-PARENTHESISED = _nested(12)
-ONLY_TUPLES = rf"(?s)^[\s,]*+(?:{PARENTHESISED}[\s,]*+)*+$"
-ITEM = rf",((?:[^,()'\"`]++|{QUOTED}|{PARENTHESISED})*+)"
-CREATE_HEAD = rf"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{QUALIFIED}\s*"
-INSERT_HEAD = (
-    rf"(?is)^INSERT\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\s+)*INTO\s+{QUALIFIED}\s*"
-    rf"({PARENTHESISED})?\s*VALUES"
-)
+MARK = re.compile(rf"(?s){QUOTED}|[(),]")
+CREATE_HEAD = re.compile(rf"(?is)CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{QUALIFIED}\s*")
+INSERT_HEAD = re.compile(rf"(?is)INSERT\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\s+)*INTO\s+{QUALIFIED}\s*")
+VALUES = re.compile(r"(?i)\s*VALUES")
+# What a column type holds in brackets doesn't nest.
+ARGUMENTS = rf"\((?:[^()'\"`]++|{QUOTED})*+\)"
 # The words that end a declared type.
 CONSTRAINT_WORDS = (
     "NOT NULL|NULL|DEFAULT|AUTO_INCREMENT|PRIMARY KEY|UNIQUE|COMMENT|COLLATE|CHARACTER SET"
     "|REFERENCES|CHECK|ON UPDATE|GENERATED ALWAYS|AS |VIRTUAL|STORED"
 )
 COLUMN_PATTERN = (
-    rf"(?is)^\s*({NAME})\s+((?:(?! (?:{CONSTRAINT_WORDS}))[^()'\"]|{QUOTED}|{PARENTHESISED})++)(.*)$"
+    rf"(?is)^\s*({NAME})\s+((?:(?! (?:{CONSTRAINT_WORDS}))[^()'\"]|{QUOTED}|{ARGUMENTS})++)(.*)$"
 )
 # Statement kinds of two words; any other kind is the first word.
 TWO_WORD_KINDS = ("LOCK TABLES", "UNLOCK TABLES", "DROP TABLE", "ALTER TABLE", "CREATE VIEW")
@@ -74,100 +63,155 @@ def _trim(text: Column) -> Column:
     return F.trim(text, F.lit(" \n\r\t\f"))
 
 
-def snippet(statement: Column) -> Column:
-    compact = F.trim(F.regexp_replace(statement, r"\s+", " "))
-    return F.when(F.length(compact) <= SNIPPET_LENGTH, compact).otherwise(
-        F.concat(F.substring(compact, 1, SNIPPET_LENGTH - 1), F.lit("…"))
-    )
-
-
-def _unquote(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), "^`([^`]*)`$", "$1")
+def snippet(statement: str) -> str:
+    compact = re.sub(r"\s+", " ", statement).strip(" ")
+    return compact if len(compact) <= SNIPPET_LENGTH else f"{compact[: SNIPPET_LENGTH - 1]}…"
 
 
-def _items(body: Column) -> Column:
-    """Top-level comma separated items of the text inside a pair of parentheses."""
-    return F.regexp_extract_all(F.concat(F.lit(","), body), F.lit(f"(?s){ITEM}"), 1)
-
-
-def _inside(parenthesised: Column) -> Column:
-    return F.substring(parenthesised, F.lit(2), F.length(parenthesised) - 2)
-
-
-def statement_kind(statement: Column) -> Column:
-    """The words that a statement begins with, however much white space is between them."""
-    kind = F.when(statement.rlike(r"(?i)^INSERT"), "INSERT").when(
-        statement.rlike(r"(?i)^CREATE\s++(TEMPORARY\s++)?TABLE\s"), "CREATE TABLE"
-    )
-    for words in TWO_WORD_KINDS:
-        kind = kind.when(statement.rlike("(?i)^" + words.replace(" ", r"\s++")), words)
-    return kind.otherwise(F.upper(F.regexp_extract(statement, r"^\S*", 0)))
+def _unquote(name: str) -> str:
+    name = name.strip(" ")
+    return name[1:-1] if len(name) > 1 and name[0] == name[-1] == "`" and "`" not in name[1:-1] else name
 
 
-def classify_statements(statements: DataFrame, statement: str = "statement") -> DataFrame:
-    """Add ``kind``, ``head``, ``table_name`` and, where a statement is skipped, ``skip_reason``.
+def groups(text: str, at: int = 0, first_only: bool = False) -> tuple[list[list[str]], int] | None:
+    """Items of each bracketed group from ``at`` on and where the last one ends.
 
-    The head of an INSERT reaches up to VALUES. Without VALUES it is skipped; whether its
-    table was created, and its columns match its rows, is decided with the rows.
+    Items are cut at commas of depth one. None where anything but white space and commas stands between the groups, or
+    a bracket stays open; ``first_only`` stops behind the first group.
     """
-    text, kind = F.col(statement), F.col("kind")
-    # Staged, so that each pattern runs once per statement and only on its own kind.
-    classified = statements.withColumn("kind", statement_kind(text)).withColumn(
-        "head",
-        F.when(kind == "INSERT", F.regexp_extract(text, INSERT_HEAD, 0)).when(
-            kind == "CREATE TABLE", F.regexp_extract(text, CREATE_HEAD, 0)
-        ),
-    )
-    named = classified.withColumn(
-        "table_name",
-        _unquote(
-            F.when(kind == "INSERT", F.regexp_extract("head", INSERT_HEAD, 1)).when(
-                kind == "CREATE TABLE", F.regexp_extract("head", CREATE_HEAD, 1)
-            )
-        ),
-    )
-    supported = kind.isin("INSERT", "CREATE TABLE")
-    reason = F.when(
-        kind.isin("INSERT") & (F.col("head") == ""),
-        F.lit("Only INSERT ... VALUES statements are supported."),
-    ).when(~supported, F.concat(F.lit("Skipping unsupported "), kind, F.lit(" statement.")))
-    return named.withColumn("skip_reason", reason)
-
-
-def _insert_faults(classified: DataFrame, statement: str, created: DataFrame | None) -> DataFrame:
-    """Add the reasons that need the rows of an INSERT, or the tables created before it.
-
-    ``created`` has ``created_name, created_at``; each table has one row.
-    """
-    open_ = (F.col("kind") == "INSERT") & F.col("skip_reason").isNull()
-    values = F.substring(F.col(statement), F.length("head") + 1, F.length(F.col(statement)))
-    listed = F.regexp_extract("head", INSERT_HEAD, 2)
-    first = F.regexp_extract(values, rf"(?s){PARENTHESISED}", 0)
-    widths_differ = (listed != "") & (F.size(_items(_inside(listed))) != F.size(_items(_inside(first))))
-    skipping = F.concat(F.lit("Skipping INSERT for "), "table_name")
-    found = classified.withColumn("values_", F.when(open_, values))
-    reason = F.when(
-        open_ & ~F.col("values_").rlike(ONLY_TUPLES), F.lit("Unsupported INSERT row syntax.")
-    )
-    if created is not None:
-        found = found.join(created, F.col("table_name") == F.col("created_name"), "left")
-        known = F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
-        reason = reason.when(
-            open_ & ~known,
-            F.concat(skipping, F.lit(" because no supported CREATE TABLE was parsed first.")),
-        )
-    reason = reason.when(
-        open_ & widths_differ,
-        F.concat(skipping, F.lit(" because the explicit column list does not match row width.")),
-    )
-    return found.withColumn("skip_reason", F.coalesce("skip_reason", reason)).drop("values_")
+    found, items, depth, start, end = [], [], 0, at, at
+    for mark in MARK.finditer(text, at):
+        kind = mark.group()
+        if kind == "(":
+            if depth == 0:
+                if text[end : mark.start()].strip(BETWEEN_GROUPS):
+                    return None
+                items, start = [], mark.end()
+            depth += 1
+        elif kind == ")":
+            depth -= 1
+            if depth < 0:
+                return None
+            if depth == 0:
+                items.append(text[start : mark.start()])
+                found.append(items)
+                end = mark.end()
+                if first_only:
+                    return found, end
+        elif depth == 0 and kind != ",":
+            return None
+        elif depth == 1 and kind == ",":
+            items.append(text[start : mark.start()])
+            start = mark.end()
+    return None if depth or text[end:].strip(BETWEEN_GROUPS) else (found, end)
+
+
+BETWEEN_GROUPS = " \t\n\x0b\f\r,"
+
+
+def statement_kind(statement: str) -> str:
+    """The words that a statement begins with, however much white space is between them."""
+    words = statement.upper().split(None, 3)
+    if statement[:6].upper() == "INSERT":
+        return "INSERT"
+    if words[:2] == ["CREATE", "TABLE"] or words[:3] == ["CREATE", "TEMPORARY", "TABLE"]:
+        return "CREATE TABLE"
+    return " ".join(words[:2]) if " ".join(words[:2]) in TWO_WORD_KINDS else words[0]
+
+
+def _parsed_insert(statement: str) -> Iterator[dict]:
+    """One ``insert`` entry and, where nothing is wrong, one ``row`` entry for each tuple."""
+    head = INSERT_HEAD.match(statement)
+    listed = groups(statement, head.end(), True) if head and statement[head.end() : head.end() + 1] == "(" else None
+    values = VALUES.match(statement, listed[1] if listed else head.end()) if head else None
+    if not values:
+        yield {"entry": "skip", "kind": "INSERT", "reason": "Only INSERT ... VALUES statements are supported."}
+        return
+    table = _unquote(head.group(1))
+    columns = [_unquote(c) for c in listed[0][0]] if listed else None
+    tuples = groups(statement, values.end())
+    entry = {"entry": "insert", "kind": "INSERT", "table_name": table, "parts": []}
+    if tuples is None:
+        yield entry | {"reason": "Unsupported INSERT row syntax."}
+    elif columns is not None and len(columns) != (len(tuples[0][0]) if tuples[0] else 0):
+        yield entry | {"parts": [f"Skipping INSERT for {table} because the explicit column list does not match row width."]}
+    else:
+        yield entry
+        for row_no, tokens in enumerate(tuples[0]):
+            yield {"entry": "row", "table_name": table, "row_no": row_no, "columns": columns, "parts": tokens}
+
+
+def _parsed_create(statement: str) -> Iterator[dict]:
+    """One ``create`` entry: the segments of the body, and the names in the first brackets of each."""
+    head = CREATE_HEAD.match(statement)
+    if not head:
+        return
+    body = groups(statement, head.end(), True) if statement[head.end() : head.end() + 1] == "(" else None
+    segments = [segment.strip(" \n\r\t\f") for segment in body[0][0]] if body else []
+    first = [groups(segment, segment.index("("), True) if "(" in segment else None for segment in segments]
+    keys = [[_unquote(k) for k in found[0][0]] if found else [] for found in first]
+    yield {"entry": "create", "table_name": _unquote(head.group(1)), "parts": segments, "keys": keys}
+
+
+ENTRY = "entry string, table_name string, kind string, reason string, snippet string, columns array<string>, row_no int, parts array<string>, keys array<array<string>>"
+_ENTRY = pa.schema([
+    ("entry", pa.string()), ("table_name", pa.string()), ("kind", pa.string()), ("reason", pa.string()), ("snippet", pa.string()),
+    ("columns", pa.list_(pa.string())), ("row_no", pa.int32()), ("parts", pa.list_(pa.string())), ("keys", pa.list_(pa.list_(pa.string()))),
+])
+
+
+def _parse(statement: str) -> Iterator[dict]:
+    kind = statement_kind(statement)
+    if kind == "INSERT":
+        yield from _parsed_insert(statement)
+    elif kind == "CREATE TABLE":
+        yield from _parsed_create(statement)
+    else:
+        yield {"entry": "skip", "kind": kind, "reason": f"Skipping unsupported {kind} statement."}
+
+
+def _parser(statement: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [n for n in batch.schema.names if n != statement]
+            entries, places = [], []
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(places, pa.int32())
+                parsed = [pa.array([e.get(f.name) for e in entries], f.type) for f in _ENTRY]
+                entries.clear()
+                places.clear()
+                return pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in others), *parsed], [*others, *_ENTRY.names])
+
+            for place, text in enumerate(batch.column(statement)):
+                text = text.as_py()
+                if not text or not text.strip():
+                    continue
+                for entry in _parse(text):
+                    if entry["entry"] in ("skip", "insert"):
+                        entry["snippet"] = snippet(text)
+                    entries.append(entry)
+                    places.append(place)
+                    if len(entries) >= 10_000:
+                        yield flush()
+            yield flush()
+
+    return run
+
+
+def parsed(statements: DataFrame, statement: str = "statement") -> DataFrame:
+    """What each statement says, in one pass: entries ``create``, ``insert``, ``row`` and ``skip`` beside the other columns."""
+    if "entry" in statements.columns:
+        return statements
+    kept = [f for f in statements.schema.fields if f.name != statement]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(ENTRY).fields])
+    return statements.mapInArrow(_parser(statement), schema)
 
 
 def created_tables(statements: DataFrame, statement: str = "statement") -> DataFrame:
     """``created_name, created_at``: the first CREATE TABLE of each table."""
-    name = _unquote(F.regexp_extract(F.col(statement), CREATE_HEAD, 1))
-    created = statements.filter(F.col(statement).rlike(CREATE_HEAD))
-    return created.groupBy(name.alias("created_name")).agg(F.min("ordinal").alias("created_at"))
+    created = parsed(statements, statement).filter("entry = 'create'")
+    return created.groupBy(F.col("table_name").alias("created_name")).agg(F.min("ordinal").alias("created_at"))
 
 
 def skipped_statements(
@@ -177,43 +221,37 @@ def skipped_statements(
 
     With ``created`` (see ``created_tables``), an INSERT must follow the CREATE TABLE of its table.
     """
-    classified = _insert_faults(classify_statements(statements, statement), statement, created)
-    return classified.filter(F.col("skip_reason").isNotNull()).select(
-        *[c for c in statements.columns if c not in (statement, "ordinal")],
-        "ordinal",
-        "kind",
-        F.col("skip_reason").alias("reason"),
-        snippet(F.col(statement)).alias("snippet"),
-    )
+    entries = parsed(statements, statement).filter("entry IN ('skip', 'insert')")
+    reason = F.col("reason")
+    if created is not None:
+        entries = entries.join(created, F.col("table_name") == F.col("created_name"), "left")
+        early = (F.col("entry") == "skip") | F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
+        lost = F.concat(F.lit("Skipping INSERT for "), "table_name", F.lit(" because no supported CREATE TABLE was parsed first."))
+        reason = F.coalesce(reason, F.when(~early, lost))
+    entries = entries.withColumn("reason", F.coalesce(reason, F.get("parts", F.lit(0))))
+    kept = [c for c in statements.columns if c not in (statement, "ordinal", *_ENTRY.names)]
+    return entries.filter("reason IS NOT NULL").select(*kept, "ordinal", "kind", "reason", "snippet")
 
 
 def dump_columns(statements: DataFrame, statement: str = "statement") -> DataFrame:
     """Declared columns of the CREATE TABLE statements, with constraints and target type."""
-    text = F.col(statement)
-    body = F.regexp_extract(text, rf"{CREATE_HEAD}({PARENTHESISED})", 2)
-    created = statements.filter(text.rlike(CREATE_HEAD)).select(
-        _unquote(F.regexp_extract(text, CREATE_HEAD, 1)).alias("table_name"),
-        F.transform(_items(_inside(body)), _trim).alias("segments"),
-    )
-    upper_is = lambda pattern: lambda s: F.upper(s).rlike(pattern)
-    keys = lambda s: F.transform(
-        _items(_inside(F.regexp_extract(s, rf"(?s){PARENTHESISED}", 0))), _unquote
-    )
+    pairs = F.arrays_zip(F.col("parts").alias("text"), F.col("keys").alias("keys"))
+    created = parsed(statements, statement).filter("entry = 'create'").select("table_name", pairs.alias("segments"))
+    upper_is = lambda pattern: lambda s: F.upper(s["text"]).rlike(pattern)
+    of_keys = lambda pattern: F.transform(F.filter("segments", upper_is(pattern)), lambda s: s["keys"])
     table_keys = created.select(
         "table_name",
-        F.flatten(F.transform(F.filter("segments", upper_is("^PRIMARY KEY")), keys)).alias("pk"),
-        F.flatten(
+        F.flatten(of_keys("^PRIMARY KEY")).alias("pk"),
+        F.flatten(F.filter(of_keys("^UNIQUE( |$)"), lambda names: F.size(names) == 1)).alias("uniques"),
+        F.transform(
             F.filter(
-                F.transform(F.filter("segments", upper_is("^UNIQUE( |$)")), keys),
-                lambda names: F.size(names) == 1,
-            )
-        ).alias("uniques"),
-        F.filter(
-            "segments",
-            lambda s: (s != "")
-            & ~F.upper(s).rlike(
-                "^(PRIMARY KEY|UNIQUE |KEY |INDEX |FULLTEXT |SPATIAL |CONSTRAINT |FOREIGN KEY|CHECK )"
+                "segments",
+                lambda s: (s["text"] != "")
+                & ~F.upper(s["text"]).rlike(
+                    "^(PRIMARY KEY|UNIQUE |KEY |INDEX |FULLTEXT |SPATIAL |CONSTRAINT |FOREIGN KEY|CHECK )"
+                ),
             ),
+            lambda s: s["text"],
         ).alias("definitions"),
     )
     columns = table_keys.select(
@@ -221,7 +259,7 @@ def dump_columns(statements: DataFrame, statement: str = "statement") -> DataFra
     )
     constraints = F.upper(F.regexp_extract("definition", COLUMN_PATTERN, 3))
     declared = F.trim(F.regexp_extract("definition", COLUMN_PATTERN, 2))
-    name = _unquote(F.regexp_extract("definition", COLUMN_PATTERN, 1))
+    name = F.regexp_replace(F.trim(F.regexp_extract("definition", COLUMN_PATTERN, 1)), "^`([^`]*)`$", "$1")
     return columns.filter(F.col("definition").rlike(COLUMN_PATTERN)).select(
         "table_name",
         "source_index",
@@ -274,7 +312,7 @@ ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 
 
 def _decode_quoted(token: Column) -> Column:
-    quote, body = F.substring(token, 1, 1), _inside(token)
+    quote, body = F.substring(token, 1, 1), F.substring(token, F.lit(2), F.length(token) - 2)
     # A private-use mark stands for an escaped character until doubled quotes are resolved.
     mark = ""
     decoded = F.regexp_replace(body, r"(?s)\\(.)", f"{mark}$1")
@@ -291,45 +329,10 @@ def insert_rows(statements: DataFrame, statement: str = "statement") -> DataFram
 
     ``columns`` is NULL without an explicit list; ``tokens`` are undecoded literals. A
     statement without VALUES, with anything but tuples after it, or whose list does not match its
-    row width gives no rows; ``skipped_statements`` reports it.
-    Tuples are exploded, so a long statement does not stay one row.
+    row width gives no rows; ``skipped_statements`` reports it. A long statement does not stay one row.
     """
-    text = F.col(statement)
-    inserts = statements.filter(F.upper(F.substring(text, 1, 6)) == "INSERT")
-    heads = inserts.select(
-        "ordinal", text.alias("text_"), F.regexp_extract(text, INSERT_HEAD, 0).alias("head_")
-    )
-    listed = F.regexp_extract("head_", INSERT_HEAD, 2)
-    named = heads.select(
-        "ordinal",
-        "text_",
-        "head_",
-        _unquote(F.regexp_extract("head_", INSERT_HEAD, 1)).alias("table_name"),
-        F.when(listed != "", F.transform(_items(_inside(listed)), _unquote)).alias("columns"),
-    )
-    values = F.substring(F.col("text_"), F.length("head_") + 1, F.length("text_"))
-    split = named.select(
-        "ordinal",
-        "table_name",
-        "columns",
-        F.when(
-            (F.col("head_") != "") & values.rlike(ONLY_TUPLES),
-            F.regexp_extract_all(values, F.lit(rf"(?s){PARENTHESISED}"), 0),
-        ).alias("tuples"),
-    )
-    # The test sits inside the explode: as a filter it would run the patterns again.
-    fits = F.col("columns").isNull() | (
-        F.size("columns") == F.size(_items(_inside(F.get("tuples", F.lit(0)))))
-    )
-    rows = split.select(
-        "table_name",
-        "ordinal",
-        "columns",
-        F.posexplode(F.when(fits, F.col("tuples"))).alias("row_no", "tuple"),
-    )
-    return rows.select(
-        "table_name", "ordinal", "row_no", "columns", _items(_inside(F.col("tuple"))).alias("tokens")
-    )
+    rows = parsed(statements, statement).filter("entry = 'row'")
+    return rows.select("table_name", "ordinal", "row_no", "columns", F.col("parts").alias("tokens"))
 
 
 def dump_rows(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
@@ -350,99 +353,57 @@ def dump_rows(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class DumpTables:
-    """Typed tables of a dump, their declared columns, and the statements left out."""
+    """Typed tables of a dump, their declared columns, the statements left out, and values left out of rows."""
 
     tables: dict[str, DataFrame]
     columns: DataFrame
     skipped: DataFrame
+    warnings: DataFrame
 
 
 def dump_tables(statements: DataFrame, statement: str = "statement") -> DumpTables:
     """Every created table with its inserted rows, typed as declared.
 
-    ``statements`` has ``ordinal`` and the text; with a ``file``, files in name order are one dump. Only
-    declared columns come to the driver.
+    ``statements`` has ``ordinal`` and the text; with a ``file``, files in name order are one dump. They are read
+    and parsed once: what they say is written to one folder per kind and table, and each table reads its own. Only
+    declared columns come to the driver. ``warnings`` counts the rows with more values than their table has columns.
     """
     if "file" in statements.columns:
         statements = statements.select(F.struct("file", "ordinal").alias("ordinal"), statement)
-    created = created_tables(statements, statement)
-    columns = dump_columns(statements, statement).distinct()
+    found = parsed(statements, statement)
+    path = scratch_folder(statements.sparkSession, "dump")
+    found.write.partitionBy("entry", "table_name").parquet(path)
+    found = statements.sparkSession.read.schema(found.schema).parquet(path)
+    created = created_tables(found)
+    columns = dump_columns(found).distinct()
     declared: dict[str, dict[str, str]] = {}
     for row in columns.orderBy("table_name", "source_index").collect():
         declared.setdefault(row["table_name"], {})[row["column_name"]] = row["target_type"]
-    rows = insert_rows(statements, statement)
+    rows = insert_rows(found)
     early = F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
     rows = rows.join(created, F.col("table_name") == F.col("created_name")).filter(early)
     tables = {
         name: coerce_columns(dump_rows(rows, name, list(kinds)), kinds, "dump") for name, kinds in declared.items()
     }
-    return DumpTables(tables, columns, skipped_statements(statements, statement, created))
-
-
-# Text in which every quoted part and comment is closed.
-CLOSED = (
-    r"(?s)^(?:--(?=\s|$)[^\n]*+|\#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
-    r"|'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.)*+\"|`[^`]*+`|[^'\"`#/-]++|[-/](?!\*))*+$"
-)
-
-
-def _pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
-    """``file, block, pos, line``: text cut behind each ``end``, which lets Spark split large files."""
-    return spark.read.option("lineSep", end).text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
+    widths = columns.groupBy(F.col("table_name").alias("w_table")).agg(F.count_distinct("column_name").alias("width"))
+    wide = rows.join(widths, F.col("table_name") == F.col("w_table")).filter(F.col("columns").isNull() & (F.size("tokens") > F.col("width")))
+    warnings = wide.groupBy("table_name").agg(F.count("*").alias("rows")).select(
+        "table_name", F.lit("Values beyond the declared columns were left out.").alias("warning"), "rows"
     )
-
-
-def _of_files(files: Sequence[str]) -> Column:
-    return F.col("file").isin(list(files)) if files else F.lit(False)
+    return DumpTables(tables, columns, skipped_statements(found, created=created), warnings)
 
 
 def read_statements(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
     """``file, ordinal, statement`` of dump files.
 
-    A dump is cut at ``;`` + its line end. Files that are not UTF-8 are decoded piece by piece. Where a string
-    literal holds such an end, its pieces are pinned and glued by position; only files that are
-    still open after that (a comment over a cut) are read whole. One row of facts per file is collected.
+    A dump is cut behind the lines that end a statement, wherever those lie: strings and comments go on over line ends
+    and file blocks (see ``sections``). Files that are not UTF-8 are Latin-1.
     """
-    is_open = ~F.col("line").rlike(CLOSED)
-    facts = _pieces(spark, path, ";\n").groupBy("file").agg(
-        F.bool_or(is_open).alias("open"),
-        F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
-        F.bool_or(F.contains("line", F.lit(";\r\n"))).alias("crlf"),
-    ).collect()
-    latin1 = F.lit(True) if encoding == "latin1" else _of_files([r["file"] for r in facts if not r["utf8"] and encoding == "auto"])
-    frames = []
-    for end, rows in ((";\n", [r for r in facts if not r["crlf"]]), (";\r\n", [r for r in facts if r["crlf"]])):
-        if not rows:
-            continue
-        mixed = len(rows) < len(facts)
-        pieces = _pieces(spark, [unquote(r["file"]) for r in rows] if mixed else path, end)
-        decoded = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
-        pieces = pieces.withColumn("line", F.when(latin1, decoded).otherwise(F.col("line")))
-        if any(r["open"] or r["crlf"] for r in rows):
-            # Opens a string when read from outside one, and closes one when read from inside.
-            closes = F.concat(F.lit("'x"), "line").rlike(CLOSED)
-            pieces = join_open_lines(checkpointed(pieces), is_open & closes, end)
-            whole = [r["file"] for r in pieces.filter(is_open).select("file").distinct().collect()]
-            if whole:
-                pieces = pieces.filter(~_of_files(whole)).unionByName(_whole_files(spark, whole, encoding))
-        frames.append(pieces)
-    if not frames:
-        frames.append(_pieces(spark, path, ";\n"))
-    statements = reduce(DataFrame.unionByName, frames).select(
-        "file", "block", "pos", F.posexplode(split_statements(F.col("line"))).alias("part", "statement")
-    )
-    return statements.select("file", F.struct("block", "pos", "part").alias("ordinal"), "statement")
-
-
-def _whole_files(spark: SparkSession, files: Sequence[str], encoding: str) -> DataFrame:
-    content = spark.read.format("binaryFile").load([unquote(f) for f in files])
-    return content.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.lit(0).cast("bigint").alias("block"),
-        F.lit(0).cast("bigint").alias("pos"),
-        decode_bytes(F.col("content"), encoding).alias("line"),
+    automaton = DumpLines()
+    facts = block_facts(raw_blocks(spark, path, named=True), automaton, encoding)
+    sections = cut_records(raw_blocks(spark, path, named=True), automaton, facts)
+    pieces = sections.records.unionByName(sections.leading)
+    statements = pieces.select(
+        "file", F.struct("block", F.col("at").alias("pos")).alias("place"), F.posexplode(split_statements(F.col("line"))).alias("part", "statement")
     )
+    return statements.select("file", F.struct("place.block", "place.pos", "part").alias("ordinal"), "statement")

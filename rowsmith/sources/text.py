@@ -1,14 +1,10 @@
-"""Line and byte level reading: encodings, ordered lines, quoted records that span lines."""
+"""Line and byte level reading: encodings and ordered lines."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.session import checkpointed
-
 
 def decode_bytes(content: Column, encoding: str = "auto") -> Column:
     """Bytes to text: ``utf8``, ``latin1``, or UTF-8 with Latin-1 where it is not valid."""
@@ -21,62 +17,19 @@ def decode_bytes(content: Column, encoding: str = "auto") -> Column:
     return F.when(F.is_valid_utf8(utf8), utf8).otherwise(latin1)
 
 
-@dataclass(frozen=True)
-class LineProbe:
-    """What one scan of the raw lines found."""
-
-    latin1_files: DataFrame | None
-    spans_lines: bool
-    header: str | None
-    headers: int
-    unused_mark: str
-
-
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, block, pos, line``: the lines of text files, in order of (block, pos).
+    """``file, block, pos, line``: the lines of text files, in order of (block, pos); ``file`` is a hash of the path.
 
-    The scan splits large files. Positions depend on the splits, so anything that joins
-    on them first pins the lines with a checkpoint.
+    The scan splits large files.
     """
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     )
 
 
-def probe_lines(lines: DataFrame, encoding: str, quote: str, escape: str) -> LineProbe:
-    """Which files are not UTF-8, whether a quoted section spans lines, and the header: one scan.
-
-    The header is the first line of each file that is not blank; files without one don't count.
-    """
-    odd = quote_marks(F.col("line"), quote, escape) % 2 == 1
-    at = F.when(F.trim("line") != "", F.struct("block", "pos"))
-    held = F.array(*[F.contains("line", F.lit(mark)).cast("int") for mark in LINE_MARKS])
-    marks = F.aggregate(
-        held, F.lit(0).cast("long"), lambda bits, one: F.shiftleft(bits, 1).bitwiseOR(one.cast("long"))
-    )
-    per_file = lines.groupBy("file").agg(
-        F.bool_or(odd).alias("odd"),
-        F.bool_and(F.is_valid_utf8("line")).alias("utf8"),
-        F.min_by(decode_bytes(F.col("line").cast("binary"), encoding), at).alias("header"),
-        F.bit_or(marks).alias("marks"),
-    )
-    found = per_file.agg(
-        F.bool_or("odd").alias("odd"),
-        F.bool_and("utf8").alias("utf8"),
-        F.min("header").alias("header"),
-        F.count_distinct("header").alias("headers"),
-        F.bit_or("marks").alias("marks"),
-    ).first()
-    not_utf8 = encoding == "auto" and found["utf8"] is False
-    files = checkpointed(per_file.filter(~F.col("utf8")).select("file")) if not_utf8 else None
-    bits = f"{found['marks'] or 0:0{len(LINE_MARKS)}b}"
-    unused = next((mark for mark, bit in zip(LINE_MARKS, bits) if bit == "0"), "")
-    return LineProbe(files, bool(found["odd"]), found["header"], found["headers"], unused)
-
-
 def decode_lines(lines: DataFrame, encoding: str, latin1_files: DataFrame | None) -> DataFrame:
     """Fix the text of Latin-1 files; a file is Latin-1 as a whole, as an editor reads it."""
     latin1 = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
@@ -90,8 +43,6 @@ def decode_lines(lines: DataFrame, encoding: str, latin1_files: DataFrame | None
     ).drop("latin1_")
 
 
-# Characters one of which the text does not hold, so that Spark's CSV reader hands over whole lines.
-LINE_MARKS = tuple(map(chr, (*range(1, 9), *range(14, 32))))
 WHOLE_LINES = {"quote": "", "header": "true", "encoding": "ISO-8859-1", "maxCharsPerColumn": "-1"}
 
 
@@ -106,55 +57,4 @@ def lines_below_header(spark: SparkSession, path: str, unused_mark: str) -> Data
         raise ValueError(f"{path} holds every control character; none is left to read whole lines by")
     body = spark.read.options(**WHOLE_LINES, sep=unused_mark).schema("line string").csv(path)
     as_bytes = F.encode(F.col("line"), "ISO-8859-1").cast("string")
-    return body.select(F.col("_metadata.file_path").alias("file"), as_bytes.alias("line"))
-
-
-def quote_marks(line: Column, quote: str, escape: str) -> Column:
-    """How often a line opens or closes a quoted section."""
-    text = line if escape == quote else F.replace(line, F.lit(escape + quote), F.lit(""))
-    return F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))
-
-
-def join_quoted_lines(
-    lines: DataFrame, quote: str = '"', escape: str = '"', joiner: str = "\n"
-) -> DataFrame:
-    """Glue together the lines of a record whose quoted field holds line ends."""
-    return join_open_lines(lines, quote_marks(F.col("line"), quote, escape) % 2 == 1, joiner)
-
-
-def join_open_lines(lines: DataFrame, toggles: Column, joiner: str = "\n") -> DataFrame:
-    """Glue lines together from one that opens a section up to the one that closes it.
-
-    A toggling line, for example one with an odd number of quotes, opens or closes a
-    section. Counting the toggling lines before each line numbers the sections.
-    The count is kept per file block and then added up over blocks, so one huge file is
-    still spread over its blocks; lines outside such sections are never grouped.
-    """
-    marked = lines.withColumn("odd", toggles.cast("int"))
-    blocks = marked.groupBy("file", "block").agg(F.sum("odd").alias("odd_in_block"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = blocks.select(
-        "file", "block", F.coalesce(F.sum("odd_in_block").over(earlier), F.lit(0)).alias("before")
-    )
-    inside = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    numbered = marked.join(offsets, ["file", "block"]).withColumn(
-        "before", F.col("before") + F.sum("odd").over(inside) - F.col("odd")
-    )
-    spans = (F.col("before") % 2 == 1) | (F.col("odd") == 1)
-    whole = numbered.filter(~spans).select("file", "block", "pos", "line")
-    glued = (
-        numbered.filter(spans)
-        .groupBy("file", F.floor(F.col("before") / 2).alias("section"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "pos", "line"))).alias("parts"))
-        .select(
-            "file",
-            F.col("parts")[0]["block"].alias("block"),
-            F.col("parts")[0]["pos"].alias("pos"),
-            F.array_join(F.col("parts.line"), joiner).alias("line"),
-        )
-    )
-    return whole.unionByName(glued)
+    return body.select(F.xxhash64("_metadata.file_path").alias("file"), as_bytes.alias("line"))
