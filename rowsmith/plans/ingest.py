@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions.names import distinct_names, header_names
 from rowsmith.operators.coercion import coerce_columns
+from rowsmith.operators import reshape
 from rowsmith.operators.inference import infer_types
 from rowsmith.operators.loads import preview
 from rowsmith.operators.sinks import write_csv
@@ -44,6 +45,14 @@ def parse_lines(df: DataFrame, names: list[str], options: DelimitedOptions) -> D
     )
 
 
+def written_and_read(t: Tables, df: DataFrame, kind: str) -> DataFrame:
+    """A table as files of a format, read back as text columns."""
+    options = delimited.FORMAT_OPTIONS[kind]
+    folder = scratch_folder(t.spark, kind)
+    write_csv(df, folder, options.delimiter)
+    return delimited.read_delimited(t.spark, folder, options).rows
+
+
 # --- delimited text ---------------------------------------------------------------------
 
 
@@ -58,8 +67,7 @@ def scan_csv(t: Tables) -> DataFrame:
     "scan_tsv", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"
 )
 def scan_tsv(t: Tables) -> DataFrame:
-    lines = render.lines_of(t.part, "\t")
-    return typed(parse_lines(lines, t.part.columns, delimited.FORMAT_OPTIONS["tsv"]))
+    return typed(written_and_read(t, t.part, "tsv"))
 
 
 @query(
@@ -67,8 +75,7 @@ def scan_tsv(t: Tables) -> DataFrame:
     "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
 )
 def scan_psv(t: Tables) -> DataFrame:
-    lines = render.lines_of(t.supplier, "|")
-    return typed(parse_lines(lines, t.supplier.columns, delimited.FORMAT_OPTIONS["psv"]))
+    return typed(written_and_read(t, t.supplier, "psv"))
 
 
 @query(
@@ -177,9 +184,12 @@ def decode_auto(t: Tables) -> DataFrame:
 
 @query("scan_json", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def scan_json(t: Tables) -> DataFrame:
-    columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
-    docs = t.customer.select(F.to_json(F.struct(*columns)).alias("doc"))
-    return documents.parse_json_column(docs, "doc").select(*[F.col(f"doc.{c}") for c in columns])
+    """Files that each hold a list of some hundred customers."""
+    record = F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    some = t.customer.groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    folder = scratch_folder(t.spark, "customers-json")
+    some.repartition("part").write.partitionBy("part").text(folder)
+    return documents.record_rows(documents.read_json(t.spark, folder), "document").select("record.*")
 
 
 @query("scan_ndjson", "SELECT event_id, user_id, event_type, value, props FROM events")
@@ -191,23 +201,19 @@ def scan_ndjson(t: Tables) -> DataFrame:
     return docs.select(*[F.col(f"document.{c}") for c in columns])
 
 
+XML_FILES = {"attributePrefix": "attr_", "valueTag": "text", "declaration": ""}
+
+
 @query(
     "scan_xml",
     "SELECT o_orderkey AS attr_key, o_orderstatus AS status, o_totalprice AS price FROM orders",
 )
 def scan_xml(t: Tables) -> DataFrame:
-    doc = render.xml_element(
-        "order",
-        render.xml_element("status", render.xml_text(F.col("o_orderstatus"))),
-        render.xml_element("price", render.xml_text(F.col("o_totalprice"))),
-        key=F.col("o_orderkey"),
-    )
-    rows = t.orders.select(doc.alias("doc"))
-    from pyspark.sql import types as T
-
-    schema = T.StructType.fromDDL("attr_key string, status string, price string")
-    parsed = documents.parse_xml_column(rows, "doc", schema).select("doc.*")
-    return coerce_columns(parsed, {"attr_key": "INTEGER", "price": "FLOAT64"})
+    """Files of orders; their row element, columns and types follow from the files."""
+    folder = scratch_folder(t.spark, "orders-xml")
+    rows = t.orders.selectExpr("o_orderkey AS attr_key", "o_orderstatus AS status", "o_totalprice AS price")
+    rows.write.options(**XML_FILES, rootTag="orders", rowTag="order").xml(folder)
+    return typed(reshape.flatten(documents.read_xml(t.spark, folder).tables["orders"], "record"))
 
 
 @query(
@@ -216,16 +222,13 @@ def scan_xml(t: Tables) -> DataFrame:
     " unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''",
 )
 def xml_root_rows(t: Tables) -> DataFrame:
-    from pyspark.sql import types as T
-
+    """A root that holds nothing but repeated lines is the list of lines."""
     kept = F.filter(render.text_lines(), lambda line: F.trim(line) != "")
-    docs = t.documents.select(
-        "doc_id", render.xml_element("lines", render.xml_list("line", kept)).alias("doc")
-    )
-    schema = T.StructType.fromDDL("line array<string>")
-    parsed = documents.parse_xml_column(docs, "doc", schema)
-    name, records, _ = documents.xml_records("lines", F.col("doc"), schema)
-    return parsed.select("doc_id", F.explode(records).alias("value")).alias(name)
+    lines = t.documents.select(F.col("doc_id").alias("attr_doc"), F.explode(kept).alias("text"))
+    folder = scratch_folder(t.spark, "lines-xml")
+    lines.write.options(**XML_FILES, rootTag="lines", rowTag="line").xml(folder)
+    rows = reshape.flatten(documents.read_xml(t.spark, folder).tables["lines"], "record")
+    return rows.select(F.col("attr_doc").cast("long").alias("doc_id"), F.trim("text").alias("value"))
 
 
 # --- HTML -------------------------------------------------------------------------------

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from dataclasses import dataclass
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.functions.tokens import blank_to_null
+from rowsmith.session import checkpointed
 from rowsmith.sources.text import decode_bytes
 
 XML_OPTIONS = {"attributePrefix": "attr_", "valueTag": "text", "ignoreNamespace": "true"}
@@ -141,3 +147,155 @@ def xml_records(root: str, value: Column, schema: T.DataType) -> tuple[str, Colu
             name = xml_table_name(root, only.name)
             return name, value.getField(only.name), only.dataType.elementType
     return root, F.array(value), schema
+
+
+# --- structure of XML files -------------------------------------------------------------
+
+PATHS = "file string, path array<string>, attribute boolean, place int, repeats int, has_text boolean, error string"
+_PATHS = pa.schema([
+    ("file", pa.string()), ("path", pa.list_(pa.string())), ("attribute", pa.bool_()), ("place", pa.int32()),
+    ("repeats", pa.int32()), ("has_text", pa.bool_()), ("error", pa.string()),
+])
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def _path_tree(content: bytes) -> dict[tuple[tuple[str, ...], bool], list]:
+    """Every path of a document: place of its first element, most repeats in one parent, whether one has text.
+
+    The document is read as a stream; elements are dropped when they end.
+    """
+    tree: dict[tuple[tuple[str, ...], bool], list] = {}
+    counts: list[dict[str, int]] = [{}]
+    way: list[str] = []
+    open_: list[ElementTree.Element] = []
+
+    def note(path: tuple[str, ...], attribute: bool = False) -> list:
+        return tree.setdefault((path, attribute), [len(tree), 1, False])
+
+    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            name = _local(element.tag)
+            counts[-1][name] = counts[-1].get(name, 0) + 1
+            way.append(name)
+            seen = note(tuple(way))
+            seen[1] = max(seen[1], counts[-1][name])
+            for attribute in element.attrib:
+                note((*way, _local(attribute)), True)
+            counts.append({})
+            open_.append(element)
+        else:
+            texts = [element.text, *(child.tail for child in element)]
+            if any(text and text.strip() for text in texts):
+                tree[(tuple(way), False)][2] = True
+            way.pop()
+            counts.pop()
+            open_.pop()
+            element.clear()
+            if open_ and element.tail and element.tail.strip():
+                tree[(tuple(way), False)][2] = True
+    return tree
+
+
+def _path_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+            try:
+                tree = _path_tree(content.as_py())
+            except ElementTree.ParseError as error:
+                rows.append({"file": file, "path": [], "error": str(error)})
+                continue
+            for (path, attribute), (place, repeats, has_text) in tree.items():
+                rows.append({"file": file, "path": path, "attribute": attribute, "place": place, "repeats": repeats, "has_text": has_text})
+        yield pa.RecordBatch.from_pylist(rows, _PATHS)
+
+
+def xml_paths(spark: SparkSession, path: str) -> DataFrame:
+    """The path tree of each XML file, one row per different path; a file that is not XML has its error."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(_path_trees, PATHS)
+
+
+@dataclass
+class _Element:
+    """An element name below its parent, over all files."""
+
+    repeats: bool = False
+    has_text: bool = False
+    attributes: tuple[str, ...] = ()
+    children: dict[str, _Element] | None = None
+
+    def kind(self) -> T.DataType:
+        fields = [T.StructField(f"attr_{name}", T.StringType()) for name in self.attributes]
+        inner = (self.children or {}).items()
+        if not fields and not inner:
+            return T.StringType()
+        if self.has_text:
+            fields.append(T.StructField("text", T.StringType()))
+        fields += [T.StructField(name, T.ArrayType(e.kind()) if e.repeats else e.kind()) for name, e in inner]
+        return T.StructType(fields)
+
+
+def _merged(rows: list) -> dict[str, _Element]:
+    """Path trees as elements by root name; parents come before their children."""
+    top = _Element(children={})
+    for row in sorted(rows, key=lambda r: (len(r["path"]), r["place"], r["path"])):
+        at = top
+        for name in row["path"][:-1]:
+            at = at.children[name]
+        name = row["path"][-1]
+        if row["attribute"]:
+            at.attributes = (*at.attributes, name)
+        else:
+            at.children = at.children or {}
+            at.children[name] = _Element(row["repeats"] > 1, row["has_text"])
+    return top.children
+
+
+@dataclass(frozen=True)
+class XmlTables:
+    """``file, record`` of each table, and what was left out."""
+
+    tables: dict[str, DataFrame]
+    warnings: tuple[str, ...]
+
+
+def read_xml(spark: SparkSession, path: str) -> XmlTables:
+    """Records of XML files, whose row element and schema follow from the files.
+
+    Path trees are merged over all files of a root; only different paths come to the driver. A root whose only content is
+    one repeated element is the list of those, under the plural of their name; any other root is one record. Records
+    are read by their element name, so Spark splits large files. All values are text; nothing is typed here.
+    """
+    found = checkpointed(xml_paths(spark, path))
+    trees = found.filter("error IS NULL").groupBy("path", "attribute").agg(
+        F.min("place").alias("place"), F.max("repeats").alias("repeats"), F.bool_or("has_text").alias("has_text")
+    )
+    roots = _merged(trees.collect())
+    broken = found.filter("error IS NOT NULL").count()
+    tables: dict[str, DataFrame] = {}
+    for root, element in roots.items():
+        children = element.children or {}
+        only = next(iter(children), None) if len(children) == 1 and not element.attributes and not element.has_text else None
+        name, tag, record = root, root, element
+        if only and children[only].repeats:
+            name, tag, record = xml_table_name(root, only), only, children[only]
+        rows = _xml_records(spark, path, tag, record.kind())
+        if len(roots) > 1:
+            own = found.filter(F.size("path") == 1).filter(F.col("path")[0] == root).select("file")
+            rows = rows.join(own, "file", "left_semi")
+        if name in tables:
+            name = f"{name}_{root}"
+        tables[name] = rows
+    return XmlTables(tables, (f"{broken} file(s) are not well-formed XML and were left out",) if broken else ())
+
+
+def _xml_records(spark: SparkSession, path: str, tag: str, kind: T.DataType) -> DataFrame:
+    scalar = not isinstance(kind, T.StructType)
+    schema = T.StructType([T.StructField("text", T.StringType())]) if scalar else kind
+    rows = spark.read.options(**XML_OPTIONS, rowTag=tag, mode="PERMISSIVE").schema(schema).xml(path)
+    record = F.col("text") if scalar else F.struct(*[F.col(f"`{f.name}`") for f in schema])
+    return rows.select(F.col("_metadata.file_path").alias("file"), record.alias("record"))
