@@ -235,12 +235,19 @@ def xml_root_rows(t: Tables) -> DataFrame:
 
 
 def pages_with_tables(t: Tables) -> DataFrame:
-    """Each page, with two tables of its own facts put before the end of its body."""
+    """Each page, with two tables of its own facts put before the end of its body.
+
+    Every third page has the columns of the first one in another order, and one more.
+    """
+    other = F.col("page_id") % 3 == 0
+    url, size = render.xml_text(F.col("url")), F.length("html").cast("string")
     captioned = F.concat(
         F.lit("<table id=facts><caption>Page "), F.col("page_id").cast("string"),
-        F.lit("</caption><tr><th>name</th><th>content</th></tr><tr><td>url<td>"),
-        render.xml_text(F.col("url")),
-        F.lit("<tr><td>size</td><td>"), F.length("html").cast("string"), F.lit("</td></table>"),
+        F.when(other, F.lit("</caption><tr><th>content</th><th>name</th><th>unit</th></tr><tr><td>"))
+        .otherwise(F.lit("</caption><tr><th>name</th><th>content</th></tr><tr><td>url<td>")),
+        url, F.when(other, F.lit("<td>url")).otherwise(F.lit("")),
+        F.when(other, F.concat(F.lit("<tr><td>"), size, F.lit("</td><td>size<td>letters</table>")))
+        .otherwise(F.concat(F.lit("<tr><td>size</td><td>"), size, F.lit("</td></table>"))),
     )
     bare = F.concat(
         F.lit("<table><tr><td>page</td><td>twice</td></tr><tr><td>"),
@@ -252,12 +259,20 @@ def pages_with_tables(t: Tables) -> DataFrame:
 
 @query(
     "html_tables",
-    "SELECT page_id, 'url' AS name, nullif(trim(url), '') AS content FROM pages"
-    " UNION ALL SELECT page_id, 'size', CAST(length(html) AS VARCHAR) FROM pages",
+    "SELECT page_id, 1 AS table_no, v.name, v.value FROM pages, LATERAL (VALUES ('name', 'url'),"
+    " ('content', nullif(trim(url), '')), ('name', 'size'), ('content', CAST(length(html) AS VARCHAR)),"
+    " ('unit', CASE WHEN page_id % 3 = 0 THEN 'letters' END)) v(name, value) WHERE v.value IS NOT NULL"
+    " UNION ALL SELECT page_id, 2, 'page', CAST(page_id AS VARCHAR) FROM pages"
+    " UNION ALL SELECT page_id, 2, 'twice', CAST(2 * page_id AS VARCHAR) FROM pages",
 )
 def html_table_rows(t: Tables) -> DataFrame:
+    """All tables of all pages, each layout in a frame of its own, then cell by cell to compare them."""
     rows = html_tables.extract_tables(pages_with_tables(t), "page_id")
-    return html_tables.table_frame(rows.filter("table_id = 'facts'"), ("page_id",))
+    frames = []
+    for layout in html_tables.layouts(rows, "page_id", ("page_id", "table_no")):
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in layout.names]))
+        frames.append(layout.rows.select("page_id", "table_no", cells.alias("cell")).select("page_id", "table_no", "cell.*"))
+    return reshape.drift_union(frames).filter("value IS NOT NULL")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.operators import workbook_formulas as X
+from rowsmith.operators import reshape
 from rowsmith.operators.coercion import coerce_columns
 from rowsmith.plans import render
 from rowsmith.plans.registry import Tables, query
@@ -20,15 +21,18 @@ def order_books(t: Tables) -> DataFrame:
     """Workbooks of a thousand orders each; the order key is unique, so none is larger.
 
     Data: order, price, day, done, half (a formula), priority. Summary: a label and an
-    aggregate per order; every fourth book also holds a formula that is not an aggregate.
+    aggregate per order; every fourth book also holds a formula that is not an aggregate. Every
+    third book has price before order.
     """
-    header = render.sheet_row(
-        *[render.text_cell(F.lit(c)) for c in ("order", "price", "day", "done", "half", "half")]
-    )
+    swapped = F.col("book") % 3 == 1
+    titles = ("day", "done", "half", "half")
+    header = F.when(
+        swapped, render.sheet_row(*[render.text_cell(F.lit(c)) for c in ("price", "order", *titles)])
+    ).otherwise(render.sheet_row(*[render.text_cell(F.lit(c)) for c in ("order", "price", *titles)]))
     day = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
     data_row = render.sheet_row(
-        render.number_cell(F.col("o_orderkey")),
-        render.number_cell(F.col("o_totalprice")),
+        F.when(swapped, render.number_cell(F.col("o_totalprice"))).otherwise(render.number_cell(F.col("o_orderkey"))),
+        F.when(swapped, render.number_cell(F.col("o_orderkey"))).otherwise(render.number_cell(F.col("o_totalprice"))),
         render.number_cell(day, style=1),
         render.bool_cell(F.col("o_orderstatus") == "F"),
         render.formula_cell(F.concat(F.lit("B"), F.col("o_orderkey").cast("string"), F.lit("/2"))),
@@ -63,11 +67,14 @@ def order_books(t: Tables) -> DataFrame:
     " FROM orders",
 )
 def workbook_sheets(t: Tables) -> DataFrame:
+    """The data sheets of all books; names and types follow from the files, a layout at a time."""
     scanned = workbook.workbook_rows(order_books(t))
-    names = workbook.unique_headers(["order", "price", "day", "done", "half", "half"], 6)
-    rows = workbook.sheet_rows(scanned, "Data", names).drop("book", "row_no")
-    targets = {"order": "INTEGER", "price": "FLOAT64", "day": "TIMESTAMP", "done": "BOOLEAN"}
-    typed = coerce_columns(rows, targets, "workbook")
+    frames = [
+        coerce_columns(layout.rows.drop("book", "row_no"), layout.types, "workbook")
+        for layout in workbook.sheet_layouts(scanned)
+        if layout.sheet == "Data"
+    ]
+    typed = reshape.drift_union(frames)
     return typed.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
@@ -84,8 +91,9 @@ def workbook_formula_text(t: Tables) -> DataFrame:
 
 @query(
     "workbook_types",
-    "SELECT book, sheet, col_no, kind AS target_type FROM (SELECT DISTINCT 'book_' || (o_orderkey // 1000)"
-    " AS book FROM orders) b CROSS JOIN (VALUES ('Data', 1, 'INTEGER'),"
+    "SELECT 'book_' || b AS book, sheet, CASE WHEN b % 3 = 1 AND sheet = 'Data' AND col_no < 3 THEN 3 - col_no"
+    " ELSE col_no END AS col_no, kind AS target_type FROM (SELECT DISTINCT o_orderkey // 1000 AS b"
+    " FROM orders) b CROSS JOIN (VALUES ('Data', 1, 'INTEGER'),"
     " ('Data', 2, 'FLOAT64'), ('Data', 3, 'TIMESTAMP'), ('Data', 4, 'BOOLEAN'), ('Data', 5, 'TEXT'),"
     " ('Data', 6, 'TEXT'), ('Summary', 1, 'TEXT'), ('Summary', 2, 'TEXT')) v(sheet, col_no, kind)",
 )

@@ -6,6 +6,8 @@ padding and typing are DataFrame work.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from rowsmith.functions.names import distinct_names, header_names
 from rowsmith.functions.tokens import blank_to_null
+from rowsmith.session import checkpointed
 
 TABLES_SCHEMA = (
     "array<struct<table_no:int,caption:string,table_id:string,has_nested:boolean,"
@@ -157,15 +160,66 @@ def table_name(caption: Column, table_id: Column, source: Column, table_no: Colu
 
 
 def table_frame(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Tables of one layout as columns: named by the header, short rows NULL, long rows cut."""
-    header = rows.select("header").filter("header is not null").limit(1).collect()
-    if header:
-        cells = list(header[0]["header"])
+    """Tables of one layout as columns: named by the header, short rows NULL, long rows cut.
+
+    Tables with different headers are an error here; ``layouts`` gives each its own frame.
+    """
+    headers = rows.select("header").filter("header is not null").distinct().take(2)
+    if len(headers) > 1:
+        raise ValueError("tables with different headers; read them by layout")
+    if headers:
+        cells = list(headers[0]["header"])
         names = distinct_names(header_names(cells, len(cells)))
     else:
         width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
         names = [f"column_{i}" for i in range(1, width + 1)]
-    return rows.select(
-        *keep,
-        *[blank_to_null(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)],
+    return _named(rows, names, keep)
+
+
+def _named(rows: DataFrame, names: Sequence[str], keep: tuple[str, ...]) -> DataFrame:
+    cells = [blank_to_null(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)]
+    return rows.select(*keep, *cells)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """All tables of one header and width: their column names and rows."""
+
+    names: tuple[str, ...]
+    tables: int
+    rows: DataFrame
+
+
+def with_layout(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``width`` (of the widest row of a table, or its header) and ``layout``, a hash of header and width."""
+    own = rows.groupBy(F.col(key).alias("w_key"), F.col("table_no").alias("w_no")).agg(
+        F.max(F.greatest(F.size("cells"), F.coalesce(F.size("header"), F.lit(0)))).alias("width")
+    )
+    match = rows[key].eqNullSafe(F.col("w_key")) & (rows["table_no"] == F.col("w_no"))
+    header = F.transform("header", lambda cell: F.coalesce(cell, F.lit("")))
+    return rows.join(own, match).drop("w_key", "w_no").withColumn("layout", F.xxhash64("width", header))
+
+
+def layouts(rows: DataFrame, key: str, keep: tuple[str, ...] = ()) -> list[Layout]:
+    """The catalogue of layouts of all pages, the most frequent first, each with the rows of its tables.
+
+    Rows longer than their header widen it by ``column_N``, so nothing is cut or renamed. The rows are extracted
+    once and written; one row per layout comes to the driver.
+    """
+    found = checkpointed(with_layout(rows, key))
+    catalogue = found.groupBy("layout").agg(
+        F.first("header").alias("header"), F.first("width").alias("width"), F.count_distinct(key, "table_no").alias("tables")
     )
+    made = []
+    for row in catalogue.orderBy(F.desc("tables"), "layout").collect():
+        names = distinct_names(header_names(row["header"] or (), row["width"]))
+        own = found.filter(F.col("layout") == row["layout"])
+        made.append(Layout(tuple(names), row["tables"], _named(own, names, keep)))
+    return made
+
+
+def named_cells(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep..., position, name, value``: each cell under its own table's header, however many layouts there are."""
+    cells = rows.select(*keep, "header", F.posexplode("cells").alias("at", "cell"))
+    name = F.coalesce(blank_to_null(F.get("header", F.col("at"))), F.concat(F.lit("column_"), (F.col("at") + 1).cast("string")))
+    return cells.select(*keep, (F.col("at") + 1).alias("position"), name.alias("name"), blank_to_null(F.col("cell")).alias("value"))

@@ -12,12 +12,15 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.session import checkpointed
+
 ROW_SCHEMA = (
     "book string, sheet string, first_row int, row_no int, col_nos array<int>,"
     " kinds array<string>, values array<string>, formulas array<string>"
@@ -182,17 +185,20 @@ def workbook_rows(books: DataFrame) -> DataFrame:
     return books.select("path", "content").mapInPandas(_scan_books, ROW_SCHEMA)
 
 
-def workbook_cells(rows: DataFrame) -> DataFrame:
-    """``book, sheet, first_row, row_no, col_no, kind, value, formula``: one row per cell."""
+def workbook_cells(rows: DataFrame, *keep: str) -> DataFrame:
+    """``book, sheet, first_row, row_no, keep..., col_no, kind, value, formula``: one row per cell."""
     cells = F.arrays_zip("col_nos", "kinds", "values", "formulas")
-    return rows.select("book", "sheet", "first_row", "row_no", F.inline(cells)).toDF(
-        "book", "sheet", "first_row", "row_no", "col_no", "kind", "value", "formula"
-    )
+    facts = ("book", "sheet", "first_row", "row_no", *keep)
+    return rows.select(*facts, F.inline(cells)).toDF(*facts, "col_no", "kind", "value", "formula")
 
 
 def row_text(col_no: int) -> Column:
     """What an import stores for one cell of a row; a formula is kept as its text."""
-    at = (F.array_position("col_nos", F.lit(col_no)) - 1).cast("int")
+    return _text_at(F.lit(col_no))
+
+
+def _text_at(col_no: Column) -> Column:
+    at = (F.array_position("col_nos", col_no) - 1).cast("int")
     at = F.when(at >= 0, at)
     return F.coalesce(F.get("formulas", at), F.get("values", at))
 
@@ -216,18 +222,22 @@ def unique_headers(cells: Sequence[str | None], width: int) -> list[str]:
 def sheet_types(rows: DataFrame, header: bool = True) -> DataFrame:
     """``book, sheet, col_no, target_type`` by the kinds of the data cells of each column."""
     data = workbook_cells(data_rows(rows, header))
-    family = (
-        F.when(F.col("kind").isin("date", "datetime"), "timestamp")
-        .when(F.col("kind").isin("time", "text", "formula"), "text")
-        .otherwise(F.col("kind"))
-    )
     return (
         data.groupBy("book", "sheet", "col_no")
-        .agg(F.array_sort(F.collect_set(family)).alias("families"))
+        .agg(F.array_sort(F.collect_set(_family())).alias("families"))
         .select("book", "sheet", "col_no", type_of_families(F.col("families")).alias("target_type"))
     )
 
 
+def _family() -> Column:
+    """What cells of a kind have in common with others that share a column type."""
+    return (
+        F.when(F.col("kind").isin("date", "datetime"), "timestamp")
+        .when(F.col("kind").isin("time", "text", "formula"), "text")
+        .otherwise(F.col("kind"))
+    )
+
+
 def type_of_families(families: Column) -> Column:
     """The type lattice: one family keeps its type, int with double is FLOAT64, else TEXT."""
     only = F.when(F.size(families) == 1, families[0])
@@ -246,16 +256,67 @@ def data_rows(rows: DataFrame, header: bool = True) -> DataFrame:
     return rows.filter(F.col("row_no") >= F.col("first_row") + (1 if header else 0))
 
 
+def _header_cells(width: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), width), lambda i: F.coalesce(_text_at(i), F.lit("")))
+
+
+def sheet_heads(rows: DataFrame, header: bool = True) -> DataFrame:
+    """``book, sheet, width, header``: one row per sheet; without a header row ``header`` is NULL."""
+    widths = rows.groupBy("book", "sheet").agg(F.max(F.array_max("col_nos")).alias("width"))
+    if not header:
+        return widths.withColumn("header", F.lit(None).cast("array<string>"))
+    opening = rows.filter("row_no = first_row").withColumnsRenamed({"book": "h_book", "sheet": "h_sheet"})
+    joined = widths.join(opening, (F.col("book") == F.col("h_book")) & (F.col("sheet") == F.col("h_sheet")))
+    return joined.select("book", "sheet", "width", _header_cells(F.col("width")).alias("header"))
+
+
 def sheet_header(rows: DataFrame, sheet: str, header: bool = True) -> list[str]:
-    """Column names of a sheet; those of the first book that has it. Two bounded rows."""
-    own = rows.filter(F.col("sheet") == sheet)
-    width = own.agg(F.max(F.array_max("col_nos"))).first()[0] or 0
-    head = own.filter("row_no = first_row").orderBy("book").first() if header else None
-    texts = {}
-    if head:
-        for col_no, value, formula in zip(head["col_nos"], head["values"], head["formulas"]):
-            texts[col_no] = value if formula is None else formula
-    return unique_headers([texts.get(i + 1) for i in range(width)], width)
+    """Column names of a sheet that all books have in one layout; several layouts are an error here."""
+    heads = sheet_heads(rows.filter(F.col("sheet") == sheet), header)
+    found = heads.groupBy("header").agg(F.max("width").alias("width")).take(2)
+    if len(found) > 1:
+        raise ValueError(f"books with different headers of {sheet!r}; read them by layout")
+    return unique_headers(found[0]["header"] or (), found[0]["width"]) if found else []
+
+
+@dataclass(frozen=True)
+class SheetLayout:
+    """All sheets of one name, header and width: column names, types by the kinds of their cells, and rows as text."""
+
+    sheet: str
+    names: tuple[str, ...]
+    types: dict[str, str]
+    books: int
+    rows: DataFrame
+
+
+def sheet_layouts(rows: DataFrame, header: bool = True) -> list[SheetLayout]:
+    """The catalogue of sheet layouts of all books; books whose header differs keep their own names.
+
+    ``rows`` are scanned once and written; one row per layout and column comes to the driver.
+    """
+    heads = sheet_heads(rows, header).withColumn("layout", F.xxhash64("sheet", "width", "header"))
+    named = heads.withColumnsRenamed({"book": "h_book", "sheet": "h_sheet"})
+    found = rows.join(named, (F.col("book") == F.col("h_book")) & (F.col("sheet") == F.col("h_sheet"))).drop("h_book", "h_sheet")
+    found = checkpointed(found)
+    catalogue = found.groupBy("layout", "sheet").agg(
+        F.first("header").alias("header"), F.first("width").alias("width"), F.count_distinct("book").alias("books")
+    )
+    families = workbook_cells(data_rows(found, header), "layout").groupBy("layout", "col_no").agg(
+        F.array_sort(F.collect_set(_family())).alias("families")
+    )
+    types: dict[int, dict[int, str]] = {}
+    for row in families.select("layout", "col_no", type_of_families(F.col("families")).alias("type")).collect():
+        types.setdefault(row["layout"], {})[row["col_no"]] = row["type"]
+    made = []
+    for row in catalogue.orderBy("sheet", F.desc("books"), "layout").collect():
+        names = unique_headers(row["header"] or (), row["width"])
+        own = types.get(row["layout"], {})
+        made.append(SheetLayout(
+            row["sheet"], tuple(names), {n: own.get(i, "TEXT") for i, n in enumerate(names, 1)}, row["books"],
+            sheet_rows(found.filter(F.col("layout") == row["layout"]), row["sheet"], names, header),
+        ))
+    return made
 
 
 def sheet_rows(
