@@ -1,13 +1,15 @@
-"""``json_each`` and ``json_tree`` over a column of JSON text, inside the JVM."""
+"""``json_each`` and ``json_tree`` over a column of JSON text."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsmith.sources.documents import json_schema
-
 
 def json_type(value: Column) -> Column:
     """object, array, string, number, boolean or null."""
@@ -46,71 +48,64 @@ def json_each(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFra
     )
 
 
-def depth_of(kind: T.DataType) -> int:
-    if isinstance(kind, T.StructType):
-        return 1 + max((depth_of(f.dataType) for f in kind.fields), default=0)
-    if isinstance(kind, T.ArrayType):
-        return 1 + depth_of(kind.elementType)
-    return 0
-
-
-def _is_mixed(kind: T.DataType) -> bool:
-    """Whether values of different types share a place, which hides the depth below it."""
-    if isinstance(kind, T.StructType):
-        return any(_is_mixed(f.dataType) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return _is_mixed(kind.elementType)
-    return isinstance(kind, T.VariantType)
-
-
-def _next_level(level: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    above = level.select(*keep, F.col("path").alias("above_"), "node_")
-    position = F.col("pos").cast("string")
-    member = F.concat("above_", F.lit("."), "key")
-    item = F.concat("above_", F.lit("["), position, F.lit("]"))
-    return _explode(above, "node_").select(
-        *keep,
-        F.coalesce(F.col("key"), position).alias("key"),
-        F.when(F.col("key").isNotNull(), member).otherwise(item).alias("path"),
-        F.col("value").alias("node_"),
-    )
-
-
-def json_tree(
-    df: DataFrame, column: str, keep: tuple[str, ...] = (), depth: int | None = None
-) -> DataFrame:
+def _text_and_type(node: object) -> tuple[str | None, str]:
+    if node is None:
+        return None, "null"
+    if isinstance(node, str):
+        return node, "string"
+    if isinstance(node, bool):
+        return str(node).lower(), "boolean"
+    if isinstance(node, (dict, list)):
+        return json.dumps(node, sort_keys=True, separators=(",", ":"), ensure_ascii=False), "object" if isinstance(node, dict) else "array"
+    return json.dumps(node), "number"
+
+
+def _nodes(document: object) -> Iterator[tuple[str | None, str | None, str, str]]:
+    """``key, value, type, path`` of a document and all below it, by an explicit stack."""
+    stack: list[tuple[str | None, str, object]] = [(None, "$", document)]
+    while stack:
+        key, path, node = stack.pop()
+        yield key, *_text_and_type(node), path
+        if isinstance(node, dict):
+            stack += [(name, f"{path}.{name}", value) for name, value in node.items()]
+        elif isinstance(node, list):
+            stack += [(str(i), f"{path}[{i}]", value) for i, value in enumerate(node)]
+
+
+def _trees(column: str) -> Callable:
+    names = ["key", "value", "type", "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [n for n in batch.schema.names if n != column]
+            rows: list[tuple] = []
+            places: list[int] = []
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(places, pa.int32())
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                made = [*(batch.column(n).take(at) for n in kept), *(pa.array(c, pa.string()) for c in columns)]
+                rows.clear()
+                places.clear()
+                return pa.RecordBatch.from_arrays(made, [*kept, *names])
+
+            for place, text in enumerate(batch.column(column).to_pylist()):
+                for node in _nodes(None if text is None else json.loads(text)):
+                    rows.append(node)
+                    places.append(place)
+                    if len(rows) == 10_000:
+                        yield flush()
+            yield flush()
+
+    return run
+
+
+def json_tree(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep..., key, value, type, path``: every value of each document, at any level.
 
-    The number of levels comes from the merged schema of all documents, one aggregate;
-    pass ``depth`` to save it. Where values of different types share a place, levels are
-    added until one is empty. Each level is one more explode of the level above.
+    Each document is parsed once and expanded by a stack, whatever its depth and however its types are mixed: one scan,
+    no schema, no shuffle. A NULL document is one ``null``; text that is not JSON is an error.
     """
-    mixed = False
-    if depth is None:
-        schema = json_schema(df, column)
-        depth, mixed = depth_of(schema), _is_mixed(schema)
-    levels = [
-        df.select(
-            *keep,
-            F.lit(None).cast("string").alias("key"),
-            F.lit("$").alias("path"),
-            F.parse_json(F.col(column)).alias("node_"),
-        )
-    ]
-    for _ in range(depth):
-        levels.append(_next_level(levels[-1], keep))
-    while mixed:
-        deeper = _next_level(levels[-1], keep)
-        if deeper.isEmpty():
-            break
-        levels.append(deeper)
-    tree = levels[0]
-    for level in levels[1:]:
-        tree = tree.unionAll(level)
-    return tree.select(
-        *keep,
-        "key",
-        variant_text(F.col("node_")).alias("value"),
-        json_type(F.col("node_")).alias("type"),
-        "path",
-    )
+    own = df.select(*keep, F.col(column).cast("string").alias("doc_"))
+    schema = T.StructType([*own.schema.fields[:-1], *[T.StructField(n, T.StringType()) for n in ("key", "value", "type", "path")]])
+    return own.mapInArrow(_trees("doc_"), schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import json
+import uuid
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowsmith.functions.names import distinct_names
 from rowsmith.operators.coercion import coerce_columns, spark_type
@@ -103,56 +106,165 @@ def load_order(references: Mapping[str, Sequence[str]]) -> list[str]:
     return order
 
 
+PARTS = "rowsmith.parts"
+LOAD = "rowsmith_load_"
+
+
 def load_tables(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     if_exists: str = "error",
     references: Mapping[str, Sequence[str]] | None = None,
 ) -> list[str]:
-    """Write all tables, or none: stage every table first, publish when all are written.
+    """Write all tables, or none.
+
+    A table is a view of its parts, and the view's list of parts is its manifest. Every load writes new parts, so an append
+    neither reads nor rewrites old rows. When all parts are written, one record names the parts of every table:
+    from then on the load counts. The views are then swapped one by one and the record goes. A failure on the way
+    brings the old views back; a process that dies leaves either no record (the old tables, and parts
+    that ``orphan_parts`` lists) or a record that the next load carries out first (``finish_loads``).
 
-    ``if_exists`` is ``error``, ``replace`` or ``append``. Old tables are kept under another name until
-    every new one is published; a failure on the way brings all of them back.
+    ``if_exists`` is ``error``, ``replace`` or ``append``. A plain table of that name becomes the first part.
     """
+    before: dict[str, list[str] | None] = {}
+    try:
+        for _ in load_steps(spark, tables, if_exists, references, before):
+            pass
+    except BaseException:
+        _undo(spark, before)
+        raise
+    return list(before)
+
+
+def load_steps(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    if_exists: str = "error",
+    references: Mapping[str, Sequence[str]] | None = None,
+    before: dict[str, list[str] | None] | None = None,
+) -> Iterator[str]:
+    """The steps of ``load_tables``, which runs them all; it can stop dead after any of them."""
     if if_exists not in ("error", "replace", "append"):
         raise ValueError(f"if_exists is error, replace or append, not {if_exists!r}")
+    finish_loads(spark)
     order = load_order({t: (references or {}).get(t, ()) for t in tables})
     if if_exists == "error":
         taken = [t for t in order if spark.catalog.tableExists(t)]
         if taken:
             raise ValueError(f"tables already exist: {taken}")
-    staged = {table: f"{table}__staging" for table in order}
-    old = {table: f"{table}__old" for table in order if spark.catalog.tableExists(table)}
-    published: list[str] = []
-    try:
-        for table, stage in staged.items():
-            rows = tables[table]
-            if if_exists == "append" and table in old:
-                rows = spark.table(table).unionByName(rows)
-            rows.write.mode("overwrite").saveAsTable(stage)
-        for table, stage in staged.items():
-            published.append(table)
-            if table in old:
-                spark.sql(f"ALTER TABLE {table} RENAME TO {old[table]}")
-            _publish(spark, stage, table)
-    except BaseException:
-        for table in published:
-            if table not in old or spark.catalog.tableExists(old[table]):
-                spark.sql(f"DROP TABLE IF EXISTS {table}")
-            if table in old and spark.catalog.tableExists(old[table]):
-                spark.sql(f"ALTER TABLE {old[table]} RENAME TO {table}")
-        raise
-    else:
-        for kept in old.values():
-            spark.sql(f"DROP TABLE {kept}")
-    finally:
-        for stage in staged.values():
-            spark.sql(f"DROP TABLE IF EXISTS {stage}")
-    return order
+    before = {} if before is None else before
+    before |= {table: table_parts(spark, table) for table in order}
+    yield "begun"
+    after: dict[str, list[str]] = {}
+    for table in order:
+        part = f"{table}__part_{uuid.uuid4().hex}"
+        rows = tables[table]
+        if if_exists == "append" and before[table]:
+            rows = _like(rows, spark.table(table).schema)
+        rows.write.saveAsTable(part)
+        after[table] = [*(before[table] or ()), part] if if_exists == "append" else [part]
+        yield f"staged {table}"
+    load = f"{LOAD}{uuid.uuid4().hex}"
+    spark.sql(f"CREATE VIEW {load} TBLPROPERTIES ('{PARTS}' = '{json.dumps(after)}') AS SELECT 1 AS committed")
+    yield "committed"
+    for table in order:
+        _publish(spark, after[table], table)
+        yield f"published {table}"
+    spark.sql(f"DROP VIEW {load}")
+    yield "closed"
+    for table in order:
+        for part in set(before[table] or ()) - set(after[table]):
+            spark.sql(f"DROP TABLE IF EXISTS {part}")
+    yield "done"
+
+
+def _like(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows under the names and types a table has; a missing or unknown column is an error, as in a union by name."""
+    known, given = {f.name.lower() for f in schema}, {c.lower() for c in rows.columns}
+    if known != given:
+        raise ValueError(f"columns differ: {sorted(known ^ given)}")
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _property(spark: SparkSession, view: str) -> str | None:
+    found = spark.sql(f"SHOW TBLPROPERTIES {view}").filter(F.col("key") == PARTS).first()
+    return found["value"] if found else None
+
+
+def _is_view(spark: SparkSession, table: str) -> bool:
+    return spark.catalog.getTable(table).tableType == "VIEW"
+
+
+def table_parts(spark: SparkSession, table: str) -> list[str] | None:
+    """The parts of a table, None where there is no such table; a plain table is to be its only part."""
+    if not spark.catalog.tableExists(table):
+        return None
+    if not _is_view(spark, table):
+        return [f"{table}__part_plain"]
+    manifest = _property(spark, table)
+    if manifest is None:
+        raise ValueError(f"{table} is a view that no load made")
+    return json.loads(manifest)
+
+
+def _publish(spark: SparkSession, parts: list[str], table: str) -> None:
+    """Swap the view; carrying it out again changes nothing."""
+    if spark.catalog.tableExists(table) and not _is_view(spark, table):
+        # A plain table gives way to the view, as the part that ``table_parts`` names.
+        spark.sql(f"ALTER TABLE {table} RENAME TO {table}__part_plain")
+    rows = " UNION ALL ".join(f"SELECT * FROM {part}" for part in parts)
+    spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{PARTS}' = '{json.dumps(parts)}') AS {rows}")
+
+
+def _open_loads(spark: SparkSession) -> list[str]:
+    return [row["viewName"] for row in spark.sql(f"SHOW VIEWS LIKE '{LOAD}*'").collect()]
+
+
+def finish_loads(spark: SparkSession) -> list[str]:
+    """Carry out loads that were recorded and then cut off; the tables they hold."""
+    done = []
+    for load in _open_loads(spark):
+        for table, parts in json.loads(_property(spark, load)).items():
+            _publish(spark, parts, table)
+            done.append(table)
+        spark.sql(f"DROP VIEW IF EXISTS {load}")
+    return done
+
+
+def _undo(spark: SparkSession, before: Mapping[str, list[str] | None]) -> None:
+    """Back to the parts from before: no record of the load, old views, no new parts."""
+    for load in _open_loads(spark):
+        if json.loads(_property(spark, load)).keys() == before.keys():
+            spark.sql(f"DROP VIEW {load}")
+    for table, parts in before.items():
+        if parts is None and spark.catalog.tableExists(table) and _is_view(spark, table):
+            spark.sql(f"DROP VIEW {table}")
+        elif parts is not None and table_parts(spark, table) != parts:
+            _publish(spark, parts, table)
+    for part in orphan_parts(spark, before):
+        spark.sql(f"DROP TABLE IF EXISTS {part}")
+
+
+def orphan_parts(spark: SparkSession, tables: Iterable[str]) -> list[str]:
+    """Parts of the tables that no manifest names: what a load left that died before it was recorded."""
+    found = []
+    for table in tables:
+        named = set(table_parts(spark, table) or ())
+        for load in _open_loads(spark):
+            named |= set(json.loads(_property(spark, load)).get(table, ()))
+        stored = [r["tableName"] for r in spark.sql(f"SHOW TABLES LIKE '{table}__part_*'").collect()]
+        found += [part for part in stored if part not in named]
+    return found
 
 
-def _publish(spark: SparkSession, stage: str, table: str) -> None:
-    spark.sql(f"ALTER TABLE {stage} RENAME TO {table}")
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Drop a table with all its parts, if it is there."""
+    parts = table_parts(spark, table)
+    if parts is None:
+        return
+    spark.sql(f"DROP {'VIEW' if _is_view(spark, table) else 'TABLE'} {table}")
+    for part in parts:
+        spark.sql(f"DROP TABLE IF EXISTS {part}")
 
 
 def import_report(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -216,18 +216,118 @@ def rows_frame(
     return framed.filter(F.col("chunk_") == F.col("home_")).drop("rn_", "chunk_", "home_")
 
 
+#: Values of a chunk of ``range_frame``, among which the least of a frame inside one chunk is looked for.
+FRAME_CHUNK = 256
+
+
 def range_frame(
-    df: DataFrame, keys: Sequence[str], order: Column, preceding: int, aggregates: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Column, preceding: int, aggregates: dict[str, tuple[str, str]], chunk: int = FRAME_CHUNK
 ) -> DataFrame:
-    """Aggregates over ``RANGE BETWEEN preceding PRECEDING AND CURRENT ROW``.
+    """Aggregates over ``RANGE BETWEEN preceding PRECEDING AND CURRENT ROW``, however dense the rows lie.
 
-    Buckets are as wide as the frame, so a row needs its own bucket and the one before:
-    each row is copied into the next bucket and counted there as a neighbour only.
+    ``aggregates`` maps a name to (``count``, ``sum``, ``min`` or ``max``, column); ``*`` counts rows. Rows of one key and
+    order value are added up first. Counts and sums are differences of two running totals: up to the value, and below the
+    frame, which a probe row finds in the same pass. Minima and maxima come from chunks of a fixed number of values: the end of the
+    first chunk, the beginning of the last one, and whole chunks between by a table of spans that double. No step
+    depends on how many rows a frame holds. A row whose order value is NULL has a frame of those of its key.
     """
-    numbered = df.withColumn("at_", order).withColumn("home_", F.floor(F.col("at_") / preceding))
-    spread = numbered.withColumn(
-        BUCKET, F.explode(F.array(F.col("home_"), F.col("home_") + 1))
+    found = df.withColumn("at_", order)
+    facts, totals = [F.count("*").alias("rows_")], {}
+    for name, (kind, column) in aggregates.items():
+        value = F.lit(1) if column == "*" else F.col(column)
+        if kind in ("count", "sum"):
+            totals[f"{name}_n"] = F.count(value)
+            if kind == "sum":
+                totals[f"{name}_s"] = F.sum(value)
+        elif kind in ("min", "max"):
+            facts.append(getattr(F, kind)(value).alias(f"{name}_v"))
+        else:
+            raise ValueError(f"an aggregate is count, sum, min or max, not {kind!r}")
+    values = found.groupBy(*keys, "at_").agg(*facts, *[total.alias(name) for name, total in totals.items()])
+    values = checkpointed(values)
+    present = values.filter("at_ IS NOT NULL")
+    running = _frame_totals(present, keys, preceding, list(totals))
+    picks = {name: kind for name, (kind, _) in aggregates.items() if kind in ("min", "max")}
+    if picks:
+        running = _frame_extremes(running, keys, picks, chunk)
+    framed = values.filter("at_ IS NULL").withColumnsRenamed({f"{n}_v": n for n in picks}).unionByName(running, allowMissingColumns=True)
+    results = []
+    for name, (kind, _) in aggregates.items():
+        if kind == "count":
+            results.append(F.coalesce(f"{name}_n", F.lit(0)).alias(name))
+        elif kind == "sum":
+            results.append(F.when(F.col(f"{name}_n") > 0, F.col(f"{name}_s")).alias(name))
+        else:
+            results.append(F.col(name))
+    return join_back(found, [*keys, "at_"], framed.select(*keys, "at_", *results)).drop("at_")
+
+
+def _frame_totals(values: DataFrame, keys: Sequence[str], preceding: int, names: Sequence[str]) -> DataFrame:
+    """``values`` with the totals of their frames, their place ``hi_`` among the values of the key, and ``lo_``, the first in the frame."""
+    none = [F.lit(0).cast(values.schema[n].dataType).alias(n) for n in names]
+    data = values.select(*keys, "at_", F.lit(1).alias("kind_"), F.col("at_").alias("home_"), F.lit(1).cast("long").alias("one_"), *names)
+    # A probe stands before the values it is equal to, so it meets the total of what is below the frame.
+    probes = values.select(*keys, (F.col("at_") - preceding).alias("at_"), F.lit(0).alias("kind_"), F.col("at_").alias("home_"), F.lit(0).cast("long").alias("one_"), *none)
+    both = data.unionAll(probes)
+    w = BucketedWindow(both, keys, ["at_", "kind_", "home_"])
+    summed = ["one_", *names]
+    sums = w.per_bucket(*[F.sum(n).alias(f"{n}_t") for n in summed])
+    offsets = sums.select(*keys, BUCKET, *[_before(F.col(f"{n}_t"), w.earlier_buckets()).alias(f"{n}_b") for n in summed])
+    spec = w.inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = w.rows().withColumns({f"{n}_r": F.coalesce(F.sum(n).over(spec), F.lit(0)) for n in summed})
+    upto = w.attach(local, offsets).select(*keys, "home_", "kind_", *[(F.col(f"{n}_r") + F.col(f"{n}_b")).alias(n) for n in summed])
+    pick = lambda n, kind: F.max(F.when(F.col("kind_") == kind, F.col(n)))
+    framed = upto.groupBy(*keys, F.col("home_").alias("at_")).agg(
+        *[(pick(n, 1) - pick(n, 0)).alias(n) for n in names], pick("one_", 1).alias("hi_"), (pick("one_", 0) + 1).alias("lo_")
     )
-    spec = Window.partitionBy(*keys, BUCKET).orderBy("at_").rangeBetween(-preceding, 0)
-    framed = spread.withColumns({n: a.over(spec) for n, a in aggregates.items()})
-    return framed.filter(F.col(BUCKET) == F.col("home_")).drop("at_", "home_", BUCKET)
+    return join_back(values.drop(*names), [*keys, "at_"], framed)
+
+
+def _frame_extremes(values: DataFrame, keys: Sequence[str], picks: dict[str, str], chunk: int) -> DataFrame:
+    """The least or greatest ``<name>_v`` of the places ``lo_`` to ``hi_`` of each key."""
+    in_chunk = lambda place: F.floor((F.col(place) - 1) / chunk)
+    placed = values.withColumns({"c_lo_": in_chunk("lo_"), "c_hi_": in_chunk("hi_")})
+    merge = lambda kind: F.least if kind == "min" else F.greatest
+    chunks = placed.groupBy(*keys, F.col("c_hi_").alias("chunk_")).agg(
+        *[getattr(F, kind)(f"{n}_v").alias(f"{n}_c") for n, kind in picks.items()],
+        *[F.array_sort(F.collect_list(F.struct("hi_", F.col(f"{n}_v").alias("v"))))["v"].alias(f"{n}_l") for n in picks],
+    )
+    chunks = checkpointed(chunks)
+    # Level k of the table has the extreme of 2^k chunks from each one on.
+    level = chunks.select(*keys, "chunk_", F.lit(0).alias("level_"), *[F.col(f"{n}_c").alias(f"{n}_t") for n in picks])
+    spans, width = level, 1
+    longest = chunks.agg(F.max("chunk_")).first()[0] or 0
+    while 2 * width <= longest:
+        following = level.select(*keys, (F.col("chunk_") - width).alias("chunk_"), *[F.col(f"{n}_t").alias(f"{n}_f") for n in picks])
+        both = join_back(level, [*keys, "chunk_"], following)
+        level = both.select(*keys, "chunk_", (F.col("level_") + 1).alias("level_"), *[merge(k)(f"{n}_t", f"{n}_f").alias(f"{n}_t") for n, k in picks.items()])
+        level, width = checkpointed(level), 2 * width
+        spans = spans.unionAll(level)
+    lists = lambda side: chunks.select(*keys, F.col("chunk_").alias(f"c_{side}_"), *[F.col(f"{n}_l").alias(f"{n}_{side}") for n in picks])
+    joined = join_back(join_back(placed, [*keys, "c_lo_"], lists("lo")), [*keys, "c_hi_"], lists("hi"))
+    between = F.col("c_hi_") - F.col("c_lo_") - 1
+    steps = F.when(between > 0, F.floor(F.log2(between.cast("double"))).cast("int"))
+    first = F.col("c_lo_") * chunk + 1
+    parts = {}
+    for n, kind in picks.items():
+        pick = F.array_min if kind == "min" else F.array_max
+        start = (F.col("lo_") - first + 1).cast("int")
+        same = F.slice(f"{n}_lo", start, (F.col("hi_") - F.col("lo_") + 1).cast("int"))
+        tail = F.slice(f"{n}_lo", start, F.lit(chunk))
+        head = F.slice(f"{n}_hi", F.lit(1), (F.col("hi_") - F.col("c_hi_") * chunk).cast("int"))
+        parts[n] = F.when(F.col("c_lo_") == F.col("c_hi_"), pick(same)).otherwise(merge(kind)(pick(tail), pick(head)))
+    ends = joined.withColumns({n: part for n, part in parts.items()}).withColumn("steps_", steps).drop(*[f"{n}_{s}" for n in picks for s in ("lo", "hi")])
+    near, far = (
+        spans.select(*[F.col(k).alias(f"{k}_{side}") for k in keys], F.col("chunk_").alias(f"chunk_{side}"), F.col("level_").alias(f"level_{side}"),
+                     *[F.col(f"{n}_t").alias(f"{n}_{side}") for n in picks])
+        for side in ("near", "far")
+    )
+    at_near, at_far = F.col("c_lo_") + 1, F.col("c_hi_") - F.pow(F.lit(2), F.col("steps_")).cast("long")
+    for side, spans_of, at in (("near", near, at_near), ("far", far, at_far)):
+        match = (F.col(f"level_{side}") == F.col("steps_")) & (F.col(f"chunk_{side}") == at)
+        for k in keys:
+            match &= F.col(k).eqNullSafe(F.col(f"{k}_{side}"))
+        ends = ends.join(spans_of, match, "left")
+    results = [merge(kind)(n, f"{n}_near", f"{n}_far").alias(n) for n, kind in picks.items()]
+    kept = [c for c in values.columns if not c.endswith("_v")]
+    return ends.select(*kept, *results)

@@ -86,6 +86,35 @@ def cascade_update(t: Tables) -> DataFrame:
     return quality.cascade_update(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", renamed)
 
 
+@query(
+    "cascade_chain",
+    "WITH RECURSIVE gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < -900 UNION"
+    " SELECT c.c_custkey FROM customer c JOIN gone g ON c.c_custkey // 4 = g.c_custkey AND c.c_custkey > 0),"
+    " orders_left AS (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone))"
+    " SELECT 'customer' AS table_name, c_custkey AS key, CAST(NULL AS INTEGER) AS line FROM customer"
+    " WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)"
+    " UNION ALL SELECT 'orders', o_orderkey, NULL FROM orders_left"
+    " UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN"
+    " (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_left))",
+)
+def cascade_chain(t: Tables) -> DataFrame:
+    """Customers were brought by others; with one go those, their orders, and the lines of those."""
+    customers = t.customer.select("c_custkey", F.when(F.col("c_custkey") > 0, F.expr("c_custkey div 4")).alias("brought_by"))
+    tables = {"customer": customers, "orders": t.orders.select("o_orderkey", "o_custkey"), "lineitem": t.lineitem.select("l_orderkey", "l_linenumber")}
+    references = [
+        quality.Reference("customer", "brought_by", "customer", "c_custkey"),
+        quality.Reference("orders", "o_custkey", "customer", "c_custkey"),
+        quality.Reference("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ]
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    first = {"customer": t.customer.filter("c_acctbal < -900").select("c_custkey")}
+    left = quality.cascade_graph(tables, keys, references, first)
+    none = F.lit(None).cast("int").alias("line")
+    rows = [left[n].select(F.lit(n).alias("table_name"), F.col(keys[n][0]).alias("key"), none) for n in ("customer", "orders")]
+    lines = left["lineitem"].select(F.lit("lineitem").alias("table_name"), F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"))
+    return rows[0].unionAll(rows[1]).unionAll(lines)
+
+
 @query("apply_default", "SELECT o_orderkey, o_orderstatus, 'active' AS state, 0 AS retries FROM orders")
 def apply_default(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_orderstatus")
@@ -127,7 +156,7 @@ def _stored(t: Tables, *steps: tuple[str, DataFrame]) -> DataFrame:
             loads.load_tables(t.spark, {table: rows}, mode)
         return checkpointed(t.spark.table(table))
     finally:
-        t.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        loads.drop_table(t.spark, table)
 
 
 @query("load_table", CUSTOMERS_SQL)

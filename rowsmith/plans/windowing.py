@@ -128,14 +128,17 @@ def win_rows_frame(t: Tables) -> DataFrame:
 
 @query(
     "win_range_frame",
-    "SELECT event_id, event_type, ts, COUNT(*) OVER (PARTITION BY event_type ORDER BY"
-    " CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour"
-    " FROM events",
+    "SELECT event_id, event_type, ts, COUNT(*) OVER w AS last_hour, CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER w"
+    " AS DOUBLE) AS hour_sum, MIN(CAST(value AS DECIMAL(18,2))) OVER w AS hour_min,"
+    " MAX(CAST(value AS DECIMAL(18,2))) OVER w AS hour_max FROM events WINDOW w AS (PARTITION BY event_type ORDER BY"
+    " CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)",
 )
 def win_range_frame(t: Tables) -> DataFrame:
-    events = t.events.select("event_id", "event_type", "ts")
+    events = t.events.select("event_id", "event_type", "ts", money("value").alias("amount"))
     second = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return W.range_frame(events, ["event_type"], second, 3600, {"last_hour": F.count("*")})
+    aggregates = {"last_hour": ("count", "*"), "hour_sum": ("sum", "amount"), "hour_min": ("min", "amount"), "hour_max": ("max", "amount")}
+    framed = W.range_frame(events, ["event_type"], second, 3600, aggregates)
+    return framed.drop("amount").withColumn("hour_sum", F.col("hour_sum").cast("double"))
 
 
 @query(

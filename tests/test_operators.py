@@ -99,9 +99,9 @@ def test_rows_frame(pair, skewed, before, after, chunk):
 
 
 def test_range_frame(skewed):
-    mine = windows.range_frame(skewed, ["k"], F.col("at"), 6, {"n": F.count("*")})
+    mine = windows.range_frame(skewed, ["k"], F.col("at"), 6, {"n": ("count", "*"), "top": ("max", "id")})
     frame = Window.partitionBy("k").orderBy("at").rangeBetween(-6, 0)
-    same(mine, skewed.withColumn("n", F.count("*").over(frame)))
+    same(mine, skewed.withColumns({"n": F.count("*").over(frame), "top": F.max("id").over(frame)}))
 
 
 def test_not_in(spark):
