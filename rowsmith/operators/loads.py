@@ -118,11 +118,12 @@ def load_tables(
 ) -> list[str]:
     """Write all tables, or none.
 
-    A table is a view of its parts, and the view's list of parts is its manifest. Every load writes new parts, so an append
-    neither reads nor rewrites old rows. When all parts are written, one record names the parts of every table:
-    from then on the load counts. The views are then swapped one by one and the record goes. A failure on the way
-    brings the old views back; a process that dies leaves either no record (the old tables, and parts
-    that ``orphan_parts`` lists) or a record that the next load carries out first (``finish_loads``).
+    Every load writes a new part, so an append neither reads nor rewrites old rows: a table of several parts is a view
+    of them, one of a single part is that part under the table's name, and a property of either lists the parts. When all
+    parts are written, one record names the parts of every table: from then on the load counts. The names are then
+    given to the new parts, one table after the other, and the record goes. A failure on the way brings the old parts back; a process
+    that dies leaves either no record (the old tables, and parts that ``orphan_parts`` lists) or a record that the
+    next load carries out first (``finish_loads``).
 
     ``if_exists`` is ``error``, ``replace`` or ``append``. A plain table of that name becomes the first part.
     """
@@ -162,6 +163,7 @@ def load_steps(
         if if_exists == "append" and before[table]:
             rows = _like(rows, spark.table(table).schema)
         rows.write.saveAsTable(part)
+        spark.sql(f"ALTER TABLE {part} SET TBLPROPERTIES ('{PARTS}' = '{json.dumps([part])}')")
         after[table] = [*(before[table] or ()), part] if if_exists == "append" else [part]
         yield f"staged {table}"
     load = f"{LOAD}{uuid.uuid4().hex}"
@@ -186,9 +188,9 @@ def _like(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
-def _property(spark: SparkSession, view: str) -> str | None:
-    found = spark.sql(f"SHOW TBLPROPERTIES {view}").filter(F.col("key") == PARTS).first()
-    return found["value"] if found else None
+def _property(spark: SparkSession, table: str) -> list[str] | dict[str, list[str]] | None:
+    found = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == PARTS).first()
+    return json.loads(found["value"]) if found else None
 
 
 def _is_view(spark: SparkSession, table: str) -> bool:
@@ -196,22 +198,28 @@ def _is_view(spark: SparkSession, table: str) -> bool:
 
 
 def table_parts(spark: SparkSession, table: str) -> list[str] | None:
-    """The parts of a table, None where there is no such table; a plain table is to be its only part."""
+    """The parts of a table, None where there is no such table. One that no load made is to be a part of its own."""
     if not spark.catalog.tableExists(table):
         return None
-    if not _is_view(spark, table):
-        return [f"{table}__part_plain"]
-    manifest = _property(spark, table)
-    if manifest is None:
+    parts = _property(spark, table)
+    if parts is None and _is_view(spark, table):
         raise ValueError(f"{table} is a view that no load made")
-    return json.loads(manifest)
+    return parts or [f"{table}__part_plain"]
 
 
 def _publish(spark: SparkSession, parts: list[str], table: str) -> None:
-    """Swap the view; carrying it out again changes nothing."""
-    if spark.catalog.tableExists(table) and not _is_view(spark, table):
-        # A plain table gives way to the view, as the part that ``table_parts`` names.
-        spark.sql(f"ALTER TABLE {table} RENAME TO {table}__part_plain")
+    """Give the name to these parts; carrying it out again, also after half of it, changes nothing."""
+    now = table_parts(spark, table)
+    if now == parts:
+        return
+    if now is not None and _is_view(spark, table):
+        if len(parts) == 1:
+            spark.sql(f"DROP VIEW {table}")
+    elif now is not None:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {now[0]}")
+    if len(parts) == 1:
+        spark.sql(f"ALTER TABLE {parts[0]} RENAME TO {table}")
+        return
     rows = " UNION ALL ".join(f"SELECT * FROM {part}" for part in parts)
     spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{PARTS}' = '{json.dumps(parts)}') AS {rows}")
 
@@ -224,7 +232,7 @@ def finish_loads(spark: SparkSession) -> list[str]:
     """Carry out loads that were recorded and then cut off; the tables they hold."""
     done = []
     for load in _open_loads(spark):
-        for table, parts in json.loads(_property(spark, load)).items():
+        for table, parts in _property(spark, load).items():
             _publish(spark, parts, table)
             done.append(table)
         spark.sql(f"DROP VIEW IF EXISTS {load}")
@@ -234,12 +242,12 @@ def finish_loads(spark: SparkSession) -> list[str]:
 def _undo(spark: SparkSession, before: Mapping[str, list[str] | None]) -> None:
     """Back to the parts from before: no record of the load, old views, no new parts."""
     for load in _open_loads(spark):
-        if json.loads(_property(spark, load)).keys() == before.keys():
+        if _property(spark, load).keys() == before.keys():
             spark.sql(f"DROP VIEW {load}")
     for table, parts in before.items():
-        if parts is None and spark.catalog.tableExists(table) and _is_view(spark, table):
-            spark.sql(f"DROP VIEW {table}")
-        elif parts is not None and table_parts(spark, table) != parts:
+        if parts is None:
+            drop_table(spark, table)
+        else:
             _publish(spark, parts, table)
     for part in orphan_parts(spark, before):
         spark.sql(f"DROP TABLE IF EXISTS {part}")
@@ -251,7 +259,7 @@ def orphan_parts(spark: SparkSession, tables: Iterable[str]) -> list[str]:
     for table in tables:
         named = set(table_parts(spark, table) or ())
         for load in _open_loads(spark):
-            named |= set(json.loads(_property(spark, load)).get(table, ()))
+            named |= set(_property(spark, load).get(table, ()))
         stored = [r["tableName"] for r in spark.sql(f"SHOW TABLES LIKE '{table}__part_*'").collect()]
         found += [part for part in stored if part not in named]
     return found
@@ -263,7 +271,7 @@ def drop_table(spark: SparkSession, table: str) -> None:
     if parts is None:
         return
     spark.sql(f"DROP {'VIEW' if _is_view(spark, table) else 'TABLE'} {table}")
-    for part in parts:
+    for part in parts:  # none is left of a table of one part
         spark.sql(f"DROP TABLE IF EXISTS {part}")
 
 
