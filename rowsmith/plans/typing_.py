@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions import declared, names
 from rowsmith.functions import tokens as K
-from rowsmith.operators import coercion, inference, windows
+from rowsmith.operators import coercion, inference, naming
 from rowsmith.plans import render
 from rowsmith.plans.registry import Tables, query
 
@@ -320,20 +320,28 @@ def sanitize_names(t: Tables) -> DataFrame:
     return orders.unionAll(texts)
 
 
+RAW_NAMES = (
+    "CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' ' || (p_partkey % 7) WHEN 2 THEN p_name"
+    " WHEN 3 THEN p_brand || '_2' ELSE 'Brand' END"
+)
+
+
 @query(
     "distinct_names",
-    "SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM"
-    " (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM"
-    f" (SELECT p_partkey, {CLEAN_SQL.format('p_name')} AS base FROM part))",
+    # One row after the other, with the list of all names given so far.
+    "WITH RECURSIVE raw AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i,"
+    f" {NAMED_SQL.format('c')} AS base FROM (SELECT p_partkey, {CLEAN_SQL.format(RAW_NAMES)} AS c FROM part)),"
+    " tried AS (SELECT r.*, row_number() OVER (PARTITION BY base ORDER BY i) + (SELECT count(DISTINCT o.base) FROM raw o"
+    " WHERE o.base LIKE r.base || '\\_%' ESCAPE '\\') + 2 AS bound FROM raw r),"
+    " named AS (SELECT 0::BIGINT AS i, 0::BIGINT AS p_partkey, '' AS name, ['']::VARCHAR[] AS taken UNION ALL"
+    " SELECT i, p_partkey, name, list_append(taken, name) FROM (SELECT t.i, t.p_partkey, n.taken, CASE WHEN"
+    " NOT list_contains(n.taken, t.base) THEN t.base ELSE t.base || '_' || list_filter(range(2, t.bound + 1),"
+    " lambda x: NOT list_contains(n.taken, t.base || '_' || x))[1] END AS name FROM named n JOIN tried t ON t.i = n.i + 1))"
+    " SELECT p_partkey, name FROM named WHERE i > 0",
 )
 def distinct_names(t: Tables) -> DataFrame:
-    parts = t.part.select("p_partkey", names.sanitize_column(F.col("p_name")).alias("base"))
-    window = windows.BucketedWindow(parts, ["base"], ["p_partkey"])
-    numbered = windows.row_number(window, "n")
-    numbered_name = F.concat_ws("_", "base", F.col("n").cast("string"))
-    return numbered.select(
-        "p_partkey", F.when(F.col("n") == 1, F.col("base")).otherwise(numbered_name).alias("name")
-    )
+    """Names that repeat, and names that look like numbered repeats of others."""
+    return naming.distinct_names(t.part, F.expr(RAW_NAMES), "p_partkey").select("p_partkey", "name")
 
 
 # Declared types and their targets, (declared, MySQL target, SQLite target).

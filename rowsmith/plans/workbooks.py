@@ -241,6 +241,31 @@ def wb_cellref(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "wb_cell_chain",
+    "WITH spots AS (SELECT o_orderkey, o_orderkey + 1 AS r, (o_orderkey + 10) // 10 * 10 AS e FROM orders),"
+    " b AS (SELECT a.o_orderkey, a.r, p.o_totalprice AS price FROM spots a LEFT JOIN orders p ON p.o_orderkey = a.e - 1"
+    " AND (SELECT count(*) FROM spots x WHERE x.r BETWEEN a.r AND a.e) = a.e - a.r + 1)"
+    " SELECT o_orderkey, 2 AS col_no, price, CASE WHEN price IS NULL THEN 'empty' ELSE 'value' END AS state FROM b"
+    " UNION ALL SELECT o_orderkey, 3, CASE WHEN r % 25 <> 0 THEN price END, CASE WHEN r % 25 = 0 THEN 'cycle'"
+    " WHEN price IS NULL THEN 'empty' ELSE 'value' END FROM b",
+)
+def wb_cell_chain(t: Tables) -> DataFrame:
+    """Column B refers to the cell below it up to each tenth row, which has the price; every 25th cell of C to itself."""
+    row = (F.col("o_orderkey") + 1).cast("int")
+    number = row.cast("string")
+    none = F.lit(None).cast("string")
+    below = F.when(row % 10 == 0, F.concat(F.lit("=A"), number)).otherwise(F.concat(F.lit("='s'!$B$"), (row + 1).cast("string")))
+    beside = F.when(row % 25 == 0, F.concat(F.lit("=C"), number)).otherwise(F.concat(F.lit("= b"), number))
+    columns = [
+        F.struct(F.lit(1).alias("col_no"), F.lit("double").alias("kind"), F.col("o_totalprice").cast("string").alias("value"), none.alias("formula")),
+        *[F.struct(F.lit(i).alias("col_no"), F.lit("formula").alias("kind"), none.alias("value"), f.alias("formula")) for i, f in ((2, below), (3, beside))],
+    ]
+    cells = t.orders.select(F.lit("b").alias("book"), F.lit("s").alias("sheet"), row.alias("row_no"), F.inline(F.array(*columns)))
+    found = X.resolve_references(cells)
+    return found.select((F.col("row_no") - 1).cast("long").alias("o_orderkey"), "col_no", F.col("value").cast("double").alias("price"), "state")
+
+
 @query(
     "wb_formula_column",
     "SELECT l_returnflag, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(1 - l_discount AS"
