@@ -4,10 +4,12 @@
    weighed by TF-IDF over ``FEATURES`` hashed words; document frequencies come from all passages.
 2. A distributed randomised SVD finds the latent space: every task adds up A'(A R) over its passages for a fixed random
    matrix R, and a single-pass Nystroem step turns that sum into the leading right singular vectors.
-3. Blocks of ``STEP`` words are projected; windows of 1, 2, 4 ... blocks are sums of blocks. Each item is compared by
-   cosine with all windows of the length that holds it. The items are a stated query set of checked size, in blocks beyond it.
+3. Blocks of ``STEP`` words are projected, a word that repeats in its block once; windows of 1, 2, 4 ... blocks are sums of
+   blocks. Each item is compared by cosine with all windows of the length that holds it. Places that have ``GRAM`` words of an item in a row
+   are candidates whatever their cosine, so no verbatim copy is lost beside what fills its window. The items are a stated query
+   set of checked size, in blocks beyond it.
 4. Candidates are checked on words: the longest common subsequence with the item, next to the window. ``VERBATIM`` of the item is a
-   leak; from ``PARAPHRASE`` on it is one if the item's answer (its last words) and half of its rare words are there too.
+   leak; from ``PARAPHRASE`` on it is one if the item's answer (its last words) and half of its rare words, if it has any, are there too.
 
 Every word of every text is searched. Defined cases: NULL or empty texts hold no leak; items without a word find nothing; a NULL
 item id is a valid id; equal item ids report their best. Equal document ids and repeated rows are searched as rows. Empty
@@ -34,6 +36,8 @@ COSINE = 0.35
 VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.75, 0.5, 6, 0.8
 #: A word that fewer than one passage in 20 has says something; of those half must be there too.
 RARE, RARE_SHARE = 3.0, 0.5
+#: Words in a row of an item (all, if it has fewer) that make a place a candidate, and the bits that tell most other places.
+GRAM, GRAM_BITS = 5, 22
 #: Items searched for at once; a longer list is searched in blocks.
 ITEMS = 10_000
 #: Words that are projected at once.
@@ -171,6 +175,24 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
     return size - left.bit_count()
 
 
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of ``size`` words in a row at each place."""
+    many = max(0, len(words) - size + 1)
+    mixed = words[:many].astype(np.uint64)
+    for k in range(1, size):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + many]
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def block_features(words: np.ndarray, blocks: int) -> np.ndarray:
+    """Features of words in ``blocks`` rows of ``STEP``; what repeats in a row is padding from the second time on."""
+    padded = np.full(blocks * STEP, FEATURES, dtype=np.int64)
+    padded[: len(words)] = words % FEATURES
+    rows = np.sort(padded.reshape(-1, STEP), axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = FEATURES
+    return rows
+
+
 @dataclass
 class Retriever:
     """The latent space and a block of items; small enough to travel with a task."""
@@ -187,10 +209,22 @@ class Retriever:
                 span *= 2
             spans.setdefault(span, []).append(n)
         for span, some in sorted(spans.items()):
-            vectors = np.stack([self.table[self.items[n].words % FEATURES].sum(axis=0) for n in some])
+            features = [block_features(w, -(-len(w) // STEP)) for w in (self.items[n].words for n in some)]
+            vectors = np.stack([self.table[f].sum(axis=(0, 1)) for f in features])
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             self.by_span[span] = np.array(some), np.ascontiguousarray(vectors.T.astype(np.float32))
         self.widest = max(self.by_span, default=1)
+        self.span_of = {n: (span, k) for span, (some, _) in self.by_span.items() for k, n in enumerate(some.tolist())}
+        self.by_gram: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(GRAM, len(item.words)) for item in self.items}):
+            some = [(n, gram_hashes(i.words, size)) for n, i in enumerate(self.items) if min(GRAM, len(i.words)) == size]
+            hashes = np.concatenate([h for _, h in some])
+            owners = np.concatenate([np.full(len(h), n) for n, h in some])
+            order = np.argsort(hashes, kind="stable")
+            marks = np.zeros(1 << GRAM_BITS, dtype=bool)
+            marks[hashes >> np.uint64(64 - GRAM_BITS)] = True
+            places = np.concatenate([np.arange(len(h)) for _, h in some])
+            self.by_gram[size] = hashes[order], owners[order], places[order], marks
 
     def search(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, bool]]:
         """(document, item, share of the item found, cosine, answer found) of every leak in some documents."""
@@ -198,27 +232,30 @@ class Retriever:
         for words in documents:
             # Behind each document is room for the widest window, so no window sees two of them.
             blocks = -(-len(words) // STEP) + self.widest
-            padded = np.full(blocks * STEP, FEATURES, dtype=np.int64)
-            padded[: len(words)] = words % FEATURES
             starts.append(at)
             sizes.append(-(-len(words) // STEP))
-            parts.append(padded)
+            parts.append(block_features(words, blocks))
             at += blocks
         if not parts or not self.by_span:
             return
-        blocks = self.table[np.concatenate(parts)].reshape(-1, STEP, self.table.shape[1]).sum(axis=1)
+        blocks = self.table[np.concatenate(parts)].sum(axis=1)
         firsts, lengths = np.array(starts), np.array(sizes)
         windows, width = blocks, 1
         best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+
+        def note(found: Iterator[tuple[int, int, float, float, bool]]) -> None:
+            for doc, item, share, cosine, answer in found:
+                if (doc, item) not in best or share > best[doc, item][0]:
+                    best[doc, item] = share, cosine, answer
+
         while True:
             if width in self.by_span:
-                for doc, item, share, cosine, answer in self._of_width(documents, firsts, lengths, windows, width):
-                    if (doc, item) not in best or share > best[doc, item][0]:
-                        best[doc, item] = share, cosine, answer
+                note(self._of_width(documents, firsts, lengths, windows, width))
             if width >= self.widest:
                 break
             windows = windows[:-width] + windows[width:]
             width *= 2
+        note(self._of_grams(documents))
         for (doc, item), found in sorted(best.items()):
             yield doc, item, *found
 
@@ -246,16 +283,43 @@ class Retriever:
                 if found:
                     yield doc, int(numbers[column]), found[0], cosine, found[1]
 
+    def _of_grams(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, bool]]:
+        """Leaks at places that have some words of an item in a row; a place near a checked one is not checked again."""
+        words = np.concatenate(documents)
+        ends = np.cumsum([len(d) for d in documents])
+        for size, (hashes, owners, places, marks) in self.by_gram.items():
+            grams = gram_hashes(words, size)
+            likely = np.flatnonzero(marks[grams >> np.uint64(64 - GRAM_BITS)])
+            left, right = (np.searchsorted(hashes, grams[likely], side) for side in ("left", "right"))
+            checked: set[tuple[int, int, int]] = set()
+            for at, i, j in zip(likely.tolist(), left.tolist(), right.tolist(), strict=True):
+                doc = int(np.searchsorted(ends, at, side="right")) if i < j else 0
+                if i == j or at + size > ends[doc]:
+                    continue
+                for n, place in zip(owners[i:j].tolist(), places[i:j].tolist(), strict=True):
+                    start = at - int(ends[doc] - len(documents[doc])) - place
+                    span, column = self.span_of[n]
+                    spot = doc, n, start // max(STEP, span * STEP // 2)
+                    if spot in checked:
+                        continue
+                    checked.add(spot)
+                    found = self._verify(documents[doc], start, span * STEP, n)
+                    if found:
+                        near = documents[doc][max(0, start) : max(0, start) + span * STEP]
+                        vector = self.table[block_features(near, span)].sum(axis=(0, 1))
+                        length = max(float(np.linalg.norm(vector)), 1e-9)
+                        yield doc, n, found[0], float(vector @ self.by_span[span][1][:, column]) / length, found[1]
+
     def _verify(self, words: np.ndarray, start: int, size: int, number: int) -> tuple[float, bool] | None:
         item = self.items[number]
-        near = words[max(0, start - size // 2) : start + size + size // 2].tolist()
+        near = words[max(0, start - size // 2) : max(0, start + size + size // 2)].tolist()
         if sum(map(item.masks.__contains__, near)) < PARAPHRASE * len(item.words):
             return None
         share = common_subsequence(item.masks, len(item.words), near) / len(item.words)
         if share < PARAPHRASE:
             return None
         answer = common_subsequence(item.answer_masks, item.answer_size, near) >= ANSWER * item.answer_size
-        rare = len(item.rare.intersection(near)) >= max(1, RARE_SHARE * len(item.rare))
+        rare = len(item.rare.intersection(near)) >= RARE_SHARE * len(item.rare)
         return (share, answer) if share >= VERBATIM or (answer and rare) else None
 
 

@@ -102,3 +102,49 @@ def test_documents_searched_together_find_what_each_finds_alone(corpus):
     words = [dc.word_hashes(r.text) for r in docs.orderBy("doc_id").collect()]
     alone = {(n, f[1]) for n, w in enumerate(words) for f in retriever.search([w])}
     assert {f[:2] for f in retriever.search(words)} == alone
+
+
+@pytest.mark.parametrize("junk", ["{w} " * 60, "one two three four {w} " * 12, "{w} {w} {w} x " * 20])
+def test_verbatim_items_between_repeats_are_found(corpus, spark, junk):
+    docs, benchmark, _ = corpus
+    items = {r.item_id: r.text for r in benchmark.collect()}
+    around = {i: junk.format(w=text.split()[i % 5]) for i, text in items.items()}
+    made = [(1000 + i, f"{around[i]}{text} {around[i]}", i) for i, text in items.items()]
+    more = docs.unionAll(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in dc.leaks(more, benchmark).collect() if r.doc_id >= 1000}
+    assert {(d, i) for d, _, i in made} <= found
+    kept = {r.doc_id for r in dc.without_leaks(more, benchmark).collect()}
+    assert not kept & {d for d, _, _ in made}
+
+
+def test_against_all_pairs_of_items_and_windows(corpus):
+    docs, benchmark, _ = corpus
+    retriever = next(dc.retrievers(dc.encoded_documents(docs, "doc_id", "text"), benchmark))
+    words = {r.doc_id: dc.word_hashes(r.text) for r in docs.collect()}
+    every, verbatim = set(), set()
+    for doc, text in words.items():
+        for n in range(len(retriever.items)):
+            size = retriever.span_of[n][0] * dc.STEP
+            shares = [f[0] for f in (retriever._verify(text, at, size, n) for at in range(0, len(text), dc.STEP)) if f]
+            if shares:
+                every.add((doc, retriever.items[n].item_id))
+            if shares and max(shares) >= dc.VERBATIM:
+                verbatim.add((doc, retriever.items[n].item_id))
+    found = {(r.doc_id, r.item_id) for r in dc.leaks(docs, benchmark).collect()}
+    assert verbatim <= found <= every
+    assert len(found) >= 0.95 * len(every)
+
+
+def test_items_without_rare_words_can_be_paraphrased(spark):
+    rng, write = writer(5)
+    item = [rng.choice(COMMON) for _ in range(40)]
+    texts = [" ".join(rng.choice(COMMON) for _ in range(200)) for _ in range(30)]
+    leak = list(item)
+    for at in range(0, 30, 3):
+        leak[at] = "other"
+    texts.append(" ".join([*write(100), *leak, *write(100)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    retriever = next(dc.retrievers(dc.encoded_documents(docs, "doc_id", "text"), benchmark))
+    assert not retriever.items[0].rare
+    assert 30 in {r.doc_id for r in dc.leaks(docs, benchmark).collect()}
