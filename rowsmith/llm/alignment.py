@@ -220,27 +220,35 @@ def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield start, len(texts)
 
 
+def _aligned(batches: Iterator[pa.RecordBatch], both: Vocabularies) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, ...]]]]:
+    """Ids of documents that move together, and what ``align_texts`` says of them."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for start, stop in _together(texts):
+            yield batch.column("doc_id").slice(start, stop - start), align_texts(texts[start:stop], both)
+
+
 def _align(path_a: str, path_b: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _vocabularies(path_a, path_b)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, stop in _together(texts):
-                rows = align_texts(texts[start:stop], both)
-                lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(4)]
-                ids = batch.column("doc_id").slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([ids, *lists], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
+        for ids, rows in _aligned(batches, _vocabularies(path_a, path_b)):
+            lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([ids, *lists], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
 
     return releasing(run)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return small_batches(own, "4m")
+
+
 def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``a_ids, b_ids`` and, for each group, the place behind its last token in both (``a_cuts, b_cuts``).
 
     Group ``g`` is ``a_ids[a_cuts[g-1]:a_cuts[g]]`` beside ``b_ids[b_cuts[g-1]:b_cuts[g]]``; its last two tokens are linked.
     """
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return small_batches(own, "4m").mapInArrow(_align(path_a, path_b), ALIGNED).withColumnRenamed("doc_id", id_col)
+    rows = _texts(docs, id_col, text_col).mapInArrow(_align(path_a, path_b), ALIGNED)
+    return rows.withColumnRenamed("doc_id", id_col)
 
 
 def _written(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,19 +284,20 @@ def group_texts(rows: list[tuple[np.ndarray, ...]], written: tuple[np.ndarray, n
     return [flat[i : max(i, j - 1)] for i, j in zip(stops, stops[1:], strict=False)]
 
 
-def _digest(keys, n_ids: int) -> Callable:
+def _digest(path_a: str, path_b: str, keys) -> Callable:
+    """Counts, digest and linked pairs of each alignment, in the task that makes it: ids and cuts need not travel."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, written = keys.value, _written(n_ids)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                columns = [part.column(c) for c in ("a_ids", "b_ids", "a_cuts", "b_cuts")]
-                rows = [[v.values.to_numpy() for v in row] for row in zip(*columns, strict=True)]
+        both, pairs = _vocabularies(path_a, path_b), keys.value
+        written = _written(max(len(both.bytes_a), len(both.bytes_b)))
+        for ids, aligned in _aligned(batches, both):
+            for at in range(0, len(aligned), 64):
+                rows = aligned[at : at + 64]
                 linked = [(a[i - 1].astype(np.int64) << 32) | b[j - 1] for a, b, i, j in rows]
                 shas = [hashlib.sha256(t).hexdigest() if t else "" for t in group_texts(rows, written)]
                 counts = [[len(r[0]) for r in rows], [len(r[1]) for r in rows], *[[len(r[2]) for r in rows]] * 2]
                 places = pa.array([np.searchsorted(pairs, k).astype(np.int32) for k in linked], pa.list_(pa.int32()))
-                kept = [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas), places]
+                kept = [ids.slice(at, 64), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas), places]
                 yield pa.RecordBatch.from_arrays(kept, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
     return releasing(run)
@@ -323,13 +332,12 @@ def _scored(shared) -> Callable:
     return releasing(run)
 
 
-def alignment_digests(aligned: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id") -> DataFrame:
-    """Counts and a digest for each row of ``alignments``, with the corpus-wide counts of its linked pairs."""
-    context = aligned.sparkSession.sparkContext
-    both = Vocabularies(path_a, path_b)
-    keys, n_ids = both.pairs, max(len(both.bytes_a), len(both.bytes_b))
-    rows = aligned.select(F.col(f"`{id_col}`").alias("doc_id"), "a_ids", "b_ids", "a_cuts", "b_cuts")
-    rows = saved(rows.mapInArrow(_digest(context.broadcast(keys), n_ids), DIGESTS), "digests")
+def alignment_digests(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row counts and a digest of its alignment, with the corpus-wide counts of its linked pairs."""
+    context = docs.sparkSession.sparkContext
+    keys = Vocabularies(path_a, path_b).pairs
+    rows = _texts(docs, id_col, text_col).mapInArrow(_digest(path_a, path_b, context.broadcast(keys)), DIGESTS)
+    rows = saved(rows, "digests")
     found = rows.select("pairs").mapInArrow(_pair_counts(len(keys)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     # No more rows than pairs that the vocabularies allow.
     found = found.toArrow()

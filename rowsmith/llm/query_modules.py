@@ -157,7 +157,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return alignment.alignment_digests(alignment.alignments(table(spark, sf_dir, "documents"), *paths), *paths)
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), *paths)
 
 
 TRIE_SQL = r"""

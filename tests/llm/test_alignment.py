@@ -64,7 +64,7 @@ def plain_rows(plain, docs):
 
 
 def digests(docs):
-    found = alignment.alignment_digests(alignment.alignments(docs, *PATHS), *PATHS)
+    found = alignment.alignment_digests(docs, *PATHS)
     return [(r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in found.collect()]
 
 
@@ -97,6 +97,14 @@ def test_lanes_and_batches_change_nothing(plain, monkeypatch):
             assert [(a[i - 1], b[j - 1]) for i, j in zip(cuts_a, cuts_b, strict=True)] == links
 
 
+def test_alignments_hold_ids_and_cuts(docs_of, plain):
+    texts = ["The naïve cat.", None, "日本 x", "a\u2581b"]
+    for r in alignment.alignments(docs_of(texts), *PATHS).collect():
+        ids_a, ids_b, links, _ = plain(texts[r.doc_id])
+        assert (r.a_ids, r.b_ids) == (ids_a, ids_b)
+        assert [(r.a_ids[i - 1], r.b_ids[j - 1]) for i, j in zip(r.a_cuts, r.b_cuts, strict=True)] == links
+
+
 def test_both_encoders_equal_the_libraries(plain):
     rng = random.Random(6)
     parts = [" ", "\n", "the", "Ab", "é", "1", "½", "_", "'s", "'", "!", "$$", "\u2581", "\x00", "👍", "\r\n", "日", "<|endoftext|>", "<s>", "\u0301", "\t", "  ", "don't"]
