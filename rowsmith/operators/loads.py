@@ -275,8 +275,11 @@ def drop_table(spark: SparkSession, table: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {part}")
 
 
-def import_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``table_name, row_count, column_count, columns`` of every table, one count each."""
+def import_report(tables: Mapping[str, DataFrame], warnings: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+    """``table_name, row_count, column_count, columns, warnings`` of every table, one count each.
+
+    ``warnings`` are what readers reported beside the rows, for example ``DelimitedTable.warnings``; they cost no scan.
+    """
     counts = [
         df.agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("table_name"),
@@ -285,6 +288,7 @@ def import_report(tables: Mapping[str, DataFrame]) -> DataFrame:
             F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)).alias(
                 "columns"
             ),
+            F.array(*map(F.lit, distinct_warnings((warnings or {}).get(name, ())))).cast("array<string>").alias("warnings"),
         )
         for name, df in tables.items()
     ]

@@ -138,9 +138,13 @@ def ntile(w: BucketedWindow, tiles: int, name: str) -> DataFrame:
     return joined.drop("rn_", "before_", "total_")
 
 
-def lag_lead(w: BucketedWindow, value: str, lag_name: str, lead_name: str) -> DataFrame:
-    """``LAG`` and ``LEAD`` by one row; bucket ends meet their neighbours' end rows."""
+def lag_lead(w: BucketedWindow, value: str, lag_name: str, lead_name: str, number: str | None = None) -> DataFrame:
+    """``LAG`` and ``LEAD`` by one row; bucket ends meet their neighbours' end rows.
+
+    ``number`` adds the row number of the same window in the same pass.
+    """
     edges = w.per_bucket(
+        F.count("*").alias("size_"),
         F.struct(w.first_in(F.col(value)).alias("v")).alias("first_"),
         F.struct(w.last_in(F.col(value)).alias("v")).alias("last_"),
     )
@@ -149,20 +153,25 @@ def lag_lead(w: BucketedWindow, value: str, lag_name: str, lead_name: str) -> Da
         BUCKET,
         F.lag("last_").over(w.over_buckets()).alias("last_before_"),
         F.lead("first_").over(w.over_buckets()).alias("first_after_"),
+        _before(F.col("size_"), w.earlier_buckets()).alias("before_"),
     )
     # Structs tell a NULL value from a missing row.
     local = w.rows().withColumns(
         {
             "lag_": F.lag(F.struct(F.col(value).alias("v"))).over(w.inside()),
             "lead_": F.lead(F.struct(F.col(value).alias("v"))).over(w.inside()),
+            "rn_": F.row_number().over(w.inside()),
         }
     )
-    return w.attach(local, carried).withColumns(
-        {
-            lag_name: F.coalesce("lag_", "last_before_")["v"],
-            lead_name: F.coalesce("lead_", "first_after_")["v"],
-        }
-    ).drop("lag_", "lead_", "last_before_", "first_after_")
+    found = {
+        lag_name: F.coalesce("lag_", "last_before_")["v"],
+        lead_name: F.coalesce("lead_", "first_after_")["v"],
+    }
+    if number:
+        found[number] = F.col("rn_") + F.col("before_")
+    return w.attach(local, carried).withColumns(found).drop(
+        "lag_", "lead_", "rn_", "last_before_", "first_after_", "before_"
+    )
 
 
 def first_last(w: BucketedWindow, value: str, first_name: str, last_name: str) -> DataFrame:

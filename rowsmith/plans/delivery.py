@@ -106,12 +106,11 @@ def explain_plan(t: Tables) -> DataFrame:
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count,"
         f" CAST(MIN({c}) AS VARCHAR) AS min_value, CAST(MAX({c}) AS VARCHAR) AS max_value FROM orders"
-        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     ),
 )
 def analyze_stats(t: Tables) -> DataFrame:
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    stats = statistics.column_statistics(t.orders.select(*columns))
+    stats = statistics.column_statistics(t.orders)
     return stats.select("column_name", "row_count", "null_count", "min_value", "max_value")
 
 

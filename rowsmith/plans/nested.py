@@ -58,12 +58,13 @@ def json_records(t: Tables) -> DataFrame:
 @query(
     "json_flatten",
     "SELECT doc_id, lang, source AS meta__source, n_chars AS meta__size__n_chars,"
-    " CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents",
+    " list_transform(string_split(text, chr(10)), lambda x, i: CAST(i - 1 AS VARCHAR) || ':' || x) AS lines FROM documents",
 )
 def json_flatten(t: Tables) -> DataFrame:
     flat = reshape.flatten(document_tree(t), "doc")
-    # The list column is JSON text; its length shows that it is whole.
-    return flat.withColumn("lines", F.json_array_length("lines"))
+    # The list column is JSON text; its items are compared, not how they are written.
+    items = F.from_json("lines", "array<struct<line: string, no: int>>")
+    return flat.withColumn("lines", F.transform(items, lambda item: F.concat_ws(":", item["no"].cast("string"), item["line"])))
 
 
 @query(
@@ -184,13 +185,14 @@ def xml_documents(t: Tables) -> tuple[DataFrame, T.StructType]:
 @query(
     "xml_flatten",
     "SELECT doc_id, lang AS attr_lang, CAST(n_chars AS VARCHAR) AS meta__attr_size,"
-    " source AS meta__source, coalesce(len(list_filter(string_split(text, chr(10)),"
-    " lambda x: trim(x) <> '')), 0)::INTEGER AS lines FROM documents",
+    " source AS meta__source, CASE WHEN text IS NOT NULL THEN list_transform(list_filter(string_split(text, chr(10)),"
+    " lambda x: trim(x) <> ''), lambda x: trim(x)) ELSE [] END AS lines FROM documents",
 )
 def xml_flatten(t: Tables) -> DataFrame:
     rows, _ = xml_documents(t)
     flat = reshape.flatten(rows, "doc", ("doc_id",))
-    return flat.withColumn("lines", F.coalesce(F.json_array_length("line"), F.lit(0))).drop("line")
+    lines = F.transform(F.from_json("line", "array<string>"), F.trim)
+    return flat.withColumn("lines", F.coalesce(lines, F.array().cast("array<string>"))).drop("line")
 
 
 @query(

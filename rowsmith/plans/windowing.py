@@ -148,7 +148,4 @@ def win_range_frame(t: Tables) -> DataFrame:
     " WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)",
 )
 def win_named(t: Tables) -> DataFrame:
-    spec = orders_by_price(t)
-    numbered = W.row_number(spec, "rn")
-    again = W.BucketedWindow(numbered, spec.keys, spec.order, spec.bucket)
-    return W.lag_lead(again, "o_orderkey", "cheaper", "dearer")
+    return W.lag_lead(orders_by_price(t), "o_orderkey", "cheaper", "dearer", number="rn")

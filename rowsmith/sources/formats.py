@@ -7,37 +7,37 @@ from pyspark.sql import functions as F
 
 # Format key, label, family, support state, extensions.
 FORMATS = (
-    ("nativeDb", "Native database", "database", "complete", ".ddb"),
-    ("csv", "CSV", "delimitedText", "complete", ".csv"),
-    ("tsv", "TSV", "delimitedText", "complete", ".tsv"),
-    ("genericDelimited", "Generic Delimited Text", "delimitedText", "complete", ".txt .dat .log .psv"),
-    ("fixedWidth", "Fixed-width Text", "delimitedText", "planned", ""),
-    ("xlsx", "Excel (.xlsx)", "spreadsheet", "complete", ".xlsx"),
-    ("xls", "Excel (.xls)", "spreadsheet", "partial", ".xls"),
-    ("ods", "OpenDocument Spreadsheet", "spreadsheet", "planned", ".ods"),
-    ("json", "JSON", "structuredDocument", "complete", ".json"),
-    ("ndjson", "NDJSON / JSONL", "structuredDocument", "complete", ".ndjson .jsonl"),
-    ("xml", "XML", "structuredDocument", "complete", ".xml"),
-    ("yaml", "YAML", "structuredDocument", "investigate", ".yaml .yml"),
-    ("toml", "TOML", "structuredDocument", "deferred", ".toml"),
-    ("htmlTable", "HTML Tables", "webMarkup", "complete", ".html .htm"),
-    ("markdownTable", "Markdown Tables", "webMarkup", "investigate", ".md"),
-    ("sqlite", "SQLite", "database", "complete", ".db .sqlite .sqlite3"),
-    ("duckdb", "DuckDB", "database", "planned", ".duckdb"),
-    ("access", "Microsoft Access", "legacyBusiness", "investigate", ".mdb .accdb"),
-    ("dbf", "DBF / FoxPro", "legacyBusiness", "investigate", ".dbf"),
-    ("sqlDump", "SQL Dump", "databaseDump", "complete", ".sql"),
-    ("postgresPlainDump", "PostgreSQL Plain SQL Dump", "databaseDump", "planned", ""),
-    ("parquet", "Parquet", "analytical", "planned", ".parquet"),
-    ("jsonLogStream", "JSON Log Stream", "logsEvents", "planned", ""),
-    ("delimitedLog", "Delimited Log File", "logsEvents", "investigate", ""),
-    ("zipArchive", "ZIP Wrapper", "compressedArchive", "complete", ".zip"),
-    ("gzipArchive", "GZip Wrapper", "compressedArchive", "complete", ".gz"),
-    ("bzip2Archive", "BZip2 Wrapper", "compressedArchive", "investigate", ".bz2"),
-    ("xzArchive", "XZ Wrapper", "compressedArchive", "investigate", ".xz"),
-    ("clipboardTable", "Clipboard Table", "webMarkup", "investigate", ""),
-    ("pdfTables", "PDF Tables", "webMarkup", "deferred", ".pdf"),
-    ("unknown", "Unknown", "delimitedText", "notStarted", ""),
+    ("nativeDb", "Native database", "database", "complete", (".ddb",)),
+    ("csv", "CSV", "delimitedText", "complete", (".csv",)),
+    ("tsv", "TSV", "delimitedText", "complete", (".tsv",)),
+    ("genericDelimited", "Generic Delimited Text", "delimitedText", "complete", (".txt", ".dat", ".log", ".psv")),
+    ("fixedWidth", "Fixed-width Text", "delimitedText", "planned", ()),
+    ("xlsx", "Excel (.xlsx)", "spreadsheet", "complete", (".xlsx",)),
+    ("xls", "Excel (.xls)", "spreadsheet", "partial", (".xls",)),
+    ("ods", "OpenDocument Spreadsheet", "spreadsheet", "planned", (".ods",)),
+    ("json", "JSON", "structuredDocument", "complete", (".json",)),
+    ("ndjson", "NDJSON / JSONL", "structuredDocument", "complete", (".ndjson", ".jsonl")),
+    ("xml", "XML", "structuredDocument", "complete", (".xml",)),
+    ("yaml", "YAML", "structuredDocument", "investigate", (".yaml", ".yml")),
+    ("toml", "TOML", "structuredDocument", "deferred", (".toml",)),
+    ("htmlTable", "HTML Tables", "webMarkup", "complete", (".html", ".htm")),
+    ("markdownTable", "Markdown Tables", "webMarkup", "investigate", (".md",)),
+    ("sqlite", "SQLite", "database", "complete", (".db", ".sqlite", ".sqlite3")),
+    ("duckdb", "DuckDB", "database", "planned", (".duckdb",)),
+    ("access", "Microsoft Access", "legacyBusiness", "investigate", (".mdb", ".accdb")),
+    ("dbf", "DBF / FoxPro", "legacyBusiness", "investigate", (".dbf",)),
+    ("sqlDump", "SQL Dump", "databaseDump", "complete", (".sql",)),
+    ("postgresPlainDump", "PostgreSQL Plain SQL Dump", "databaseDump", "planned", ()),
+    ("parquet", "Parquet", "analytical", "planned", (".parquet",)),
+    ("jsonLogStream", "JSON Log Stream", "logsEvents", "planned", ()),
+    ("delimitedLog", "Delimited Log File", "logsEvents", "investigate", ()),
+    ("zipArchive", "ZIP Wrapper", "compressedArchive", "complete", (".zip",)),
+    ("gzipArchive", "GZip Wrapper", "compressedArchive", "complete", (".gz",)),
+    ("bzip2Archive", "BZip2 Wrapper", "compressedArchive", "investigate", (".bz2",)),
+    ("xzArchive", "XZ Wrapper", "compressedArchive", "investigate", (".xz",)),
+    ("clipboardTable", "Clipboard Table", "webMarkup", "investigate", ()),
+    ("pdfTables", "PDF Tables", "webMarkup", "deferred", (".pdf",)),
+    ("unknown", "Unknown", "delimitedText", "notStarted", ()),
 )
 
 SQLITE_SIGNATURE = "SQLite format 3"
@@ -45,12 +45,12 @@ SQLITE_SIGNATURE = "SQLite format 3"
 _BY_EXTENSION = {
     extension: (key, label, family, state)
     for key, label, family, state, extensions in FORMATS
-    for extension in extensions.split()
+    for extension in extensions
 }
 
 
 def format_registry(spark: SparkSession) -> DataFrame:
-    rows = [(k, label, fam, state, ext.split()) for k, label, fam, state, ext in FORMATS]
+    rows = [(k, label, fam, state, list(ext)) for k, label, fam, state, ext in FORMATS]
     return spark.createDataFrame(
         rows,
         "format_key string, label string, family string, support_state string,"
@@ -71,13 +71,20 @@ def path_extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]+(\.[^./]*)$", 1))
 
 
-def detect_format(path: Column) -> Column:
-    """``struct<format_key, label, family, support_state>`` looked up in a constant map."""
+def detect_format(path: Column, content: Column | None = None) -> Column:
+    """``struct<format_key, label, family, support_state>`` looked up in a constant map.
+
+    Given the content too, a database file is known by its signature, whatever its name.
+    """
     entries = []
     for extension, values in _BY_EXTENSION.items():
         entries += [F.lit(extension), _format_struct(*values)]
     unknown = _format_struct(*FORMATS[-1][:4])
-    return F.coalesce(F.create_map(*entries)[path_extension(path)], unknown)
+    named = F.coalesce(F.create_map(*entries)[path_extension(path)], unknown)
+    if content is None:
+        return named
+    sqlite = next(values for values in _BY_EXTENSION.values() if values[0] == "sqlite")
+    return F.when(has_sqlite_signature(content), _format_struct(*sqlite)).otherwise(named)
 
 
 def _format_struct(key: str, label: str, family: str, state: str) -> Column:

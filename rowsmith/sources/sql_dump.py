@@ -38,11 +38,11 @@ VALUES = re.compile(r"(?i)\s*VALUES")
 ARGUMENTS = rf"\((?:[^()'\"`]++|{QUOTED})*+\)"
 # The words that end a declared type.
 CONSTRAINT_WORDS = (
-    "NOT NULL|NULL|DEFAULT|AUTO_INCREMENT|PRIMARY KEY|UNIQUE|COMMENT|COLLATE|CHARACTER SET"
-    "|REFERENCES|CHECK|ON UPDATE|GENERATED ALWAYS|AS |VIRTUAL|STORED"
-)
+    "NOT NULL", "NULL", "DEFAULT", "AUTO_INCREMENT", "PRIMARY KEY", "UNIQUE", "COMMENT", "COLLATE", "CHARACTER SET",
+    "REFERENCES", "CHECK", "ON UPDATE", "GENERATED ALWAYS", "AS ", "VIRTUAL", "STORED",
+)
 COLUMN_PATTERN = (
-    rf"(?is)^\s*({NAME})\s+((?:(?! (?:{CONSTRAINT_WORDS}))[^()'\"]|{QUOTED}|{ARGUMENTS})++)(.*)$"
+    rf"(?is)^\s*({NAME})\s+((?:(?! (?:{'|'.join(CONSTRAINT_WORDS)}))[^()'\"]|{QUOTED}|{ARGUMENTS})++)(.*)$"
 )
 # Statement kinds of two words; any other kind is the first word.
 TWO_WORD_KINDS = ("LOCK TABLES", "UNLOCK TABLES", "DROP TABLE", "ALTER TABLE", "CREATE VIEW")
