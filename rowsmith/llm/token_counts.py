@@ -1,7 +1,7 @@
 """Token counts kept by deltas: totals by source, language and tokenizer version.
 
 A batch of changes is signed: an insert adds a document and its tokens, a delete takes both away, a revised count
-adds the difference (or moves the document to another group). Totals are sums, so a batch is added up to one row per
+adds the difference; a document that changes its group is deleted there and inserted here. Totals are sums, so a batch is added up to one row per
 group, before and after its only shuffle, and written as a delta of its own. Nothing that was counted before is read again.
 
 *Commit.* A batch is a folder named by its id, complete once Spark's commit has left its ``_SUCCESS`` file. A batch that
