@@ -32,6 +32,7 @@ WHITESPACE = " \t\n\r\f\x0b\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" +
     chr(c) for c in range(0x2000, 0x200B)
 )
 
+# The shapes of identifiers, numbers, clocks and dates, and the white space that is trimmed above.
 UUID_PATTERN = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 STRICT_UUID_PATTERN = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsmith.session import checkpointed
+from rowsmith.session import checkpointed, scratch_folder
 
 ID = "_import_id"
 PARENT_ID = "parent_id"
@@ -126,21 +126,34 @@ def normalize(
 ) -> NormalizedTables:
     """Parent and child tables of a struct column.
 
-    ``key`` is a unique column that becomes the root id. Without one, rows are numbered
-    once and checkpointed, so that every table sees the same ids.
+    ``key`` is a unique column that becomes the root id; without one, rows are numbered. The records are scanned and
+    parsed once and written; each table reads what it needs of them, so all see the same ids.
     """
     result = NormalizedTables()
-    if key is None:
-        numbered = df.select(
-            F.monotonically_increasing_id().cast("string").alias(ID), F.col(record).alias("record_")
-        )
-        source = checkpointed(numbered)
-    else:
-        source = df.select(F.col(key).cast("string").alias(ID), F.col(record).alias("record_"))
-    _add_table(result, source, name, None)
+    root = F.monotonically_increasing_id() if key is None else F.col(key)
+    _add_table(result, _written(df.select(root.cast("string").alias(ID), F.col(record).alias("record_"))), name, None)
     return result
 
 
+def _storable(kind: T.DataType) -> bool:
+    """Whether Parquet holds the type: no object without fields, no names that differ in case only, no variants."""
+    if isinstance(kind, T.StructType):
+        names = {f.name.lower() for f in kind.fields}
+        return len(names) == len(kind.fields) > 0 and all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _storable(kind.elementType)
+    return not isinstance(kind, (T.VariantType, T.NullType, T.MapType))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Written once as columns, so that readers prune; a checkpoint where Parquet can't hold the type."""
+    if not _storable(df.schema):
+        return checkpointed(df)
+    path = scratch_folder(df.sparkSession, "records")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _add_table(
     result: NormalizedTables, source: DataFrame, name: str, parent: str | None
 ) -> None:

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowsmith.functions import json_table
-from rowsmith.operators import loads, quality
+from rowsmith.operators import loads, quality, reshape
 from rowsmith.operators import windows as W
+from rowsmith.sources import documents
 from tests.conftest import rows
 
 
@@ -33,6 +34,17 @@ def test_json_tree_is_one_scan_at_any_depth(spark, tmp_path):
     assert by_doc[3] == {"$": (None, "7", "number")} and by_doc[4] == {"$": (None, None, "null")}
 
 
+@pytest.mark.parametrize("doc", ['{"k":1,"a":[{"x":1,"b":[1,2]},{"x":2}],"c":["p"]}', '{"k":1,"a":[{"x":1,"b":[1,2],"e":{}},{"x":2}],"c":["p"]}'])
+def test_normalized_tables_parse_their_source_once(spark, doc):
+    df = documents.parse_json_column(spark.createDataFrame([(7, doc)], "id int, doc string"), "doc")
+    tables = reshape.normalize(df, "doc", "t", "id").tables
+    assert sorted(tables) == ["t", "t_a", "t_a_b", "t_c"]
+    for table in tables.values():
+        assert "from_json" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(rows(tables["t_a_b"].select("value"))) == [(1,), (2,)] and tables["t_c"].first()["value"] == "p"
+    assert {r["_import_id"] for r in tables["t_a"].collect()} == {"7/a/0", "7/a/1"}
+
+
 def plain_frame(data, preceding):
     found = []
     for k, at, v, i in data:
