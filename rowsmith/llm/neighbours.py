@@ -10,6 +10,8 @@ sides first. The best of each block, found again in exact left-to-right double s
 *Recall.* ``leaves`` is measured, not guessed: for ``PROBES`` queries the true neighbours are found by brute force over
 all vectors, and the smallest number of leaves that reaches ``RECALL`` of them is used for all queries. On clustered vectors that
 is a few leaves however many vectors there are; on vectors without any structure it is a fixed share of them.
+A query whose leaves hold fewer than ``k`` other points goes on with four times as many, up to all of them, so
+it has its ``k`` rows however uneven the leaves are.
 
 Equal vectors are one point of the index with its smallest ids, since nobody can see more than the first ``k`` + 1 of them.
 
@@ -224,6 +226,24 @@ def _candidates(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     return left.cogroup(right).applyInPandas(_block_scores(k), "q long, point long, score double")
 
 
+def _found(index: DataFrame, queries: DataFrame, forest: Forest, leaves: int, sample: np.ndarray, k: int) -> DataFrame:
+    """``q, point, score`` of every query; one whose leaves hold too few points goes on with four times as many."""
+    schema = "leaf long, point long, vec array<double>, floor double"
+    total, found = forest.trees << forest.levels, None
+    while True:
+        visits = queries.mapInArrow(_query_rows(forest, leaves, sample, k), schema)
+        now = saved(_candidates(index, visits, k).dropDuplicates(["q", "point"]), "candidates")
+        found = now if found is None else found.unionAll(now)
+        if leaves >= total:
+            return found
+        met = now.groupBy(F.col("q").alias("m_q")).agg(F.count("*").alias("met")).filter(F.col("met") > k)
+        short = saved(queries.join(met, queries["point"] == met["m_q"], "left_anti"), "short")
+        if short.isEmpty():
+            return found
+        found = found.join(short.select(F.col("point").alias("s_q")), F.col("q") == F.col("s_q"), "left_anti")
+        queries, leaves = short, min(total, 4 * leaves)
+
+
 def nearest(
     table: DataFrame,
     is_query: Column,
@@ -249,9 +269,7 @@ def nearest(
     leaves = leaves_needed(points, queries, forest, k, PROBES, recall)
     schema = "leaf long, point long, vec array<double>"
     index = points.select("point", "vec").mapInArrow(_index_rows(forest), schema)
-    visits = queries.mapInArrow(_query_rows(forest, leaves, sample, k), f"{schema}, floor double")
-    found = saved(_candidates(index, visits, k).dropDuplicates(["q", "point"]), "candidates")
-
+    found = _found(index, queries, forest, leaves, sample, k)
     named = found.join(points.select("point", "ids"), "point")
     order = W.partitionBy("q").orderBy(F.desc("score"), F.element_at("ids", 1))
     named = named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)

@@ -73,3 +73,16 @@ def test_shared_queue_reads_the_nearest_leaves_first():
     order = [worst(*f) for f in found]
     assert len(set(found)) == forest.trees << forest.levels
     assert np.allclose(order, sorted(order))
+
+
+def test_queries_in_small_leaves_get_all_their_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(600, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "leaves_needed", lambda *args: 1)
+    monkeypatch.setattr(neighbours, "SAMPLE", 40)
+    found = neighbours.nearest(table, F.col("id") % 20 == 0, trees=2, leaf=4).toPandas()
+    assert found.groupby("query_id").size().eq(20).all() and found["query_id"].nunique() == 30
+    assert not found.duplicated(["query_id", "vec_id"]).any()
+    few = neighbours.nearest(table.filter("vec_id < 8"), F.col("id") % 20 == 0, trees=2, leaf=2).toPandas()
+    assert sorted(few["vec_id"]) == list(range(1, 8))
