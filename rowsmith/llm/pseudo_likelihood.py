@@ -1,22 +1,27 @@
 """Masked pseudo-likelihood: every token is predicted from the tokens on both sides of it.
 
-*Tokens* are lower-case words. The most frequent words of the corpus have ids of their own; all others share
-``ENDINGS`` ids by a hash of their last three bytes. Counts come from all documents.
-*Network.* The embeddings of ``SIDE`` tokens to the left and to the right go through one hidden layer to a softmax over all ids.
-*Training* in numpy: in each round every task runs mini-batches over every ``STRIDE``-th position of its documents, another
-one each round, starting from the same weights; the results are averaged by the positions seen. What is gathered grows
-with the corpus: nothing is capped.
+*Tokens* are lower-case words. Counts come from all documents. The ``WORDS`` most frequent words have network ids of their own
+(two bytes); all others share ``ENDINGS`` ids by their last two bytes.
+*Network.* The embeddings of ``SIDE`` tokens to the left and to the right go through one hidden layer to a softmax over classes
+(each ending, and ``BINS`` bins of words of about equal mass), then to a softmax over the words of the bin.
+*Words that share an ending* get log P(word | ending): the ``LISTED`` most frequent words by their share of all counts, others
+by the share of unlisted ones times a character model. That spells backwards, two bytes of context, backing off to one and none,
+from the counts of all unlisted words, so each token has a probability of its own.
+*Training* in numpy: in each round every task runs mini-batches over every ``ROUNDS``-th position of its documents, the next
+ones each round, so that all rounds together take every position once. Tasks start from the same weights; the results are
+averaged by the positions seen. What is gathered grows with the corpus: nothing is capped.
 *Score* of a document: the sum over all its tokens of log P(token | both sides), and its mean.
 
-The numbered texts (one byte a token) are written once and read by all rounds and the scoring.
+The numbered texts (two bytes a token) are written once and read by all rounds and the scoring.
 
 Defined cases: NULL, empty and blank texts have no tokens, sum 0 and mean 0. A text of one token is predicted from edges only.
-Equal ids and repeated rows stay rows of their own. An empty table gives no rows.
+Equal ids and repeated rows stay rows of their own. Words of more than ``LONGEST`` bytes are never listed, only spelled.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +33,16 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.common import saved, small_batches
 
-EDGE, ENDINGS, WORDS = 0, 31, 128
-SIZE = 1 + ENDINGS + WORDS
+EDGE, ENDINGS, WORDS, BINS = 0, 31, 4096, 64
+LISTED, LONGEST = 32_768, 64
 SIDE, WIDTH, HIDDEN = 3, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 3, 16, 1024, 0.1
-BLOCK = 4096
-#: Different words that a task counts before it hands them on.
+ROUNDS, SMALLEST_BATCH, BATCH, RATE = 3, 256, 16_384, 0.1
+BLOCK = 16_384
+HIGHEST = 80
+#: Different words that a task holds before it hands them on or forgets them.
 HELD_WORDS = 300_000
+#: Ends a word (it is in none), slots of two-byte contexts, and the weight of the shorter context.
+END, SLOTS, BACK_OFF = 0x20, 4096, 4.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,140 +65,333 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def frequent_words(texts: DataFrame, many: int = WORDS) -> list[bytes]:
-    """The ``many`` most frequent words of all texts, most frequent first, ties by bytes."""
-    counts = small_batches(texts).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(many).collect()]
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word and n over all texts."""
+    counts = small_batches(texts).mapInArrow(_count_words, "word binary, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary(dict):
-    """Word to id; words without one of their own are numbered by their ending when first asked for."""
+def frequent_words(counts: DataFrame, many: int = LISTED) -> list[tuple[bytes, int]]:
+    """The ``many`` most frequent words and their counts, most frequent first, ties by bytes."""
+    short = counts.filter(F.length("word") <= LONGEST)
+    return [(bytes(r["word"]), r["n"]) for r in short.orderBy(F.desc("n"), "word").limit(many).collect()]
 
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__({w: 1 + ENDINGS + i for i, w in enumerate(words)})
 
-    def __missing__(self, word: bytes) -> int:
-        return 1 + zlib.crc32(word[-3:]) % ENDINGS
+def _places(words: list[bytes]):
+    """Bytes of all words with END before each and after the last, where three in a row are to be predicted, and last pairs."""
+    line = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
+    own, near, far = line[:-2], line[1:-1], line[2:]
+    inside = np.flatnonzero((near != END) & (far != END))
+    last = np.flatnonzero((near != END) & (far == END))
+    return own, near, far, inside, last
+
+
+def _slot(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    return ((near * 256 + far) * 40503 & 0xFFFF) // (0x10000 // SLOTS)
+
+
+def ending_of(pair: np.ndarray | int) -> np.ndarray | int:
+    """Network id of words that end in a pair of bytes (the last one counts 1, the one before it 256)."""
+    return 1 + pair % ENDINGS
 
-    def ids(self, text: str | None) -> bytes:
-        return bytes(map(self.__getitem__, words_of(text)))
 
+#: Parts of one vector of counts: context slot and byte, next byte and byte, last pair.
+PART_SIZES = (SLOTS * 256, 65536, 65536)
 
-def _numbered(words: list[bytes]):
+
+def _count_bytes(listed: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words)
+        totals = np.zeros(sum(PART_SIZES))
+        slots, pairs, ends = np.split(totals, np.cumsum(PART_SIZES)[:-1])
         for batch in batches:
-            ids = [vocabulary.ids(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
+            rows = zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            rare = [(w, n) for w, n in rows if w not in listed]
+            if not rare:
+                continue
+            words = [w for w, _ in rare]
+            own, near, far, inside, last = _places(words)
+            each = np.repeat([float(n) for _, n in rare], [len(w) + 1 for w in words])[: len(own)]
+            for onto, place, at in (
+                (slots, _slot(near, far) * 256 + own, inside),
+                (pairs, near * 256 + own, inside),
+                (ends, own * 256 + near, last),
+            ):
+                onto += np.bincount(place[at], weights=each[at], minlength=len(onto))
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[at])], ["at", "total"])
 
     return run
 
 
+@dataclass
+class Speller:
+    """log P(word | ending) of words without a network id."""
+
+    slots: np.ndarray
+    pairs: np.ndarray
+    ends: np.ndarray
+    listed_mass: np.ndarray
+
+    def __post_init__(self) -> None:
+        bytes_seen = self.pairs.reshape(256, 256).sum(axis=0)
+        anywhere = (bytes_seen + 1) / (bytes_seen.sum() + 256)
+        after_one = self.pairs.reshape(256, 256)
+        after_one = (after_one + BACK_OFF * anywhere) / (after_one.sum(axis=1, keepdims=True) + BACK_OFF)
+        self.after_one = after_one.ravel()
+        self.slot_mass = self.slots.reshape(SLOTS, 256).sum(axis=1)
+        of_pair = ending_of(np.arange(65536))
+        self.unlisted = np.bincount(of_pair, weights=self.ends, minlength=ENDINGS + 1)
+        smooth = self.ends + 0.01
+        self.last_pair = smooth / np.bincount(of_pair, weights=smooth, minlength=ENDINGS + 1)[of_pair]
+        self.mass = self.listed_mass + self.unlisted + 1
+
+    def log_share(self, ending: int, count: int) -> float:
+        """Of a listed word."""
+        return float(np.log(count / self.mass[ending]))
+
+    def log_spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Endings of unlisted words, and log P(word | ending)."""
+        own, near, far, inside, last = _places(words)
+        chance = np.zeros(len(own))
+        slot = _slot(near[inside], far[inside])
+        seen = self.slots[slot * 256 + own[inside]] + BACK_OFF * self.after_one[near[inside] * 256 + own[inside]]
+        chance[inside] = np.log(seen / (self.slot_mass[slot] + BACK_OFF))
+        pair = own[last] * 256 + near[last]
+        ending = ending_of(pair)
+        chance[last] = np.log(self.last_pair[pair]) + np.log((self.unlisted[ending] + 1) / self.mass[ending])
+        starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
+        return ending, np.add.reduceat(chance, starts)
+
+
+def spell_counts(counts: DataFrame, listed: list[tuple[bytes, int]], known: int = WORDS) -> Speller:
+    """The character model of all unlisted words, and the mass of listed words without a network id."""
+    sums = counts.mapInArrow(_count_bytes(frozenset(w for w, _ in listed)), "at int, total double")
+    found = sums.groupBy("at").agg(F.sum("total").alias("total")).toArrow()
+    totals = np.zeros(sum(PART_SIZES))
+    totals[found.column("at").to_numpy()] = found.column("total").to_numpy()
+    mass = np.zeros(ENDINGS + 1)
+    for word, n in listed[known:]:
+        mass[word_ending(word)] += n
+    return Speller(*np.split(totals, np.cumsum(PART_SIZES)[:-1]), mass)
+
+
+def word_ending(word: bytes) -> int:
+    before, last = (b" " + word)[-2:]
+    return ending_of(before * 256 + last)
+
+
+class Vocabulary(dict):
+    """Word to its place in two lists, the network ids and log P(word | id); unlisted words wait to be spelled."""
+
+    def __init__(self, listed: list[tuple[bytes, int]], speller: Speller, known: int = WORDS) -> None:
+        super().__init__({w: i for i, (w, _) in enumerate(listed)})
+        self.listed, self.speller, self.waiting = [w for w, _ in listed], speller, []
+        ids = [1 + ENDINGS + i for i in range(len(listed[:known]))]
+        rest = [(word_ending(w), n) for w, n in listed[known:]]
+        self.ids = np.array(ids + [e for e, _ in rest], dtype=np.uint16)
+        self.chances = np.array([0.0] * len(ids) + [speller.log_share(e, n) for e, n in rest])
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.waiting.append(word)
+        return at
+
+    def numbered(self, texts: list[str | None]) -> tuple[list[bytes], list[float]]:
+        """Ids of each text, and the sum of log P(word | id) over its words."""
+        if len(self) > len(self.listed) + HELD_WORDS:
+            self.clear()
+            self.update((w, i) for i, w in enumerate(self.listed))
+            self.ids, self.chances = self.ids[: len(self)], self.chances[: len(self)]
+        places = [np.frombuffer(array("I", map(self.__getitem__, words_of(t))), dtype=np.uintc) for t in texts]
+        if self.waiting:
+            endings, chances = self.speller.log_spelled(self.waiting)
+            self.ids = np.append(self.ids, endings.astype(np.uint16))
+            self.chances = np.append(self.chances, chances)
+            self.waiting = []
+        return [self.ids[p].tobytes() for p in places], [float(self.chances[p].sum()) for p in places]
+
+
+def _numbered(listed: list[tuple[bytes, int]], speller: Speller, known: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(listed, speller, known)
+        for batch in batches:
+            ids, spelled = vocabulary.numbered(batch.column("text").to_pylist())
+            columns = [batch.column("id"), pa.array(ids, pa.binary()), pa.array(spelled, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "spelled"])
+
+    return run
+
+
+def bins_of(counts: list[int], bins: int = BINS) -> np.ndarray:
+    """Bounds of bins of words by rank, of about equal mass; a bin has a word at least."""
+    if not counts:
+        return np.zeros(1, dtype=np.int64)
+    mass = np.cumsum(np.asarray(counts, dtype=np.float64))
+    cuts = np.searchsorted(mass, mass[-1] * np.arange(1, bins) / bins) + 1
+    return np.unique(np.concatenate([[0], cuts, [len(counts)]]))
+
+
 @dataclass
 class Network:
-    """Weights, all in one flat vector so that they can be averaged."""
+    """Weights, all in one flat vector so that they can be averaged, and the bounds of the bins of words."""
 
     flat: np.ndarray
+    bounds: np.ndarray
 
-    SHAPES = ((SIZE, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, SIZE), (SIZE,))
+    @classmethod
+    def shapes(cls, bounds: np.ndarray) -> tuple[tuple[int, ...], ...]:
+        words, classes = int(bounds[-1]), ENDINGS + len(bounds) - 1
+        first = ((1 + ENDINGS + words, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,))
+        return (*first, (HIDDEN, classes), (classes,), (words, HIDDEN), (words,))
 
     @classmethod
-    def new(cls, seed: int = 42) -> Network:
+    def new(cls, bounds: np.ndarray, seed: int = 42) -> Network:
         rng = np.random.default_rng(seed)
-        parts = [rng.normal(0, 1 / np.sqrt(shape[0] if len(shape) > 1 else 1e12), shape).ravel() for shape in cls.SHAPES]
-        return cls(np.concatenate(parts).astype(np.float32))
+        parts = []
+        for shape in cls.shapes(bounds):
+            spread = 1 / np.sqrt(max(shape)) if len(shape) > 1 else 1e-6
+            parts.append(rng.normal(0, spread, shape).ravel())
+        return cls(np.concatenate(parts).astype(np.float32), bounds)
 
     def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
         found, at = [], 0
-        for shape in self.SHAPES:
+        for shape in self.shapes(self.bounds):
             size = int(np.prod(shape))
             found.append((self.flat if flat is None else flat)[at : at + size].reshape(shape))
             at += size
         return found
 
+    def classes_of(self, ids: np.ndarray) -> np.ndarray:
+        """Class of each token: its ending, or the bin of its word. Edges have none and are given the first."""
+        of_word = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)) + ENDINGS
+        return np.concatenate([[0], np.arange(ENDINGS), of_word]).astype(np.int64)[ids]
+
+    def segments(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Of sorted ids: where the words of each bin begin and end, and the bounds of the bin."""
+        cuts = np.searchsorted(ids, self.bounds + 1 + ENDINGS)
+        for a, b, low, high in zip(cuts[:-1], cuts[1:], self.bounds[:-1], self.bounds[1:], strict=True):
+            if a < b and high - low > 1:
+                yield a, b, low, high
+
     def side_tables(self) -> list[np.ndarray]:
         """What each id adds to the hidden layer at each of the places around a token."""
         embedding, hidden, *_ = self.parts()
         return [embedding @ hidden[k * WIDTH : (k + 1) * WIDTH] for k in range(2 * SIDE)]
 
     def log_chances(self, ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """log P(token | sides) of every token of a document."""
-        _, _, bias, out, shift = self.parts()
-        padded = np.zeros(len(ids) + 2 * SIDE, dtype=np.uint8)
+        """log P(token | sides) of every token of a document; edges among the tokens get 0."""
+        _, _, bias, top, top_shift, out, shift = self.parts()
+        padded = np.zeros(len(ids) + 2 * SIDE, dtype=np.uint16)
         padded[SIDE : SIDE + len(ids)] = ids
-        found = np.empty(len(ids), dtype=np.float32)
-        for at in range(0, len(ids), BLOCK):
-            stop = min(at + BLOCK, len(ids))
-            hidden = np.repeat(bias[None, :], stop - at, axis=0)
+        found = np.zeros(len(ids), dtype=np.float32)
+        for start in range(0, len(ids), BLOCK):
+            at = start + np.argsort(ids[start : start + BLOCK], kind="stable")
+            at = at[np.searchsorted(ids[at], 1) :]
+            own = ids[at]
+            hidden = np.repeat(bias[None, :], len(at), axis=0)
             for table, offset in zip(tables, OFFSETS, strict=True):
-                hidden += table[padded[at + offset : stop + offset]]
-            logits = np.maximum(hidden, 0, out=hidden) @ out
-            logits += shift
-            own = logits[np.arange(stop - at), ids[at:stop]]
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-            found[at:stop] = own - top - np.log(np.exp(logits, out=logits).sum(axis=1))
+                hidden += table.take(padded[at + offset], axis=0)
+            np.maximum(hidden, 0, out=hidden)
+            chance = _log_softmax_at(hidden @ top + top_shift, self.classes_of(own))
+            for a, b, low, high in self.segments(own):
+                logits = hidden[a:b] @ out[low:high].T + shift[low:high]
+                chance[a:b] += _log_softmax_at(logits, own[a:b].astype(np.int64) - (1 + ENDINGS + low))
+            found[at] = chance
         return found
 
     def slopes(self, sides: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over one mini-batch."""
-        embedding, w, bias, out, shift = self.parts()
-        seen = embedding[sides].reshape(len(targets), -1)
+        order = np.argsort(targets, kind="stable")
+        sides, targets = sides[order], targets[order]
+        embedding, w, bias, top, top_shift, out, shift = self.parts()
+        seen = embedding.take(sides, axis=0).reshape(len(targets), -1)
         before = seen @ w + bias
         hidden = np.maximum(before, 0)
-        logits = hidden @ out + shift
-        error = np.exp(logits - logits.max(axis=1, keepdims=True))
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(targets)), targets] -= 1
-        error /= len(targets)
-        back = (error @ out.T) * (before > 0)
         grad = np.zeros_like(self.flat)
         g = self.parts(grad)
-        place = sides.ravel()
-        onto = (back @ w.T).reshape(len(place), WIDTH)
-        hot = np.zeros((SIZE, len(place)), dtype=np.float32)
-        hot[place, np.arange(len(place))] = 1
-        g[0][:] = hot @ onto
-        g[1][:], g[2][:], g[3][:], g[4][:] = seen.T @ back, back.sum(axis=0), hidden.T @ error, error.sum(axis=0)
+        error = _softmax_error(hidden @ top + top_shift, self.classes_of(targets))
+        back = error @ top.T
+        g[3][:], g[4][:] = hidden.T @ error, _column_sums(error)
+        for a, b, low, high in self.segments(targets):
+            logits = hidden[a:b] @ out[low:high].T + shift[low:high]
+            error = _softmax_error(logits, targets[a:b].astype(np.int64) - (1 + ENDINGS + low))
+            back[a:b] += error @ out[low:high]
+            g[5][low:high], g[6][low:high] = error.T @ hidden[a:b], _column_sums(error)
+        back *= before > 0
+        g[1][:], g[2][:] = seen.T @ back, _column_sums(back)
+        place = sides.T.ravel()
+        onto = (w @ back.T).reshape(2 * SIDE, WIDTH, len(targets))
+        for k in range(WIDTH):
+            g[0][:, k] = np.bincount(place, weights=onto[:, k].ravel(), minlength=len(embedding))
+        grad /= len(targets)
         return grad
 
 
+def _powers(logits: np.ndarray) -> np.ndarray:
+    """exp in place; logits stay far below ``HIGHEST``, which only keeps the sums finite."""
+    np.clip(logits, -HIGHEST, HIGHEST, out=logits)
+    return np.exp(logits, out=logits)
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], dtype=values.dtype)
+
+
+def _column_sums(values: np.ndarray) -> np.ndarray:
+    return np.ones(len(values), dtype=values.dtype) @ values
+
+
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    powers = _powers(logits)
+    return np.log(powers[np.arange(len(at)), at] / _row_sums(powers))
+
+
+def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    powers = _powers(logits)
+    powers *= (1 / _row_sums(powers))[:, None]
+    powers[np.arange(len(at)), at] -= 1
+    return powers
+
+
 #: Places of the 2 * SIDE neighbours, counted from the one farthest to the left.
-OFFSETS = [k for k in range(2 * SIDE + 1) if k != SIDE]
+OFFSETS = np.array([k for k in range(2 * SIDE + 1) if k != SIDE])
 
 
-def _train_round(weights: np.ndarray, turn: int):
-    """One task's weights after its documents, times the positions it saw; its last entry counts those."""
+def joined_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Documents in one row, with edges before each and after the last so that none sees another; starts and lengths."""
+    ids = [np.frombuffer(raw.as_buffer(), dtype=np.uint16) for raw in column]
+    gap = np.zeros(SIDE, dtype=np.uint16)
+    line = np.concatenate([gap, *[x for one in ids for x in (one, gap)]])
+    lengths = [len(x) for x in ids]
+    return line, SIDE + np.cumsum([0, *[n + SIDE for n in lengths]])[: len(ids)], lengths
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, squares = Network(weights.copy()), np.full(len(weights), 1e-6, dtype=np.float32)
-        sides, targets, waiting, positions = [], [], 0, 0
 
-        def step() -> None:
-            nonlocal sides, targets, waiting
-            grad = net.slopes(np.concatenate(sides), np.concatenate(targets))
-            np.add(squares, grad * grad, out=squares)
-            net.flat -= RATE * grad / np.sqrt(squares)
-            sides, targets, waiting = [], [], 0
+def targets_of(starts: np.ndarray, lengths: list[int], turn: int) -> np.ndarray:
+    """Positions that a round predicts; the rounds together take each position once."""
+    at = [np.arange(s + turn % ROUNDS, s + n, ROUNDS) for s, n in zip(starts, lengths, strict=True)]
+    found = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+    return np.random.default_rng(42 + turn).permutation(found)
+
 
+def _train_round(weights: np.ndarray, bounds: np.ndarray, turn: int):
+    """One task's weights after its documents, times the positions it saw; its last entry counts those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, squares = Network(weights.copy(), bounds), np.full(len(weights), 1e-6, dtype=np.float32)
+        steps, positions = 0, 0
         for batch in batches:
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                # Where a document starts is part of its own content, so another split of the table sees the same positions.
-                first = (zlib.crc32(ids[:64].tobytes()) + turn * (STRIDE // ROUNDS)) % STRIDE
-                at = np.arange(first, len(ids), STRIDE)
-                padded = np.zeros(len(ids) + 2 * SIDE, dtype=np.uint8)
-                padded[SIDE : SIDE + len(ids)] = ids
-                for part in range(0, len(at), BATCH):
-                    some = at[part : part + BATCH]
-                    sides.append(np.stack([padded[some + offset] for offset in OFFSETS], axis=1))
-                    targets.append(ids[some].astype(np.int64))
-                    waiting += len(some)
-                    positions += len(some)
-                    if waiting >= BATCH:
-                        step()
-        if waiting:
-            step()
+            line, starts, lengths = joined_ids(batch.column("ids"))
+            at = targets_of(starts, lengths, turn)
+            positions += len(at)
+            while len(at):
+                size = min(BATCH, SMALLEST_BATCH << min(steps // 8, 16))
+                some, at = at[:size], at[size:]
+                grad = net.slopes(line[some[:, None] - SIDE + OFFSETS], line[some])
+                squares += grad * grad
+                grad /= np.sqrt(squares)
+                grad *= RATE
+                net.flat -= grad
+                steps += 1
         if positions:
             sums = np.append(net.flat.astype(np.float64) * positions, positions)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["at", "total"])
@@ -198,16 +399,15 @@ def _train_round(weights: np.ndarray, turn: int):
     return run
 
 
-def train(numbered: DataFrame, rounds: int = ROUNDS) -> Network:
-    net = Network.new()
+def train(numbered: DataFrame, bounds: np.ndarray, rounds: int = ROUNDS) -> Network:
+    net = Network.new(bounds)
     for turn in range(rounds):
-        sums = small_batches(numbered.select("ids")).mapInArrow(_train_round(net.flat, turn), "at long, total double")
+        sums = small_batches(numbered.select("ids")).mapInArrow(_train_round(net.flat, bounds, turn), "at long, total double")
         found = sums.groupBy("at").agg(F.sum("total").alias("total")).toArrow()
         total = np.zeros(len(net.flat) + 1)
         total[found.column("at").to_numpy()] = found.column("total").to_numpy()
-        if not total[-1]:
-            break
-        net = Network((total[:-1] / total[-1]).astype(np.float32))
+        if total[-1]:
+            net = Network((total[:-1] / total[-1]).astype(np.float32), bounds)
     return net
 
 
@@ -215,30 +415,30 @@ def _scores(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.side_tables()
         for batch in batches:
-            ids = [np.frombuffer(raw.as_buffer(), dtype=np.uint8) for raw in batch.column("ids")]
-            # Documents stand in one row with enough edges between them that none sees another.
-            gap = np.zeros(SIDE, dtype=np.uint8)
-            joined = np.concatenate([x for one in ids for x in (one, gap)]) if ids else gap
-            chances = net.log_chances(joined, tables).astype(np.float64)
-            starts = np.cumsum([0, *[len(x) + SIDE for x in ids]])
-            sums = [float(chances[a : a + len(x)].sum()) for a, x in zip(starts, ids, strict=False)]
-            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_tokens", "log_prob"])
+            line, starts, lengths = joined_ids(batch.column("ids"))
+            chances = net.log_chances(line, tables).astype(np.float64)
+            sums = [float(chances[a : a + n].sum()) for a, n in zip(starts, lengths, strict=True)]
+            sums = pa.array(np.array(sums) + batch.column("spelled").to_numpy())
+            columns = [batch.column("id"), pa.array(lengths, pa.int64()), sums]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "log_prob"])
 
     return run
 
 
-def number_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and token ids (one byte each) of every row, written once."""
+def number_documents(docs: DataFrame, id_col: str, text_col: str, known: int = WORDS) -> tuple[DataFrame, np.ndarray]:
+    """id, token ids (two bytes each) and the sum of log P(word | id) of every row, written once; bounds of the bins."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = frequent_words(texts.select("text"))
-    return saved(small_batches(texts).mapInArrow(_numbered(words), "id long, ids binary"), "numbered")
+    counts = saved(word_counts(texts.select("text")), "words")
+    listed = frequent_words(counts)
+    run = _numbered(listed, spell_counts(counts, listed, known), known)
+    rows = small_batches(texts).mapInArrow(run, "id long, ids binary, spelled double")
+    return saved(rows, "numbered"), bins_of([n for _, n in listed[:known]])
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, log_prob (sum over tokens) and mean_log_prob of every row."""
-    numbered = number_documents(docs, id_col, text_col)
-    net = train(numbered)
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = WORDS) -> DataFrame:
+    """id, n_tokens, log_prob (sum over tokens) and mean_log_prob of every row; ``known`` words have network ids."""
+    numbered, bounds = number_documents(docs, id_col, text_col, known)
+    net = train(numbered, bounds)
     rows = small_batches(numbered).mapInArrow(_scores(net), "id long, n_tokens long, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).otherwise(0.0)
     return rows.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"))

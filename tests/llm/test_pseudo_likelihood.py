@@ -7,38 +7,152 @@ import numpy as np
 from rowsmith.llm import pseudo_likelihood as pl
 
 
+BOUNDS = np.array([0, 1, 4, 9, 30])
+
+
+def random_network(seed=1):
+    net = pl.Network.new(BOUNDS)
+    net.flat += np.random.default_rng(seed).normal(0, 0.1, len(net.flat)).astype(np.float32)
+    return net
+
+
+def log_softmax(logits, at):
+    return logits[at] - np.log(np.exp(logits).sum())
+
+
 def plain_log_chance(net, ids, at):
-    embedding, w, bias, out, shift = (p.astype(float) for p in net.parts())
+    """log P(class | sides), and for words of a bin log P(word | bin, sides)."""
+    embedding, w, bias, top, top_shift, out, shift = (p.astype(float) for p in net.parts())
     sides = [ids[at + k] if 0 <= at + k < len(ids) else pl.EDGE for k in (-3, -2, -1, 1, 2, 3)]
     hidden = np.maximum(np.concatenate([embedding[s] for s in sides]) @ w + bias, 0)
-    logits = hidden @ out + shift
-    return logits[ids[at]] - np.log(np.exp(logits).sum())
-
-
-def test_scores_equal_the_plain_form():
-    net = pl.Network.new()
-    net.flat += np.random.default_rng(1).normal(0, 0.1, len(net.flat)).astype(np.float32)
-    ids = np.random.default_rng(2).integers(1, pl.SIZE, 60).astype(np.uint8)
+    logits = hidden @ top + top_shift
+    word = ids[at] - 1 - pl.ENDINGS
+    if word < 0:
+        return log_softmax(logits, ids[at] - 1)
+    k = next(k for k in range(len(net.bounds)) if word < net.bounds[k + 1])
+    low, high = net.bounds[k], net.bounds[k + 1]
+    return log_softmax(logits, pl.ENDINGS + k) + log_softmax(out[low:high] @ hidden + shift[low:high], word - low)
+
+
+def plain_log_spelled(speller, word):
+    """log P(unlisted word | its ending), byte by byte from the end."""
+    signs = b" " + word
+    near, far = signs[-2], signs[-1]
+    ending = 1 + (near * 256 + far) % pl.ENDINGS
+    last = [speller.ends[p] + 0.01 if 1 + p % pl.ENDINGS == ending else 0 for p in range(65536)]
+    found = np.log(last[near * 256 + far] / sum(last)) + np.log((speller.unlisted[ending] + 1) / speller.mass[ending])
+    counts = speller.pairs.reshape(256, 256)
+    for sign in reversed(signs[:-2]):
+        slot = ((near * 256 + far) * 40503 % 65536) // 16
+        anywhere = (counts[:, sign].sum() + 1) / (counts.sum() + 256)
+        one = (counts[near, sign] + pl.BACK_OFF * anywhere) / (counts[near].sum() + pl.BACK_OFF)
+        row = speller.slots[slot * 256 : slot * 256 + 256]
+        found += np.log((row[sign] + pl.BACK_OFF * one) / (row.sum() + pl.BACK_OFF))
+        near, far = sign, near
+    return found
+
+
+def test_scores_equal_the_plain_form(monkeypatch):
+    monkeypatch.setattr(pl, "BLOCK", 17)
+    net = random_network()
+    ids = np.random.default_rng(2).integers(1, 1 + pl.ENDINGS + 30, 60).astype(np.uint16)
     expected = [plain_log_chance(net, ids.tolist(), at) for at in range(len(ids))]
     assert np.allclose(net.log_chances(ids, net.side_tables()), expected, atol=1e-4)
 
 
+def test_chances_of_all_ids_add_up_to_one():
+    net = random_network()
+    total = sum(np.exp(plain_log_chance(net, [5, 40, k, 3], 2)) for k in range(1, 1 + pl.ENDINGS + 30))
+    assert abs(total - 1) < 1e-9
+
+
 def test_slopes_are_the_derivative_of_the_loss():
-    net = pl.Network.new()
+    net = random_network()
     rng = np.random.default_rng(3)
-    sides, targets = rng.integers(0, pl.SIZE, (40, 6)), rng.integers(0, pl.SIZE, 40)
+    sides = rng.integers(0, 1 + pl.ENDINGS + 30, (40, 6)).astype(np.uint16)
+    targets = rng.integers(1, 1 + pl.ENDINGS + 30, 40).astype(np.uint16)
     grad = net.slopes(sides, targets)
 
     def loss(flat):
-        embedding, w, bias, out, shift = net.parts(flat)
-        logits = np.maximum(embedding[sides].reshape(40, -1) @ w + bias, 0) @ out + shift
-        return -(logits[np.arange(40), targets] - np.log(np.exp(logits).sum(axis=1))).mean()
+        plain, total = pl.Network(flat, BOUNDS), 0.0
+        for around, target in zip(sides.tolist(), targets.tolist(), strict=True):
+            total -= plain_log_chance(plain, [*around[:3], target, *around[3:]], 3)
+        return total / len(targets)
 
     flat = net.flat.astype(float)
-    for at in np.argsort(-np.abs(grad))[:30]:
+    for at in np.argsort(-np.abs(grad))[:: len(grad) // 60]:
         step = np.zeros(len(flat))
-        step[at] = 1e-6
-        assert abs((loss(flat + step) - loss(flat - step)) / 2e-6 - grad[at]) < 2e-3 * max(1, abs(grad[at]))
+        step[at] = 1e-5
+        assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - grad[at]) < 1e-4
+
+
+def test_rounds_predict_every_position_once():
+    lengths = [0, 1, 2, 3, 50]
+    starts = np.cumsum([3, *[n + 3 for n in lengths]])[:-1]
+    found = np.concatenate([pl.targets_of(starts, lengths, turn) for turn in range(pl.ROUNDS)])
+    assert sorted(found) == [s + i for s, n in zip(starts, lengths, strict=True) for i in range(n)]
+
+
+def test_bins_have_equal_mass_and_all_words():
+    assert pl.bins_of([]).tolist() == [0]
+    assert pl.bins_of([5]).tolist() == [0, 1]
+    counts = [1000 // (i + 1) for i in range(500)]
+    bounds = pl.bins_of(counts, 8)
+    mass = [sum(counts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert bounds[-1] == 500 and sum(mass) == sum(counts) and max(mass[1:]) < 1.3 * sum(counts) / 8
+
+
+def test_words_without_an_id_are_spelled(spark, monkeypatch):
+    """Listed ones by their share of the ending's mass, others byte by byte; all of one ending add up to one."""
+    monkeypatch.setattr(pl, "HELD_WORDS", 4)
+    rng = random.Random(5)
+    rare = ["".join(rng.choice("abcde\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    words = ["top"] * 50 + ["mid"] * 20 + ["low"] * 9 + rare
+    docs = spark.createDataFrame([(" ".join(words[k::4]),) for k in range(4)], "text string").repartition(2)
+    counts = pl.word_counts(docs)
+    listed = pl.frequent_words(counts, 3)
+    assert listed == [(b"top", 50), (b"mid", 20), (b"low", 9)]
+    speller = pl.spell_counts(counts, listed, 1)
+    known = pl.Vocabulary(listed, speller, 1)
+    ids, spelled = known.numbered(["top", "mid", *rare, "never-seen", None])
+    assert np.frombuffer(ids[0], np.uint16).tolist() == [1 + pl.ENDINGS] and spelled[0] == 0
+    ending = 1 + (ord("i") * 256 + ord("d")) % pl.ENDINGS
+    assert np.frombuffer(ids[1], np.uint16).tolist() == [ending]
+    assert np.isclose(spelled[1], np.log(20 / speller.mass[ending]))
+    for word, found in zip([*rare, "never-seen"], spelled[2:], strict=False):
+        assert np.isclose(found, plain_log_spelled(speller, word.encode()), atol=1e-6), word
+    assert (ids[-1], spelled[-1]) == (b"", 0.0)
+    again, other = known.numbered([" ".join(rare), "mid top"])
+    assert np.isclose(other[0], sum(spelled[2:-2])) and len(again[0]) == 2 * len(rare)
+
+
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 4, size).astype(float) for size in pl.PART_SIZES]
+    speller = pl.Speller(*parts, rng.random(pl.ENDINGS + 1))
+    assert np.allclose(speller.after_one.reshape(256, 256).sum(axis=1), 1)
+    of_pair = pl.ending_of(np.arange(65536))
+    assert np.allclose(np.bincount(of_pair, weights=speller.last_pair)[1:], 1)
+    assert np.allclose(speller.listed_mass + speller.unlisted + 1, speller.mass)
+
+
+def test_whole_scores_equal_the_plain_form(spark, monkeypatch):
+    """Numbering, training and scoring as one, against a plain score of each word from the same weights."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("the a of cat dog runs sits far near by".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    trained = []
+    train = pl.train
+    monkeypatch.setattr(pl, "train", lambda *given: trained.append(train(*given)) or trained[0])
+    found = {r.doc_id: r for r in pl.pseudo_likelihood(docs, known=6).collect()}
+    counts = pl.word_counts(docs.select("text"))
+    listed = pl.frequent_words(counts)
+    known = pl.Vocabulary(listed, pl.spell_counts(counts, listed, 6), 6)
+    for i, text in enumerate(texts):
+        raw, spelled = known.numbered([text])
+        ids = np.frombuffer(raw[0], np.uint16).tolist()
+        plain = spelled[0] + sum(plain_log_chance(trained[0], ids, at) for at in range(len(ids)))
+        assert found[i].n_tokens == len(text.split()) and np.isclose(found[i].log_prob, plain, atol=1e-3)
 
 
 def test_natural_order_scores_above_shuffled(spark):
@@ -63,7 +177,7 @@ def test_natural_order_scores_above_shuffled(spark):
 def test_word_counts_of_all_tasks_are_added(spark, monkeypatch):
     monkeypatch.setattr(pl, "HELD_WORDS", 3)
     docs = spark.createDataFrame([("b A a x",), ("a b c d e f",), (None,), ("",)] * 3, "text string").repartition(3)
-    assert pl.frequent_words(docs, 3) == [b"a", b"b", b"c"]
+    assert pl.frequent_words(pl.word_counts(docs), 3) == [(b"a", 9), (b"b", 6), (b"c", 3)]
 
 
 def test_hard_rows(hard_docs, no_docs):
