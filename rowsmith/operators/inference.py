@@ -307,13 +307,15 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 def refined_frame(
     df: DataFrame, declared: dict[str, str], sample_rows: int = 64
 ) -> DataFrame:
-    """``column_name, target_type``: declared types, upgraded by the first rows."""
+    """``column_name, target_type``: declared types, upgraded by the first rows.
+
+    Those are read here and now, from the first partition that has any: the rest of the table is not touched.
+    """
     names = [F.col(f"`{name}`") for name in declared]
     pairs = [x for name, kind in declared.items() for x in (F.lit(name), F.lit(kind))]
     given = F.create_map(*pairs)[F.col("name")]
-    # The first rows as they are read; a limit alone would take whichever task is done first.
-    first = df.select(*names, F.monotonically_increasing_id().alias("read_")).orderBy("read_").limit(sample_rows)
-    sample = evidence_frame(first.drop("read_"))
+    rows = df.select(*names)
+    sample = evidence_frame(df.sparkSession.createDataFrame(rows.head(sample_rows), rows.schema))
     return sample.select(
         F.col("name").alias("column_name"), refined_type(given).alias("target_type")
     )

@@ -57,6 +57,9 @@ def types_of(df: DataFrame) -> DataFrame:
 SWITCH_SQL = (
     "CASE WHEN bool_and({0} IN (0, 1)) AND count(DISTINCT {0}) = 2 THEN 'BOOLEAN' ELSE 'INTEGER' END"
 )
+WORD_SQL = (
+    "CASE WHEN bool_and(lower(trim({0})) IN ('yes', 'no', 'true', 'false', 'enabled', 'disabled')) THEN 'BOOLEAN' ELSE 'TEXT' END"
+)
 
 
 @query(
@@ -64,9 +67,9 @@ SWITCH_SQL = (
     _expected(
         ("quality", SWITCH_SQL.format("quality") + " AS target_type FROM labels"),
         ("toxic", SWITCH_SQL.format("toxic") + " AS target_type FROM labels"),
-        ("zeros", "CASE WHEN count(*) > 0 THEN 'INTEGER' END AS target_type FROM labels"),
-        ("is_zero", "CASE WHEN count(*) > 0 THEN 'BOOLEAN' END AS target_type FROM labels"),
-        ("words", "CASE WHEN count(*) > 0 THEN 'BOOLEAN' END AS target_type FROM labels"),
+        ("zeros", SWITCH_SQL.format("quality * 0") + " AS target_type FROM labels"),
+        ("is_zero", "CASE WHEN bool_and(quality * 0 IN (0, 1)) THEN 'BOOLEAN' ELSE 'INTEGER' END AS target_type FROM labels"),
+        ("words", WORD_SQL.format("CASE WHEN toxic = 1 THEN 'Enabled' ELSE ' no ' END") + " AS target_type FROM labels"),
     ),
 )
 def infer_boolean(t: Tables) -> DataFrame:
@@ -89,11 +92,19 @@ def uuid_text(key: Column) -> Column:
     )
 
 
+DASHED_SQL = (
+    "regexp_replace(md5(CAST(o_orderkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+)
+UUID_SQL = (
+    "CASE WHEN bool_and(regexp_full_match({0}, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}')) THEN 'UUID' ELSE 'TEXT' END"
+)
+
+
 @query(
     "infer_uuid",
     _expected(
-        ("any_uuid", "CASE WHEN count(*) > 0 THEN 'UUID' END AS target_type FROM orders"),
-        ("shorter", "CASE WHEN count(*) > 0 THEN 'TEXT' END AS target_type FROM orders"),
+        ("any_uuid", UUID_SQL.format(DASHED_SQL) + " AS target_type FROM orders"),
+        ("shorter", UUID_SQL.format(f"substr({DASHED_SQL}, 2)") + " AS target_type FROM orders"),
     ),
 )
 def infer_uuid(t: Tables) -> DataFrame:
@@ -101,17 +112,24 @@ def infer_uuid(t: Tables) -> DataFrame:
     return types_of(t.orders.select(text.alias("any_uuid"), F.substring(text, 2, 36).alias("shorter")))
 
 
+MOMENT_SQL = "CASE WHEN count(*) = count(try_strptime({0}, '{1}')) THEN 'TIMESTAMP' ELSE 'TEXT' END"
+SECONDS_SQL = "CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)"
+
+
 @query(
     "infer_timestamp",
     _expected(
         *[
-            (name, f"CASE WHEN count(*) > 0 THEN '{kind}' END AS target_type FROM events")
-            for name, kind in (
-                ("iso", "TIMESTAMP"), ("us_day", "TIMESTAMP"), ("eu_day", "TIMESTAMP"),
-                ("clock", "TIMESTAMP"), ("epoch", "TIMESTAMP"), ("seconds", "INTEGER"),
-                ("mixed", "TEXT"),
+            (name, MOMENT_SQL.format(f"strftime(ts, '{form}')", form) + " AS target_type FROM events")
+            for name, form in (
+                ("iso", "%Y-%m-%dT%H:%M:%S.%f"), ("us_day", "%-m/%-d/%Y"), ("eu_day", "%d.%m.%Y %H:%M"), ("clock", "%-H:%M:%S"),
             )
-        ]
+        ],
+        ("epoch", "CASE WHEN bool_and(length(" + SECONDS_SQL + ") = 10) THEN 'TIMESTAMP' ELSE 'INTEGER' END AS target_type FROM events"),
+        ("seconds", "CASE WHEN bool_and(regexp_full_match(" + SECONDS_SQL + ", '[1-9][0-9]*')) THEN 'INTEGER' ELSE 'TEXT' END"
+         " AS target_type FROM events"),
+        ("mixed", MOMENT_SQL.format("CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') ELSE event_type END",
+         "%Y-%m-%dT%H:%M:%S.%f") + " AS target_type FROM events"),
     ),
 )
 def infer_timestamp(t: Tables) -> DataFrame:
@@ -272,16 +290,19 @@ def coerce_profiles(t: Tables) -> DataFrame:
     return df.withColumn("workbook_day", F.col("workbook_day").cast("timestamp_ntz"))
 
 
+SAMPLE_SQL = " AS target_type FROM (SELECT * FROM labels LIMIT 64)"
+
+
 @query(
     "infer_from_sample",
     _expected(
-        *[
-            (name, f"CASE WHEN count(*) > 0 THEN '{kind}' END AS target_type FROM labels")
-            for name, kind in (
-                ("doc_id", "INTEGER"), ("is_toxic", "BOOLEAN"), ("flag_text", "BOOLEAN"),
-                ("created_at", "TIMESTAMP"), ("note", "TEXT"),
-            )
-        ]
+        ("doc_id", INTEGER_SQL.format("doc_id") + SAMPLE_SQL),
+        ("is_toxic", "CASE WHEN bool_and(toxic IN (0, 1)) THEN 'BOOLEAN' ELSE 'INTEGER' END" + SAMPLE_SQL),
+        ("flag_text", WORD_SQL.format("CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END") + SAMPLE_SQL),
+        ("created_at", "CASE WHEN bool_and(length(CAST(1700000000 + doc_id AS VARCHAR)) = 10) THEN 'TIMESTAMP' ELSE 'INTEGER' END"
+         + SAMPLE_SQL),
+        ("note", "CASE WHEN " + " + ".join(f"count(TRY_CAST('note ' || doc_id AS {kind}))" for kind in ("TIMESTAMP", "BOOLEAN", "UUID"))
+         + " = 0 THEN 'TEXT' END" + SAMPLE_SQL),
     ),
 )
 def infer_from_sample(t: Tables) -> DataFrame:

@@ -159,6 +159,15 @@ def test_one_function_at_the_root(texts, formula, expected):
     assert texts(formula).filter(F.col("v").rlike(SUMMARY_FORMULA)).count() == expected
 
 
+def test_refining_reads_no_more_than_the_sample(spark):
+    """A table whose later partitions can't be read is typed by its first rows."""
+    late = F.when(F.col("id") < 100, F.lit("yes")).otherwise(F.raise_error(F.lit("read too far")).cast("string"))
+    df = spark.range(0, 1000, 1, 10).select(late.alias("v"))
+    assert refine_types(df, {"v": "TEXT"}) == {"v": "BOOLEAN"}
+    none = spark.createDataFrame([], "v string")
+    assert refine_types(none, {"v": "TEXT"}) == {"v": "TEXT"}
+
+
 def test_first_rows_refine_types(spark):
     df = spark.range(0, 5000, 1, 8).select(F.when(F.col("id") < 64, F.col("id").cast("string")).otherwise("text").alias("v"))
     assert refine_types(df, {"v": "TEXT"}) == refine_types(df.limit(64), {"v": "TEXT"})
