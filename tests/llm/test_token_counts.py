@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import threading
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from rowsmith.llm.token_counts import TokenCounts, deleted, inserted, revised
@@ -42,10 +46,56 @@ def test_a_batch_cut_off_is_written_anew(spark, counts):
     batch = inserted(rows(spark, ("a", "en", "t1", 5, 5)))
     counts.apply("b", batch)
     # What a job that died before its commit leaves: files, but no mark of success.
-    counts._files.delete(counts._path("deltas", "b", "_SUCCESS"), False)
+    (cut_off,) = counts._names("deltas", "b")
+    counts._files.delete(counts._path("deltas", "b", cut_off, "_SUCCESS"), False)
     assert counts.totals().count() == 0
+    assert not counts.is_committed("b")
     assert counts.apply("b", batch)
     assert state(counts) == {("a", "en", "t1"): (1, 5)}
+    assert cut_off in counts._names("deltas", "b") and cut_off not in counts._complete("deltas", "b")
+
+
+def test_two_writers_of_one_batch_count_once(spark, counts, monkeypatch):
+    """Both see an uncommitted id and write at the same time; neither destroys what the other wrote."""
+    batch = inserted(rows(spark, ("a", "en", "t1", 5, 5), ("a", "de", "t1", 2, 2)))
+    both_ready = threading.Barrier(2)
+    others = [TokenCounts(spark, counts.folder) for _ in range(2)]
+    for one in others:
+        monkeypatch.setattr(one, "is_committed", lambda batch_id: both_ready.wait(60) < 0)
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(lambda one: one.apply("b", batch), others)) == [True, True]
+    assert len(counts._complete("deltas", "b")) == 2
+    expected = {("a", "en", "t1"): (1, 5), ("a", "de", "t1"): (1, 2)}
+    assert state(counts) == expected
+    counts.compact()
+    assert state(counts) == expected and not counts.apply("b", batch)
+
+
+def test_a_writer_that_finishes_late_changes_nothing(spark, counts, monkeypatch):
+    """Its folder appears after the batch was compacted, even if its name comes first."""
+    batch = inserted(rows(spark, ("a", "en", "t1", 5, 5)))
+    counts.apply("b", batch)
+    counts.compact()
+    late = TokenCounts(spark, counts.folder)
+    monkeypatch.setattr(late, "is_committed", lambda batch_id: False)
+    monkeypatch.setattr(uuid, "uuid4", lambda: uuid.UUID(int=0))
+    late.apply("b", batch)
+    assert counts._names("deltas", "b")[0] == "0" * 32
+    assert state(counts) == {("a", "en", "t1"): (1, 5)}
+
+
+def test_two_compactions_at_once(spark, counts, monkeypatch):
+    for n in range(2):
+        counts.apply(f"b{n}", inserted(rows(spark, ("a", "en", "t1", n, 0))))
+    counts.compact()
+    # One that began before the first was complete takes the same number.
+    other = TokenCounts(spark, counts.folder)
+    complete = other._complete
+    monkeypatch.setattr(other, "_complete", lambda *parts: [] if parts == ("totals",) else complete(*parts))
+    other.compact()
+    assert len(counts._complete("totals")) == 2
+    counts.apply("b2", inserted(rows(spark, ("a", "en", "t1", 4, 0))))
+    assert state(counts) == {("a", "en", "t1"): (3, 5)}
 
 
 def test_compaction_keeps_totals_and_ids(spark, counts):
