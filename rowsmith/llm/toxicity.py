@@ -5,11 +5,13 @@
 of three or more equal letters for one or two of them, a separator between single letters for nothing. Viterbi search
 under a character trigram model picks the reading of least cost. Text without such marks is its own only reading.
 
-*Character model.* Trigram counts over all training documents, added up per task and then over tasks.
+*Character model.* Letter and trigram counts over all training documents, added up per task and then over tasks.
 
-*Score.* Five-character grams of the restored text (lower case, other characters than letters as one space). Of a sample of at
-most ``FIT_ROWS`` labelled rows, half of each label at most, those grams are kept that speak for the label; logistic regression
-by follow-the-regularised-leader weighs them, and the share of toxic labels among all labelled training rows sets the intercept.
+*Score.* Five-character grams of the restored text (lower case, other characters than letters as one space). Grams are counted
+over all labelled training rows, and those are kept that speak for the label. Logistic regression by
+follow-the-regularised-leader weighs them: labelled rows are dealt by hash to parts of about ``PART_ROWS``, each part is fitted in a
+task of its own, and a gram's weight is the mean over the parts, each counting as many times as it has rows with the gram. The share
+of toxic labels among all labelled training rows sets the intercept.
 
 Labels teach only where the id is not held out; labels, language, source and id are never inputs of a score. Several labels of one id
 count as toxic if one is. NULL and empty texts have no grams and score the intercept. With no usable label every
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from rowsmith.llm.common import held_out, releasing, saved, small_batches, worker_store
 from rowsmith.llm.language import Ftrl
 
-FIT_ROWS = 16_000
+#: Labelled rows of one part; what a task holds to fit weights, not how many rows are used.
+PART_ROWS = 16_000
 FEATURES = 20_000
 MIN_ROWS, MIN_RATIO = 4, 4.0
 EPOCHS = 6
@@ -218,9 +221,10 @@ def _frequent_letters(training: DataFrame) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                found, n = np.unique(_codes((text.as_py() or "").lower()), return_counts=True)
-                seen[found] += n
+            joined = "".join(t.lower() for t in batch.column("text").to_pylist() if t)
+            for at in range(0, len(joined), 1 << 20):
+                found = np.bincount(_codes(joined[at : at + (1 << 20)]))
+                seen[: len(found)] += found
         some = np.flatnonzero(seen * _letters())
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["code", "n"])
 
@@ -228,9 +232,9 @@ def _frequent_letters(training: DataFrame) -> str:
     return "".join(chr(r["code"]) for r in rows.orderBy(F.desc("n"), "code").limit(LETTERS).collect())
 
 
-def character_model(training: DataFrame, sample: DataFrame) -> CharacterModel:
-    """Trigram counts over all ``training`` texts; which letters have a place of their own is read off ``sample``."""
-    alphabet = _frequent_letters(sample.select("text"))
+def character_model(training: DataFrame) -> CharacterModel:
+    """Trigram counts over all ``training`` texts, whose most frequent letters have places of their own."""
+    alphabet = _frequent_letters(training.select("text"))
     size = len(alphabet) + 2
     places = letter_places(alphabet).astype(np.int32)
 
@@ -287,61 +291,62 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(self.intercept + value @ self.weights[at]))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, float]:
-    """``text, toxic`` of at most ``rows`` labelled rows, and the share of toxic ones among all labels.
-
-    Ids are drawn by hash from each label; the drawn ids are at most ``rows``, which bounds the broadcast.
-    """
-    known = labels.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    mark = F.xxhash64("id")
-    drawn = [known.filter(F.col("toxic") == y).orderBy(mark, "id").limit(rows // 2) for y in (0, 1)]
-    ids = drawn[0].unionAll(drawn[1]).select(F.col("id").alias("l_id"), "toxic")
-    sample = docs.join(F.broadcast(ids), F.col("id") == F.col("l_id")).select("id", "text", "toxic")
-    share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    return saved(sample, "labelled"), share
-
-
-def _gram_counts(characters: CharacterModel):
-    """Rows (gram, label, n) of one task: in how many texts of each label a gram stands."""
-
+def _restored(characters: CharacterModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = worker_store("restored")
         memory.clear()
         for batch in batches:
-            for label in (0, 1):
-                texts = [t for t, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True) if y == label]
-                found = [np.unique(gram_ids(restore(t.as_py(), characters, memory))) for t in texts]
-                ids, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
-                columns = [pa.array(ids.view(np.int64)), pa.array([label] * len(ids), pa.int32()), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "label", "n"])
+            texts = pa.array([restore(t.as_py(), characters, memory) for t in batch.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts, batch.column("toxic")], ["id", "text", "toxic"])
 
     return run
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, characters: CharacterModel) -> tuple[DataFrame, float]:
+    """``id, text, toxic`` of all labelled rows, their texts restored, and the share of toxic ones among all labels."""
+    known = labels.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    rows = docs.join(known.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id")).select("id", "text", "toxic")
+    return saved(small_batches(rows).mapInArrow(_restored(characters), "id long, text string, toxic int"), "labelled"), share
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, label, n) of a batch of restored texts: in how many of each label a gram stands."""
+    for batch in batches:
+        for label in (0, 1):
+            texts = [t for t, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True) if y == label]
+            found = [np.unique(gram_ids(t.as_py())) for t in texts]
+            ids, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
+            columns = [pa.array(ids.view(np.int64)), pa.array([label] * len(ids), pa.int32()), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "label", "n"])
+
+
 def _feature_rows(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_store("restored")
-        memory.clear()
         for batch in batches:
-            rows = [model.features(restore(t.as_py(), model.characters, memory)) for t in batch.column("text")]
+            rows = [model.features(t.as_py()) for t in batch.column("text")]
             lists = [pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *lists], ["id", "toxic", "at", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part"), batch.column("id"), batch.column("mark"), batch.column("toxic"), *lists],
+                ["part", "id", "mark", "toxic", "at", "value"],
+            )
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, is_training: Column, rows: int = FIT_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, is_training: Column, part_rows: int = PART_ROWS) -> ToxicityModel:
     """``docs``: id, text. ``labels``: id, toxic (0 or 1)."""
     labels = labels.filter(is_training & F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
-    sample, share = labelled_sample(docs, labels, rows)
-    characters = character_model(docs.filter(is_training), sample)
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    training = docs.filter(is_training)
+    characters = character_model(training)
+    known, share = labelled_rows(training, labels, characters)
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     good, bad = totals.get(0, 0), totals.get(1, 0)
     none = ToxicityModel(characters, np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, False)
     if not good + bad:
         return none
-    counted = small_batches(sample.select("text", "toxic")).mapInArrow(_gram_counts(characters), "gram long, label int, n long")
+    counted = small_batches(known.select("text", "toxic")).mapInArrow(_gram_counts, "gram long, label int, n long")
     by_label = [F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)) for y in (0, 1)]
     grams = counted.groupBy("gram").agg(by_label[0].alias("clean"), by_label[1].alias("toxic"))
     ratio = ((F.col("toxic") + 0.1) / (bad + 1)) / ((F.col("clean") + 0.5) / (good + 1))
@@ -349,24 +354,43 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, rows: int = F
     kept = kept.orderBy(F.desc("toxic"), "gram").limit(FEATURES).select("gram").toArrow()
     ids = np.sort(kept.column("gram").to_numpy().view(np.uint64))
     model = ToxicityModel(characters, ids, np.zeros(len(ids)), 0.0)
-    schema = "id long, toxic int, at array<long>, value array<double>"
-    found = small_batches(sample).mapInArrow(_feature_rows(model), schema).orderBy("id").toArrow()
-    rows = list(zip(found.column("at").to_pylist(), found.column("value").to_pylist(), strict=True))
-    return fitted(model, rows, np.array(found.column("toxic").to_pylist()), share)
+    mark = F.xxhash64("id", "text")
+    parts = max(1, -(-(good + bad) // part_rows))
+    dealt = known.select(F.pmod(mark, F.lit(parts)).cast("int").alias("part"), "id", mark.alias("mark"), "toxic", "text")
+    schema = "part int, id long, mark long, toxic int, at array<long>, value array<double>"
+    return fitted(model, small_batches(dealt).mapInArrow(_feature_rows(model), schema), share, bad / (good + bad))
+
+
+def _part_weights(bias: int):
+    """Rows (at, weight, n) of a part's own regression: the weight of a gram, and in how many rows it stands."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("id", "ascending"), ("mark", "ascending"), ("toxic", "ascending")]).combine_chunks()
+        ftrl, order, held = Ftrl(bias + 1, 2), np.random.default_rng(42), np.zeros(bias + 1, dtype=np.int64)
+        labels = part.column("toxic").to_numpy()
+        points = []
+        for at, value in zip(part.column("at"), part.column("value"), strict=True):
+            points.append((np.append(at.values.to_numpy(), bias), np.append(value.values.to_numpy(), 1.0)))
+            held[points[-1][0]] += 1
+        for _ in range(EPOCHS):
+            for i in order.permutation(len(points)):
+                ftrl.learn(*points[i], int(labels[i]))
+        two = ftrl.weights(np.arange(bias + 1))
+        some = np.flatnonzero(held)
+        return pa.table({"at": some, "weight": (two[:, 1] - two[:, 0])[some], "n": held[some]})
+
+    return run
 
 
-def fitted(model: ToxicityModel, rows: list[tuple[list[int], list[float]]], labels: np.ndarray, share: float) -> ToxicityModel:
-    """Weights of the kept grams; the intercept is moved from the sample's share of toxic rows to ``share``."""
+def fitted(model: ToxicityModel, rows: DataFrame, share: float, drawn: float) -> ToxicityModel:
+    """Weights of the kept grams; the intercept is moved from the rows' share of toxic ones, ``drawn``, to ``share``."""
     bias = len(model.ids)
-    ftrl, order = Ftrl(bias + 1, 2), np.random.default_rng(42)
-    points = [(np.array([*at, bias], dtype=np.int64), np.array([*value, 1.0])) for at, value in rows]
-    for _ in range(EPOCHS):
-        for i in order.permutation(len(points)):
-            ftrl.learn(*points[i], int(labels[i]))
-    two = ftrl.weights(np.arange(bias + 1))
-    weights = two[:, 1] - two[:, 0]
-    drawn = min(max(float(labels.mean()), 1e-6), 1 - 1e-6)
-    share = min(max(share, 1e-6), 1 - 1e-6)
+    parts = rows.groupBy("part").applyInArrow(_part_weights(bias), "at long, weight double, n long")
+    mean = (F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight")
+    found = parts.groupBy("at").agg(mean).toArrow()
+    weights = np.zeros(bias + 1)
+    weights[found.column("at").to_numpy()] = found.column("weight").to_numpy()
+    drawn, share = (min(max(v, 1e-6), 1 - 1e-6) for v in (drawn, share))
     moved = np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return ToxicityModel(model.characters, model.ids, weights[:-1], float(weights[-1] + moved))
 

@@ -117,3 +117,23 @@ def test_hard_rows(hard_docs, no_docs, spark):
     assert tx.without_toxic(hard_docs, labels.limit(0)).count() == 10
     assert {r.score for r in tx.toxicity_scores(hard_docs, labels.limit(0)).collect()} == {0.0}
     assert tx.toxicity_scores(no_docs, labels).count() == 0
+
+
+def test_letters_and_weights_come_from_all_training_rows(corpus, spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    _, docs, labels = corpus
+    # A letter that no labelled text has, in a training text without a label.
+    free = next(i for i in range(20_000, 20_100) if spark.range(i, i + 1).filter(~held_out(F.col("id"))).count())
+    more = docs.union(spark.createDataFrame([(free, "ж" * 5_000)], "doc_id long, text string"))
+    one = tx.train(*tx._inputs(more, labels, "doc_id", "text", "toxic"), ~held_out(F.col("id")))
+    assert "ж" in one.characters.alphabet
+    # Parts of 50 rows: every labelled row is in one of them.
+    seen = []
+    real = tx.fitted
+    monkeypatch.setattr(tx, "fitted", lambda model, rows, *rest: (seen.append([r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()]), real(model, rows, *rest))[1])
+    many = tx.train(*tx._inputs(docs, labels, "doc_id", "text", "toxic"), ~held_out(F.col("id")), 50)
+    labelled = labels.filter(~held_out(F.col("doc_id"))).count()
+    assert len(seen[0]) == -(-labelled // 50) and sum(seen[0]) == labelled
+    memory = {}
+    assert many.score("garden river idiot paper", memory) > 0.3 > many.score("garden river paper music", memory)
