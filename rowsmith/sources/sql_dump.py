@@ -224,7 +224,7 @@ def skipped_statements(
     entries = parsed(statements, statement).filter("entry IN ('skip', 'insert')")
     reason = F.col("reason")
     if created is not None:
-        entries = entries.join(created, F.col("table_name") == F.col("created_name"), "left")
+        entries = entries.join(F.broadcast(created), F.col("table_name") == F.col("created_name"), "left")
         early = (F.col("entry") == "skip") | F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
         lost = F.concat(F.lit("Skipping INSERT for "), "table_name", F.lit(" because no supported CREATE TABLE was parsed first."))
         reason = F.coalesce(reason, F.when(~early, lost))
@@ -381,12 +381,13 @@ def dump_tables(statements: DataFrame, statement: str = "statement") -> DumpTabl
         declared.setdefault(row["table_name"], {})[row["column_name"]] = row["target_type"]
     rows = insert_rows(found)
     early = F.coalesce(F.col("created_at") < F.col("ordinal"), F.lit(False))
-    rows = rows.join(created, F.col("table_name") == F.col("created_name")).filter(early)
+    # One row per created table; a join by its name would put all rows of a table into one task.
+    rows = rows.join(F.broadcast(created), F.col("table_name") == F.col("created_name")).filter(early)
     tables = {
         name: coerce_columns(dump_rows(rows, name, list(kinds)), kinds, "dump") for name, kinds in declared.items()
     }
     widths = columns.groupBy(F.col("table_name").alias("w_table")).agg(F.count_distinct("column_name").alias("width"))
-    wide = rows.join(widths, F.col("table_name") == F.col("w_table")).filter(F.col("columns").isNull() & (F.size("tokens") > F.col("width")))
+    wide = rows.join(F.broadcast(widths), F.col("table_name") == F.col("w_table")).filter(F.col("columns").isNull() & (F.size("tokens") > F.col("width")))
     warnings = wide.groupBy("table_name").agg(F.count("*").alias("rows")).select(
         "table_name", F.lit("Values beyond the declared columns were left out.").alias("warning"), "rows"
     )
