@@ -59,6 +59,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: smaller than a checkpoint, as sure."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """Send at most ``size`` of rows to Python at once; a worker holds a batch in several forms."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
+def whole_files(spark: SparkSession, files: DataFrame) -> SparkSession:
+    """A session of the same application whose file scans cut no file of ``files`` (with ``length``); small ones share a task."""
+    sizes = files.selectExpr("coalesce(max(length), 0) AS largest", "coalesce(sum(length), 0) AS total").first()
+    share = sizes["total"] // max(1, spark.sparkContext.defaultParallelism)
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(max(sizes["largest"], min(share, 128 << 20), 4 << 20)))
+    return own
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder name next to the checkpoints, where every executor can write and read."""
     ensure_checkpoint_dir(spark)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.functions.tokens import blank_to_null
-from rowsmith.session import checkpointed
+from rowsmith.session import scratch_folder, small_batches, whole_files
+from rowsmith.sources.sections import raw_blocks
 from rowsmith.sources.text import decode_bytes
 
 XML_OPTIONS = {"attributePrefix": "attr_", "valueTag": "text", "ignoreNamespace": "true"}
@@ -162,61 +162,103 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _path_tree(content: bytes) -> dict[tuple[tuple[str, ...], bool], list]:
+class _PathTree:
     """Every path of a document: place of its first element, most repeats in one parent, whether one has text.
 
-    The document is read as a stream; elements are dropped when they end.
+    A target of the XML parser, which is fed piece by piece; only the different paths and the open elements are held.
     """
-    tree: dict[tuple[tuple[str, ...], bool], list] = {}
-    counts: list[dict[str, int]] = [{}]
-    way: list[str] = []
-    open_: list[ElementTree.Element] = []
-
-    def note(path: tuple[str, ...], attribute: bool = False) -> list:
-        return tree.setdefault((path, attribute), [len(tree), 1, False])
-
-    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
-        if event == "start":
-            name = _local(element.tag)
-            counts[-1][name] = counts[-1].get(name, 0) + 1
-            way.append(name)
-            seen = note(tuple(way))
-            seen[1] = max(seen[1], counts[-1][name])
-            for attribute in element.attrib:
-                note((*way, _local(attribute)), True)
-            counts.append({})
-            open_.append(element)
-        else:
-            texts = [element.text, *(child.tail for child in element)]
-            if any(text and text.strip() for text in texts):
-                tree[(tuple(way), False)][2] = True
-            way.pop()
-            counts.pop()
-            open_.pop()
-            element.clear()
-            if open_ and element.tail and element.tail.strip():
-                tree[(tuple(way), False)][2] = True
-    return tree
+
+    def __init__(self) -> None:
+        self.tree: dict[tuple[tuple[str, ...], bool], list] = {}
+        self.counts: list[dict[str, int]] = [{}]
+        self.way: list[tuple[str, ...]] = [()]
+
+    def _note(self, path: tuple[str, ...], attribute: bool = False) -> list:
+        return self.tree.setdefault((path, attribute), [len(self.tree), 1, False])
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        name = _local(tag)
+        count = self.counts[-1][name] = self.counts[-1].get(name, 0) + 1
+        path = (*self.way[-1], name)
+        seen = self._note(path)
+        seen[1] = max(seen[1], count)
+        for attribute in attributes:
+            self._note((*path, _local(attribute)), True)
+        self.way.append(path)
+        self.counts.append({})
+
+    def end(self, tag: str) -> None:
+        self.way.pop()
+        self.counts.pop()
+
+    def data(self, text: str) -> None:
+        if text.strip() and len(self.way) > 1:
+            self.tree[(self.way[-1], False)][2] = True
+
+    def close(self) -> dict[tuple[tuple[str, ...], bool], list]:
+        return self.tree
+
+
+def _path_rows(file: str, parser: ElementTree.XMLParser | None, error: str | None) -> pa.RecordBatch:
+    try:
+        tree = parser.close() if error is None else {}
+    except ElementTree.ParseError as late:
+        tree, error = {}, str(late)
+    rows = [
+        {"file": file, "path": path, "attribute": attribute, "place": place, "repeats": repeats, "has_text": has_text}
+        for (path, attribute), (place, repeats, has_text) in tree.items()
+    ]
+    return pa.RecordBatch.from_pylist(rows if error is None else [{"file": file, "path": [], "error": error}], _PATHS)
+
+
+#: Bytes that go to the parser at once.
+FEED = 1 << 16
 
 
 def _path_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole files, in order, as path trees."""
+    file, parser, error = None, None, None
     for batch in batches:
-        rows = []
-        for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-            try:
-                tree = _path_tree(content.as_py())
-            except ElementTree.ParseError as error:
-                rows.append({"file": file, "path": [], "error": str(error)})
-                continue
-            for (path, attribute), (place, repeats, has_text) in tree.items():
-                rows.append({"file": file, "path": path, "attribute": attribute, "place": place, "repeats": repeats, "has_text": has_text})
-        yield pa.RecordBatch.from_pylist(rows, _PATHS)
+        held: list[bytes] = []
+        size = 0
+
+        def feed() -> None:
+            nonlocal error, size
+            if held and error is None:
+                try:
+                    parser.feed(b"".join(held))
+                except ElementTree.ParseError as found:
+                    error = str(found)
+            held.clear()
+            size = 0
+
+        for this, line in zip(batch.column("file").to_pylist(), batch.column("line"), strict=True):
+            if this != file:
+                feed()
+                if file is not None:
+                    yield _path_rows(file, parser, error)
+                file, parser, error = this, ElementTree.XMLParser(target=_PathTree()), None
+            else:
+                held.append(b"\n")
+            held.append(line.as_py())
+            size += len(held[-1]) + 1
+            if size >= FEED:
+                feed()
+        feed()
+    if file is not None:
+        yield _path_rows(file, parser, error)
 
 
 def xml_paths(spark: SparkSession, path: str) -> DataFrame:
-    """The path tree of each XML file, one row per different path; a file that is not XML has its error."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("_metadata.file_path").alias("file"), "content").mapInArrow(_path_trees, PATHS)
+    """The path tree of each XML file, one row per different path; a file that is not XML has its error.
+
+    A file is read line by line in one task, which holds neither the file nor its elements. Spark's readers pass over empty files.
+    """
+    files = spark.read.format("binaryFile").load(path).select("length")
+    folder = scratch_folder(spark, "paths")
+    lines = small_batches(raw_blocks(whole_files(spark, files), path, named=True))
+    lines.mapInArrow(_path_trees, PATHS).write.parquet(folder)
+    return spark.read.schema(PATHS).parquet(folder)
 
 
 @dataclass
@@ -270,7 +312,7 @@ def read_xml(spark: SparkSession, path: str) -> XmlTables:
     one repeated element is the list of those, under the plural of their name; any other root is one record. Records
     are read by their element name, so Spark splits large files. All values are text; nothing is typed here.
     """
-    found = checkpointed(xml_paths(spark, path))
+    found = xml_paths(spark, path)
     trees = found.filter("error IS NULL").groupBy("path", "attribute").agg(
         F.min("place").alias("place"), F.max("repeats").alias("repeats"), F.bool_or("has_text").alias("has_text")
     )

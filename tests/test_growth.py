@@ -26,3 +26,26 @@ def test_rows_of_a_dump_are_not_dealt_by_table_name(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_xml_paths_read_files_piece_by_piece(spark, tmp_path):
+    folder = tmp_path / "xml"
+    folder.mkdir()
+    rows = "".join(f'<row k="{i}">v{i}<b>\n</b>t</row>\n' for i in range(20_000))
+    (folder / "a.xml").write_text(f"<rows>\n{rows}</rows>\n")
+    (folder / "b.xml").write_text("<rows><row>1</row><row>2</rows>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        found = documents.xml_paths(spark, str(folder)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    trees = {(tuple(r.path), r.attribute): (r.place, r.repeats, r.has_text) for r in found if not r.error}
+    assert trees == {
+        (("rows",), False): (0, 1, False), (("rows", "row"), False): (1, 20_000, True),
+        (("rows", "row", "k"), True): (2, 1, False), (("rows", "row", "b"), False): (3, 1, False),
+    }
+    assert [(r.file[-5:], r.error) for r in found if r.error] == [("b.xml", "mismatched tag: line 1, column 26")]
+    # A batch is a piece of a file: the parser sees it before the next one comes.
+    piece = lambda name, lines: pa.RecordBatch.from_pydict({"file": [name] * len(lines), "line": pa.array(lines, pa.binary())})
+    trees = list(documents._path_trees(iter([piece("x", [b"<a><b>", b"1"]), piece("x", [b"</b></a>"]), piece("y", [b"<c/>"])])))
+    assert [t.column("path").to_pylist() for t in trees] == [[["a"], ["a", "b"]], [["c"]]]
