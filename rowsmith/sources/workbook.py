@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.session import checkpointed
+from rowsmith.session import kept
 
 ROW_SCHEMA = (
     "book string, sheet string, first_row int, row_no int, col_nos array<int>,"
@@ -295,10 +295,11 @@ def sheet_layouts(rows: DataFrame, header: bool = True) -> list[SheetLayout]:
 
     ``rows`` are scanned once and written; one row per layout and column comes to the driver.
     """
+    rows = kept(rows, "sheets")
     heads = sheet_heads(rows, header).withColumn("layout", F.xxhash64("sheet", "width", "header"))
     named = heads.withColumnsRenamed({"book": "h_book", "sheet": "h_sheet"})
     found = rows.join(named, (F.col("book") == F.col("h_book")) & (F.col("sheet") == F.col("h_sheet"))).drop("h_book", "h_sheet")
-    found = checkpointed(found)
+    found = kept(found, "layouts")
     catalogue = found.groupBy("layout", "sheet").agg(
         F.first("header").alias("header"), F.first("width").alias("width"), F.count_distinct("book").alias("books")
     )

@@ -49,3 +49,24 @@ def test_xml_paths_read_files_piece_by_piece(spark, tmp_path):
     piece = lambda name, lines: pa.RecordBatch.from_pydict({"file": [name] * len(lines), "line": pa.array(lines, pa.binary())})
     trees = list(documents._path_trees(iter([piece("x", [b"<a><b>", b"1"]), piece("x", [b"</b></a>"]), piece("y", [b"<c/>"])])))
     assert [t.column("path").to_pylist() for t in trees] == [[["a"], ["a", "b"]], [["c"]]]
+
+
+def _books(spark, opened):
+    def read(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    head = render.sheet_row(render.text_cell(F.lit("a")))
+    rows = spark.range(4).select(
+        F.concat(F.lit("book_"), F.col("id").cast("string")).alias("path"),
+        render.workbook_bytes(F.concat(head, render.sheet_row(render.number_cell(F.col("id"), style=1))), head).alias("content"),
+    )
+    return rows.mapInArrow(read, "path string, content binary")
+
+
+def test_layouts_scan_the_books_once(spark):
+    opened = spark.sparkContext.accumulator(0)
+    (data,) = (layout for layout in workbook.sheet_layouts(workbook.workbook_rows(_books(spark, opened))) if layout.sheet == "Data")
+    assert sorted(r.a for r in data.rows.collect())[-1] == "1900-01-02 00:00:00" and data.books == 4
+    assert opened.value == 4
