@@ -8,10 +8,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from rowsmith.session import small_batches
 from rowsmith.sources.formats import detect_format, format_of_name, gzip_inner_name
 
 
@@ -24,28 +26,38 @@ def gunzip(content: Column) -> Column:
     return pandas_udf(_gunzip_all, "binary")(content)
 
 
-def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_MEMBERS = pa.schema([("path", pa.string()), ("member", pa.string()), ("content", pa.binary())])
+#: Bytes of unpacked members that leave a task together.
+MEMBER_BYTES = 4 << 20
+
+
+def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, held = [], 0
     for batch in batches:
-        # One archive at a time, so a batch never holds more than one unpacked archive.
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        # One archive at a time, so a task never holds more than one unpacked member and what is about to leave.
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                 for info in archive.infolist():
                     if info.is_dir() or format_of_name(info.filename) == "unknown":
                         continue
-                    yield pd.DataFrame(
-                        {
-                            "path": [path],
-                            "member": [info.filename],
-                            "content": [archive.read(info)],
-                        }
-                    )
+                    found.append((path.as_py(), info.filename, archive.read(info)))
+                    held += len(found[-1][2])
+                    if held >= MEMBER_BYTES:
+                        yield _member_batch(found)
+                        found, held = [], 0
+    if found:
+        yield _member_batch(found)
+
+
+def _member_batch(found: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _MEMBERS, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=_MEMBERS)
 
 
 def zip_members(archives: DataFrame) -> DataFrame:
     """``path, member, content, format``: the members of recognised formats."""
-    members = archives.select("path", "content").mapInPandas(
-        _list_members, "path string, member string, content binary"
-    )
+    packed = archives.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    members = small_batches(packed).mapInArrow(_list_members, "path string, member string, content binary")
     return members.withColumn("format", detect_format(F.col("member")))
 
 

@@ -51,6 +51,17 @@ def test_xml_paths_read_files_piece_by_piece(spark, tmp_path):
     assert [t.column("path").to_pylist() for t in trees] == [[["a"], ["a", "b"]], [["c"]]]
 
 
+def test_members_of_archives_leave_a_task_together():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for i in range(3):
+            archive.writestr(f"{i}.csv", str(i))
+    batch = pa.RecordBatch.from_pydict({"path": ["p", "q"], "content": [buffer.getvalue()] * 2})
+    (found,) = archives._list_members([batch])
+    assert found.column("path").to_pylist() == ["p"] * 3 + ["q"] * 3
+    assert found.column("content").to_pylist() == [b"0", b"1", b"2"] * 2
+
+
 def _books(spark, opened):
     def read(batches):
         for batch in batches:
