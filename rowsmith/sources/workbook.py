@@ -13,20 +13,24 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.session import kept
+from rowsmith.session import kept, small_batches
 
 ROW_SCHEMA = (
     "book string, sheet string, first_row int, row_no int, col_nos array<int>,"
     " kinds array<string>, values array<string>, formulas array<string>"
 )
-ROW_COLUMNS = ["book", "sheet", "first_row", "row_no", "col_nos", "kinds", "values", "formulas"]
-ROWS_PER_BATCH = 10_000
+_ROWS = pa.schema([
+    ("book", pa.string()), ("sheet", pa.string()), ("first_row", pa.int32()), ("row_no", pa.int32()), ("col_nos", pa.list_(pa.int32())),
+    ("kinds", pa.list_(pa.string())), ("values", pa.list_(pa.string())), ("formulas", pa.list_(pa.string())),
+])
+ROWS_PER_BATCH = 2_000
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -34,6 +38,8 @@ REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DATE_FORMATS = {14, 15, 16, 17, 22}
 CLOCK_FORMATS = {18, 19, 20, 21, 45, 46, 47}
 EPOCH = dt.datetime(1899, 12, 30)
+INTEGER = re.compile(r"[+-]?\d+")
+CELL, FORMULA, VALUE, TEXT, ROW = (MAIN + name for name in ("c", "f", "v", "t", "row"))
 
 
 def _column_number(reference: str) -> int:
@@ -92,37 +98,44 @@ def _fraction(ms: int) -> str:
     return f".{ms:03d}" if ms else ""
 
 
-def _number_cell(text: str, kind: str) -> tuple[str, str]:
+@lru_cache(maxsize=50_000)
+def _clock_cell(text: str, kind: str) -> tuple[str, str]:
     if kind == "date":
         at = EPOCH + dt.timedelta(days=float(text))
         # Day fractions hold a moment to about a millisecond.
         ms = (at.microsecond + 500) // 1000
         at = at.replace(microsecond=0) + dt.timedelta(milliseconds=ms)
         return "datetime", at.strftime("%Y-%m-%d %H:%M:%S") + _fraction(at.microsecond // 1000)
-    if kind == "time":
-        ms = round(float(text) * 86_400_000)
-        if float(text) < 1:
-            ms = min(ms, 86_399_999)
-        seconds = ms // 1000
-        return "time", f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}" + _fraction(ms % 1000)
-    return ("int" if re.fullmatch(r"[+-]?\d+", text) else "double"), text
+    ms = round(float(text) * 86_400_000)
+    if float(text) < 1:
+        ms = min(ms, 86_399_999)
+    seconds = ms // 1000
+    return "time", f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}" + _fraction(ms % 1000)
+
+
+def _number_cell(text: str, kind: str) -> tuple[str, str]:
+    if kind != "number":
+        return _clock_cell(text, kind)
+    return ("int" if INTEGER.fullmatch(text) else "double"), text
 
 
 def _cell(element, strings: list[str], formats: list[str]):
     """``kind, value, formula`` of one ``<c>`` element, or None where it is empty."""
-    formula = element.find(f"{MAIN}f")
+    kind = element.get("t")
+    # What a cell holds, by name; the first of equal names counts.
+    formula = element.find(FORMULA)
     if formula is not None and formula.text:
         return "formula", None, "=" + formula.text.removeprefix("=")
-    if element.get("t") == "inlineStr":
-        return "text", "".join(t.text or "" for t in element.iter(f"{MAIN}t")), None
-    value = element.findtext(f"{MAIN}v")
+    if kind == "inlineStr":
+        return "text", "".join(t.text or "" for t in element.iter(TEXT)), None
+    value = element.findtext(VALUE)
     if value is None:
         return None
-    if element.get("t") == "s":
+    if kind == "s":
         return "text", strings[int(value)], None
-    if element.get("t") == "b":
+    if kind == "b":
         return "bool", "true" if value == "1" else "false", None
-    if element.get("t") in ("str", "e"):
+    if kind in ("str", "e"):
         return "text", value, None
     style = int(element.get("s", "0"))
     kind, text = _number_cell(value, formats[style] if style < len(formats) else "number")
@@ -136,7 +149,7 @@ def _book_rows(book: str, content: bytes) -> Iterator[tuple]:
             with archive.open(path) as part:
                 row_no, first_row = 0, None
                 for _, element in ElementTree.iterparse(part):
-                    if element.tag != f"{MAIN}row":
+                    if element.tag != ROW:
                         continue
                     row_no = int(element.get("r", row_no + 1))
                     cells = _row_cells(element, strings, formats)
@@ -151,29 +164,31 @@ def _book_rows(book: str, content: bytes) -> Iterator[tuple]:
 def _row_cells(row, strings: list[str], formats: list[str]) -> list[tuple]:
     """``col_no, kind, value, formula`` of the cells that are not empty."""
     cells, col_no = [], 0
-    for element in row.iter(f"{MAIN}c"):
-        col_no = _column_number(element.get("r", "")) or col_no + 1
+    for element in row.iter(CELL):
+        reference = element.get("r")
+        col_no = (_column_number(reference) if reference else 0) or col_no + 1
         cell = _cell(element, strings, formats)
         if cell is not None:
             cells.append((col_no, *cell))
     return cells
 
 
-def _scan_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan_books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        for book, content in zip(batch["path"], batch["content"]):
-            for row in _book_rows(book, content):
+        for book, content in zip(batch.column("path"), batch.column("content")):
+            for row in _book_rows(book.as_py(), content.as_py()):
                 rows.append(row)
                 if len(rows) == ROWS_PER_BATCH:
-                    yield _row_frame(rows)
+                    yield _row_batch(rows)
                     rows = []
     if rows:
-        yield _row_frame(rows)
+        yield _row_batch(rows)
 
 
-def _row_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=ROW_COLUMNS).astype({"first_row": "Int32"})
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ROWS)
 
 
 def workbook_rows(books: DataFrame) -> DataFrame:
@@ -182,7 +197,8 @@ def workbook_rows(books: DataFrame) -> DataFrame:
     ``first_row`` is the row that opens the sheet: the first with a cell that is not blank.
     Rows above it have none.
     """
-    return books.select("path", "content").mapInPandas(_scan_books, ROW_SCHEMA)
+    files = books.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content"))
+    return small_batches(files).mapInArrow(_scan_books, ROW_SCHEMA)
 
 
 def workbook_cells(rows: DataFrame, *keep: str) -> DataFrame:

@@ -81,3 +81,9 @@ def test_layouts_scan_the_books_once(spark):
     (data,) = (layout for layout in workbook.sheet_layouts(workbook.workbook_rows(_books(spark, opened))) if layout.sheet == "Data")
     assert sorted(r.a for r in data.rows.collect())[-1] == "1900-01-02 00:00:00" and data.books == 4
     assert opened.value == 4
+
+
+def test_workbooks_go_to_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows = workbook.workbook_rows(_books(spark, spark.sparkContext.accumulator(0)))
+    assert rows.count() == 12 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
