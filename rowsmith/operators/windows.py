@@ -20,7 +20,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from rowsmith.session import checkpointed
+from rowsmith.session import checkpointed, kept
 
 BUCKET = "bucket_"
 GROUP = "group_"
@@ -253,7 +253,7 @@ def range_frame(
         else:
             raise ValueError(f"an aggregate is count, sum, min or max, not {kind!r}")
     values = found.groupBy(*keys, "at_").agg(*facts, *[total.alias(name) for name, total in totals.items()])
-    values = checkpointed(values)
+    values = kept(values, "values")
     present = values.filter("at_ IS NOT NULL")
     running = _frame_totals(present, keys, preceding, list(totals))
     picks = {name: kind for name, (kind, _) in aggregates.items() if kind in ("min", "max")}
@@ -278,7 +278,9 @@ def _frame_totals(values: DataFrame, keys: Sequence[str], preceding: int, names:
     # A probe stands before the values it is equal to, so it meets the total of what is below the frame.
     probes = values.select(*keys, (F.col("at_") - preceding).alias("at_"), F.lit(0).alias("kind_"), F.col("at_").alias("home_"), F.lit(0).cast("long").alias("one_"), *none)
     both = data.unionAll(probes)
-    w = BucketedWindow(both, keys, ["at_", "kind_", "home_"])
+    order = ["at_", "kind_", "home_"]
+    ranged = both.repartitionByRange(*keys, *order).withColumn(BUCKET, F.spark_partition_id())
+    w = BucketedWindow(kept(ranged, "frames"), keys, order, F.col(BUCKET))
     summed = ["one_", *names]
     sums = w.per_bucket(*[F.sum(n).alias(f"{n}_t") for n in summed])
     offsets = sums.select(*keys, BUCKET, *[_before(F.col(f"{n}_t"), w.earlier_buckets()).alias(f"{n}_b") for n in summed])
@@ -301,7 +303,7 @@ def _frame_extremes(values: DataFrame, keys: Sequence[str], picks: dict[str, str
         *[getattr(F, kind)(f"{n}_v").alias(f"{n}_c") for n, kind in picks.items()],
         *[F.array_sort(F.collect_list(F.struct("hi_", F.col(f"{n}_v").alias("v"))))["v"].alias(f"{n}_l") for n in picks],
     )
-    chunks = checkpointed(chunks)
+    chunks = kept(chunks, "chunks")
     # Level k of the table has the extreme of 2^k chunks from each one on.
     level = chunks.select(*keys, "chunk_", F.lit(0).alias("level_"), *[F.col(f"{n}_c").alias(f"{n}_t") for n in picks])
     spans, width = level, 1
@@ -310,22 +312,23 @@ def _frame_extremes(values: DataFrame, keys: Sequence[str], picks: dict[str, str
         following = level.select(*keys, (F.col("chunk_") - width).alias("chunk_"), *[F.col(f"{n}_t").alias(f"{n}_f") for n in picks])
         both = join_back(level, [*keys, "chunk_"], following)
         level = both.select(*keys, "chunk_", (F.col("level_") + 1).alias("level_"), *[merge(k)(f"{n}_t", f"{n}_f").alias(f"{n}_t") for n, k in picks.items()])
-        level, width = checkpointed(level), 2 * width
+        level, width = kept(level, "spans"), 2 * width
         spans = spans.unionAll(level)
     lists = lambda side: chunks.select(*keys, F.col("chunk_").alias(f"c_{side}_"), *[F.col(f"{n}_l").alias(f"{n}_{side}") for n in picks])
-    joined = join_back(join_back(placed, [*keys, "c_lo_"], lists("lo")), [*keys, "c_hi_"], lists("hi"))
     between = F.col("c_hi_") - F.col("c_lo_") - 1
     steps = F.when(between > 0, F.floor(F.log2(between.cast("double"))).cast("int"))
     first = F.col("c_lo_") * chunk + 1
-    parts = {}
+    tails, heads = {}, {}
     for n, kind in picks.items():
         pick = F.array_min if kind == "min" else F.array_max
-        start = (F.col("lo_") - first + 1).cast("int")
-        same = F.slice(f"{n}_lo", start, (F.col("hi_") - F.col("lo_") + 1).cast("int"))
-        tail = F.slice(f"{n}_lo", start, F.lit(chunk))
-        head = F.slice(f"{n}_hi", F.lit(1), (F.col("hi_") - F.col("c_hi_") * chunk).cast("int"))
-        parts[n] = F.when(F.col("c_lo_") == F.col("c_hi_"), pick(same)).otherwise(merge(kind)(pick(tail), pick(head)))
-    ends = joined.withColumns({n: part for n, part in parts.items()}).withColumn("steps_", steps).drop(*[f"{n}_{s}" for n in picks for s in ("lo", "hi")])
+        # Up to the end of the frame, where that lies in the same chunk.
+        in_first = F.least(F.col("hi_") - F.col("lo_") + 1, F.lit(chunk)).cast("int")
+        tails[n] = pick(F.slice(f"{n}_lo", (F.col("lo_") - first + 1).cast("int"), in_first))
+        head = pick(F.slice(f"{n}_hi", F.lit(1), (F.col("hi_") - F.col("c_hi_") * chunk).cast("int")))
+        heads[n] = F.when(F.col("c_lo_") == F.col("c_hi_"), F.col(n)).otherwise(merge(kind)(n, head))
+    # A chunk's values become one before the next shuffle, which would else carry them with every row.
+    ends = join_back(placed, [*keys, "c_lo_"], lists("lo")).withColumns(tails).drop(*[f"{n}_lo" for n in picks])
+    ends = join_back(ends, [*keys, "c_hi_"], lists("hi")).withColumns(heads).drop(*[f"{n}_hi" for n in picks]).withColumn("steps_", steps)
     near, far = (
         spans.select(*[F.col(k).alias(f"{k}_{side}") for k in keys], F.col("chunk_").alias(f"chunk_{side}"), F.col("level_").alias(f"level_{side}"),
                      *[F.col(f"{n}_t").alias(f"{n}_{side}") for n in picks])
@@ -338,5 +341,5 @@ def _frame_extremes(values: DataFrame, keys: Sequence[str], picks: dict[str, str
             match &= F.col(k).eqNullSafe(F.col(f"{k}_{side}"))
         ends = ends.join(spans_of, match, "left")
     results = [merge(kind)(n, f"{n}_near", f"{n}_far").alias(n) for n, kind in picks.items()]
-    kept = [c for c in values.columns if not c.endswith("_v")]
-    return ends.select(*kept, *results)
+    others = [c for c in values.columns if not c.endswith("_v")]
+    return ends.select(*others, *results)

@@ -87,3 +87,17 @@ def test_workbooks_go_to_python_in_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     rows = workbook.workbook_rows(_books(spark, spark.sparkContext.accumulator(0)))
     assert rows.count() == 12 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_range_frame_moves_no_lists_of_chunks_with_the_rows(spark):
+    df = spark.range(3_000).selectExpr("id", "id % 2 AS k", "id * 7 % 101 AS v")
+    framed = W.range_frame(df, ["k"], F.col("id"), 900, {"low": ("min", "v"), "top": ("max", "v"), "n": ("count", "*")}, 16)
+    plan = framed._jdf.queryExecution().optimizedPlan().toString()
+    assert any(re.search(r"low_lo#", line) for line in plan.splitlines())
+    assert not any(re.search(r"low_lo#", line) and re.search(r"low_hi#", line) for line in plan.splitlines())
+    df.createOrReplaceTempView("frames_")
+    plain = spark.sql(
+        "SELECT id, min(v) OVER w AS low, max(v) OVER w AS top, count(*) OVER w AS n FROM frames_"
+        " WINDOW w AS (PARTITION BY k ORDER BY id RANGE BETWEEN 900 PRECEDING AND CURRENT ROW)"
+    )
+    assert sorted(map(tuple, framed.select("id", "low", "top", "n").collect())) == sorted(map(tuple, plain.collect()))
