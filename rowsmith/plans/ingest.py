@@ -329,9 +329,7 @@ def order_statements(t: Tables) -> DataFrame:
         F.lit("-- row; of 'orders'\nSET time_zone = '+00:00';\n/* it's ; here */\n"),
         F.lit("INSERT INTO orders VALUES "), values, F.lit(";\n# done;\nLOCK TABLES `orders` WRITE;\n"),
     )
-    return t.orders.select("o_orderkey", chunk.alias("chunk")).select(
-        "o_orderkey", F.posexplode(sql_dump.split_statements(F.col("chunk"))).alias("ordinal", "statement")
-    )
+    return sql_dump.statement_rows(t.orders.select("o_orderkey", chunk.alias("chunk")), F.col("chunk"), "o_orderkey")
 
 
 @query("dump_rows", ORDERS_SQL)

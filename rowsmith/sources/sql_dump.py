@@ -47,6 +47,7 @@ COLUMN_PATTERN = (
 # Statement kinds of two words; any other kind is the first word.
 TWO_WORD_KINDS = ("LOCK TABLES", "UNLOCK TABLES", "DROP TABLE", "ALTER TABLE", "CREATE VIEW")
 SNIPPET_LENGTH = 120
+SPACES = re.compile(r"\s+")
 
 
 def split_statements(text: Column) -> Column:
@@ -59,12 +60,21 @@ def split_statements(text: Column) -> Column:
     return F.filter(clean, lambda p: p != "")
 
 
+def statement_rows(df: DataFrame, text: Column, *keep: Column | str, number: str = "ordinal") -> DataFrame:
+    """``keep..., number, statement``: a row for each statement of a chunk.
+
+    The outer form, as the inner one makes Spark cut the chunk again in a filter.
+    """
+    pieces = df.select(*keep, F.posexplode_outer(split_statements(text)).alias(number, "statement"))
+    return pieces.filter(F.col(number).isNotNull())
+
+
 def _trim(text: Column) -> Column:
     return F.trim(text, F.lit(" \n\r\t\f"))
 
 
 def snippet(statement: str) -> str:
-    compact = re.sub(r"\s+", " ", statement).strip(" ")
+    compact = SPACES.sub(" ", statement).strip(" ")
     return compact if len(compact) <= SNIPPET_LENGTH else f"{compact[: SNIPPET_LENGTH - 1]}…"
 
 
@@ -109,18 +119,21 @@ def groups(text: str, at: int = 0, first_only: bool = False) -> tuple[list[list[
 BETWEEN_GROUPS = " \t\n\x0b\f\r,"
 
 
+FIRST_WORDS = re.compile(r"\s*(\S+)(?:\s+(\S+))?(?:\s+(\S+))?")
+
+
 def statement_kind(statement: str) -> str:
     """The words that a statement begins with, however much white space is between them."""
-    words = statement.upper().split(None, 3)
     if statement[:6].upper() == "INSERT":
         return "INSERT"
+    words = [word.upper() for word in FIRST_WORDS.match(statement).groups() if word]
     if words[:2] == ["CREATE", "TABLE"] or words[:3] == ["CREATE", "TEMPORARY", "TABLE"]:
         return "CREATE TABLE"
     return " ".join(words[:2]) if " ".join(words[:2]) in TWO_WORD_KINDS else words[0]
 
 
-def _parsed_insert(statement: str) -> Iterator[dict]:
-    """One ``insert`` entry and, where nothing is wrong, one ``row`` entry for each tuple."""
+def _parsed_insert(statement: str, rows: bool = True) -> Iterator[dict]:
+    """One ``insert`` entry and, where nothing is wrong, one ``row`` entry for each tuple if ``rows`` are wanted."""
     head = INSERT_HEAD.match(statement)
     listed = groups(statement, head.end(), True) if head and statement[head.end() : head.end() + 1] == "(" else None
     values = VALUES.match(statement, listed[1] if listed else head.end()) if head else None
@@ -137,7 +150,7 @@ def _parsed_insert(statement: str) -> Iterator[dict]:
         yield entry | {"parts": [f"Skipping INSERT for {table} because the explicit column list does not match row width."]}
     else:
         yield entry
-        for row_no, tokens in enumerate(tuples[0]):
+        for row_no, tokens in enumerate(tuples[0] if rows else ()):
             yield {"entry": "row", "table_name": table, "row_no": row_no, "columns": columns, "parts": tokens}
 
 
@@ -160,10 +173,10 @@ _ENTRY = pa.schema([
 ])
 
 
-def _parse(statement: str) -> Iterator[dict]:
+def _parse(statement: str, rows: bool = True) -> Iterator[dict]:
     kind = statement_kind(statement)
     if kind == "INSERT":
-        yield from _parsed_insert(statement)
+        yield from _parsed_insert(statement, rows)
     elif kind == "CREATE TABLE":
         yield from _parsed_create(statement)
     else:
@@ -214,6 +227,41 @@ def created_tables(statements: DataFrame, statement: str = "statement") -> DataF
     return created.groupBy(F.col("table_name").alias("created_name")).agg(F.min("ordinal").alias("created_at"))
 
 
+_SKIP = [n for n in _ENTRY.names if n in ("entry", "table_name", "kind", "reason", "snippet", "parts")]
+
+
+def _skipper(statement: str, early: bool) -> Callable:
+    """Entries ``skip`` and ``insert``, without rows; an INSERT that nothing is wrong with only where it can come too early."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [n for n in batch.schema.names if n != statement]
+            found, places = {n: [] for n in _SKIP}, []
+            for place, text in enumerate(batch.column(statement).to_pylist()):
+                if not text or not text.strip():
+                    continue
+                for entry in _parse(text, False):
+                    if entry["entry"] == "skip" or entry["entry"] == "insert" and (early or entry.get("reason") or entry["parts"]):
+                        entry["snippet"] = snippet(text)
+                        places.append(place)
+                        for n in _SKIP:
+                            found[n].append(entry.get(n))
+            parsed = [pa.array(found[n], _ENTRY.field(n).type) for n in _SKIP]
+            at = pa.array(places, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in others), *parsed], [*others, *_SKIP])
+
+    return run
+
+
+def _skip_entries(statements: DataFrame, statement: str, early: bool) -> DataFrame:
+    """The entries that ``skipped_statements`` is made of; text that isn't parsed yet is parsed for them alone."""
+    if "entry" in statements.columns:
+        return statements.filter("entry IN ('skip', 'insert')")
+    kept = [f for f in statements.schema.fields if f.name != statement]
+    own = [f for f in T.StructType.fromDDL(ENTRY).fields if f.name in _SKIP]
+    return statements.mapInArrow(_skipper(statement, early), T.StructType([*kept, *own]))
+
+
 def skipped_statements(
     statements: DataFrame, statement: str = "statement", created: DataFrame | None = None
 ) -> DataFrame:
@@ -221,7 +269,7 @@ def skipped_statements(
 
     With ``created`` (see ``created_tables``), an INSERT must follow the CREATE TABLE of its table.
     """
-    entries = parsed(statements, statement).filter("entry IN ('skip', 'insert')")
+    entries = _skip_entries(statements, statement, created is not None)
     reason = F.col("reason")
     if created is not None:
         entries = entries.join(F.broadcast(created), F.col("table_name") == F.col("created_name"), "left")
@@ -404,7 +452,6 @@ def read_statements(spark: SparkSession, path: str, encoding: str = "auto") -> D
     facts = block_facts(raw_blocks(spark, path, named=True), automaton, encoding)
     sections = cut_records(raw_blocks(spark, path, named=True), automaton, facts)
     pieces = sections.records.unionByName(sections.leading)
-    statements = pieces.select(
-        "file", F.struct("block", F.col("at").alias("pos")).alias("place"), F.posexplode(split_statements(F.col("line"))).alias("part", "statement")
-    )
+    place = F.struct("block", F.col("at").alias("pos")).alias("place")
+    statements = statement_rows(pieces, F.col("line"), "file", place, number="part")
     return statements.select("file", F.struct("place.block", "place.pos", "part").alias("ordinal"), "statement")

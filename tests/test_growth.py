@@ -28,6 +28,22 @@ def test_rows_of_a_dump_are_not_dealt_by_table_name(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_statements_left_out_are_found_without_making_rows():
+    statement = "INSERT INTO t VALUES " + ", ".join(f"({i})" for i in range(1000))
+    batch = pa.RecordBatch.from_pydict({"ordinal": [1, 2, 3], "statement": [statement, "SET  x = 1", "INSERT INTO t SELECT 1"]})
+    late = list(sql_dump._skipper("statement", True)([batch]))
+    assert [b.column("entry").to_pylist() for b in late] == [["insert", "skip", "skip"]]
+    only = list(sql_dump._skipper("statement", False)([batch]))
+    assert [b.column("ordinal").to_pylist() for b in only] == [[2, 3]]
+
+
+def test_chunks_are_cut_into_statements_once(spark):
+    chunks = spark.createDataFrame([(1, "SET a; -- x;\nSET b"), (2, " ; "), (3, None)], "id long, chunk string")
+    found = sql_dump.statement_rows(chunks, F.col("chunk"), "id")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "SET a"), (1, 1, "SET b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_xml_paths_read_files_piece_by_piece(spark, tmp_path):
     folder = tmp_path / "xml"
     folder.mkdir()
