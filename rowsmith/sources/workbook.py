@@ -13,7 +13,6 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -98,7 +97,10 @@ def _fraction(ms: int) -> str:
     return f".{ms:03d}" if ms else ""
 
 
-@lru_cache(maxsize=50_000)
+#: What a task has read of dates and clocks; a plain dictionary, as cached functions don't travel with the plan.
+_CLOCKS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def _clock_cell(text: str, kind: str) -> tuple[str, str]:
     if kind == "date":
         at = EPOCH + dt.timedelta(days=float(text))
@@ -115,7 +117,11 @@ def _clock_cell(text: str, kind: str) -> tuple[str, str]:
 
 def _number_cell(text: str, kind: str) -> tuple[str, str]:
     if kind != "number":
-        return _clock_cell(text, kind)
+        if (text, kind) not in _CLOCKS:
+            if len(_CLOCKS) >= 50_000:
+                _CLOCKS.clear()
+            _CLOCKS[text, kind] = _clock_cell(text, kind)
+        return _CLOCKS[text, kind]
     return ("int" if INTEGER.fullmatch(text) else "double"), text
 
 
