@@ -117,6 +117,8 @@ def groups(text: str, at: int = 0, first_only: bool = False) -> tuple[list[list[
 
 
 BETWEEN_GROUPS = " \t\n\x0b\f\r,"
+#: Groups that hold no other brackets; where this matches, ``groups`` finds nothing wrong.
+FLAT_GROUPS = re.compile(rf"(?s)(?:[{BETWEEN_GROUPS}]*+\((?:[^()'\"`]++|{QUOTED})*+\))*+[{BETWEEN_GROUPS}]*+\Z")
 
 
 FIRST_WORDS = re.compile(r"\s*(\S+)(?:\s+(\S+))?(?:\s+(\S+))?")
@@ -142,7 +144,10 @@ def _parsed_insert(statement: str, rows: bool = True) -> Iterator[dict]:
         return
     table = _unquote(head.group(1))
     columns = [_unquote(c) for c in listed[0][0]] if listed else None
-    tuples = groups(statement, values.end())
+    if rows or not FLAT_GROUPS.match(statement, values.end()):
+        tuples = groups(statement, values.end())
+    else:
+        tuples = groups(statement, values.end(), True) if columns is not None and "(" in statement[values.end() :] else ([], 0)
     entry = {"entry": "insert", "kind": "INSERT", "table_name": table, "parts": []}
     if tuples is None:
         yield entry | {"reason": "Unsupported INSERT row syntax."}
@@ -230,19 +235,30 @@ def created_tables(statements: DataFrame, statement: str = "statement") -> DataF
 _SKIP = [n for n in _ENTRY.names if n in ("entry", "table_name", "kind", "reason", "snippet", "parts")]
 
 
+def _short_skips(statement: str, known: dict[str, list[dict]]) -> list[dict]:
+    """Entries of a short statement other than an INSERT; dumps repeat them, so ``known`` keeps some."""
+    if statement not in known:
+        if len(known) >= 10_000:
+            known.clear()
+        known[statement] = [entry | {"snippet": snippet(statement)} for entry in _parse(statement, False)]
+    return known[statement]
+
+
 def _skipper(statement: str, early: bool) -> Callable:
     """Entries ``skip`` and ``insert``, without rows; an INSERT that nothing is wrong with only where it can come too early."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[dict]] = {}
         for batch in batches:
             others = [n for n in batch.schema.names if n != statement]
             found, places = {n: [] for n in _SKIP}, []
             for place, text in enumerate(batch.column(statement).to_pylist()):
                 if not text or not text.strip():
                     continue
-                for entry in _parse(text, False):
+                for entry in _short_skips(text, known) if len(text) <= SNIPPET_LENGTH and text[:6].upper() != "INSERT" else _parse(text, False):
                     if entry["entry"] == "skip" or entry["entry"] == "insert" and (early or entry.get("reason") or entry["parts"]):
-                        entry["snippet"] = snippet(text)
+                        if "snippet" not in entry:
+                            entry["snippet"] = snippet(text)
                         places.append(place)
                         for n in _SKIP:
                             found[n].append(entry.get(n))

@@ -7,6 +7,7 @@ import re
 import zipfile
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from rowsmith.operators import windows as W
@@ -37,6 +38,16 @@ def test_statements_left_out_are_found_without_making_rows():
     assert [b.column("ordinal").to_pylist() for b in only] == [[2, 3]]
 
 
+@pytest.mark.parametrize("values", [
+    "(1), (2, 'a)')", "(1, f(2))", "(1", "(1)) ", "(1) x", "", ", ,", "'a' (1)", "(1, 'a''b', \"(\", `)`),\n(2)", "('open", "(1) 'b'", "((1))", "()",
+])
+@pytest.mark.parametrize("columns", ["", " (a)", " (a, b)"])
+def test_inserts_are_judged_alike_with_and_without_rows(values, columns):
+    statement = f"INSERT INTO t{columns} VALUES {values}"
+    with_rows = [e for e in sql_dump._parse(statement) if e["entry"] != "row"]
+    assert list(sql_dump._parse(statement, False)) == with_rows
+
+
 def test_chunks_are_cut_into_statements_once(spark):
     chunks = spark.createDataFrame([(1, "SET a; -- x;\nSET b"), (2, " ; "), (3, None)], "id long, chunk string")
     found = sql_dump.statement_rows(chunks, F.col("chunk"), "id")
