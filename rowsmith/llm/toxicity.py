@@ -59,6 +59,8 @@ _MARK = r"(?:[^\W_]|[" + re.escape("".join(c for c in LOOKALIKES if not c.isalnu
 _SPACED = re.compile(rf"(?<![^\W_]){_MARK}(?:[ ._*-]{_MARK}){{2,}}(?![^\W_])")
 _MULTIPLIER, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 MASK_BITS = 22
+#: Bits of the sieve of labelled ids: so many a label, and at most (16 MB), in bitmaps of Spark's size.
+SIEVE_SHARE, SIEVE_BITS, BITMAP = 16, 1 << 27, 1 << 15
 
 
 @lru_cache(maxsize=1)
@@ -302,12 +304,29 @@ def _restored(characters: CharacterModel):
     return run
 
 
+def sieved(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Rows of ``docs`` (id, text) without most of those whose id is none of the ``n`` in ``known``; no other row is lost.
+
+    Ids are hashed to bits, those of ``known`` are set. Texts that no label belongs to are so left out before a shuffle.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(min(SIEVE_BITS, max(BITMAP, SIEVE_SHARE * n))))
+    slots = known.select(slot.alias("slot"))
+    place = F.col("slot") % BITMAP
+    bitmaps = slots.groupBy(F.expr(f"slot div {BITMAP}").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bitmap"))
+    rows = docs.withColumn("slot", slot).join(F.broadcast(bitmaps), F.expr(f"slot div {BITMAP}") == F.col("bucket"))
+    byte = F.expr(f"conv(hex(substring(bitmap, cast(slot % {BITMAP} div 8 AS int) + 1, 1)), 16, 10)").cast("int")
+    return rows.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select("id", "text")
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, characters: CharacterModel) -> tuple[DataFrame, float]:
     """``id, text, toxic`` of all labelled rows, their texts restored, and the share of toxic ones among all labels."""
     known = labels.groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    rows = docs.join(known.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id")).select("id", "text", "toxic")
+    rows = sieved(docs, known, sum(counts.values()))
+    # One way to join at every size: few labels would be broadcast, more would have every text shuffled.
+    marks = known.withColumnRenamed("id", "l_id").hint("shuffle_hash")
+    rows = rows.join(marks, F.col("id") == F.col("l_id")).select("id", "text", "toxic")
     return saved(small_batches(rows).mapInArrow(_restored(characters), "id long, text string, toxic int"), "labelled"), share
 
 

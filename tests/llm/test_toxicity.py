@@ -137,3 +137,28 @@ def test_letters_and_weights_come_from_all_training_rows(corpus, spark, monkeypa
     assert len(seen[0]) == -(-labelled // 50) and sum(seen[0]) == labelled
     memory = {}
     assert many.score("garden river idiot paper", memory) > 0.3 > many.score("garden river paper music", memory)
+
+
+def test_texts_without_a_label_are_left_out_before_the_shuffle(spark, monkeypatch):
+    docs = spark.range(6_000).selectExpr("if(id % 1000 = 7, null, id) AS id", "concat('text ', id) AS text")
+    docs = docs.union(docs.filter("id = 12"))
+    known = spark.range(0, 6_000, 4).selectExpr("id", "cast(id % 8 = 0 AS int) AS toxic")
+    let = [r.id for r in tx.sieved(docs, known, 1_500).collect()]
+    assert sorted(i for i in let if i is not None and i % 4 == 0) == sorted([*range(0, 6_000, 4), 12])
+    assert len(let) < 1_501 + 450
+    # Full of labels, it lets everything through and still loses nothing.
+    monkeypatch.setattr(tx, "SIEVE_BITS", tx.BITMAP)
+    monkeypatch.setattr(tx, "BITMAP", 64)
+    monkeypatch.setattr(tx, "SIEVE_SHARE", 0)
+    assert {i for i in range(0, 6_000, 4)} <= {r.id for r in tx.sieved(docs, known, 1_500).collect()}
+    assert tx.sieved(docs, known.limit(0), 0).count() == 0
+
+
+def test_labels_are_joined_the_same_way_at_every_size(corpus, spark, monkeypatch):
+    rows, docs, labels = corpus
+    given = []
+    monkeypatch.setattr(tx, "saved", lambda df, name: given.append(df) or df)
+    found, share = tx.labelled_rows(docs.withColumnRenamed("doc_id", "id"), labels.withColumnRenamed("doc_id", "id"), model_of(CLEAN))
+    assert sorted((r.id, r.toxic) for r in found.collect()) == [(i, y) for i, _, y in rows if i < 10_000]
+    assert np.isclose(share, 0.2)
+    assert "ShuffledHashJoin" in given[0]._jdf.queryExecution().executedPlan().toString()
