@@ -21,13 +21,12 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,32 +36,30 @@ EDGE, ENDINGS, WORDS, BINS = 0, 31, 4096, 64
 LISTED, LONGEST = 32_768, 64
 SIDE, WIDTH, HIDDEN = 3, 16, 32
 ROUNDS, SMALLEST_BATCH, BATCH, RATE = 3, 256, 16_384, 0.1
-BLOCK = 16_384
+#: Positions scored as one, and rows of a matrix that are worked on while they lie in the processor's cache.
+BLOCK, SLAB = 65_536, 2048
 HIGHEST = 80
-#: Different words that a task holds before it hands them on or forgets them.
+#: Different words that are spelled at once.
 HELD_WORDS = 300_000
 #: Ends a word (it is in none), slots of two-byte contexts, and the weight of the shorter context.
 END, SLOTS, BACK_OFF = 0x20, 4096, 4.0
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array | list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of all texts in one row, between ASCII white space, and how many each text has."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # White space at either end leaves empty words.
+    real = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real).cast(pa.binary()), np.diff(before[bounds])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        rows = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
-        seen.clear()
-        return pa.RecordBatch.from_arrays(rows, ["word", "n"])
-
     for batch in batches:
-        for text in batch.column("text"):
-            seen.update(words_of(text.as_py()))
-            if len(seen) > HELD_WORDS:
-                yield flush()
-    yield flush()
+        words, counts = words_of(batch.column("text"))[0].value_counts().flatten()
+        yield pa.RecordBatch.from_arrays([words, counts], ["word", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -77,9 +74,10 @@ def frequent_words(counts: DataFrame, many: int = LISTED) -> list[tuple[bytes, i
     return [(bytes(r["word"]), r["n"]) for r in short.orderBy(F.desc("n"), "word").limit(many).collect()]
 
 
-def _places(words: list[bytes]):
+def _places(words: pa.Array):
     """Bytes of all words with END before each and after the last, where three in a row are to be predicted, and last pairs."""
-    line = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py()
+    line = np.frombuffer(b" " + joined + b" ", dtype=np.uint8).astype(np.int64)
     own, near, far = line[:-2], line[1:-1], line[2:]
     inside = np.flatnonzero((near != END) & (far != END))
     last = np.flatnonzero((near != END) & (far == END))
@@ -99,18 +97,22 @@ def ending_of(pair: np.ndarray | int) -> np.ndarray | int:
 PART_SIZES = (SLOTS * 256, 65536, 65536)
 
 
-def _count_bytes(listed: frozenset[bytes]):
+def _lengths(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy()
+
+
+def _count_bytes(listed: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(sum(PART_SIZES))
         slots, pairs, ends = np.split(totals, np.cumsum(PART_SIZES)[:-1])
+        frequent = pa.array(listed, pa.binary())
         for batch in batches:
-            rows = zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)
-            rare = [(w, n) for w, n in rows if w not in listed]
-            if not rare:
+            rare = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=frequent)))
+            words = rare.column("word")
+            if not len(words):
                 continue
-            words = [w for w, _ in rare]
             own, near, far, inside, last = _places(words)
-            each = np.repeat([float(n) for _, n in rare], [len(w) + 1 for w in words])[: len(own)]
+            each = np.repeat(rare.column("n").to_numpy().astype(np.float64), _lengths(words) + 1)[: len(own)]
             for onto, place, at in (
                 (slots, _slot(near, far) * 256 + own, inside),
                 (pairs, near * 256 + own, inside),
@@ -149,7 +151,7 @@ class Speller:
         """Of a listed word."""
         return float(np.log(count / self.mass[ending]))
 
-    def log_spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def log_spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Endings of unlisted words, and log P(word | ending)."""
         own, near, far, inside, last = _places(words)
         chance = np.zeros(len(own))
@@ -159,13 +161,13 @@ class Speller:
         pair = own[last] * 256 + near[last]
         ending = ending_of(pair)
         chance[last] = np.log(self.last_pair[pair]) + np.log((self.unlisted[ending] + 1) / self.mass[ending])
-        starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
-        return ending, np.add.reduceat(chance, starts)
+        ends = np.cumsum(_lengths(words) + 1)
+        return ending, np.add.reduceat(chance, np.append(0, ends[:-1]))
 
 
 def spell_counts(counts: DataFrame, listed: list[tuple[bytes, int]], known: int = WORDS) -> Speller:
     """The character model of all unlisted words, and the mass of listed words without a network id."""
-    sums = counts.mapInArrow(_count_bytes(frozenset(w for w, _ in listed)), "at int, total double")
+    sums = counts.mapInArrow(_count_bytes([w for w, _ in listed]), "at int, total double")
     found = sums.groupBy("at").agg(F.sum("total").alias("total")).toArrow()
     totals = np.zeros(sum(PART_SIZES))
     totals[found.column("at").to_numpy()] = found.column("total").to_numpy()
@@ -180,42 +182,44 @@ def word_ending(word: bytes) -> int:
     return ending_of(before * 256 + last)
 
 
-class Vocabulary(dict):
-    """Word to its place in two lists, the network ids and log P(word | id); unlisted words wait to be spelled."""
+class Vocabulary:
+    """Network ids of words and log P(word | id): listed words are looked up, others are spelled."""
 
     def __init__(self, listed: list[tuple[bytes, int]], speller: Speller, known: int = WORDS) -> None:
-        super().__init__({w: i for i, (w, _) in enumerate(listed)})
-        self.listed, self.speller, self.waiting = [w for w, _ in listed], speller, []
+        self.listed, self.speller = pa.array([w for w, _ in listed], pa.binary()), speller
         ids = [1 + ENDINGS + i for i in range(len(listed[:known]))]
         rest = [(word_ending(w), n) for w, n in listed[known:]]
         self.ids = np.array(ids + [e for e, _ in rest], dtype=np.uint16)
         self.chances = np.array([0.0] * len(ids) + [speller.log_share(e, n) for e, n in rest])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.waiting.append(word)
-        return at
-
-    def numbered(self, texts: list[str | None]) -> tuple[list[bytes], list[float]]:
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Id and log P(word | id) of each word."""
+        place = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy()
+        ids, chances = np.zeros(len(place), np.uint16), np.zeros(len(place))
+        found, unlisted = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        ids[found], chances[found] = self.ids[place[found]], self.chances[place[found]]
+        for start in range(0, len(unlisted), HELD_WORDS):
+            some = unlisted[start : start + HELD_WORDS]
+            ids[some], chances[some] = self.speller.log_spelled(words.take(pa.array(some)))
+        return ids, chances
+
+    def numbered(self, texts: pa.Array | list[str | None]) -> tuple[list[bytes], list[float]]:
         """Ids of each text, and the sum of log P(word | id) over its words."""
-        if len(self) > len(self.listed) + HELD_WORDS:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.listed))
-            self.ids, self.chances = self.ids[: len(self)], self.chances[: len(self)]
-        places = [np.frombuffer(array("I", map(self.__getitem__, words_of(t))), dtype=np.uintc) for t in texts]
-        if self.waiting:
-            endings, chances = self.speller.log_spelled(self.waiting)
-            self.ids = np.append(self.ids, endings.astype(np.uint16))
-            self.chances = np.append(self.chances, chances)
-            self.waiting = []
-        return [self.ids[p].tobytes() for p in places], [float(self.chances[p].sum()) for p in places]
+        words, lengths = words_of(texts)
+        # Each word is looked up once, however often the texts have it.
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, chances = (of_word[at] for of_word in self.of_words(coded.dictionary))
+        ends = np.cumsum(lengths)
+        cuts = list(zip(ends - lengths, ends, strict=True))
+        return [ids[a:b].tobytes() for a, b in cuts], [float(chances[a:b].sum()) for a, b in cuts]
 
 
 def _numbered(listed: list[tuple[bytes, int]], speller: Speller, known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(listed, speller, known)
         for batch in batches:
-            ids, spelled = vocabulary.numbered(batch.column("text").to_pylist())
+            ids, spelled = vocabulary.numbered(batch.column("text"))
             columns = [batch.column("id"), pa.array(ids, pa.binary()), pa.array(spelled, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "spelled"])
 
@@ -237,6 +241,14 @@ class Network:
 
     flat: np.ndarray
     bounds: np.ndarray
+    rooms: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """A matrix to be written over, whose memory is used again by the next call."""
+        size = rows * columns
+        if name not in self.rooms or len(self.rooms[name]) < size:
+            self.rooms[name] = np.empty(size, np.float32)
+        return self.rooms[name][:size].reshape(rows, columns)
 
     @classmethod
     def shapes(cls, bounds: np.ndarray) -> tuple[tuple[int, ...], ...]:
@@ -289,12 +301,15 @@ class Network:
             at = at[np.searchsorted(ids[at], 1) :]
             own = ids[at]
             hidden = np.repeat(bias[None, :], len(at), axis=0)
-            for table, offset in zip(tables, OFFSETS, strict=True):
-                hidden += table.take(padded[at + offset], axis=0)
-            np.maximum(hidden, 0, out=hidden)
-            chance = _log_softmax_at(hidden @ top + top_shift, self.classes_of(own))
+            chance, classes = np.empty(len(at), dtype=np.float32), self.classes_of(own)
+            for a in range(0, len(at), SLAB):
+                some, part = slice(a, a + SLAB), hidden[a : a + SLAB]
+                for table, offset in zip(tables, OFFSETS, strict=True):
+                    part += table.take(padded[at[some] + offset], axis=0, out=self.room("side", len(part), HIDDEN), mode="clip")
+                np.maximum(part, 0, out=part)
+                chance[some] = _log_softmax_at(_logits(part, top, top_shift), classes[some])
             for a, b, low, high in self.segments(own):
-                logits = hidden[a:b] @ out[low:high].T + shift[low:high]
+                logits = _logits(hidden[a:b], out[low:high].T, shift[low:high])
                 chance[a:b] += _log_softmax_at(logits, own[a:b].astype(np.int64) - (1 + ENDINGS + low))
             found[at] = chance
         return found
@@ -304,25 +319,35 @@ class Network:
         order = np.argsort(targets, kind="stable")
         sides, targets = sides[order], targets[order]
         embedding, w, bias, top, top_shift, out, shift = self.parts()
-        seen = embedding.take(sides, axis=0).reshape(len(targets), -1)
-        before = seen @ w + bias
-        hidden = np.maximum(before, 0)
         grad = np.zeros_like(self.flat)
         g = self.parts(grad)
-        error = _softmax_error(hidden @ top + top_shift, self.classes_of(targets))
-        back = error @ top.T
+        many, classes = len(targets), self.classes_of(targets)
+        slabs = [slice(a, a + SLAB) for a in range(0, many, SLAB)]
+        seen, error = self.room("seen", many, 2 * SIDE * WIDTH), self.room("error", many, len(top_shift))
+        hidden, back = self.room("hidden", many, HIDDEN), self.room("back", many, HIDDEN)
+        for some in slabs:
+            part = seen[some]
+            np.take(embedding, sides[some], axis=0, out=part.reshape(-1, 2 * SIDE, WIDTH), mode="clip")
+            part = np.matmul(part, w, out=hidden[some])
+            part += bias
+            np.maximum(part, 0, out=part)
+            logits = np.matmul(part, top, out=error[some])
+            logits += top_shift
+            np.matmul(_softmax_error(logits, classes[some]), top.T, out=back[some])
         g[3][:], g[4][:] = hidden.T @ error, _column_sums(error)
         for a, b, low, high in self.segments(targets):
-            logits = hidden[a:b] @ out[low:high].T + shift[low:high]
+            logits = _logits(hidden[a:b], out[low:high].T, shift[low:high])
             error = _softmax_error(logits, targets[a:b].astype(np.int64) - (1 + ENDINGS + low))
             back[a:b] += error @ out[low:high]
             g[5][low:high], g[6][low:high] = error.T @ hidden[a:b], _column_sums(error)
-        back *= before > 0
+        back *= hidden > 0
         g[1][:], g[2][:] = seen.T @ back, _column_sums(back)
-        place = sides.T.ravel()
-        onto = (w @ back.T).reshape(2 * SIDE, WIDTH, len(targets))
-        for k in range(WIDTH):
-            g[0][:, k] = np.bincount(place, weights=onto[:, k].ravel(), minlength=len(embedding))
+        # What reaches the embeddings: a row for each of their WIDTH places, neighbours by side and position in it.
+        by_place = w.reshape(2 * SIDE, WIDTH, HIDDEN).transpose(1, 0, 2).reshape(-1, HIDDEN)
+        onto = np.matmul(by_place, back.T, out=self.room("onto", 2 * SIDE * WIDTH, many))
+        place = sides.T.ravel().astype(np.intp)
+        for k, weights in enumerate(onto.reshape(WIDTH, -1)):
+            g[0][:, k] = np.bincount(place, weights=weights, minlength=len(embedding))
         grad /= len(targets)
         return grad
 
@@ -333,6 +358,12 @@ def _powers(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
+def _logits(rows: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    found = rows @ weights
+    found += shift
+    return found
+
+
 def _row_sums(values: np.ndarray) -> np.ndarray:
     return values @ np.ones(values.shape[1], dtype=values.dtype)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from rowsmith.llm import pseudo_likelihood as pl
 
@@ -186,3 +187,44 @@ def test_hard_rows(hard_docs, no_docs):
     assert all((r.n_tokens, r.log_prob, r.mean_log_prob) == (0, 0.0, 0.0) for r in found if r.doc_id in (3, 4, 5))
     assert all(r.log_prob < 0 for r in found if r.doc_id in (1, 2, 6, 7))
     assert pl.pseudo_likelihood(no_docs).count() == 0
+
+
+def test_words_are_cut_at_ascii_white_space_only():
+    signs = ["a", "B", "Z", "\u00c9", "\u00df", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u00a0", "\u2028", "\x00", "\U0001f600"]
+    rng = random.Random(9)
+    texts = [None, "", " ", " a ", "\n\n", *("".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(500))]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    for a, b in ((0, 505), (7, 300), (2, 3), (5, 5)):
+        words, lengths = pl.words_of(pa.array(texts, pa.string())[a:b])
+        assert words.to_pylist() == [w for of in plain[a:b] for w in of]
+        assert lengths.tolist() == [len(of) for of in plain[a:b]]
+
+
+def test_a_word_is_looked_up_and_spelled_once_a_batch(spark):
+    docs = spark.createDataFrame([("top mid low top top rare odd odd",)], "text string")
+    counts = pl.word_counts(docs)
+    listed = pl.frequent_words(counts, 1)
+    known, spelled = pl.Vocabulary(listed, pl.spell_counts(counts, listed, 1), 1), []
+    real = known.speller.log_spelled
+    known.speller.log_spelled = lambda words: spelled.extend(words.to_pylist()) or real(words)
+    ids, chances = known.numbered(["odd rare odd new"] * 50 + ["new odd", ""])
+    assert sorted(spelled) == [b"new", b"odd", b"rare"]
+    assert len(ids[0]) == 8 and ids[0][:2] == ids[0][4:6] and ids[-1] == b"" and len(set(chances[:50])) == 1
+
+
+def test_gradients_of_large_and_small_batches_in_turn():
+    """Memory is used again; slabs of a batch add up to what one product over all of it gives."""
+    net, rng = random_network(), np.random.default_rng(4)
+    batches = []
+    for size in (5000, 40, pl.SLAB, 5000, 1):
+        sides = rng.integers(0, 1 + pl.ENDINGS + 30, (size, 6)).astype(np.uint16)
+        batches.append((sides, rng.integers(1, 1 + pl.ENDINGS + 30, size).astype(np.uint16)))
+    found = [net.slopes(*batch) for batch in batches]
+    rooms = {name: id(room) for name, room in net.rooms.items()}
+    for batch, grad in zip(batches, found, strict=True):
+        assert np.array_equal(pl.Network(net.flat, BOUNDS).slopes(*batch), grad)
+    net.slopes(*batches[0])
+    assert rooms == {name: id(room) for name, room in net.rooms.items()}
+    sides, targets = batches[0]
+    parts = [net.slopes(sides[a : a + 1000], targets[a : a + 1000]) for a in range(0, 5000, 1000)]
+    assert np.allclose(found[0], np.mean(parts, axis=0), atol=1e-6)
