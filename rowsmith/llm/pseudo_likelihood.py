@@ -39,8 +39,8 @@ ROUNDS, SMALLEST_BATCH, BATCH, RATE = 3, 256, 16_384, 0.1
 #: Positions scored as one, and rows of a matrix that are worked on while they lie in the processor's cache.
 BLOCK, SLAB = 65_536, 2048
 HIGHEST = 80
-#: Different words that are spelled at once.
-HELD_WORDS = 300_000
+#: Different words that a task holds before it hands them on, and words spelled at once.
+HELD_WORDS, SPELLED = 1_000_000, 100_000
 #: Ends a word (it is in none), slots of two-byte contexts, and the weight of the shorter context.
 END, SLOTS, BACK_OFF = 0x20, 4096, 4.0
 
@@ -57,9 +57,24 @@ def words_of(texts: pa.Array | list[str | None]) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        if len(held) < 2:
+            return held[0]
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
     for batch in batches:
-        words, counts = words_of(batch.column("text"))[0].value_counts().flatten()
-        yield pa.RecordBatch.from_arrays([words, counts], ["word", "n"])
+        coded = words_of(batch.column("text"))[0].dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        held.append(pa.table({"word": coded.dictionary, "n": pa.array(n, pa.int64())}))
+        if sum(map(len, held)) > HELD_WORDS:
+            held = [merged()]
+            # Few words that come again and again are kept, many are handed on.
+            if 2 * len(held[0]) > HELD_WORDS:
+                yield from held.pop().to_batches()
+    if held:
+        yield from merged().to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -140,7 +155,10 @@ class Speller:
         after_one = self.pairs.reshape(256, 256)
         after_one = (after_one + BACK_OFF * anywhere) / (after_one.sum(axis=1, keepdims=True) + BACK_OFF)
         self.after_one = after_one.ravel()
-        self.slot_mass = self.slots.reshape(SLOTS, 256).sum(axis=1)
+        self.backed_off = BACK_OFF * self.after_one
+        self.slot_total = self.slots.reshape(SLOTS, 256).sum(axis=1) + BACK_OFF
+        pair = np.arange(65536)
+        self.slot_of_pair = _slot(pair // 256, pair % 256)
         of_pair = ending_of(np.arange(65536))
         self.unlisted = np.bincount(of_pair, weights=self.ends, minlength=ENDINGS + 1)
         smooth = self.ends + 0.01
@@ -155,9 +173,10 @@ class Speller:
         """Endings of unlisted words, and log P(word | ending)."""
         own, near, far, inside, last = _places(words)
         chance = np.zeros(len(own))
-        slot = _slot(near[inside], far[inside])
-        seen = self.slots[slot * 256 + own[inside]] + BACK_OFF * self.after_one[near[inside] * 256 + own[inside]]
-        chance[inside] = np.log(seen / (self.slot_mass[slot] + BACK_OFF))
+        sign, before = own[inside], near[inside] * 256
+        slot = self.slot_of_pair[before + far[inside]]
+        seen = self.slots[slot * 256 + sign] + self.backed_off[before + sign]
+        chance[inside] = np.log(seen / self.slot_total[slot])
         pair = own[last] * 256 + near[last]
         ending = ending_of(pair)
         chance[last] = np.log(self.last_pair[pair]) + np.log((self.unlisted[ending] + 1) / self.mass[ending])
@@ -198,8 +217,8 @@ class Vocabulary:
         ids, chances = np.zeros(len(place), np.uint16), np.zeros(len(place))
         found, unlisted = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         ids[found], chances[found] = self.ids[place[found]], self.chances[place[found]]
-        for start in range(0, len(unlisted), HELD_WORDS):
-            some = unlisted[start : start + HELD_WORDS]
+        for start in range(0, len(unlisted), SPELLED):
+            some = unlisted[start : start + SPELLED]
             ids[some], chances[some] = self.speller.log_spelled(words.take(pa.array(some)))
         return ids, chances
 
@@ -316,8 +335,9 @@ class Network:
 
     def slopes(self, sides: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over one mini-batch."""
-        order = np.argsort(targets, kind="stable")
-        sides, targets = sides[order], targets[order]
+        if (targets[1:] < targets[:-1]).any():
+            order = np.argsort(targets, kind="stable")
+            sides, targets = sides[order], targets[order]
         embedding, w, bias, top, top_shift, out, shift = self.parts()
         grad = np.zeros_like(self.flat)
         g = self.parts(grad)
@@ -417,6 +437,7 @@ def _train_round(weights: np.ndarray, bounds: np.ndarray, turn: int):
             while len(at):
                 size = min(BATCH, SMALLEST_BATCH << min(steps // 8, 16))
                 some, at = at[:size], at[size:]
+                some = some[np.argsort(line[some], kind="stable")]
                 grad = net.slopes(line[some[:, None] - SIDE + OFFSETS], line[some])
                 squares += grad * grad
                 grad /= np.sqrt(squares)
